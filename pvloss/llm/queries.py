@@ -1,10 +1,11 @@
 """Queries of the training-text operators and the SQL that checks them."""
 
-from . import bpe_queries, chat_queries, simhash_queries
+from . import bpe_queries, chat_queries, decontam_queries, simhash_queries
 
 
 def queries():
     return {
+        "op1_decontaminate": decontam_queries.op1_decontaminate,
         "op5_simhash_dedup": simhash_queries.op5_simhash_dedup,
         "op6_byte_bpe": bpe_queries.op6_byte_bpe,
         "op8_chat_format": chat_queries.op8_chat_format,
@@ -13,5 +14,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_decontaminate": decontam_queries.ORACLE,
         "op8_chat_format": chat_queries.ORACLE,
     }
