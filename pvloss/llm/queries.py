@@ -1,6 +1,6 @@
 """Queries of the training-text operators and the SQL that checks them."""
 
-from . import bpe_queries, chat_queries, decontam_queries, simhash_queries, urlfilter_queries
+from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, simhash_queries, urlfilter_queries
 
 
 def queries():
@@ -8,6 +8,7 @@ def queries():
         "op1_decontaminate": decontam_queries.op1_decontaminate,
         "op5_simhash_dedup": simhash_queries.op5_simhash_dedup,
         "op6_byte_bpe": bpe_queries.op6_byte_bpe,
+        "op7_id_store": idstore_queries.op7_id_store,
         "op8_chat_format": chat_queries.op8_chat_format,
         "op9_url_filter": urlfilter_queries.op9_url_filter,
     }
