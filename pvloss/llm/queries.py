@@ -1,11 +1,12 @@
 """Queries of the training-text operators and the SQL that checks them."""
 
-from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, simhash_queries, urlfilter_queries
+from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, simhash_queries, tokencount_queries, urlfilter_queries
 
 
 def queries():
     return {
         "op1_decontaminate": decontam_queries.op1_decontaminate,
+        "op4_token_counts": tokencount_queries.op4_token_counts,
         "op5_simhash_dedup": simhash_queries.op5_simhash_dedup,
         "op6_byte_bpe": bpe_queries.op6_byte_bpe,
         "op7_id_store": idstore_queries.op7_id_store,
