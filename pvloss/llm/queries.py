@@ -1,17 +1,19 @@
 """Queries of the training-text operators and the SQL that checks them."""
 
-from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, simhash_queries, tokencount_queries, urlfilter_queries
+from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, quality_queries, simhash_queries, tokencount_queries, toxicity_queries, urlfilter_queries
 
 
 def queries():
     return {
         "op1_decontaminate": decontam_queries.op1_decontaminate,
+        "op3_quality_cnn": quality_queries.op3_quality_cnn,
         "op4_token_counts": tokencount_queries.op4_token_counts,
         "op5_simhash_dedup": simhash_queries.op5_simhash_dedup,
         "op6_byte_bpe": bpe_queries.op6_byte_bpe,
         "op7_id_store": idstore_queries.op7_id_store,
         "op8_chat_format": chat_queries.op8_chat_format,
         "op9_url_filter": urlfilter_queries.op9_url_filter,
+        "op10_toxicity": toxicity_queries.op10_toxicity,
     }
 
 
