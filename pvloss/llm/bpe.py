@@ -28,7 +28,7 @@ from .units import UnitCache
 
 FIRST = 0x100  # the character of byte 0
 _TO_CHAR = {i: FIRST + i for i in range(256)}
-SLICE = 1 << 22  # bytes of text that are encoded at a time
+SLICE = 1 << 20  # bytes of text that are encoded at a time
 
 
 def _varint(n: int) -> bytes:
@@ -142,7 +142,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         own = codec(path, pattern)
         for big in batches:
-            for batch in slices(big, "ids", 4 * SLICE):
+            for batch in slices(big, "ids", 8 * SLICE):
                 texts = [None if x is None else own.decode(x) for x in batch.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 

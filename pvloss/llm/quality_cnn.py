@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .bpe import slices
 
 CHUNK, KERNEL, STRIDE, FILTERS, WIDTH, PAD = 512, 8, 4, 24, 6, 256
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 6000, 6, 5, 48, 4e-3
+TRAIN_ROWS, TRAIN_CHUNKS, STEPS, BATCH, RATE = 6000, 6, 700, 48, 4e-3
 AT_ONCE = 1024  # chunks that are scored at a time
 
 
@@ -100,7 +100,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Net | f
     net = Net(f32(257, WIDTH, scale=0.5), f32(KERNEL * WIDTH, FILTERS, scale=0.15), np.zeros(FILTERS, np.float32), f32(2 * FILTERS, scale=0.1), np.zeros(1, np.float32))
     first, second = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()]
     places, step = (CHUNK - KERNEL) // STRIDE + 1, 0
-    for epoch in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // len(samples))):
         order = rng.permutation(len(samples))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
@@ -129,7 +129,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Net | f
             ids = x[np.repeat(np.arange(len(x)), FILTERS)[:, None], offset[:, None] + np.arange(KERNEL)]
             g_table = np.stack([np.bincount(ids.ravel(), d_rows[:, :, k].ravel(), 257) for k in range(WIDTH)], 1)
             step += 1
-            rate = RATE * (1 - 0.8 * epoch / EPOCHS)
+            rate = RATE * max(0.2, 1 - step / STEPS)
             for k, (param, g) in enumerate(zip(net.parameters(), [g_table, g_filters, d_feat.sum(0), g_out, dz.sum(keepdims=True)], strict=True)):
                 g = g.astype(np.float32)
                 first[k] = 0.9 * first[k] + 0.1 * g

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec, slices
-from .units import units
+from .units import UnitCache
 
 LEAF = 64  # pre-tokens of a leaf when a tree is built
 LOOK = 3  # characters behind its end that a pre-token's match may have looked at
@@ -72,6 +72,11 @@ class Tree:
             self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
 
 
+def joined(values: list) -> tuple[list[int], list[int]]:
+    """Lengths and counts of the pre-tokens of a text from those of its units."""
+    return [n for v in values for n in v[0]], [n for v in values for n in v[1]]
+
+
 class Counter:
     """Counts with one vocabulary; one for each Python worker."""
 
@@ -81,35 +86,25 @@ class Counter:
         own = codec(path, pattern)
         self.find, self.match = own.find, regex.compile(pattern).match
         self.encode = own.pre_tokens
-        self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.units = UnitCache(self._units, 400_000)
 
     def counts(self, pieces: list[str]) -> list[int]:
         return [len(x) for x in self.encode(pieces)]
 
-    def pre_tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """For each text the lengths and token counts of its pre-tokens."""
-        split = [units(t) for t in texts]
-        new = {u for us in split for u in us[1:] if u not in self.known}
-        found = [(u, self.find(" " + u)) for u in new]
-        heads = [self.find(us[0]) for us in split]
-        numbers = iter(self.counts([p for _, ps in found for p in ps] + [p for ps in heads for p in ps]))
-        fresh = {u: (tuple(map(len, ps)), tuple(next(numbers) for _ in ps)) for u, ps in found}
-        if len(self.known) + len(fresh) > 300_000:
-            fresh |= {u: self.known[u] for us in split for u in us[1:] if u in self.known}
-            self.known = {}
-        self.known |= fresh
+    def _units(self, texts: list[str]) -> list[tuple[tuple[int, ...], tuple[int, ...], int]]:
+        """Of each unit the lengths and counts of its pre-tokens, and its count."""
+        split = [self.find(t) for t in texts]
+        numbers = iter(self.counts([p for ps in split for p in ps]))
         out = []
-        for us, ps in zip(split, heads, strict=True):
-            lengths, counts = list(map(len, ps)), [next(numbers) for _ in ps]
-            for u in us[1:]:
-                a, b = self.known[u]
-                lengths += a
-                counts += b
-            out.append((lengths, counts))
-        if any(len(u) > 64 for u in fresh):
-            self.known = {u: v for u, v in self.known.items() if len(u) <= 64}
+        for ps in split:
+            counts = tuple([next(numbers) for _ in ps])
+            out.append((tuple(map(len, ps)), counts, sum(counts)))
         return out
 
+    def pre_tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """For each text the lengths and token counts of its pre-tokens."""
+        return [joined(values) for values in self.units.many(texts)]
+
     def tree(self, pre: tuple[list[int], list[int]]) -> Tree:
         lengths, counts = pre
         return Tree([(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)])
@@ -172,17 +167,18 @@ def count_with_edits(docs: DataFrame, path: str, pattern: str, edits: str = "edi
             for batch in slices(big, "text"):
                 texts = batch.column("text").to_pylist()
                 out = []
-                for text, pre, asked in zip(texts, own.pre_tokens(texts), batch.column("edits").to_pylist(), strict=True):
+                for text, values, asked in zip(texts, own.units.many(texts), batch.column("edits").to_pylist(), strict=True):
                     todo = sorted((e["start"], e["end"], e["replacement"] or "") for e in asked or [] if e and None not in (e["start"], e["end"]))
                     good, free = [], 0
                     for e in todo:
                         if free <= e[0] <= e[1] <= len(text):
                             good.append(e)
                             free = e[1]
-                    if not good and not keep_text:  # the root of an untouched tree
-                        out.append((sum(pre[1]), 0, len(todo), sum(pre[1]), 0, None, None))
+                    if not good and not keep_text:  # an untouched tree: only its root is asked for
+                        total = sum([v[2] for v in values])
+                        out.append((total, 0, len(todo), total, 0, None, None))
                         continue
-                    tree = own.tree(pre)
+                    tree = own.tree(joined(values))
                     before, shift, redone = tree.total, 0, 0
                     for start, end, new in good:
                         text, n = own.edit(tree, text, start + shift, end + shift, new)

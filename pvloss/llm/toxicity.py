@@ -12,7 +12,7 @@ voters that always fire together count once. EM estimates means, covariance and
 votes alone, starting from the majority vote. Its posteriors are the labels of a linear (logistic)
 classifier over the same voters, fitted by Newton steps with a ridge. Labels take part in mining only.
 
-Bounds: at most TRAIN_ROWS labelled rows for the fit and VOTERS voters; the model (some 50 KB) goes to
+Bounds: at most TRAIN_ROWS labelled rows for the fit, MINED candidates and VOTERS voters; the model (some 50 KB) goes to
 the tasks. Scoring reads all words of all texts.
 
 Defined cases: null and empty texts fire no voter but the last; without labelled rows only SEEDS and
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .bpe import slices
 
-TRAIN_ROWS, VOTERS, SUPPORT, PRECISION = 10_000, 240, 5, 0.8
+TRAIN_ROWS, VOTERS, MINED, SUPPORT, PRECISION = 10_000, 240, 3000, 5, 0.9
 STEMS = range(3, 9)  # lengths of the stems that are mined
 SEEDS = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -102,11 +102,14 @@ def mine(sample: DataFrame) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([counts[0][k] for k in rest], pa.int64())], names=["trait", "toxic", "clean"])
 
     found = sample.select("text", "label").mapInArrow(run, "trait string, toxic bigint, clean bigint").groupBy("trait").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = found.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
+    found = found.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + 0.5)))
     strength = F.col("toxic") * F.log((F.col("toxic") + 1) / (F.col("clean") + 1))
-    # Longer stems that say no more than a shorter one come after it.
-    top = found.orderBy(strength.desc(), F.length("trait"), "trait").limit(VOTERS - len(SEEDS)).select("trait").collect()
-    return list(dict.fromkeys([r[0] for r in top] + ["=" + s for s in SEEDS]))
+    top = found.orderBy(strength.desc(), F.length("trait"), "trait").limit(MINED).select("trait").collect()
+    chosen: list[str] = []
+    for (trait,) in top:  # a word or stem says nothing new beside a stronger stem that it begins with
+        if not any(trait[1:].startswith(c[1:]) for c in chosen if c[0] == "^"):
+            chosen.append(trait)
+    return list(dict.fromkeys(chosen[: VOTERS - len(SEEDS)] + ["=" + s for s in SEEDS]))
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12, ridge: float = 0.02) -> np.ndarray:

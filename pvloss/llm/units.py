@@ -3,8 +3,8 @@
 A unit is a stretch of text between single spaces that stand between two non-space characters. The
 pre-token pattern attaches such a space to what follows it and looks no further back, so the
 pre-tokens of a text are those of its units, one after the other. Units repeat a lot, so each
-Python worker encodes each unit once and keeps its value; the cache is emptied when it would pass
-max_units entries, and units over MAX_UNIT characters are never kept, so its memory is bounded.
+Python worker encodes each unit once and keeps its value. The cache has a bound on its entries, and
+units over MAX_UNIT characters are never kept, so its memory is bounded.
 """
 
 from __future__ import annotations
@@ -13,40 +13,59 @@ import re
 from collections.abc import Callable
 
 MAX_UNIT = 64
-_ODD_SPACE = re.compile(r"\s |\s\Z| \s")
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
+def odd(unit: str) -> bool:
+    """Whether white space stands at an end, so that a space beside the unit is no boundary."""
+    return not unit or unit[0].isspace() or unit[-1].isspace()
+
+
 def units(text: str) -> list[str]:
     """The units of a text without the spaces that join them: text == ' '.join(units(text))."""
-    if text[:1] == " " or _ODD_SPACE.search(text):
-        return _BOUNDARY.split(text)
-    return text.split(" ")
+    return _BOUNDARY.split(text)
 
 
 class UnitCache:
-    """encode: list of texts -> list of values. The values of short units are kept."""
+    """encode: list of texts -> list of values (not None). The values of short units are kept, in two
+    generations: when the young one is full it becomes the old one, and what is still used comes back."""
 
-    def __init__(self, encode: Callable[[list[str]], list], max_units: int = 500_000):
-        self.encode, self.max_units = encode, max_units
-        self.kept: dict[str, object] = {}  # by the unit without its leading space
+    def __init__(self, encode: Callable[[list[str]], list], max_units: int = 700_000):
+        self.encode, self.half = encode, max(1, max_units // 2)
+        self.young: dict[str, object] = {}  # by the unit without its leading space; never odd ones
+        self.old: dict[str, object] = {}
 
     def many(self, texts: list[str]) -> list[list]:
         """For each text the values of its units, in order; one call of encode for all that is new."""
-        split = [units(t) for t in texts]
-        new = {u for us in split for u in us[1:]}
-        new.difference_update(self.kept)
-        if len(self.kept) + len(new) > self.max_units:
-            self.kept.clear()
-            new = {u for us in split for u in us[1:]}
-        fresh = dict(zip(new, self.encode([" " + u for u in new]), strict=True))
-        firsts = self.encode([us[0] for us in split])
-        self.kept |= fresh
-        get = self.kept.__getitem__
-        out = [[f, *map(get, us[1:])] for f, us in zip(firsts, split, strict=True)]
-        if len(self.kept) > self.max_units:
-            self.kept.clear()
-        elif long := [u for u in fresh if len(u) > MAX_UNIT]:
-            for u in long:
-                del self.kept[u]
+        get = self.young.get
+        split = [t.split(" ") for t in texts]
+        out = [list(map(get, us)) for us in split]  # the value at 0, of the first unit, is set below
+        gaps = [[j for j, v in enumerate(found) if v is None and j] for found in out]
+        absent = {us[j] for us, gap in zip(split, gaps, strict=True) for j in gap}
+        # Odd units are never kept, so they are among the absent if there are any.
+        if bad := {u for u in absent if odd(u)}:
+            for i, (us, gap) in enumerate(zip(split, gaps, strict=True)):
+                if any(us[j] in bad for j in gap):
+                    split[i] = us = units(texts[i])
+                    out[i] = list(map(get, us))
+                    gaps[i] = [j for j, v in enumerate(out[i]) if v is None and j]
+        again = [i for i, us in enumerate(split) if us[0][-1:].isspace() and len(us) > 1]
+        for i in again:
+            split[i] = us = units(texts[i])
+            out[i] = list(map(get, us))
+            gaps[i] = [j for j, v in enumerate(out[i]) if v is None and j]
+        if bad or again:
+            absent = {us[j] for us, gap in zip(split, gaps, strict=True) for j in gap}
+        fresh = {u: self.old[u] for u in absent if u in self.old}
+        new = [u for u in absent if u not in fresh]
+        values = self.encode([us[0] for us in split] + [" " + u for u in new])
+        fresh |= zip(new, values[len(split) :], strict=True)
+        for first, us, found, gap in zip(values, split, out, gaps, strict=False):
+            for j in gap:
+                found[j] = fresh[us[j]]
+            found[0] = first
+        self.young |= {u: v for u, v in fresh.items() if len(u) <= MAX_UNIT and not odd(u)}
+        if len(self.young) > self.half:
+            self.old = self.young if len(self.young) <= 2 * self.half else {}
+            self.young = {}
         return out

@@ -55,7 +55,7 @@ def test_cache_stays_bounded():
     c = UnitCache(lambda ts: [t.upper() for t in ts], max_units=3)
     for t in ["a b c", "a b c d e f", "a " + "y" * 99, "g a"]:
         assert " ".join(c.many([t])[0]).replace("  ", " ") == t.upper()
-        assert len(c.kept) <= 3 and all(len(u) <= 64 for u in c.kept)
+        assert len(c.young) <= 1 and len(c.old) <= 2 and all(len(u) <= 64 for u in [*c.young, *c.old])
 
 
 def test_empty_table(spark):
