@@ -1,11 +1,14 @@
 """Queries of the training-text operators and the SQL that checks them."""
 
-from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, quality_queries, simhash_queries, tokencount_queries, toxicity_queries, urlfilter_queries
+import corpus_pipeline
+
+from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, quality_lm_queries, quality_queries, simhash_queries, tokencount_queries, toxicity_queries, urlfilter_queries
 
 
 def queries():
     return {
         "op1_decontaminate": decontam_queries.op1_decontaminate,
+        "op2_quality_rules": quality_lm_queries.op2_quality_rules,
         "op3_quality_cnn": quality_queries.op3_quality_cnn,
         "op4_token_counts": tokencount_queries.op4_token_counts,
         "op5_simhash_dedup": simhash_queries.op5_simhash_dedup,
@@ -14,6 +17,7 @@ def queries():
         "op8_chat_format": chat_queries.op8_chat_format,
         "op9_url_filter": urlfilter_queries.op9_url_filter,
         "op10_toxicity": toxicity_queries.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
