@@ -1,13 +1,18 @@
-"""All queries over the driver tables, with the SQL that checks them."""
+"""All queries over the driver's tables, with the SQL that checks them."""
+
+from .plans import daily_queries
+
+MODULES = (daily_queries,)
 
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: text for m in MODULES for name, text in m.SQL.items()}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Lost energy of every system."""
+    return daily_queries.loss(spark, sf_dir)
