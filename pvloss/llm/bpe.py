@@ -86,7 +86,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         back = {FIRST + i: i for i in range(256)}
         self.bytes_of = [bytes(back[ord(c)] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
-        self.units = UnitCache(self._encode_units)
+        self.units = UnitCache(self._encode_units, 250_000)
 
     def pre_tokens(self, pieces: list[str]) -> list[list[int]]:
         return self.model.encode([as_chars(p.encode()) for p in pieces], num_threads=1) if pieces else []

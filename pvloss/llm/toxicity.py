@@ -40,7 +40,7 @@ SEEDS = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Shapes of a text that may go with abuse; the label model finds out whether they do.
 SHAPES = (r"!{2,}", r"\?{2,}", r"\b[A-Z]{4,}\b", r"[#*$%&]{3,}", r"\b(?:you|your)\b", r"@\w+")
-MEMORY = 400_000  # words whose voters a worker remembers
+MEMORY = 120_000  # words whose voters a worker remembers
 
 
 def words(text: str) -> set[str]:
