@@ -19,10 +19,10 @@ rain AS (SELECT system_id, min(date) AS start, max(date) AS "end", sum(precip_mm
 chosen AS (SELECT system_id, date AS start, date AS "end", CAST(NULL AS DOUBLE) AS rain_mm, type FROM dated
            UNION ALL SELECT * FROM rain WHERE system_id NOT IN (SELECT system_id FROM dated)),
 eday AS (SELECT c.start, c."end", c.type, f.*, CASE WHEN f.date < c.start THEN f.date - c.start WHEN f.date > c."end" THEN f.date - c."end" ELSE 0 END AS rel,
-                clear AND NOT fault AND ratio IS NOT NULL AS usable
+                clear AND NOT fault AND ratio IS NOT NULL AS fit
   FROM chosen c JOIN fault f ON f.system_id = c.system_id AND f.date BETWEEN c.start - {S.days_before} AND c."end" + {S.days_after}),
-cmp0 AS (SELECT system_id, start, "end", type, count(*) FILTER (usable AND rel < 0) AS n_before, count(*) FILTER (usable AND rel > 0) AS n_after,
-    avg(ratio) FILTER (usable AND rel < 0) AS mean_before, avg(ratio) FILTER (usable AND rel > 0) AS mean_after, avg(expected_kwh) AS mean_expected,
+cmp0 AS (SELECT system_id, start, "end", type, count(*) FILTER (fit AND rel < 0) AS n_before, count(*) FILTER (fit AND rel > 0) AS n_after,
+    avg(ratio) FILTER (fit AND rel < 0) AS mean_before, avg(ratio) FILTER (fit AND rel > 0) AS mean_after, avg(expected_kwh) AS mean_expected,
     count(*) FILTER (rel <> 0 AND precip_mm >= {S.heavy_rain_mm}) AS other_rain_days FROM eday GROUP BY ALL),
 cmp AS (SELECT *, CASE WHEN ok THEN 'ok' ELSE 'too few clear days' END AS status, CASE WHEN ok THEN 100 * (mean_after / mean_before - 1) END AS change_pct,
     CASE WHEN ok THEN (mean_after - mean_before) * mean_expected END AS kwh_per_day
@@ -114,7 +114,7 @@ def _(spark, d):
     return best.select("data_label", "m.start", "m.n_before", "m.n_after")
 
 
-@query("p10_event_day", 'SELECT system_id, start, date, CAST(rel AS INT) AS rel, round(ratio, 5) AS ratio FROM eday WHERE usable')
+@query("p10_event_day", 'SELECT system_id, start, date, CAST(rel AS INT) AS rel, round(ratio, 5) AS ratio FROM eday WHERE fit')
 def _(spark, d):
     f = faulty(spark, d)
     return events.event_days(f, chosen(spark, d, f)).where("usable").select("system_id", "start", "date", "rel", F.round("ratio", 5).alias("ratio"))
