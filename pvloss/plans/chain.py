@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from ..functions.common import odd, z
 from ..functions.settings import DEFAULT as S
 from ..operators import detect, frame, reference
 from . import feeds
 
 
+#: Queries of one session share these frames; persisted blocks that are lost or dropped are computed again.
+shared = lru_cache(maxsize=8)
+
+
+@shared
 def base(spark, sf_dir):
     """The frame with the performance index."""
     feed = feeds.daily(spark, sf_dir)
     daily = frame.on_calendar(feed.select("system_id", "date", "energy_kwh", "valid"))
     weather = feed.select("system_id", "date", "ghi", "clear_ghi", "t2m_c", "precip_mm")
-    return frame.build_frame(daily, weather, feeds.systems(spark, sf_dir))
+    return frame.build_frame(daily, weather, feeds.systems(spark, sf_dir)).persist()
 
 
+@shared
 def outages(spark, sf_dir):
-    return reference.find_outages(base(spark, sf_dir))
+    return reference.find_outages(base(spark, sf_dir)).persist()
 
 
+@shared
 def calibrated(spark, sf_dir):
-    return reference.calibrate(outages(spark, sf_dir))
+    return reference.calibrate(outages(spark, sf_dir)).persist()
 
 
+@shared
 def analysed(spark, sf_dir):
     return detect.analyse_frame(base(spark, sf_dir))
 
