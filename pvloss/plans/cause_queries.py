@@ -158,16 +158,19 @@ def _(spark, d):
     return rounded(layout.magnitudes(long_readings(spark, d)), "counter_per_day", "sum_per_day", "peak", "daily_max", digits=4)
 
 
-@query("x01_clean_stretch", f"""SELECT system_id, date AS start, e AS "end", round(fs, 6) AS flagged_share FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY round(fs, 9), round(off, 9), date) AS k FROM (
+X01 = f"""SELECT system_id, date AS start, e AS "end", round(fs, 6) AS flagged_share FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY round(fs, 9), round(off, 9), date) AS k FROM (
   SELECT system_id, date, row_number() OVER (PARTITION BY system_id ORDER BY dn) AS rn, count(*) OVER w AS n, max(date) OVER w AS e, sum(outage::INT) OVER w AS o, avg(valid::INT) OVER w AS vs, avg(clear::INT) OVER w AS cs, avg(flagged::INT) OVER w AS fs, avg(abs(smooth_ratio - 1)) OVER w AS off
   FROM fd WINDOW w AS (PARTITION BY system_id ORDER BY dn ROWS BETWEEN CURRENT ROW AND {S.stretch_days - 1} FOLLOWING)) q
-  WHERE n = {S.stretch_days} AND (rn - 1) % {S.stretch_step_days} = 0 AND o = 0 AND vs >= {S.stretch_min_valid_share} AND cs >= {S.stretch_min_clear_share}) r WHERE k = 1""")
+  WHERE n = {S.stretch_days} AND (rn - 1) % {S.stretch_step_days} = 0 AND o = 0 AND vs >= {S.stretch_min_valid_share} AND cs >= {S.stretch_min_clear_share}) r WHERE k = 1"""
+
+
+@query("x01_clean_stretch", X01)
 def _(spark, d):
     return rounded(validation.clean_stretch(chain.analysed(spark, d)), "flagged_share", digits=6)
 
 
-@query("x02_inject_ramp")
+@query("x02_inject_ramp", f"""SELECT system_id, round(sum(energy_kwh * (1 - factor)), 4) AS injected_kwh, count(*) FILTER (factor < 1) AS ramp_days FROM (SELECT f.system_id, f.energy_kwh, CASE WHEN t >= 0 AND t < {S.ramp_days} THEN 1 - {S.ramp_fraction} * (t + 1) / {S.ramp_days}e0 ELSE 1e0 END AS factor FROM (SELECT f.*, f.date - s.start - {S.ramp_offset_days} AS t FROM fd f JOIN ({{X01}}) s ON s.system_id = f.system_id AND f.date BETWEEN s.start AND s."end") f) q GROUP BY 1""".replace("{X01}", X01))
 def _(spark, d):
     f = chain.analysed(spark, d)
     got = validation.inject_ramp(f, validation.clean_stretch(f))
-    return got.groupBy("system_id").agg(F.round(F.sum("lost_kwh"), 4).alias("injected_kwh"), F.count_if("factor < 1").alias("ramp_days"))
+    return got.groupBy("system_id").agg(F.round(F.sum("lost_kwh"), 4).alias("injected_kwh"), F.count_if(F.col("factor") < 1).alias("ramp_days"))
