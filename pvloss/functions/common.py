@@ -23,9 +23,9 @@ def day_number() -> Column:
     return F.unix_date("date")
 
 
-def by(keys, order: str | None = "date"):
+def by(keys, order: str | Column | None = "date"):
     w = Window.partitionBy(*keys)
-    return w.orderBy(order) if order else w
+    return w if order is None else w.orderBy(order)
 
 
 def calendar_window(keys, days: int):

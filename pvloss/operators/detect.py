@@ -39,7 +39,8 @@ def smooth(f: DataFrame, value: str, days: int, name: str, s: Settings = DEFAULT
     f = f.withColumn(raw, rolling_median(F.col(value), calendar_window(keys, odd(days)), s.smoothing_min_clear_days))
     known = F.when(F.col(raw).isNotNull(), F.struct(day_number().alias("d"), F.col(raw).alias("v")))
     p = F.last(known, True).over(by(keys).rowsBetween(Window.unboundedPreceding, 0))
-    q = F.first(known, True).over(by(keys).rowsBetween(0, Window.unboundedFollowing))
+    # Backwards in time, so that the frame grows row by row; a frame to the end would start anew on each row.
+    q = F.last(known, True).over(by(keys, F.desc("date")).rowsBetween(Window.unboundedPreceding, 0))
     f = f.withColumn("_p", p).withColumn("_q", q)
     line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * F.try_divide(day_number() - F.col("_p.d"), F.col("_q.d") - F.col("_p.d"))
     bridged = F.when(F.col("_q").isNotNull() & (day_number() - F.col("_p.d") <= s.max_bridge_days), line)

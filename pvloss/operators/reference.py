@@ -58,7 +58,7 @@ def yearly_curve(monthly: DataFrame, keys=KEYS, value: str = "value") -> DataFra
     both = anchors.unionByName(days.withColumn("at", F.lit(None).cast("double")))
     # Several rows share a day where an anchor lies on it: frames over days see them all.
     back = Window.partitionBy(*keys).orderBy("doy").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("doy").rangeBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("doy")).rangeBetween(Window.unboundedPreceding, 0)
     known = lambda: F.when(F.col("at").isNotNull(), F.struct("doy", "at"))
     both = both.withColumn("p", F.max(known()).over(back)).withColumn("q", F.min(known()).over(ahead))
     line = F.col("p.at") + (F.col("q.at") - F.col("p.at")) * F.try_divide(F.col("doy") - F.col("p.doy"), F.col("q.doy") - F.col("p.doy"))
