@@ -3,6 +3,8 @@ series: a system, or a system and a scenario. null means unknown and is never fi
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,3 +82,17 @@ def spine(df: DataFrame, keys) -> DataFrame:
 def draw(*parts: Column) -> Column:
     """A number in [0, 1) that depends on its parts alone, the same on any partitioning."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+
+
+def fresh(spark, label: str) -> str:
+    """A new path in the shared folder of the session; in a local temporary folder where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pvloss-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: a short plan, and nothing to compute again when an
+    executor is lost."""
+    path = fresh(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -74,6 +74,8 @@ class Settings:
     soiling_min_points: int = 5
     soiling_min_days: int = 14
     soiling_reps: int = 300
+    soiling_shuffle_runs: int = 3
+    slope_band: float = 0.68
     degradation_min_pairs: int = 30
     degradation_block_days: int = 30
     cold_below_c: float = 2.0

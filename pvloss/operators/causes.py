@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import KEYS, islands, true
+from ..functions.common import KEYS, draw, islands, true, z
 from ..functions.settings import DEFAULT, Settings
+from .bootstrap import block_indices
 
 
 def runs(f: DataFrame, flag: str, keys=KEYS) -> DataFrame:
@@ -29,18 +32,26 @@ def cleaning_dates(f: DataFrame, dated: DataFrame, s: Settings = DEFAULT, keys=K
     return rain.unionByName(dated.where("type = 'cleaning'").select(*keys, "date")).distinct()
 
 
-def soiling_intervals(f: DataFrame, cuts: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """Clear fault-free days with the interval between cleanings they lie in; short intervals go.
-    x is the day of the interval, counted from its first clear day."""
-    points = f.where("clear and not fault and ratio is not null").select(*keys, "date", F.col("ratio").alias("y"))
-    both = points.withColumn("_cut", F.lit(0)).unionByName(cuts.select(*keys, "date", F.lit(None).cast("double").alias("y"), F.lit(1).alias("_cut")))
+def soiling_points(f: DataFrame, cuts: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """Clear fault-free days with the interval between cleanings they lie in: part, opens (the cleaning
+    before, or the first clear day), first_day, last_day, n, x (days since first_day), and usable where the
+    interval has enough points and days. Days without irradiation weigh nothing."""
+    points = f.where("clear and not fault and ratio is not null").select(*keys, "date", F.col("ratio").alias("y"), F.coalesce("ghi", F.lit(0.0)).alias("ghi"))
+    none = F.lit(None).cast("double")
+    both = points.withColumn("_cut", F.lit(None).cast("date")).unionByName(cuts.select(*keys, "date", none.alias("y"), none.alias("ghi"), F.col("date").alias("_cut")))
     # A cut opens a new interval on its own day.
-    number = F.sum("_cut").over(Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(Window.unboundedPreceding, 0))
-    d = both.withColumn("part", number).where("_cut = 0").drop("_cut")
+    w = Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(Window.unboundedPreceding, 0)
+    d = both.withColumns({"part": F.count("_cut").over(w), "opens": F.max("_cut").over(w)}).where("y is not null").drop("_cut")
+    d = d.withColumn("opens", F.coalesce("opens", F.min("date").over(Window.partitionBy(*keys))))
     w = Window.partitionBy(*keys, "part")
     d = d.withColumn("n", F.count("*").over(w)).withColumn("first_day", F.min("date").over(w)).withColumn("last_day", F.max("date").over(w))
-    d = d.where((F.col("n") >= s.soiling_min_points) & (F.datediff("last_day", "first_day") >= s.soiling_min_days))
-    return d.withColumn("x", F.datediff("date", "first_day"))
+    usable = (F.col("n") >= s.soiling_min_points) & (F.datediff("last_day", "first_day") >= s.soiling_min_days)
+    return d.withColumn("x", F.datediff("date", "first_day")).withColumn("usable", usable)
+
+
+def soiling_intervals(f: DataFrame, cuts: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """The points of intervals that are long enough for a slope."""
+    return soiling_points(f, cuts, s, keys).where("usable").drop("usable")
 
 
 def theil_sen(points: DataFrame, keys=KEYS) -> DataFrame:
@@ -52,21 +63,107 @@ def theil_sen(points: DataFrame, keys=KEYS) -> DataFrame:
     return slopes.join(level, [*keys, "part"]).withColumn("slope", F.try_divide("raw", "level"))
 
 
-def soiling_ratio(f: DataFrame, slopes: DataFrame, keys=KEYS) -> DataFrame:
-    """keys, soiling_ratio, soiling_loss_pct: 1 + min(slope, 0) x day, weighted by irradiation; 1 elsewhere."""
-    days = slopes.select(*keys, F.least("slope", F.lit(0.0)).alias("g"), "first_day", F.explode(F.sequence("first_day", "last_day")).alias("date"))
-    d = f.where("ghi is not null").select(*keys, "date", "ghi").join(days, [*keys, "date"], "left")
-    sr = F.coalesce(F.greatest(F.least(1.0 + F.col("g") * F.datediff("date", "first_day"), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
-    got = d.groupBy(*keys).agg(F.try_divide(F.sum(sr * F.col("ghi")), F.sum("ghi")).alias("soiling_ratio"))
+def slope_bands(points: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """keys, part, sd: half the rank-based band of each interval's slope (Sen 1968, ties allowed for) over the
+    interval's median."""
+    by_part = [*keys, "part"]
+    a, b = points.select(*by_part, "x", "y"), points.select(*by_part, F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = a.join(b, by_part).where("x < x2").select(*by_part, ((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).alias("_s"))
+    spread = lambda n: n * (n - 1) * (2 * n + 5)
+    ties = points.groupBy(*by_part, "y").agg(F.count("*").alias("t")).groupBy(*by_part).agg(F.sum(spread(F.col("t"))).alias("_ties"))
+    level = points.groupBy(*by_part).agg(F.median("y").alias("level"), F.count("*").alias("n"))
+    d = level.join(ties, by_part).withColumn("_m", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint"))
+    half = z((1 + s.slope_band) / 2) * F.sqrt((spread(F.col("n")) - F.col("_ties")) / 18.0)
+    d = d.withColumn("_lo", F.greatest(F.bround((F.col("_m") - half) / 2) - 1, F.lit(0.0))).withColumn("_hi", F.least(F.bround((F.col("_m") + half) / 2), F.col("_m") - 1))
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*by_part).orderBy("_s")) - 1).join(d, by_part)
+    got = ranked.groupBy(*by_part, "level").agg(F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_s"))).alias("lo"), F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_s"))).alias("hi"))
+    return got.select(*by_part, F.greatest(F.try_divide((F.col("hi") - F.col("lo")) / 2, "level"), F.lit(1e-9)).alias("sd"))
+
+
+def _kept(slope: Column) -> Column:
+    """What soiling leaves of a day's energy; all of it outside usable intervals."""
+    lost = 1.0 + F.least(slope, F.lit(0.0)) * F.datediff("date", "opens")
+    return F.coalesce(F.greatest(F.least(lost, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+
+
+def soiling_ratio(points: DataFrame, slopes: DataFrame, keys=KEYS) -> DataFrame:
+    """points (all of soiling_points) and slopes -> keys, soiling_ratio, soiling_loss_pct: 1 + min(slope, 0) x
+    days since the interval opened, weighted by irradiation; 1 on days outside usable intervals."""
+    d = points.join(slopes.select(*keys, "part", "slope"), [*keys, "part"], "left")
+    got = d.groupBy(*keys).agg(F.try_divide(F.sum(_kept(F.col("slope")) * F.col("ghi")), F.sum("ghi")).alias("soiling_ratio"), F.count("slope").alias("_n")).where("_n > 0").drop("_n")
     return got.withColumn("soiling_loss_pct", 100 * (1 - F.col("soiling_ratio")))
 
 
-def year_on_year(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """keys, pairs, change_pct_per_year, status: each clear day against the same series 365 days later."""
-    p = f.where("clear and not fault and ratio is not null").select(*keys, "date", "pi")
+def soiling_draws(points: DataFrame, slopes: DataFrame, bands: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """keys, replicate, soiling_ratio with every slope drawn again from a normal of its own band."""
+    by_part = [*keys, "part"]
+    d = slopes.select(*by_part, "slope").join(bands, by_part).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(s.soiling_reps - 1))))
+    u = lambda name: draw(F.lit(str(s.seed)), *[F.col(k) for k in keys], F.col("part").cast("string"), F.col("replicate").cast("string"), F.lit(name))
+    normal = F.sqrt(-2.0 * F.log(1.0 - u("a"))) * F.cos(2 * math.pi * u("b"))
+    d = d.select(*by_part, "replicate", (F.col("slope") + normal * F.col("sd")).alias("slope"))
+    # Days of usable intervals meet their draws; the weight of all other days is the same in every replicate.
+    total = points.groupBy(*keys).agg(F.sum("ghi").alias("_all"))
+    lost = points.join(d, by_part).groupBy(*keys, "replicate").agg(F.sum((1.0 - _kept(F.col("slope"))) * F.col("ghi")).alias("_lost"))
+    return lost.join(total, [*keys]).select(*keys, "replicate", (1.0 - F.try_divide("_lost", "_all")).alias("soiling_ratio"))
+
+
+def soiling_range(draws: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """keys, loss_lo, loss_hi in percent."""
+    tail = (1 - s.confidence) / 2
+    return draws.groupBy(*keys).agg((100 * (1 - F.percentile("soiling_ratio", 1 - tail))).alias("loss_lo"), (100 * (1 - F.percentile("soiling_ratio", tail))).alias("loss_hi"))
+
+
+def shuffled_losses(f: DataFrame, cuts: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """keys, run, soiling_loss_pct of the same clear-day ratios in a drawn order: what scatter alone gives."""
+    own = [*keys, "run"]
+    runs = F.explode(F.sequence(F.lit(0), F.lit(s.soiling_shuffle_runs - 1))).alias("run")
+    days = f.where("clear and not fault and ratio is not null").select(*keys, "date", "ratio", "ghi", runs)
+    order = draw(F.lit(str(s.seed)), *[F.col(k) for k in keys], F.col("run").cast("string"), F.col("date").cast("string"))
+    days = days.withColumn("_p", F.row_number().over(Window.partitionBy(*own).orderBy("date"))).withColumn("_q", F.row_number().over(Window.partitionBy(*own).orderBy(order, "date")))
+    values = days.select(*own, F.col("_q").alias("_p"), "ratio")
+    mixed = days.drop("ratio", "_q").join(values, [*own, "_p"]).withColumns({"clear": F.lit(True), "fault": F.lit(False)})
+    points = soiling_points(mixed, cuts.select(*keys, "date", runs), s, own)
+    return soiling_ratio(points, theil_sen(points.where("usable"), own), own).select(*own, "soiling_loss_pct")
+
+
+def soiling_status(points: DataFrame, ranges: DataFrame, s: Settings = DEFAULT, keys=KEYS, events: DataFrame | None = None, nulls: DataFrame | None = None) -> DataFrame:
+    """keys, clear_days, loss_lo, floor_pct, status, and with events (keys, change_pct, distinguishable) the
+    tested ones and the rises among them. nulls (shuffled_losses) can only raise the floor."""
+    d = points.groupBy(*keys).agg(F.count("*").alias("clear_days")).join(ranges.select(*keys, F.round("loss_lo", 2).alias("loss_lo")), [*keys], "left")
+    floor = F.lit(s.soiling_min_loss_pct)
+    if nulls is not None:
+        d = d.join(nulls.groupBy(*keys).agg(F.max("soiling_loss_pct").alias("_null")), [*keys], "left")
+        floor = F.greatest(floor, "_null")
+    known = (F.col("clear_days") >= s.soiling_min_clear_days) & F.col("loss_lo").isNotNull()
+    d = d.withColumn("floor_pct", floor).withColumn("status", F.when(~known, "insufficient data").when(F.col("loss_lo") > F.col("floor_pct"), "indicated").otherwise("not indicated"))
+    if events is not None:
+        seen = events.groupBy(*keys).agg(F.count("*").alias("tested"), F.count_if(true(F.col("distinguishable") & (F.col("change_pct") > 0))).alias("rises"))
+        d = d.join(seen, [*keys], "left").na.fill(0, ["tested", "rises"])
+    return d.drop("_null")
+
+
+def year_pairs(f: DataFrame, keys=KEYS) -> DataFrame:
+    """keys, date, change: percent from each clear fault-free day to the day 365 days later."""
+    p = f.where("clear and not fault and pi is not null").select(*keys, "date", "pi")
     later = p.select(*keys, F.date_sub("date", 365).alias("date"), F.col("pi").alias("after"))
-    pairs = p.join(later, [*keys, "date"]).groupBy(*keys).agg(F.count("*").alias("pairs"), F.median(100 * (F.col("after") / F.col("pi") - 1)).alias("m"))
-    span = p.groupBy(*keys).agg((F.datediff(F.max("date"), F.min("date")) / 365.25).alias("years"))
+    return p.join(later, [*keys, "date"]).select(*keys, "date", (100 * (F.try_divide("after", "pi") - 1)).alias("change")).where("change is not null")
+
+
+def year_on_year_range(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """keys, change_lo, change_hi, status of series that year_on_year can measure: medians of pairs drawn again
+    in blocks; ageing is indicated where the whole range is below zero."""
+    ok = year_on_year(f, s, keys).where("status = 'ok'").select(*keys, F.col("pairs").alias("m"))
+    numbered = year_pairs(f, keys).withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("date")) - 1)
+    drawn = block_indices(ok, s.samples, s.degradation_block_days, s, keys).join(numbered, [*keys, "idx"])
+    tail = (1 - s.confidence) / 2
+    got = drawn.groupBy(*keys, "replicate").agg(F.median("change").alias("_m")).groupBy(*keys).agg(F.percentile("_m", tail).alias("change_lo"), F.percentile("_m", 1 - tail).alias("change_hi"))
+    return got.withColumn("status", F.when(F.col("change_hi") < 0, "indicated").otherwise("not indicated"))
+
+
+def year_on_year(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """keys, pairs, change_pct_per_year, status: the median of year_pairs, if the series is long enough."""
+    pairs = year_pairs(f, keys).groupBy(*keys).agg(F.count("*").alias("pairs"), F.median("change").alias("m"))
+    span = f.groupBy(*keys).agg((F.datediff(F.max("date"), F.min("date")) / 365.25).alias("years"))
     enough = (F.col("pairs") >= s.degradation_min_pairs) & (F.col("years") > s.degradation_min_years)
     return span.join(pairs, [*keys], "left").select(*keys, F.coalesce("pairs", F.lit(0)).alias("pairs"), F.when(true(enough), F.col("m")).alias("change_pct_per_year"), F.when(true(enough), "ok").otherwise("insufficient data").alias("status"))
 

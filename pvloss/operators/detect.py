@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import KEYS, by, calendar_window, day_number, islands, odd, robust_sigma, rolling_median, spine, true, z
+from ..functions.common import KEYS, by, calendar_window, day_number, islands, odd, robust_sigma, rolling_median, spine, stored, true, z
 from ..functions.settings import DEFAULT, Settings
 from .reference import calibrate, find_outages, relative_residuals
 
@@ -114,8 +114,8 @@ def estimate_loss(f: DataFrame, s: Settings = DEFAULT, keys=KEYS, period: tuple[
 def analyse_frame(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """A frame with pi and clear -> the analysed frame: outages, reference, noise and shortfalls.
 
-    The frame is read many times on the way, so it is dealt out by series once and persisted (memory and
-    disk); a lost block is computed again from its lineage."""
-    f = find_outages(f.repartition(*keys), s, keys).persist()
-    c = calibrate(f, s, keys).persist()
-    return find_shortfalls(c, noise_profile(f, s, keys).persist(), s, keys).persist()
+    Each step reads the frame many times. The calibrated frame and the noise profile are written to the
+    shared folder, so that the plan stays as long as one step and doesn't grow with every analysis of an
+    analysed frame."""
+    c = stored(calibrate(find_outages(f.repartition(*keys), s, keys), s, keys), "calibrated")
+    return find_shortfalls(c.repartition(*keys), stored(noise_profile(c.repartition(*keys), s, keys), "noise"), s, keys).persist()

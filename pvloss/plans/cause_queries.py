@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from ..functions.common import stored, z
 from ..functions.settings import DEFAULT as S
 from ..operators import causes, layout, validation
 from . import chain, event_queries, feeds
@@ -13,15 +16,27 @@ from .daily_queries import rounded
 QUERIES, SQL = {}, {}
 MORE = event_queries.MORE + f""",
 cuts AS (SELECT system_id, dn FROM fault WHERE precip_mm >= {S.heavy_rain_mm} UNION SELECT system_id, date - DATE '1970-01-01' FROM dated WHERE type = 'cleaning'),
-pts AS (SELECT f.system_id, f.date, f.dn, f.ratio AS y, (SELECT count(*) FROM cuts c WHERE c.system_id = f.system_id AND c.dn <= f.dn) AS part FROM fault f WHERE clear AND NOT fault AND ratio IS NOT NULL),
+pts0 AS (SELECT f.system_id, f.date, f.dn, f.ratio AS y, coalesce(f.ghi, 0) AS ghi, (SELECT count(*) FROM cuts c WHERE c.system_id = f.system_id AND c.dn <= f.dn) AS part,
+         (SELECT max(c.dn) FROM cuts c WHERE c.system_id = f.system_id AND c.dn <= f.dn) AS cut_dn FROM fault f WHERE clear AND NOT fault AND ratio IS NOT NULL),
+pts AS (SELECT *, coalesce(cut_dn, min(dn) OVER (PARTITION BY system_id)) AS opens FROM pts0),
 ivl0 AS (SELECT *, count(*) OVER w AS n, min(date) OVER w AS first_day, max(date) OVER w AS last_day FROM pts WINDOW w AS (PARTITION BY system_id, part)),
 ivl AS (SELECT *, date - first_day AS x FROM ivl0 WHERE n >= {S.soiling_min_points} AND last_day - first_day >= {S.soiling_min_days}),
 sen AS (SELECT a.system_id, a.part, median((b.y - a.y) / (b.x - a.x)) AS raw FROM ivl a JOIN ivl b ON a.system_id = b.system_id AND a.part = b.part AND a.x < b.x GROUP BY 1, 2),
 slopes AS (SELECT s.*, l.level, l.n, l.first_day, l.last_day, raw / level AS slope FROM sen s JOIN (SELECT system_id, part, median(y) AS level, count(*) AS n, min(first_day) AS first_day, max(last_day) AS last_day FROM ivl GROUP BY 1, 2) l USING (system_id, part)),
-soil AS (SELECT f.system_id, sum(greatest(least(CASE WHEN s.slope IS NULL THEN 1 ELSE 1 + least(s.slope, 0) * (f.date - s.first_day) END, 1), 0) * ghi) / sum(ghi) AS sr
-  FROM fault f LEFT JOIN slopes s ON s.system_id = f.system_id AND f.date BETWEEN s.first_day AND s.last_day WHERE ghi IS NOT NULL GROUP BY 1),
-yoy AS (SELECT a.system_id, count(*) AS pairs, median(100 * (b.pi / a.pi - 1)) AS m FROM fault a JOIN fault b ON a.system_id = b.system_id AND b.dn = a.dn + 365
-  WHERE a.clear AND NOT a.fault AND a.ratio IS NOT NULL AND b.clear AND NOT b.fault AND b.ratio IS NOT NULL GROUP BY 1),
+soil AS (SELECT system_id, sum(CASE WHEN slope IS NULL THEN 1 ELSE greatest(least(1 + least(slope, 0) * (dn - opens), 1), 0) END * ghi) / sum(ghi) AS sr
+  FROM pts LEFT JOIN slopes USING (system_id, part) GROUP BY 1 HAVING count(slope) > 0),
+slist AS (SELECT i.system_id, i.part, list_sort(list((j.y - i.y) / (j.x - i.x))) AS l FROM ivl i JOIN ivl j ON i.system_id = j.system_id AND i.part = j.part AND i.x < j.x GROUP BY 1, 2),
+ties AS (SELECT system_id, part, sum(t * (t - 1) * (2 * t + 5)) AS ties FROM (SELECT system_id, part, y, count(*) AS t FROM ivl GROUP BY ALL) q GROUP BY 1, 2),
+band0 AS (SELECT system_id, part, slope, level, l, len(l) AS m, {z((1 + S.slope_band) / 2)!r} * sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18e0) AS half FROM slopes JOIN slist USING (system_id, part) JOIN ties USING (system_id, part)),
+band AS (SELECT system_id, part, slope, greatest((l[CAST(least(round_even((m + half) / 2, 0), m - 1) AS INT) + 1] - l[CAST(greatest(round_even((m - half) / 2, 0) - 1, 0) AS INT) + 1]) / 2 / level, 1e-9) AS sd FROM band0),
+sdraw0 AS (SELECT *, concat_ws('|', '{S.seed}', system_id, CAST(part AS VARCHAR), CAST(replicate AS VARCHAR)) AS id FROM (SELECT *, unnest(range({S.soiling_reps})) AS replicate FROM band) q),
+sdraw AS (SELECT system_id, part, replicate, slope + sd * sqrt(-2e0 * ln(1e0 - CAST('0x' || substr(md5(id || '|a'), 1, 12) AS BIGINT) / 281474976710656e0)) * cos(2e0 * pi() * (CAST('0x' || substr(md5(id || '|b'), 1, 12) AS BIGINT) / 281474976710656e0)) AS g FROM sdraw0),
+srep AS (SELECT system_id, replicate, 1 - sum((1 - greatest(least(1 + least(g, 0) * (dn - opens), 1), 0)) * ghi) / any_value(total) AS sr
+  FROM pts JOIN sdraw USING (system_id, part) JOIN (SELECT system_id, sum(ghi) AS total FROM pts GROUP BY 1) t USING (system_id) GROUP BY 1, 2),
+srange AS (SELECT system_id, 100 * (1 - quantile_cont(sr, 0.975)) AS loss_lo, 100 * (1 - quantile_cont(sr, 0.025)) AS loss_hi FROM srep GROUP BY 1),
+yp AS (SELECT a.system_id, a.dn, 100 * (b.pi / a.pi - 1) AS change, row_number() OVER (PARTITION BY a.system_id ORDER BY a.dn) - 1 AS idx FROM fault a JOIN fault b ON a.system_id = b.system_id AND b.dn = a.dn + 365
+  WHERE a.clear AND NOT a.fault AND b.clear AND NOT b.fault),
+yoy AS (SELECT system_id, count(*) AS pairs, median(change) AS m FROM yp GROUP BY 1),
 sb AS (SELECT *, CAST(hour_ts AS DATE) AS date, CAST(hour(hour_ts) AS INT) AS hour, CAST(month(hour_ts) AS INT) AS month, actual_kwh / model_kwh AS r FROM feed_hourly WHERE elevation >= {S.shading_min_elevation_deg} AND model_kwh > 0 AND actual_kwh IS NOT NULL),
 sh0 AS (SELECT *, row_number() OVER (PARTITION BY system_id, date ORDER BY model_kwh DESC, hour) AS k FROM sb),
 sh AS (SELECT *, r / median(CASE WHEN k <= {S.midday_hours} THEN r END) OVER (PARTITION BY system_id, date) AS shape FROM sh0),
@@ -51,10 +66,22 @@ def long_readings(spark, d):
     return wide.unpivot(["file", "ts", "row_no"], [f"`{n}`" for n in names.values()], "column", "value")
 
 
-def slopes(spark, d):
+@chain.shared
+def soiling(spark, d):
+    """The clear days with their intervals, and the slope of each usable interval."""
     f = event_queries.faulty(spark, d)
-    cuts = causes.cleaning_dates(f, feeds.events(spark, d))
-    return f, causes.theil_sen(causes.soiling_intervals(f, cuts).persist())
+    points = stored(causes.soiling_points(f, causes.cleaning_dates(f, feeds.events(spark, d))), "soiling")
+    return points, causes.theil_sen(points.where("usable")).persist()
+
+
+def slopes(spark, d):
+    return soiling(spark, d)
+
+
+@chain.shared
+def soiling_draws(spark, d):
+    points, found = soiling(spark, d)
+    return causes.soiling_draws(points, found, causes.slope_bands(points.where("usable"))).persist()
 
 
 @query("c01_runs", 'SELECT system_id, min(date) AS start, max(date) AS "end", count(*) AS days FROM (SELECT system_id, date, dn - row_number() OVER (PARTITION BY system_id ORDER BY dn) AS g FROM fo WHERE outage) q GROUP BY system_id, g')
@@ -85,7 +112,39 @@ def _(spark, d):
     return r.select("system_id", F.round("soiling_ratio", 6).alias("soiling_ratio"), F.round("soiling_loss_pct", 4).alias("soiling_loss_pct"))
 
 
-@query("c10_year_on_year", "SELECT s.system_id, coalesce(pairs, 0) AS pairs, round(CASE WHEN ok THEN m END, 4) AS change_pct_per_year, CASE WHEN ok THEN 'ok' ELSE 'insufficient data' END AS status FROM (SELECT p.system_id, y.pairs, y.m, coalesce(y.pairs >= 30 AND p.years > 2, false) AS ok FROM (SELECT system_id, (max(date) - min(date)) / 365.25e0 AS years FROM fault WHERE clear AND NOT fault AND ratio IS NOT NULL GROUP BY 1) p LEFT JOIN yoy y USING (system_id)) s")
+@query("c07_soiling_range", "SELECT system_id, round(loss_lo, 4) AS loss_lo, round(loss_hi, 4) AS loss_hi FROM srange")
+def _(spark, d):
+    return rounded(causes.soiling_range(soiling_draws(spark, d)), "loss_lo", "loss_hi", digits=4)
+
+
+@query("c08_shuffled_losses")
+def _(spark, d):
+    f = event_queries.faulty(spark, d)
+    return rounded(causes.shuffled_losses(f, causes.cleaning_dates(f, feeds.events(spark, d))), "soiling_loss_pct", digits=4)
+
+
+@query("c09_soiling_status", f"SELECT system_id, clear_days, loss_lo, {S.soiling_min_loss_pct}e0 AS floor_pct, CASE WHEN clear_days < {S.soiling_min_clear_days} OR loss_lo IS NULL THEN 'insufficient data' WHEN loss_lo > {S.soiling_min_loss_pct} THEN 'indicated' ELSE 'not indicated' END AS status FROM (SELECT system_id, count(*) AS clear_days FROM pts GROUP BY 1) p LEFT JOIN (SELECT system_id, round(loss_lo, 2) AS loss_lo FROM srange) r USING (system_id)")
+def _(spark, d):
+    return causes.soiling_status(soiling(spark, d)[0], causes.soiling_range(soiling_draws(spark, d)))
+
+
+YEAR_REPS = 200
+_YU = f"CAST('0x' || substr(md5(concat_ws('|', '{S.seed}', system_id, CAST(replicate AS VARCHAR), CAST(block_no AS VARCHAR))), 1, 12) AS BIGINT) / 281474976710656e0"
+
+
+@query("c11_year_on_year_range", f"""SELECT system_id, round(lo, 4) AS change_lo, round(hi, 4) AS change_hi, CASE WHEN hi < 0 THEN 'indicated' ELSE 'not indicated' END AS status FROM (
+  SELECT system_id, quantile_cont(med, 0.025) AS lo, quantile_cont(med, 0.975) AS hi FROM (
+    SELECT b.system_id, b.replicate, median(y.change) AS med FROM (
+      SELECT *, start + o AS idx, block_no * b + o AS place FROM (SELECT *, CAST(floor({_YU} * (m - b + 1)) AS INT) AS start, unnest(range(b)) AS o FROM (
+        SELECT *, unnest(range(CAST(ceil(m::DOUBLE / b) AS BIGINT))) AS block_no FROM (
+          SELECT y.system_id, pairs AS m, least({S.degradation_block_days}, pairs) AS b, unnest(range({YEAR_REPS})) AS replicate FROM yoy y JOIN (SELECT system_id, (max(date) - min(date)) / 365.25e0 AS years FROM fault GROUP BY 1) p USING (system_id)
+          WHERE pairs >= {S.degradation_min_pairs} AND years > {S.degradation_min_years}) q) r) s) b
+    JOIN yp y ON y.system_id = b.system_id AND y.idx = b.idx WHERE place < m GROUP BY 1, 2) t GROUP BY 1) u""")
+def _(spark, d):
+    return rounded(causes.year_on_year_range(event_queries.faulty(spark, d), replace(S, samples=YEAR_REPS)), "change_lo", "change_hi", digits=4)
+
+
+@query("c10_year_on_year", "SELECT s.system_id, coalesce(pairs, 0) AS pairs, round(CASE WHEN ok THEN m END, 4) AS change_pct_per_year, CASE WHEN ok THEN 'ok' ELSE 'insufficient data' END AS status FROM (SELECT p.system_id, y.pairs, y.m, coalesce(y.pairs >= 30 AND p.years > 2, false) AS ok FROM (SELECT system_id, (max(date) - min(date)) / 365.25e0 AS years FROM fault GROUP BY 1) p LEFT JOIN yoy y USING (system_id)) s")
 def _(spark, d):
     return rounded(causes.year_on_year(event_queries.faulty(spark, d)), "change_pct_per_year", digits=4)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from ..functions.common import odd, z
+from ..functions.common import odd, stored, z
 from ..functions.settings import DEFAULT as S
 from ..operators import detect, frame, reference
 from . import feeds
@@ -35,7 +35,7 @@ def calibrated(spark, sf_dir):
 
 @shared
 def analysed(spark, sf_dir):
-    return detect.analyse_frame(base(spark, sf_dir))
+    return stored(detect.analyse_frame(base(spark, sf_dir)), "analysed")
 
 
 def _resid(name, source, value, days, least):

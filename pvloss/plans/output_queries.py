@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions.common import fresh
 from ..functions.settings import DEFAULT as S
 from ..operators import bootstrap, money, validation
 from ..sources import files
@@ -37,11 +35,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def fresh(spark, label):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pvloss-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def daily_lost(spark, d):
     f = chain.analysed(spark, d).where("valid and expected_kwh is not null and not outage")
     return f.select("system_id", "date", (F.col("expected_kwh") * F.col("loss_fraction")).alias("lost"))
