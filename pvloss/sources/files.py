@@ -44,3 +44,59 @@ def write_summary(rows: DataFrame, path: str) -> None:
     """One JSON object for each system, finite numbers at four decimals."""
     doubles = [c for c, t in rows.dtypes if t == "double"]
     rows.withColumns({c: F.when(F.abs(F.nanvl(F.col(c), F.lit(float("inf")))) < float("inf"), F.round(c, 4)) for c in doubles}).write.json(path)
+
+
+def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV exports of one header -> file, row_no, column, value (texts), one row a cell. row_no rises with the
+    row's place in its file; blank cells stay null."""
+    raw = spark.read.option("header", True).csv(paths)
+    named = raw.withColumns({"file": F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), "row_no": F.monotonically_increasing_id()})
+    return named.unpivot(["file", "row_no"], [f"`{c}`" for c in raw.columns], "column", "value")
+
+
+def read_day_files(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """Day files under system_id=/year=/month=/day=: the folders outside start..end aren't opened. Empty files
+    give no rows; ids stay texts."""
+    day = F.make_date("year", "month", "day")
+    # Years alone prune most folders, the day itself the rest.
+    inside = F.col("year").between(int(start[:4]), int(end[:4])) & day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    d = spark.read.option("header", True).option("basePath", path).csv(path).where(inside)
+    return d.withColumn("system_id", F.col("system_id").cast("string")).withColumn("date", day).drop("year", "month", "day")
+
+
+SITE_SCHEMA = "system_id string, System struct<public_name: string, power: double, started_on: string>, Site struct<latitude: double, longitude: double>, Mount map<string, struct<tilt: double, azimuth: double>>"
+
+
+def read_site_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON object a site -> rows of systems: the first mount, the name without its number, the day of the
+    start, the offset from the longitude. Prices are the user's and stay null."""
+    d = spark.read.schema(SITE_SCHEMA).json(path)
+    mount = F.get(F.map_values("Mount"), F.lit(0))
+    return d.select(
+        "system_id", F.regexp_replace("System.public_name", r"^\[\d+\]\s*", "").alias("name"), F.col("System.power").alias("capacity_kwp"), F.col("Site.latitude").alias("latitude"), F.col("Site.longitude").alias("longitude"),
+        mount["tilt"].alias("tilt_deg"), mount["azimuth"].alias("azimuth_deg"), F.substring("System.started_on", 1, 10).alias("commissioning_date"), F.rint(F.col("Site.longitude") / 15).alias("utc_offset_hours"),
+    )
+
+
+WEATHER_SCHEMA = "system_id string, header struct<fill_value: double>, properties struct<parameter: map<string, map<string, double>>>"
+#: Names in the payload and in the frame. Fixed values of the format.
+WEATHER_NAMES = {"ALLSKY_SFC_SW_DWN": "ghi", "CLRSKY_SFC_SW_DWN": "clear_ghi", "T2M": "t2m_c", "PRECTOTCORR": "precip_mm"}
+
+
+def read_weather(spark: SparkSession, path: str, hourly: bool = False, fill: float = -999.0) -> DataFrame:
+    """Weather payloads, one JSON object a line, any number of them -> system_id, date (or hour_utc) and the
+    four values. The fill value of the header counts before the default; filled values are null."""
+    d = spark.read.schema(WEATHER_SCHEMA).json(path)
+    d = d.select("system_id", F.coalesce("header.fill_value", F.lit(fill)).alias("_f"), F.explode("properties.parameter").alias("name", "values"))
+    d = d.select("system_id", "_f", "name", F.explode("values").alias("k", "v"))
+    when = F.to_timestamp_ntz("k", F.lit("yyyyMMddHH")).alias("hour_utc") if hourly else F.to_date("k", "yyyyMMdd").alias("date")
+    known = F.when(F.abs(F.col("v") - F.col("_f")) > 1e-8 + 1e-5 * F.abs("_f"), F.col("v"))
+    d = d.select("system_id", when, "name", known.alias("v"))
+    keys = ["system_id", "hour_utc" if hourly else "date"]
+    return d.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(n) for k, n in WEATHER_NAMES.items()])
+
+
+def tidy_month_sheet(sheet: DataFrame, year: int, month: str, day: str, total: str) -> DataFrame:
+    """A titled sheet read as texts -> date, energy_kwh: rows whose month and day are numbers."""
+    m, n = F.col(month).try_cast("double").cast("int"), F.col(day).try_cast("double").cast("int")
+    return sheet.where(m.isNotNull() & n.isNotNull()).select(F.make_date(F.lit(year), m, n).alias("date"), F.col(total).try_cast("double").alias("energy_kwh"))
