@@ -3,12 +3,12 @@
 Words are runs of characters other than space and U+0009-U+000D. The language model is a modified
 Kneser-Ney model over the bytes of words: each word is preceded by ORDER - 1 spaces and followed by
 one, and every byte is predicted from the ORDER - 1 bytes before it. (A model over words can't be kept
-within the disk limits: almost every word pair of a corpus occurs once.) Spark counts all words of all
-texts, then the byte n-grams of the different words weighted by these counts; contexts, continuation
-counts and discounts follow by grouping, order by order. The model is stored as sorted arrays of
-packed n-grams (five bytes fit an integer, so the hash is exact) with log probabilities and back-off
-weights. It has at most MODEL_ROWS n-grams, which is checked before it is sent to the tasks: if the
-highest order has more, the order is lowered until it fits.
+within the disk limits: almost every word pair of a corpus occurs once.) Texts are read once, in chunks:
+each chunk keeps its different words, and each document the numbers of its words. Spark counts the byte
+n-grams of all chunks (five bytes fit an integer, so the hash is exact); contexts, continuation counts,
+discounts and probabilities follow by grouping and joining, order by order. The different n-grams of a
+chunk are joined to the model, and a chunk's documents are scored with these rows alone. No task and
+not the driver holds the model, so it has no bound and its order is the same at every size.
 
 A document's log perplexity is the mean negative log probability of its bytes. For each language,
 percentiles of all its documents set a lower and an upper band; documents outside are rejected.
@@ -20,23 +20,25 @@ rows stay; further columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import stored
 
 ORDER = 5
-MODEL_ROWS = 6_000_000
+MODEL_ROWS = 6_000_000  # of the model in memory (fit), which tests hold the joined one against
+CHUNK = 1 << 23  # bytes of text whose documents share a list of words
 LOW_BAND, HIGH_BAND = 2.5, 2.5  # distances of the bands, in spreads between the median and a tail percentile
 TAIL = 0.1
 LEAST_DOCS = 50  # a language with fewer documents takes the corpus-wide spreads
-MEMORY = 300_000  # words whose log probability a worker remembers
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 
@@ -115,7 +117,7 @@ def _find(have: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(counts: DataFrame) -> Model:
-    """counts (gram, n) of the highest order -> the model. Lower orders count in how many ways a gram is
+    """counts (gram, n) of the highest order -> a small model in memory; rules() has joined_model(). Lower orders count in how many ways a gram is
     continued to the left; discounts are those of Chen and Goodman, level by level."""
     order = ORDER
     counts = stored(counts, "grams")
@@ -148,20 +150,44 @@ def fit(counts: DataFrame) -> Model:
     return Model(order, levels, unseen)
 
 
-class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
+def joined_model(counts: DataFrame) -> DataFrame:
+    """counts (gram, n) of the highest order -> gram, logp of all of them: what fit() has, by grouping and joining."""
+    raw = [stored(counts, "grams")]
+    for level in range(ORDER - 1, 0, -1):
+        raw.insert(0, stored(raw[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * level) - 1)).alias("gram")).agg(F.count("*").alias("n")), "grams"))
+    lower = None
+    for level, table in enumerate(raw, 1):
+        of = [max(1, k) for k in table.agg(*[F.count_if(F.col("n") == k) for k in range(1, 5)]).first()]
+        y = of[0] / (of[0] + 2 * of[1])
+        cut = np.clip([1 - 2 * y * of[1] / of[0], 2 - 3 * y * of[2] / of[1], 3 - 4 * y * of[3] / of[2]], 0.05, [0.95, 1.9, 2.8]).tolist()
+        same = Window.partitionBy(F.shiftright("gram", 8))
+        d = table.withColumn("cut", F.when(F.col("n") == 1, cut[0]).when(F.col("n") == 2, cut[1]).otherwise(cut[2]))
+        d = d.select("gram", ((F.col("n") - F.col("cut")) / F.sum("n").over(same)).alias("own"), (F.sum("cut").over(same) / F.sum("n").over(same)).alias("left"))
+        if lower is None:
+            d = d.withColumn("below", F.lit(1 / 256))
+        else:
+            d = d.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (level - 1)) - 1))).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+        lower = d.select("gram", F.greatest(F.col("own") + F.col("left") * F.col("below"), F.lit(1e-12)).alias("p"))
+    return lower.select("gram", F.log("p").alias("logp"))
+
+
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers in any order, as differences whose bytes are laid out by place."""
+    steps = np.diff(np.sort(numbers), prepend=0).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            keys, sizes = grams(part, self.model.order)
-            logs = self.model.log_probability(keys)
-            self.known |= zip(part, np.add.reduceat(logs, np.cumsum(sizes) - sizes).tolist(), strict=True)
+def unpacked(blob: bytes) -> np.ndarray:
+    places = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(places.T).view("<u4").ravel(), dtype=np.int64)
 
 
 def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -182,29 +208,87 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeat
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, lang) -> doc_id, lang, the base counts and log_ppl (null without words)."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang) -> a row for each document with its base counts and the packed numbers of its
+    words, and one for each chunk with its different words and how often each occurs."""
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        own = Scorer(sent.value)
         for big in batches:
-            for batch in slices(big, "text"):
-                texts = batch.column("text").to_pylist()
-                words = [t.encode().split() for t in texts]
-                own.learn({w for ws in words for w in ws})
-                counts = list(zip(*map(base_counts, texts, words), strict=True))
-                ppl = [-sum(map(own.known.__getitem__, ws)) / (sum(map(len, ws)) + len(ws)) if ws else None for ws in words]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *[pa.array(c, pa.int64()) for c in counts], pa.array(ppl, pa.float64())], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"])
+            for batch in slices(big, "text", CHUNK):
+                known, counts, blobs, n = Numbers(), [], [], np.zeros(0, np.int64)
+                for text in batch.column("text").to_pylist():
+                    words = text.encode().split()
+                    counts.append(base_counts(text, words))
+                    numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                    if len(known) > len(n):
+                        n = np.concatenate([n, np.zeros(len(known), np.int64)])
+                    np.add.at(n, numbers, 1)
+                    blobs.append(packed(numbers))
+                chunk, size = uuid.uuid4().int >> 65, batch.num_rows
+                ids = batch.column("doc_id")
+                columns = [pa.array([chunk] * size, pa.int64()), ids, batch.column("lang"), *[pa.array(c, pa.int64()) for c in zip(*counts, strict=True)], pa.array(blobs, pa.binary())]
+                names = ["chunk", "doc_id", "lang", *COUNTS, "numbers"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())], names=[*names, "words", "times"])
+                if known:
+                    empty = [pa.nulls(1, c.type) for c in columns[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *empty, pa.array([b" ".join(known)], pa.binary()), pa.array([n[: len(known)].tobytes()], pa.binary())], names=[*names, "words", "times"])
+
+    return rows.mapInArrow(run, f"chunk bigint, doc_id {kind}, lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, numbers binary, words binary, times binary")
+
+
+def chunk_grams(chunks: DataFrame) -> DataFrame:
+    """chunked() -> chunk, gram, n: the different n-grams of each chunk."""
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_ppl double")
+    def run(batches):
+        for batch in batches:
+            for chunk, words, times in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                keys, sizes = grams(words.split(b" "), ORDER)
+                found, at = np.unique(keys, return_inverse=True)
+                n = np.bincount(at, np.repeat(np.frombuffer(times, np.int64), sizes), len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found), pa.array(n.astype(np.int64))], names=["chunk", "gram", "n"])
+
+    return chunks.where("words is not null").select("chunk", "words", "times").mapInArrow(run, "chunk bigint, gram bigint, n bigint")
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang) -> doc_id, lang, the base counts and log_ppl (null without words)."""
+    chunks = stored(chunked(docs), "chunks")
+    found = stored(chunk_grams(chunks), "chunk-grams")
+    logs = found.select("chunk", "gram").join(joined_model(found.groupBy("gram").agg(F.sum("n").alias("n"))), "gram").select("chunk", "gram", "logp")
+
+    def run(rows: pa.Table, model: pa.Table) -> pa.Table:
+        of_word = np.zeros(0)
+        words = rows.column("words").drop_null().to_pylist()
+        if words:
+            have, logp = model.column("gram").to_numpy(), model.column("logp").to_numpy()
+            order = np.argsort(have)
+            words = words[0].split(b" ")
+            keys, sizes = grams(words, ORDER)
+            found = order[np.searchsorted(have, keys, sorter=order)]
+            if not np.array_equal(have[found], keys):
+                raise ValueError("an n-gram has no probability")
+            of_word = np.add.reduceat(logp[found], np.cumsum(sizes) - sizes)
+            bytes_of = sizes
+        own = rows.filter(rows.column("numbers").is_valid())
+        ppl = []
+        for blob in own.column("numbers").to_pylist():
+            numbers = unpacked(blob)
+            ppl.append(-float(of_word[numbers].sum()) / int(bytes_of[numbers].sum()) if len(numbers) else None)
+        return own.select(["doc_id", "lang", *COUNTS]).append_column("log_ppl", pa.array(ppl, pa.float64()))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = chunks.select("chunk", "doc_id", "lang", *COUNTS, "numbers", "words")
+    return rows.groupBy("chunk").cogroup(logs.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, log_ppl double")
 
 
 def rules(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang) -> doc_id, counts, base_failed, kept, log_ppl, low_band, high_band."""
-    model = fit(gram_counts(word_counts(docs)))
-    rows = stored(scored(docs, model), "scored")
+    rows = stored(scored(docs), "scored")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     judged = rows.where("not base_failed")

@@ -49,3 +49,20 @@ def test_order_is_lowered_beyond_the_bound_and_empty(spark, monkeypatch):
     model = quality_lm.fit(quality_lm.gram_counts(words))
     assert model.order < 5 and all(len(k) <= 12 for k, *_ in model.levels)
     assert quality_lm.rules(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def test_scores_do_not_depend_on_the_bound_or_the_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vocab = ["".join(rng.choice(list("abcdeé"), int(rng.integers(1, 9)))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(vocab, int(rng.integers(1, 120)))), "en") for i in range(120)] + [(200, None, "en"), (201, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = quality_lm.fit(quality_lm.gram_counts(quality_lm.word_counts(docs)))
+    want = {}
+    for i, text, _ in rows:
+        keys, _ = quality_lm.grams((text or "").encode().split(), quality_lm.ORDER)
+        want[i] = -model.log_probability(keys).mean() if len(keys) else None
+    monkeypatch.setattr(quality_lm, "MODEL_ROWS", 12)  # the former bound: no part in the scores any more
+    monkeypatch.setattr(quality_lm, "CHUNK", 2_000)
+    got = {r.doc_id: r.log_ppl for r in quality_lm.rules(docs).collect()}
+    assert got.keys() == want.keys() and len(got) == 122
+    assert all(got[i] == (None if w is None else pytest.approx(w, abs=1e-9)) for i, w in want.items())
