@@ -8,12 +8,12 @@ from ..functions.common import fresh
 from ..functions.settings import DEFAULT as S
 from ..operators import bootstrap, money, validation
 from ..sources import files
-from . import chain, event_queries, feeds
+from . import chain, event_queries, feeds, range_queries
 from .chain import statement
 from .daily_queries import rounded
 
 QUERIES, SQL = {}, {}
-REPS = 20
+REPS = 20  # of the DuckDB statements alone; the queries draw S.samples
 _U = f"CAST('0x' || substr(md5(concat_ws('|', '{S.seed}', system_id, CAST(replicate AS VARCHAR), CAST(block_no AS VARCHAR))), 1, 12) AS BIGINT) / 281474976710656e0"
 MORE = event_queries.MORE + f""",
 dl AS (SELECT system_id, date, dn, expected_kwh * loss_fraction AS lost FROM fd WHERE valid AND expected_kwh IS NOT NULL AND NOT outage),
@@ -41,12 +41,20 @@ def daily_lost(spark, d):
 
 
 def replicates(spark, d):
-    return bootstrap.resampled_totals(daily_lost(spark, d), "lost", REPS)
+    return bootstrap.resampled_totals(daily_lost(spark, d), "lost", S.samples)
+
+
+def portfolio_systems(spark, d):
+    """Systems of the datasets that have a range: each system that is ok has replicates."""
+    systems = feeds.systems(spark, d)
+    ok = event_queries.loss_rows(spark, d).where("expected_kwh > 0").select("system_id")
+    bare = ok.join(range_queries.replicates(spark, d).select("system_id").distinct(), "system_id", "left_anti")
+    return systems.join(systems.join(bare, "system_id").select("data_label").distinct(), "data_label", "left_anti")
 
 
 @query("d10_block_indices", "SELECT * FROM bi")
 def _(spark, d):
-    return bootstrap.block_indices(daily_lost(spark, d).groupBy("system_id").agg(F.count("*").alias("m")), REPS, S.block_days)
+    return bootstrap.block_indices(daily_lost(spark, d).groupBy("system_id").agg(F.count("*").alias("m")), S.samples, S.block_days)
 
 
 @query("d11_percentile_interval", "SELECT system_id, round(quantile_cont(lost, 0.025), 3) AS lo, round(quantile_cont(lost, 0.975), 3) AS hi FROM rep GROUP BY 1")
@@ -56,12 +64,12 @@ def _(spark, d):
 
 @query("p02_portfolio_range", "SELECT data_label, round(quantile_cont(lost, 0.025), 3) AS lo, round(quantile_cont(lost, 0.975), 3) AS hi FROM (SELECT data_label, replicate, sum(lost) AS lost FROM rep JOIN systems USING (system_id) GROUP BY 1, 2) q GROUP BY 1")
 def _(spark, d):
-    return rounded(money.percentile_interval(money.portfolio_replicates(replicates(spark, d), feeds.systems(spark, d)), ["data_label"], "lost"), "lo", "hi", digits=3)
+    return rounded(money.percentile_interval(money.portfolio_replicates(range_queries.replicates(spark, d), portfolio_systems(spark, d)), ["data_label"], "lost"), "lo", "hi", digits=3)
 
 
 @query("p03_portfolio_money", "SELECT data_label, replicate, round(CASE WHEN bool_and(tariff IS NOT NULL) THEN sum(lost * tariff) END, 3) AS money FROM rep JOIN systems USING (system_id) GROUP BY 1, 2")
 def _(spark, d):
-    return money.portfolio_replicates(replicates(spark, d), feeds.systems(spark, d), tariff=True).select("data_label", "replicate", F.round("lost", 3).alias("money"))
+    return money.portfolio_replicates(range_queries.replicates(spark, d), portfolio_systems(spark, d), tariff=True).select("data_label", "replicate", F.round("lost", 3).alias("money"))
 
 
 @query("x05_reliable_step", "SELECT system_id, window_days, min(step) FILTER (m >= 0.8) AS reliable_step FROM (SELECT *, min(rate) OVER (PARTITION BY system_id, window_days ORDER BY step DESC) AS m FROM (SELECT system_id, 14 AS window_days, CAST(month(date) AS INT) AS step, avg((clear)::INT) AS rate FROM fb GROUP BY 1, 3) q) r GROUP BY 1, 2")
