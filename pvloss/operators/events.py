@@ -93,5 +93,5 @@ def event_intervals(f: DataFrame, events: DataFrame, s: Settings = DEFAULT, keys
 def clearest(results: DataFrame, keys=KEYS) -> DataFrame:
     """Of each series (or dataset) the event with most clear days on its weaker side, then the narrowest
     interval, then the earliest."""
-    order = [F.least("n_before", "n_after").desc(), (F.col("change_hi") - F.col("change_lo")).asc_nulls_last(), F.col("start")]
+    order = [F.least("n_before", "n_after").desc(), (F.col("change_hi") - F.col("change_lo")).asc_nulls_last(), F.col("start"), F.col("system_id")]
     return results.where("status = 'ok'").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -20,10 +20,11 @@ def data_labels(sources: DataFrame, systems: DataFrame, default: str = DEFAULT_L
 
 def economics(loss: DataFrame, systems: DataFrame, s: Settings = DEFAULT, ranges: tuple[str, str] | None = None) -> DataFrame:
     """loss (system_id, lost_kwh, moderate_kwh, period_days[, lost_lo, lost_hi, moderate_lo, moderate_hi]) ->
-    months, money lost in all and a month, cleaning verdict. No tariff: not available."""
+    months, money lost in all and a month, cleaning verdict. No tariff: not available;
+    no range: uncertain."""
     m = F.col("period_days") / s.days_per_month
     got = loss.join(systems.select("system_id", "tariff", "cleaning_cost"), "system_id", "left")
-    lo, hi = (F.col("moderate_lo"), F.col("moderate_hi")) if "moderate_lo" in loss.columns else (F.col("moderate_kwh"), F.col("moderate_kwh"))
+    lo, hi = (F.col("moderate_lo"), F.col("moderate_hi")) if "moderate_lo" in loss.columns else (F.lit(None).cast("double"), F.lit(None).cast("double"))
     a, b = lo * F.col("tariff") / m, hi * F.col("tariff") / m
     verdict = (
         F.when(F.col("tariff").isNull() | F.col("cleaning_cost").isNull(), "not available")

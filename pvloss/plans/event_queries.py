@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import stored
 from ..functions.settings import DEFAULT as S
-from ..operators import detect, events, money
-from . import chain, feeds
+from ..operators import detect, events, loss_bootstrap, money
+from . import chain, feeds, range_queries
 from .chain import statement
 from .daily_queries import rounded
 
@@ -57,6 +58,20 @@ def loss_rows(spark, d):
     return detect.estimate_loss(f).join(days, "system_id")
 
 
+@chain.shared
+def intervals(spark, d):
+    """V5's intervals of all chosen events."""
+    f = faulty(spark, d)
+    return stored(events.event_intervals(f, chosen(spark, d, f)), "event-intervals")
+
+
+def observed(spark, d):
+    """The comparison of each event with its interval."""
+    f = faulty(spark, d)
+    found = intervals(spark, d).select("system_id", "start", "end", "type", "change_lo", "change_hi")
+    return events.compare(f, chosen(spark, d, f)).join(found, ["system_id", "start", "end", "type"], "left")
+
+
 @query("c03_fault_mask", "SELECT system_id, date FROM fault WHERE fault")
 def _(spark, d):
     return faulty(spark, d).where("fault").select("system_id", "date")
@@ -101,17 +116,13 @@ _BEST = """SELECT {0}, start, n_before, n_after FROM (SELECT c.*, s.data_label,
 
 @query("v07_clearest_event", _BEST.format("system_id", ""))
 def _(spark, d):
-    f = faulty(spark, d)
-    r = events.compare(f, chosen(spark, d, f)).withColumns({"change_lo": F.lit(0.0), "change_hi": F.lit(0.0)})
-    return events.clearest(r).select("system_id", "start", "n_before", "n_after")
+    return events.clearest(observed(spark, d)).select("system_id", "start", "n_before", "n_after")
 
 
 @query("v08_headline_event", _BEST.format("data_label", ", system_id").replace("SELECT data_label, start", "SELECT data_label, start"))
 def _(spark, d):
-    f = faulty(spark, d)
-    r = events.compare(f, chosen(spark, d, f)).withColumns({"change_lo": F.lit(0.0), "change_hi": F.lit(0.0)}).join(feeds.systems(spark, d).select("system_id", "data_label"), "system_id")
-    best = r.where("status = 'ok'").groupBy("data_label").agg(F.min_by(F.struct("start", "n_before", "n_after"), F.struct((-F.least("n_before", "n_after")).alias("k"), "start", "system_id")).alias("m"))
-    return best.select("data_label", "m.start", "m.n_before", "m.n_after")
+    r = observed(spark, d).join(feeds.systems(spark, d).select("system_id", "data_label"), "system_id")
+    return events.clearest(r, ["data_label"]).select("data_label", "start", "n_before", "n_after")
 
 
 @query("p10_event_day", 'SELECT system_id, start, date, CAST(rel AS INT) AS rel, round(ratio, 5) AS ratio FROM eday WHERE fit')
@@ -127,7 +138,9 @@ def _(spark, d):
 
 @query("e02_verdict", "SELECT system_id, CASE WHEN tariff IS NULL OR cleaning_cost IS NULL THEN 'not available' WHEN moderate_kwh * tariff / m > cleaning_cost THEN 'pays' WHEN moderate_kwh * tariff / m < cleaning_cost THEN 'does not pay' ELSE 'uncertain' END AS verdict FROM eco")
 def _(spark, d):
-    return money.economics(loss_rows(spark, d), feeds.systems(spark, d)).select("system_id", "verdict")
+    rows = loss_rows(spark, d)
+    ranges = loss_bootstrap.loss_ranges(range_queries.replicates(spark, d), rows).select("system_id", "moderate_lo", "moderate_hi")
+    return money.economics(rows.join(ranges, "system_id", "left"), feeds.systems(spark, d)).select("system_id", "verdict")
 
 
 @query("e03_emissions", "SELECT system_id, round(0.71e0 * lost_kwh, 4) AS emissions_kg FROM eco")

@@ -1,11 +1,13 @@
 """Registered queries do the whole job: a small fixture stands in for the analysed frame."""
 
+from datetime import date, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pvloss.functions.settings import DEFAULT as S
-from pvloss.operators import detect, loss_bootstrap
+from pvloss.operators import detect, loss_bootstrap, money
 from pvloss.operators.frame import performance_index
 from pvloss.plans import chain, event_queries, feeds, output_queries, range_queries
 
@@ -56,3 +58,32 @@ def test_block_draws_and_their_interval_have_all_replicates(spark, plans):
     totals = np.bincount(draws["replicate"], lost[draws["idx"]])
     (row,) = output_queries.QUERIES["d11_percentile_interval"](spark, "fixture").where("system_id = 'B'").collect()
     assert (row.lo, row.hi) == pytest.approx(tuple(np.quantile(totals, [0.025, 0.975])), abs=2e-3)
+
+
+def test_best_event_of_equals_has_the_narrowest_interval(spark, monkeypatch):
+    first, noise = date(2020, 1, 1), {("P", 40): 0.05, ("P", 120): 0.01, ("P", 200): 0.02, ("Q", 30): 0.03, ("R", 60): 0.04}
+    days = [(s, first + timedelta(at + k), True, False, 1 + e * (-1) ** k * (1 + k % 3), 5.0, 0.0) for (s, at), e in noise.items() for k in range(-14, 15)]
+    f = spark.createDataFrame(days, "system_id string, date date, clear boolean, fault boolean, ratio double, expected_kwh double, precip_mm double")
+    chosen = spark.createDataFrame([(s, first + timedelta(at), first + timedelta(at), "rain") for s, at in noise], "system_id string, start date, end date, type string")
+    monkeypatch.setattr(event_queries, "faulty", lambda *_: f)
+    monkeypatch.setattr(event_queries, "chosen", lambda *_: chosen)
+    monkeypatch.setattr(feeds, "systems", lambda *_: spark.createDataFrame([("P", "x"), ("Q", "x"), ("R", "y")], "system_id string, data_label string"))
+    got = {r[0]: (r.start - first).days for q in ("v07_clearest_event", "v08_headline_event") for r in event_queries.QUERIES[q](spark, "ties").collect()}
+    want = {}
+    for (s, at), e in noise.items():
+        for key in (s, "y" if s == "R" else "x"):
+            want[key] = min(want.get(key, (9, 0)), (e, at))
+    assert got == {k: at for k, (_, at) in want.items()}
+
+
+def test_verdict_is_uncertain_where_the_range_straddles_the_cost(spark, plans, monkeypatch):
+    rows = {r.system_id: r for r in event_queries.loss_rows(spark, "fixture").collect()}
+    draws = loss_bootstrap.loss_replicates(plans, detect.noise_profile(plans)).where("system_id = 'B'").toPandas()["moderate"]
+    months = rows["B"].period_days / S.days_per_month
+    lo, hi = min(np.quantile(draws, 0.025), rows["B"].moderate_kwh), max(np.quantile(draws, 0.975), rows["B"].moderate_kwh)
+    assert hi > lo
+    for cost, want in (((lo * 0.01 + hi * 0.99), "uncertain"), (lo * 0.99 - 1, "pays"), (hi * 1.01, "does not pay"), (None, "not available")):
+        systems = spark.createDataFrame([("B", "x", 1.0, cost and float(cost / months))], "system_id string, data_label string, tariff double, cleaning_cost double")
+        monkeypatch.setattr(feeds, "systems", lambda *_, systems=systems: systems)
+        assert event_queries.QUERIES["e02_verdict"](spark, "fixture").where("system_id = 'B'").first().verdict == want
+    assert money.economics(event_queries.loss_rows(spark, "fixture"), systems.withColumn("cleaning_cost", F.lit(1e9))).where("system_id = 'B'").first().verdict == "uncertain"
