@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..functions.common import stored, z
@@ -128,7 +126,7 @@ def _(spark, d):
     return causes.soiling_status(soiling(spark, d)[0], causes.soiling_range(soiling_draws(spark, d)))
 
 
-YEAR_REPS = 200
+YEAR_REPS = 200  # of the DuckDB statement alone; the query draws S.samples
 _YU = f"CAST('0x' || substr(md5(concat_ws('|', '{S.seed}', system_id, CAST(replicate AS VARCHAR), CAST(block_no AS VARCHAR))), 1, 12) AS BIGINT) / 281474976710656e0"
 
 
@@ -141,7 +139,7 @@ _YU = f"CAST('0x' || substr(md5(concat_ws('|', '{S.seed}', system_id, CAST(repli
           WHERE pairs >= {S.degradation_min_pairs} AND years > {S.degradation_min_years}) q) r) s) b
     JOIN yp y ON y.system_id = b.system_id AND y.idx = b.idx WHERE place < m GROUP BY 1, 2) t GROUP BY 1) u""")
 def _(spark, d):
-    return rounded(causes.year_on_year_range(event_queries.faulty(spark, d), replace(S, samples=YEAR_REPS)), "change_lo", "change_hi", digits=4)
+    return rounded(causes.year_on_year_range(event_queries.faulty(spark, d)), "change_lo", "change_hi", digits=4)
 
 
 @query("c10_year_on_year", "SELECT s.system_id, coalesce(pairs, 0) AS pairs, round(CASE WHEN ok THEN m END, 4) AS change_pct_per_year, CASE WHEN ok THEN 'ok' ELSE 'insufficient data' END AS status FROM (SELECT p.system_id, y.pairs, y.m, coalesce(y.pairs >= 30 AND p.years > 2, false) AS ok FROM (SELECT system_id, (max(date) - min(date)) / 365.25e0 AS years FROM fault GROUP BY 1) p LEFT JOIN yoy y USING (system_id)) s")

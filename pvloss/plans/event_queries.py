@@ -101,8 +101,7 @@ def _(spark, d):
 
 @query("v05_event_intervals")
 def _(spark, d):
-    f = faulty(spark, d)
-    return rounded(events.event_intervals(f, chosen(spark, d, f), samples=200), "change_lo", "change_hi", digits=4)
+    return rounded(intervals(spark, d), "change_lo", "change_hi", digits=4)
 
 
 @query("v06_other_rain", 'SELECT system_id, start, "end", other_rain_days FROM cmp')

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pvloss.functions.settings import DEFAULT as S
-from pvloss.operators import detect, loss_bootstrap, money
+from pvloss.operators import causes, detect, events, loss_bootstrap, money, validation
 from pvloss.operators.frame import performance_index
-from pvloss.plans import chain, event_queries, feeds, output_queries, range_queries
+from pvloss.plans import cause_queries, chain, event_queries, feeds, output_queries, range_queries
 
 from test_analysis import SCHEMA, healthy
 
@@ -87,3 +87,27 @@ def test_verdict_is_uncertain_where_the_range_straddles_the_cost(spark, plans, m
         monkeypatch.setattr(feeds, "systems", lambda *_, systems=systems: systems)
         assert event_queries.QUERIES["e02_verdict"](spark, "fixture").where("system_id = 'B'").first().verdict == want
     assert money.economics(event_queries.loss_rows(spark, "fixture"), systems.withColumn("cleaning_cost", F.lit(1e9))).where("system_id = 'B'").first().verdict == "uncertain"
+
+
+def test_event_intervals_and_ageing_ranges_have_all_samples(spark, plans, monkeypatch):
+    used = {}
+    intervals, ageing = events.event_intervals, causes.year_on_year_range
+    monkeypatch.setattr(feeds, "events", lambda *_: spark.createDataFrame([("A", date(2020, 7, 1), "cleaning", "")], "system_id string, date date, type string, note string"))
+    few = plans.where("system_id = 'A'")
+    monkeypatch.setattr(chain, "analysed", lambda *_: few)
+    got = event_queries.QUERIES["v05_event_intervals"](spark, "one system").collect()
+    f = event_queries.faulty(spark, "one system")
+    want = intervals(f, event_queries.chosen(spark, "one system", f), samples=2000).collect()
+    assert len(got) == len(want) == 1 and (got[0].change_lo, got[0].change_hi) == pytest.approx((want[0].change_lo, want[0].change_hi), abs=1e-4)
+    monkeypatch.setattr(causes, "year_on_year_range", lambda f, s=S: used.update(samples=s.samples) or ageing(f, s))
+    cause_queries.QUERIES["c11_year_on_year_range"](spark, "one system")
+    assert used["samples"] == 2000
+
+
+def test_sweep_has_all_places_and_sizes(spark, plans, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(validation, "detection_rates", lambda f, scenarios, s=S: seen.update(rows=scenarios, s=s) or scenarios)
+    range_queries.QUERIES["x04_detection_rates"](spark, "fixture")
+    assert (seen["s"].trials, len(seen["s"].multiples)) == (30, 6)
+    n = seen["rows"].groupBy("system_id").count().collect()
+    assert n and all(r["count"] == 30 * 6 * len(S.windows_days) for r in n)
