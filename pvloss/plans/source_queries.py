@@ -47,7 +47,7 @@ def _(spark, d):
 @query("s04_read_day_files", "SELECT system_id, date, energy_kwh FROM feed_daily WHERE date BETWEEN DATE '1996-12-20' AND DATE '1997-02-10'")
 def _(spark, d):
     path = fresh(spark, "days")
-    f = feeds.daily(spark, d).where("date between '1996-12-01' and '1997-02-28'").select("system_id", F.year("date").alias("year"), F.month("date").alias("month"), F.day("date").alias("day"), "energy_kwh")
+    f = feeds.daily(spark, d).select("system_id", F.year("date").alias("year"), F.month("date").alias("month"), F.day("date").alias("day"), "energy_kwh")
     # One file a day, as the source has them: rows of a day meet before the write.
     f.repartition("system_id", "year", "month", "day").write.partitionBy("system_id", "year", "month", "day").option("header", True).csv(path)
     return files.read_day_files(spark, path, "1996-12-20", "1997-02-10").select("system_id", "date", F.col("energy_kwh").cast("double").alias("energy_kwh"))
@@ -84,9 +84,14 @@ def _(spark, d):
 @query("s09_tidy_sheet", "SELECT date, energy_kwh FROM feed_daily WHERE system_id = 'S0' AND year(date) = 1997")
 def _(spark, d):
     path = fresh(spark, "sheet")
-    f = feeds.daily(spark, d).where("system_id = 'S0' and year(date) = 1997").select(F.month("date").cast("string").alias("a"), F.day("date").cast("string").alias("b"), F.col("energy_kwh").cast("string").alias("c"))
-    spark.createDataFrame([("Plant report", None, None), ("Month", "Day", "Main")], "a string, b string, c string").unionByName(f).write.csv(path)
-    return files.tidy_month_sheet(spark.read.schema("a string, b string, c string").csv(path), 1997, "a", "b", "c")
+    f = feeds.daily(spark, d).select("system_id", F.year("date").alias("year"), F.lit(2).alias("part"), F.month("date").cast("string").alias("a"), F.day("date").cast("string").alias("b"), F.col("energy_kwh").cast("string").alias("c"))
+    heads = spark.createDataFrame([(0, "Plant report", None, None), (1, "Month", "Day", "Main")], "part int, a string, b string, c string")
+    sheets = f.unionByName(f.select("system_id", "year").distinct().crossJoin(F.broadcast(heads)))
+    # One sheet a system and year, named by its folder: title and header come first.
+    sheets = sheets.repartition("system_id", "year").sortWithinPartitions("system_id", "year", "part").drop("part")
+    sheets.write.partitionBy("system_id", "year").csv(path)
+    read = spark.read.schema("a string, b string, c string, system_id string, year int").csv(path)
+    return files.tidy_month_sheet(read, F.col("year"), "a", "b", "c", ["system_id"])
 
 
 @query("s13_validation_json")

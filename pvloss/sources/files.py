@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,7 +96,7 @@ def read_weather(spark: SparkSession, path: str, hourly: bool = False, fill: flo
     return d.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(n) for k, n in WEATHER_NAMES.items()])
 
 
-def tidy_month_sheet(sheet: DataFrame, year: int, month: str, day: str, total: str) -> DataFrame:
-    """A titled sheet read as texts -> date, energy_kwh: rows whose month and day are numbers."""
+def tidy_month_sheet(sheet: DataFrame, year: int | Column, month: str, day: str, total: str, keys=()) -> DataFrame:
+    """Titled sheets read as texts -> keys, date, energy_kwh: rows whose month and day are numbers."""
     m, n = F.col(month).try_cast("double").cast("int"), F.col(day).try_cast("double").cast("int")
-    return sheet.where(m.isNotNull() & n.isNotNull()).select(F.make_date(F.lit(year), m, n).alias("date"), F.col(total).try_cast("double").alias("energy_kwh"))
+    return sheet.where(m.isNotNull() & n.isNotNull()).select(*keys, F.make_date(F.lit(year), m, n).alias("date"), F.col(total).try_cast("double").alias("energy_kwh"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pvloss.functions.settings import DEFAULT as S
 from pvloss.operators import causes, detect, events, loss_bootstrap, money, validation
 from pvloss.operators.frame import performance_index
-from pvloss.plans import cause_queries, chain, event_queries, feeds, output_queries, range_queries
+from pvloss.plans import cause_queries, chain, event_queries, feeds, output_queries, range_queries, source_queries
 
 from test_analysis import SCHEMA, healthy
 
@@ -111,3 +111,17 @@ def test_sweep_has_all_places_and_sizes(spark, plans, monkeypatch):
     assert (seen["s"].trials, len(seen["s"].multiples)) == (30, 6)
     n = seen["rows"].groupBy("system_id").count().collect()
     assert n and all(r["count"] == 30 * 6 * len(S.windows_days) for r in n)
+
+
+def test_sheets_and_day_files_hold_the_whole_feed(spark, monkeypatch):
+    days = [date(1996, 12, 19), date(1996, 12, 31), date(1997, 2, 10), date(1997, 2, 11), date(1998, 6, 30)]
+    rows = [(s, x, k + i / 4) for k, s in enumerate(("S0", "S1")) for i, x in enumerate(days)]
+    monkeypatch.setattr(feeds, "daily", lambda *_: spark.createDataFrame(rows, "system_id string, date date, energy_kwh double"))
+    got = source_queries.QUERIES["s09_tidy_sheet"](spark, "sheets").select("system_id", "date", "energy_kwh").collect()
+    assert sorted(map(tuple, got)) == rows
+    asked = {}
+    reader = source_queries.files.read_day_files
+    monkeypatch.setattr(source_queries.files, "read_day_files", lambda s, path, *a: asked.update(path=path) or reader(s, path, *a))
+    got = source_queries.QUERIES["s04_read_day_files"](spark, "days").collect()
+    assert sorted((r.system_id, r.date, r.energy_kwh) for r in got) == [r for r in rows if r[1] in days[1:3]]
+    assert spark.read.option("header", True).csv(asked["path"]).count() == len(rows)
