@@ -15,20 +15,21 @@ from __future__ import annotations
 
 import base64
 import struct
-from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import UnitCache
+from .units import UnitStore, ragged
 
 FIRST = 0x100  # the character of byte 0
 _TO_CHAR = {i: FIRST + i for i in range(256)}
-SLICE = 1 << 20  # bytes of text that are encoded at a time
+SLICE = 1 << 22  # bytes of text that are encoded at a time
 
 
 def _varint(n: int) -> bytes:
@@ -85,23 +86,36 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.tokens))
         self.find = regex.compile(pattern).findall
         back = {FIRST + i: i for i in range(256)}
-        self.bytes_of = [bytes(back[ord(c)] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
-        self.units = UnitCache(self._encode_units, 250_000)
+        of_id = [bytes(back[ord(c)] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
+        self.bytes, self.sizes = np.frombuffer(b"".join(of_id), np.uint8), np.fromiter(map(len, of_id), np.int64, len(of_id))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.units = UnitStore(self._encode_units, np.uint32)
 
     def pre_tokens(self, pieces: list[str]) -> list[list[int]]:
         return self.model.encode([as_chars(p.encode()) for p in pieces], num_threads=1) if pieces else []
 
-    def _encode_units(self, texts: list[str]) -> list[bytes]:
-        split = [self.find(t) for t in texts]
-        ids = iter(self.pre_tokens([p for s in split for p in s]))
-        return [array("I", [i for _ in s for i in next(ids)]).tobytes() for s in split]
+    def split(self, texts: list[str], inner: bool) -> list[list[str]]:
+        """The pre-tokens of texts, or of units that lack the space before them."""
+        return [self.find(" " + t) for t in texts] if inner else [self.find(t) for t in texts]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        return [b"".join(v) for v in self.units.many(texts)]
+    def _encode_units(self, texts: list[str], inner: bool) -> tuple[np.ndarray, np.ndarray]:
+        split = self.split(texts, inner)
+        ids = self.pre_tokens([p for s in split for p in s])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.diff(ends, prepend=0)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """texts (no nulls) -> for each its ids as little-endian unsigned 32-bit integers."""
+        ids, ends = self.units.many(texts)
+        return binary(ids.astype("<u4"), ends)
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The inverse of encode, as bytes."""
+        flat = np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(x, "<u4") for x in ids.to_pylist() if x]])
+        out, token_ends = ragged(self.bytes, self.starts, self.sizes, flat)
+        of_text = np.cumsum(pc.fill_null(pc.binary_length(ids), 0).to_numpy().astype(np.int64)) // 4
+        return binary(out, np.concatenate([[0], token_ends])[of_text], ids.is_null())
 
 
 @cache
@@ -109,6 +123,13 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def binary(values: np.ndarray, ends: np.ndarray, null: pa.Array | None = None) -> pa.Array:
+    """Runs of values, given by where each ends, as a binary array."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * values.itemsize
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    return (out if null is None else pc.if_else(null, None, out)).cast(pa.binary())
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows that hold about `most` bytes each; one row at least."""
     start = size = 0
@@ -129,8 +150,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         own = codec(path, pattern)
         for big in batches:
             for batch in slices(big, "text"):
-                ids = own.encode(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+                ids = own.encode(batch.column("text"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pc.divide(pc.binary_length(ids), 4).cast(pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint")
 
@@ -142,8 +163,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         own = codec(path, pattern)
         for big in batches:
-            for batch in slices(big, "ids", 8 * SLICE):
-                texts = [None if x is None else own.decode(x) for x in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+            for batch in slices(big, "ids"):
+                yield pa.RecordBatch.from_arrays([*batch.columns, own.decode(batch.column("ids"))], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint, decoded binary")

@@ -11,8 +11,8 @@ END_ID = 2
 
 def op7_id_store(spark, sf_dir):
     path = idstore.new_store(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = idstore.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    parts = idstore.part_count(entries)
     idstore.write_index(entries, path, parts)
     found = idstore.read_ids(idstore.lookup(entries, path, parts), path)
     return idstore.with_start(found, entries).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

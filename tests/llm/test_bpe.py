@@ -2,14 +2,16 @@ import base64
 import hashlib
 from array import array
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pvloss.llm import bpe, bpe_queries
-from pvloss.llm.units import units
+from pvloss.llm.units import UnitStore, units
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -25,7 +27,7 @@ ODD = ["", " ", "  ", "a  b", " a b ", "a \nb", "\n a", "x\x1c y", "a\xa0 b", "a
 
 def test_pieces_are_their_own_ids():
     own = bpe.codec(PATH, P.PATTERN)
-    assert own.bytes_of == own.tokens
+    assert [bytes(own.bytes[a : a + n]) for a, n in zip(own.starts, own.sizes)] == own.tokens
     assert own.model.encode([bpe.as_chars(t) for t in own.tokens], num_threads=1) == [[i] for i in range(len(own.tokens))]
 
 
@@ -35,9 +37,10 @@ def test_same_as_tiktoken(texts):
     ranks = {t: i for i, t in enumerate(bpe.read_ranks(PATH))}
     other = test_same_as_tiktoken.__dict__.setdefault("tt", tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}))
     own = bpe.codec(PATH, P.PATTERN)
-    for t, ids in zip(texts, own.encode(texts), strict=True):
+    encoded = own.encode(pa.array(texts, pa.string()))
+    assert own.decode(encoded).to_pylist() == [t.encode() for t in texts]
+    for t, ids in zip(texts, encoded.to_pylist(), strict=True):
         assert list(array("I", ids)) == other.encode_ordinary(t)
-        assert own.decode(ids) == t.encode()
         assert " ".join(units(t)) == t
 
 
@@ -49,13 +52,22 @@ def test_query_on_odd_texts(spark, tt, tmp_path):
     assert [tuple(r) for r in got] == [(i, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()) for i, ids, data in want]
 
 
-def test_cache_stays_bounded():
-    from pvloss.llm.units import UnitCache
+def test_null_ids_decode_to_null():
+    own = bpe.codec(PATH, P.PATTERN)
+    ids = own.encode(pa.array(["one two", ""]))
+    assert own.decode(pa.array([None, ids[0].as_py(), None, b""], pa.binary())).to_pylist() == [None, b"one two", None, b""]
+
+
+def test_store_stays_bounded():
+    def encode(texts, inner):
+        texts = [" " * inner + t for t in texts]
+        return np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t.encode()) for t in texts])
 
-    c = UnitCache(lambda ts: [t.upper() for t in ts], max_units=3)
-    for t in ["a b c", "a b c d e f", "a " + "y" * 99, "g a"]:
-        assert " ".join(c.many([t])[0]).replace("  ", " ") == t.upper()
-        assert len(c.young) <= 1 and len(c.old) <= 2 and all(len(u) <= 64 for u in [*c.young, *c.old])
+    store = UnitStore(encode, np.uint8, most=4)
+    for texts in [["a b c"], ["a b c d e f", "", " "], ["a " + "y" * 99, "c  d", "x \n y z"], ["g a"], []]:
+        values, ends = store.many(pa.array(texts, pa.string()))
+        assert [bytes(x).decode() for x in np.split(values, ends[:-1])] == texts if texts else not len(values)
+        assert len(store.young.number) <= 2 and len(store.old.number) <= 4 and all(len(u) <= 64 for u in [*store.young.number, *store.old.number])
 
 
 def test_empty_table(spark):

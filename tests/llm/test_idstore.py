@@ -32,10 +32,49 @@ def test_query_against_brute_force(spark, tmp_path):
 def test_unknown_keys_and_empty_table(spark):
     docs = spark.createDataFrame([(i, f"t {i}") for i in range(20)], "doc_id long, text string")
     path = idstore.new_store(spark)
-    entries = idstore.write_shards(docs, path, PATH, 2, shards=3)
+    entries = idstore.write_shards(docs, path, PATH, 2, tasks=3)
     assert idstore.write_index(entries, path, 4) == 20
     ask = spark.createDataFrame([(i, 0) for i in range(-50, 25)] + [(3, 1)], "doc_id long, number long")
     assert sorted(r.doc_id for r in idstore.lookup(ask, path, 4).collect()) == list(range(20))
     path = idstore.new_store(spark)
     entries = idstore.write_shards(docs.limit(0), path, PATH, 2)
     assert idstore.write_index(entries, path, 4) == 0 and idstore.lookup(ask, path, 4).count() == 0
+
+
+def test_one_key_takes_few_bytes_and_shards_roll_over(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " + "x " * (i % 5)) for i in range(3000)] + [(None, "null id"), (7, "text 7 again")] + [(5000 + i, "y " * 1_500_000) for i in range(4)], "doc_id long, text string")
+    path = idstore.new_store(spark)
+    entries = idstore.write_shards(docs, path, PATH, 2, tasks=2, shard_ids=40)
+    monkeypatch.setattr(idstore, "PART_KEYS", 2000)
+    parts = idstore.part_count(entries)
+    assert parts == 2 and idstore.write_index(entries, path, parts) == 3006
+    tok, read = Tokenizer.from_file(PATH), []
+    real = idstore.fs.FileSystem.from_uri
+
+    class Counted:
+        def __init__(self, where):
+            self.where = where
+
+        def get_file_info(self, name):
+            return self.where.get_file_info(name)
+
+        def open_input_file(self, name):
+            f, outer = self.where.open_input_file(name), self
+
+            class File:
+                def read_at(self, n, at):
+                    read.append(n)
+                    return f.read_at(n, at)
+
+                __enter__, __exit__ = lambda self: self, lambda self, *a: f.close()
+
+            return File()
+
+    monkeypatch.setattr(idstore.fs, "FileSystem", type("FS", (), {"from_uri": staticmethod(lambda uri: (lambda w, n: (Counted(w), n))(*real(uri)))}))
+    for key in [(5, 0), (7, 0), (7, 1), (None, 0), (2999, 0)]:
+        read.clear()
+        text = {(7, 1): "text 7 x x ", (7, 0): "text 7 again", (None, 0): "null id"}.get(key) or f"text {key[0]} " + "x " * (key[0] % 5)
+        assert idstore.read_one(path, parts, *key).tolist() == tok.encode(text, add_special_tokens=False).ids + [2]
+        assert sum(read) < 1500
+    assert idstore.read_one(path, parts, 5, 1) is None and idstore.read_one(path, parts, -9) is None
+    assert entries.where("doc_id is not null").select("shard").distinct().count() > 2
