@@ -11,9 +11,13 @@ Connected components over these edges share decisions: a page that no rule fits
 blocks any url of its component, pages and mere targets alike. A rule that allows a page wins over
 what reaches it from its component; a page with no decision at all is allowed.
 
-Defined cases: pages with null or unusable urls have no aliases; link targets count if they are
-absolute or start with "/", others are ignored; null html has no links; repeated pages stay; null
-page ids stay; further columns are ignored; empty tables give no rows.
+All canonical and refresh tags of a page count; "canonical" may stand among other words of a rel list.
+Targets are resolved against the page's url ("//host", "/path", "?query", relative paths with "." and ".."),
+and "&amp;" in them is "&".
+
+Defined cases: pages with null or unusable urls have no aliases; targets that are empty, only a fragment or of
+a scheme without "://" are ignored; null html has no links; repeated pages stay; null page ids stay; further
+columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ from .components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 INLINE_RULES = 500  # up to so many rules are literals of the plan; more are joined by host
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-TARGET = r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)"
+TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+CANONICAL = r"(?is)^<link\b.*[\s\"'/]rel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"
+REFRESH = r"(?is)^<meta\b.*[\s\"'/]http-equiv\s*=\s*[\"']?\s*refresh\b"
+HREF = r"(?is)[\s\"'/]href\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\"'\s>]+))"
+TARGET = r"(?is)[\s\"';,]url\s*=\s*[\"']?([^\"'\s>]+)"
+ABSOLUTE, SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://", r"^[A-Za-z][A-Za-z0-9+.-]*:"
 TRACKING = r"(?:^|&)(?:utm_[^=&]*|ref|fbclid|gclid)(?:=[^&]*)?"
 
 
@@ -49,8 +55,8 @@ def path_of(url: Column) -> Column:
 def alias_key(url: Column) -> Column:
     """The 64-bit key of a url's alias class before links; null where there is no host."""
     query = F.regexp_extract(after_scheme(url), r"^[^?#]*\?([^#]*)", 1)
-    query = F.ltrim(F.lit("&"), F.regexp_replace(query, TRACKING, ""))
-    return F.when(host_of(url) != "", F.xxhash64(host_of(url), F.rtrim(F.lit("/"), path_of(url)), query))
+    query = F.ltrim(F.regexp_replace(query, TRACKING, ""), F.lit("&"))
+    return F.when(host_of(url) != "", F.xxhash64(host_of(url), F.rtrim(path_of(url), F.lit("/")), query))
 
 
 def with_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -77,17 +83,36 @@ def _ranked(r) -> Column:
     return F.struct(size.alias("size"), F.length(r["host"]).alias("of_host"), (r["verdict"] == "allow").alias("allows"), r["host"].alias("host"), r["path"].alias("path"), r["verdict"].alias("verdict"))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with "/" without "." and ".." segments."""
+    up = lambda acc: F.regexp_replace(acc, "/[^/]*$", "")
+    folded = F.aggregate(F.split(F.substr(path, F.lit(2)), "/", -1), F.lit(""), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.lit("/"), x)))
+    return F.when(F.contains(path, F.lit("/.")), folded).otherwise(path)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """A link's target as an absolute url; null where there is none."""
+    scheme, host, path = F.regexp_extract(url, r"(?s)^(.*?)://", 1), host_of(url), path_of(url)
+    own, rest = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)", 1))
+    site = F.concat(scheme, F.lit("://"), host)
+    return (
+        F.when(to.rlike(ABSOLUTE), to)
+        .when(to.rlike(SCHEME) | (to == "") | F.startswith(to, F.lit("#")), F.lit(None))
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(site, without_dots(own), rest))
+        .when(F.startswith(to, F.lit("?")), F.concat(site, path, to))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Canonical links and meta refreshes of pages (url, html) -> url, target, both absolute."""
-    page = pages.where("instr(url, '://') > 0 and (html like '%canonical%' or html rlike '(?i)refresh' or html rlike '(?i)canonical')")
-    scheme, host = F.regexp_extract("url", r"(?s)^(.*?)://", 1), host_of(F.col("url"))
-    found = page.select("url", scheme.alias("scheme"), host.alias("host"), F.explode(F.array(F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1))).alias("to"))
-    target = (
-        F.when(F.instr("to", "://") > 0, F.col("to"))
-        .when(F.startswith("to", F.lit("//")), F.concat("scheme", F.lit(":"), "to"))
-        .when(F.startswith("to", F.lit("/")), F.concat("scheme", F.lit("://"), "host", "to"))
-    )
-    return found.select("url", target.alias("target")).where("target is not null")
+    page = pages.where("instr(url, '://') > 0 and html rlike '(?i)refresh|canonical'")
+    tags = page.select("url", F.explode(F.regexp_extract_all("html", F.lit(TAG), 0)).alias("tag"))
+    href = F.concat(*[F.regexp_extract("tag", HREF, k) for k in (1, 2, 3)])
+    found = tags.select("url", F.when(F.col("tag").rlike(CANONICAL), href).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1)).alias("to")).where("to is not null")
+    return found.select("url", resolved(F.col("url"), F.replace(F.trim("to"), F.lit("&amp;"), F.lit("&"))).alias("target")).where("target is not null")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:

@@ -13,17 +13,30 @@ def op9_url_filter(spark, sf_dir):
 
 _AFTER = "CASE WHEN instr(coalesce({0}, ''), '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
 _KEY = r"CASE WHEN host <> '' THEN host || chr(1) || rtrim(path, '/') || chr(1) || ltrim(regexp_replace(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '(?:^|&)(?:utm_[^=&]*|ref|fbclid|gclid)(?:=[^&]*)?', '', 'g'), '&') END"
+_HREF = r"""(?is)[\s"''/]href\s*=\s*(?:"([^"]*)|''([^'']*)|([^"''\s>]+))"""
 ORACLE = rf"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES {", ".join(str(r) for r in RULES)}),
-found AS (
-  SELECT url, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*[''"]?([^"''\s>]+)', 1)]) AS t
-  FROM pages WHERE instr(url, '://') > 0
+tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE instr(url, '://') > 0 AND regexp_matches(html, '(?i)refresh|canonical')
+), found AS (
+  SELECT url, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, lower(regexp_extract({_AFTER.format("url")}, '^[^/?#]*')) AS site,
+         regexp_extract({_AFTER.format("url")}, '^[^/?#]*([^?#]*)', 1) AS page_path, replace(trim(
+    CASE WHEN regexp_matches(tag, '(?is)^<link\b.*[\s"''/]rel\s*=\s*(?:"[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)')
+           THEN concat(regexp_extract(tag, '{_HREF}', 1), regexp_extract(tag, '{_HREF}', 2), regexp_extract(tag, '{_HREF}', 3))
+         WHEN regexp_matches(tag, '(?is)^<meta\b.*[\s"''/]http-equiv\s*=\s*["'']?\s*refresh\b')
+           THEN regexp_extract(tag, '(?is)[\s"'';,]url\s*=\s*["'']?([^"''\s>]+)', 1) END), '&amp;', '&') AS t
+  FROM tags
+), placed AS (
+  SELECT *, regexp_extract(t, '^[^?#]*(.*)$', 1) AS tail,
+         CASE WHEN t LIKE '/%' THEN '' ELSE '/' || regexp_extract(page_path, '^/(.*/)', 1) END || regexp_extract(t, '^[^?#]*') AS whole FROM found
 ), links AS (
-  SELECT url, CASE WHEN instr(t, '://') > 0 THEN t WHEN t LIKE '//%' THEN scheme || ':' || t
-                   WHEN t LIKE '/%' THEN scheme || '://' || lower(regexp_extract({_AFTER.format("url")}, '^[^/?#]*')) || t END AS target
-  FROM found
+  SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+                   WHEN t IS NULL OR t = '' OR t LIKE '#%' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                   WHEN t LIKE '//%' THEN scheme || ':' || t
+                   WHEN t LIKE '?%' THEN scheme || '://' || site || page_path || t
+                   ELSE scheme || '://' || site || list_reduce(list_prepend('', string_split(substr(whole, 2), '/')),
+                     lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END) || tail END AS target
+  FROM placed
 ), urls AS (
   SELECT url FROM pages UNION SELECT url FROM links WHERE target IS NOT NULL UNION SELECT target FROM links
 ), split AS (

@@ -18,8 +18,21 @@ ROWS = [
     (12, "http://notexample.org/es/1", None),
     (6, "http://d.example.net/q?ref=1&a=2", ""),
     (13, "http://e.example.net/" + "l" * 90_000, None),
+    # Pages of one host that have nothing to do with each other: one is an alias of a blocked url.
+    (20, "http://h.example.net/bad", '<link rel="stylesheet" href="a.css"><link class=x rel="alternate canonical" href=\'http://s.com/de/7\'>'),
+    (21, "http://h.example.net/good", '<meta http-equiv=refresh content="5"><a href="http://s.com/de/7">'),
+    (22, "http://h.example.net/zzz", None),
+    (23, "http://h.example.net/?q=x", '<link rel=canonical data-href="http://s.com/de/7" href="#top"><link rel=canonical href="mailto:a@b.c">'),
+    (24, "http://h.example.net", None),
+    # A second tag counts, relative targets are resolved, chains go over hosts.
+    (25, "http://i.example.net/a/b/c?x", '<link rel=canonical><LINK REL="Canonical" HREF="../p/./q?k=1&amp;j=2">'),
+    (26, "http://i.example.net/a/p/q?k=1&j=2#f", '<meta content="0;URL=\'?go=1\'" http-equiv="refresh">'),
+    (27, "http://i.example.net/a/p/q?go=1", '<link rel="canonical" href="r">'),
+    (28, "https://I.example.net/a/p/r/", '<link rel="canonical" href="//h.example.net/bad">'),
+    (29, "http://i.example.net/a/p/q?go=2", None),
+    (30, "http://i.example.net/a/p/q", '<link rel="canonicality" href="r">'),
 ]
-WANT = {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", None: "block", 10: "allow", 11: "allow", 12: "allow", 13: "allow"}
+WANT = {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", None: "block", 10: "allow", 11: "allow", 12: "allow", 13: "allow", **dict.fromkeys([20, 25, 26, 27, 28], "block"), **dict.fromkeys([21, 22, 23, 24, 29, 30], "allow")}
 
 
 @pytest.mark.parametrize("inline", [500, 0])
