@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where
-    it is unset (one machine only, as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one
+    machine (as in tests) gets a new local one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pvloss-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,3 +34,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_IDS, SLOTS = 1_000_000, 1 << 22
+
+
+def without_ids(docs: DataFrame, away: DataFrame, most: int = BROADCAST_IDS, slots: int = SLOTS) -> DataFrame:
+    """The rows of docs whose doc_id is not in away (doc_id, null like any other value). Up to `most` ids are
+    broadcast. More are hashed into `slots` places, whose list is broadcast: rows at a free place stay
+    without a shuffle, only the others are shuffled by id to be compared exactly."""
+    ids = stored(away.select(F.col("doc_id").alias("away")).distinct(), "away")
+    same = docs["doc_id"].eqNullSafe(ids["away"])
+    if ids.count() <= most:
+        return docs.join(F.broadcast(ids), same, "left_anti")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
+    taken = ids.select(place("away").alias("taken")).distinct()
+    free = docs.join(F.broadcast(taken), place(docs["doc_id"]) == taken["taken"], "left_anti")
+    near = docs.join(F.broadcast(taken), place(docs["doc_id"]) == taken["taken"], "left_semi")
+    return free.unionByName(near.join(ids, near["doc_id"].eqNullSafe(ids["away"]), "left_anti"))

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without_ids
+
 MASKS = ("110100000111", "1110111")
 WINDOW, SLACK, SHORT = 16, 3, 13
 BROADCAST = 500_000
@@ -116,6 +118,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose id has no leak."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaking"]), "left_anti")
+    """The rows of docs whose id has no leak; rows of a null id are judged together."""
+    return without_ids(docs, leaks(docs, benchmark))

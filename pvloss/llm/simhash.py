@@ -13,8 +13,7 @@ Groups send on a spanning forest of their links, which keeps the components and
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; a text
 with fewer words than a shingle is one shingle; repeated rows keep their rows; a null doc_id keeps
-its row, is no component's name unless all ids of the component are null, and then the component is
-null; further input columns are ignored; empty tables give empty results.
+its row and its links but names no component: one of null ids alone is null; further input columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -146,43 +145,41 @@ def bucket_keys(bands: int, agree: int):
 
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """distinct (fp, rep), one row per fingerprint -> u, v: links between rep values that keep all
-    components. distinct must be stored, as it is read several times."""
+    """distinct (fp), one row per fingerprint -> u, v: links between fingerprints that keep all components.
+    distinct must be stored, as it is read several times."""
     keys = bucket_keys(*band_choice(distinct.count(), radius))
-    rows = distinct.where("rep is not null").select("fp", "rep", F.explode(F.array(*keys)).alias("bucket"))
+    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("bucket"))
     hot = rows.groupBy("bucket").count().where(F.col("count") > CHUNK).select("bucket", F.ceil(2 * F.col("count") / CHUNK).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("fp", "bucket"), F.col("chunks")).cast("int")
-    dealt = rows.join(hot, "bucket", "left").select("fp", "rep", "bucket", F.coalesce(own, F.lit(0)).alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)).alias("other"))
+    dealt = rows.join(hot, "bucket", "left").select("fp", "bucket", F.coalesce(own, F.lit(0)).alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)).alias("other"))
     group = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select("fp", "rep", group.alias("grp"))
+    dealt = dealt.select("fp", group.alias("grp"))
     dealt = dealt.repartition("grp").sortWithinPartitions("grp")
 
     def run(batches):
-        fps, reps, held = [], [], 0
+        fps, held = [], 0
 
         def flush():
-            f, r = np.concatenate(fps), np.concatenate(reps)
+            f = np.concatenate(fps)
             pairs = np.array(forest(f.view(np.uint64), radius), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(r[pairs[:, 0]]), pa.array(r[pairs[:, 1]])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(f[pairs[:, 0]]), pa.array(f[pairs[:, 1]])], names=["u", "v"])
 
         last = None
         for batch in batches:
-            f, r, g = (batch.column(c).to_numpy() for c in ("fp", "rep", "grp"))
+            f, g = (batch.column(c).to_numpy() for c in ("fp", "grp"))
             # Cut after groups only, once RUN rows are held.
             ends = np.flatnonzero(np.diff(g)) + 1
             at = 0
             if last is not None and len(g) and g[0] != last and held >= RUN:
                 yield flush()
-                fps, reps, held = [], [], 0
+                fps, held = [], 0
             for end in ends:
                 if held + end - at >= RUN:
                     fps.append(f[at:end])
-                    reps.append(r[at:end])
                     yield flush()
-                    fps, reps, held, at = [], [], 0, end
+                    fps, held, at = [], 0, end
             if len(g):
                 fps.append(f[at:])
-                reps.append(r[at:])
                 held += len(g) - at
                 last = g[-1]
         if held:
@@ -191,10 +188,22 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint").where("u <> v").distinct()
 
 
+COMMON, SHARE = 100_000, 1000
+
+
 def components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """docs (doc_id bigint, text) -> doc_id, fp, component_id."""
     prints = stored(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), shingle), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
     roots = connected_components(links(distinct, radius))
-    known = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
+    names = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = stored(placed.join(names, "root").select("fp", "n", "component_id"), "known")
+    # A fingerprint of very many rows would send them all to one task. Those of over a SHARE-th of all rows
+    # are under SHARE in number, so they are broadcast.
+    least = F.greatest(F.lit(COMMON), F.col("total") / SHARE)
+    common = known.join(F.broadcast(known.agg(F.sum("n").alias("total")))).where(F.col("n") > least).select(F.col("fp").alias("common"), F.col("component_id").alias("of_common"))
+    common = stored(common, "common")
+    rows = prints.join(F.broadcast(common), F.col("fp") == F.col("common"), "left")
+    rare = rows.where("common is null").select("doc_id", "fp").join(known.select("fp", "component_id"), "fp")
+    return rows.where("common is not null").select("doc_id", "fp", F.col("of_common").alias("component_id")).unionByName(rare.select("doc_id", "fp", "component_id"))

@@ -62,9 +62,12 @@ def test_links_keep_components(spark, monkeypatch, chunk):
     rng = np.random.default_rng(5)
     fps = sorted(set(chains(rng, 12, 12) + rng.integers(0, 1 << 63, 100).tolist()))
     rows = [(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)]
-    got = connected_components(simhash.links(spark.createDataFrame(rows, "fp long, rep long").cache()))
-    got = {r.node: r.root for r in got.collect()}
-    assert {i: got.get(i, i) for i in range(len(fps))} == brute(list(range(len(fps))), fps)
+    got = connected_components(simhash.links(spark.createDataFrame(rows, "fp long, place long").cache()))
+    place, got = dict(rows), {r.node: r.root for r in got.collect()}
+    want, members = brute(list(range(len(fps))), fps), {}
+    for f, i in rows:
+        members.setdefault(got.get(f, f), []).append(place[f])
+    assert sorted(map(sorted, members.values())) == sorted([i for i, w in want.items() if w == root] for root in set(want.values()))
 
 
 @pytest.mark.parametrize("n", [1 << 20, 1 << 28, 1 << 40])
@@ -87,6 +90,23 @@ def test_query_against_brute_force(spark, tmp_path):
         assert r.component_id == known[21 if r.doc_id is None else r.doc_id]
 
 
+def test_null_ids_take_part_and_common_fingerprints(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    near = lambda k: " ".join([*words[: 400 - k], *[f"x{i}" for i in range(k)]])
+    texts = [near(0), near(3), near(6), near(9)]
+    prints = [slow_fingerprint(t) for t in texts]
+    radius = max((a ^ b).bit_count() for a, b in zip(prints, prints[1:]))
+    # Only null ids bear the second and third text: they bridge the first and the last, and take their name.
+    rows = [(8, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (None, "quite alone here"), (9, "y"), *[(i, "many rows") for i in range(20, 60)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(i), slow_fingerprint(t), 5 if t in texts else 20 if t == "many rows" else i) for i, t in rows[:4] + rows[5:])
+    for common in (100_000, 10):
+        monkeypatch.setattr(simhash, "COMMON", common)
+        got = simhash.components(docs, radius=radius).collect()
+        assert sorted((str(r.doc_id), r.fp % (1 << 64), r.component_id) for r in got if r.component_id is not None) == want
+        assert [r.doc_id for r in got if r.component_id is None] == [None]
+
+
 def test_empty(spark):
     assert simhash.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
