@@ -1,163 +1,122 @@
 """Quality rules: counts over words and lines, and bands on n-gram perplexity.
 
 Words are runs of characters other than space and U+0009-U+000D. The language model is a modified
-Kneser-Ney model over the bytes of words: each word is preceded by ORDER - 1 spaces and followed by
-one, and every byte is predicted from the ORDER - 1 bytes before it. (A model over words can't be kept
-within the disk limits: almost every word pair of a corpus occurs once.) Texts are read once, in chunks:
-each chunk keeps its different words, and each document the numbers of its words. Spark counts the byte
-n-grams of all chunks (five bytes fit an integer, so the hash is exact); contexts, continuation counts,
-discounts and probabilities follow by grouping and joining, order by order. The different n-grams of a
-chunk are joined to the model, and a chunk's documents are scored with these rows alone. No task and
-not the driver holds the model, so it has no bound and its order is the same at every size.
+Kneser-Ney model over the bytes of running text: the words of a text joined by single spaces, after one
+byte that marks its start. Every byte is predicted from the ORDER - 1 bytes before it, so contexts run
+across words. (A model over words can't be kept within the disk limits: almost every word pair of a corpus
+occurs once.) Tasks count the n-grams of their texts, and Spark adds the counts up. An n-gram of up to
+seven bytes fits a 64-bit integer, which stands for its hash and has no collisions. Contexts, continuation
+counts (raw counts for n-grams at a text's start, which nothing precedes), discounts and probabilities
+follow by grouping and joining, order by order, without a bound on rows.
+
+The model is written as sorted arrays of n-grams and log probabilities. Up to IN_TASK n-grams, each Python
+worker holds the arrays and looks up the different n-grams of some texts at a time. A larger model is
+joined to the different n-grams of each chunk of texts instead, and no task holds it; both give the same
+values. The order is the same at every size.
 
 A document's log perplexity is the mean negative log probability of its bytes. For each language,
-percentiles of all its documents set a lower and an upper band; documents outside are rejected.
+percentiles of the different values of its documents (so copies count once) set a lower and an upper
+band; documents outside are rejected. The rule is the same for all languages and any number of documents:
+up to about 1 / TAIL different values, none lies outside.
 
 Defined cases: null and wordless texts have no perplexity and fail the word count; null languages are
-one language; languages of few documents get wide bands through the corpus-wide spread; repeated
-rows stay; further columns are ignored; empty tables give no rows.
+one language; repeated rows stay; further columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.dataset as ds
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import stored
+from .common import fresh_path, stored
 
-ORDER = 5
-MODEL_ROWS = 6_000_000  # of the model in memory (fit), which tests hold the joined one against
-CHUNK = 1 << 23  # bytes of text whose documents share a list of words
+ORDER = 6
+START = 0xFF  # no byte of UTF-8; stands before a text
+PREFIX = bytes(ORDER - 2) + bytes([START])
+HELD = 1 << 21  # n-grams that a counting task holds before it sends them on
+IN_TASK = 1 << 24  # n-grams of a model that a Python worker holds (12 bytes each)
 LOW_BAND, HIGH_BAND = 2.5, 2.5  # distances of the bands, in spreads between the median and a tail percentile
 TAIL = 0.1
-LEAST_DOCS = 50  # a language with fewer documents takes the corpus-wide spreads
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """docs (text) -> word (binary), n: over all words of all texts."""
-
-    def run(batches):
-        for big in batches:
-            for batch in slices(big, "text", 1 << 26):
-                n = Counter()
-                for text in batch.column("text").cast(pa.binary()).to_pylist():
-                    n.update(text.split())
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as lists of words -> the packed n-gram that ends at each of their bytes, and how many each text
+    has. Near a start the n-gram is the start byte and what follows it, after zero bytes."""
+    joined = [b" ".join(words) for words in texts]
+    sizes = np.fromiter(map(len, joined), np.int64, len(joined))
+    data = np.frombuffer(b"".join([PREFIX + t for t in joined]), np.uint8).astype(np.int64)
+    if not sizes.sum():
+        return np.empty(0, np.int64), sizes
+    packed = np.zeros(len(data) - ORDER + 1, np.int64)
+    for k in range(ORDER):
+        packed = packed << 8 | data[k : k + len(packed)]
+    # The n-gram at place i ends at byte i + ORDER - 1, which is the text's own but for the prefixes.
+    of = np.repeat(np.arange(len(texts)), sizes)
+    return packed[np.arange(len(of)) + of * len(PREFIX)], sizes
 
-    return docs.where("text is not null").select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(n, first) if len(n) else n
 
-def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of padded words, and how many each word has."""
-    joined = np.frombuffer(b"".join([b" " * (order - 1) + w + b" " for w in words]), np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    if not len(words):
-        return np.empty(0, np.int64), sizes
-    packed = np.zeros(len(joined) - order + 1, np.int64)
-    for k in range(order):
-        packed = packed << 8 | joined[k : k + len(packed)]
-    # A word's n-grams start at its first padding; those that start in its own bytes cross into the next word.
-    starts = np.cumsum(sizes + order - 1) - (sizes + order - 1)
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return packed[at], sizes
 
-
-def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """words (word, n) -> gram (packed), n."""
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """docs (text) -> gram (packed), n over all bytes of all texts."""
 
     def run(batches):
-        for batch in batches:
-            keys, sizes = grams(batch.column("word").to_pylist(), order)
-            found, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, np.repeat(batch.column("n").to_numpy(), sizes), len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    return words.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Model:
-    """Levels from 1 to order: sorted grams and their log probability, sorted contexts (grams without
-    the last byte) and their log back-off weight."""
-
-    order: int
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    unseen: float  # log probability of a byte that the corpus lacks
-
-    def log_probability(self, keys: np.ndarray) -> np.ndarray:
-        """Of the last byte of packed n-grams given the bytes before."""
-        out, rest, back = np.full(len(keys), self.unseen), np.arange(len(keys)), np.zeros(len(keys))
-        for level in range(self.order, 0, -1):
-            have, logp, contexts, weight = self.levels[level - 1]
-            own = keys[rest] & ((1 << 8 * level) - 1)
-            hit, at = _find(have, own)
-            out[rest[hit]] = logp[at[hit]] + back[rest[hit]]
-            rest = rest[~hit]
-            if level > 1 and len(rest):
-                seen, at = _find(contexts, own[~hit] >> 8)
-                back[rest[seen]] += weight[at[seen]]
-        out[rest] = self.unseen + back[rest]
-        return out
-
-
-def _find(have: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(have, keys)
-    at[at == len(have)] = 0
-    return (have[at] == keys if len(have) else np.zeros(len(keys), bool)), at
-
-
-def fit(counts: DataFrame) -> Model:
-    """counts (gram, n) of the highest order -> a small model in memory; rules() has joined_model(). Lower orders count in how many ways a gram is
-    continued to the left; discounts are those of Chen and Goodman, level by level."""
-    order = ORDER
+        keys, counts, size = [], [], 0
+        row = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["gram", "n"])
+        for big in batches:
+            for batch in slices(big, "text"):
+                found, _ = grams([t.split() for t in batch.column("text").cast(pa.binary()).to_pylist()])
+                some = pa.array(found).value_counts()
+                keys.append(some.field("values").to_numpy())
+                counts.append(some.field("counts").to_numpy())
+                size += len(some)
+                if size > HELD:
+                    k, n = summed(np.concatenate(keys), np.concatenate(counts))
+                    if len(k) > HELD // 2:
+                        yield row(k, n)
+                        k, n = k[:0], n[:0]
+                    keys, counts, size = [k], [n], len(k)
+        if size:
+            yield row(*summed(np.concatenate(keys), np.concatenate(counts)))
+
+    return docs.where("text is not null").select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def suffix(gram: Column, level: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << 8 * level) - 1))
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """counts (gram, n) of gram_counts() -> gram, logp of all of them."""
     counts = stored(counts, "grams")
-    while order > 1 and counts.count() > MODEL_ROWS:  # another way beyond the bound: a lower order
-        order -= 1
-        counts = stored(counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-    raw = [counts]
-    for level in range(order - 1, 0, -1):
-        raw.insert(0, raw[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * level) - 1)).alias("gram")).agg(F.count("*").alias("n")))
-    levels, lower, unseen = [], None, np.log(1 / 256)
-    for table in raw:  # each has at most MODEL_ROWS rows
-        got = table.orderBy("gram").toArrow()
-        keys, n = got.column("gram").to_numpy(), got.column("n").to_numpy().astype(float)
-        of = [max(1, int((n == k).sum())) for k in range(1, 5)]
-        y = of[0] / (of[0] + 2 * of[1])
-        cut = np.clip([1 - 2 * y * of[1] / of[0], 2 - 3 * y * of[2] / of[1], 3 - 4 * y * of[3] / of[2]], 0.05, [0.95, 1.9, 2.8])
-        discount = cut[np.minimum(n, 3).astype(int) - 1] if len(n) else n
-        contexts, at = np.unique(keys >> 8, return_inverse=True)
-        total = np.bincount(at, n, len(contexts))
-        left = np.bincount(at, discount, len(contexts)) / np.maximum(total, 1)
-        if lower is None:
-            p = (n - discount) / total[at] + left[at] / 256 if len(n) else n
-            unseen = float(np.log(left[0] / 256)) if len(n) else unseen
-        else:
-            suffix = keys & ((1 << 8 * len(levels)) - 1)
-            below = np.exp(lower[1][np.searchsorted(lower[0], suffix)]) if len(n) else n
-            p = (n - discount) / total[at] + left[at] * below
-        lower = (keys, np.log(np.maximum(p, 1e-12)))
-        levels.append((*lower, contexts, np.log(np.maximum(left, 1e-12))))
-    return Model(order, levels, unseen)
-
-
-def joined_model(counts: DataFrame) -> DataFrame:
-    """counts (gram, n) of the highest order -> gram, logp of all of them: what fit() has, by grouping and joining."""
-    raw = [stored(counts, "grams")]
-    for level in range(ORDER - 1, 0, -1):
-        raw.insert(0, stored(raw[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * level) - 1)).alias("gram")).agg(F.count("*").alias("n")), "grams"))
-    lower = None
-    for level, table in enumerate(raw, 1):
-        of = [max(1, k) for k in table.agg(*[F.count_if(F.col("n") == k) for k in range(1, 5)]).first()]
+    level_of = F.lit(ORDER)
+    for k in range(2, ORDER):
+        level_of = F.when(F.shiftright("gram", 8 * (k - 1)) == START, k).otherwise(level_of)
+    counts = counts.withColumn("level", level_of)
+    at_start = lambda k: counts.where(F.col("level") == k).select("gram", "n")
+    levels = [at_start(ORDER)]
+    for k in range(ORDER - 1, 0, -1):
+        continued = levels[0].groupBy(suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n"))
+        levels.insert(0, stored(continued.unionByName(at_start(k)) if k > 1 else continued, "grams"))
+    lower, out = None, None
+    for k, table in enumerate(levels, 1):
+        of = [max(1, n) for n in table.agg(*[F.count_if(F.col("n") == i) for i in range(1, 5)]).first()]
         y = of[0] / (of[0] + 2 * of[1])
         cut = np.clip([1 - 2 * y * of[1] / of[0], 2 - 3 * y * of[2] / of[1], 3 - 4 * y * of[3] / of[2]], 0.05, [0.95, 1.9, 2.8]).tolist()
         same = Window.partitionBy(F.shiftright("gram", 8))
@@ -166,28 +125,43 @@ def joined_model(counts: DataFrame) -> DataFrame:
         if lower is None:
             d = d.withColumn("below", F.lit(1 / 256))
         else:
-            d = d.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (level - 1)) - 1))).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
-        lower = d.select("gram", F.greatest(F.col("own") + F.col("left") * F.col("below"), F.lit(1e-12)).alias("p"))
-    return lower.select("gram", F.log("p").alias("logp"))
-
-
-class Numbers(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers in any order, as differences whose bytes are laid out by place."""
-    steps = np.diff(np.sort(numbers), prepend=0).astype("<u4")
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    places = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(places.T).view("<u4").ravel(), dtype=np.int64)
+            d = d.withColumn("of", suffix(F.col("gram"), k - 1)).join(lower.select(F.col("gram").alias("of"), F.col("p").alias("below")), "of")
+        lower = d.select("gram", (F.col("own") + F.col("left") * F.col("below")).alias("p"))
+        if k < ORDER:
+            lower = stored(lower, "probabilities")
+        own = lower if k == ORDER else lower.where(F.shiftright("gram", 8 * (k - 1)) == START) if k > 1 else None
+        out = own if out is None else out.unionByName(own)
+    return out.select("gram", F.log("p").alias("logp"))
+
+
+@lru_cache(maxsize=1)
+def arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """A stored model as sorted n-grams and their log probabilities."""
+    where, name = fs.FileSystem.from_uri(path)
+    t = ds.dataset(name, filesystem=where, format="parquet").to_table(columns=["gram", "logp"])
+    keys, logp = t.column("gram").to_numpy(), t.column("logp").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], logp[order]
+
+
+def looked_up(keys: np.ndarray, have: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Log probabilities of n-grams; each different one is looked for once."""
+    if not len(keys):
+        return np.empty(0)
+    coded = pa.array(keys).dictionary_encode()
+    different = coded.dictionary.to_numpy()
+    at = np.minimum(np.searchsorted(have, different), max(0, len(have) - 1))
+    if not len(have) or not np.array_equal(have[at], different):
+        raise ValueError("an n-gram has no probability")
+    return logp[at][coded.indices.to_numpy()]
+
+
+def perplexities(logp: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Mean negative log probability of each text, rounded to nine places; null without words."""
+    sums, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        sums[some] = np.add.reduceat(logp, (np.cumsum(sizes) - sizes)[some])
+    return pa.array(np.round(-sums / np.maximum(sizes, 1), 9), pa.float64(), mask=sizes == 0)
 
 
 def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -211,93 +185,82 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang) -> a row for each document with its base counts and the packed numbers of its
-    words, and one for each chunk with its different words and how often each occurs."""
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def prepared(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def counted(batch: pa.RecordBatch) -> tuple[list[list[bytes]], list[pa.Array]]:
+    """The words of a batch's texts, and their base counts by column."""
+    texts = batch.column("text").to_pylist()
+    words = [t.encode().split() for t in texts]
+    rows = [base_counts(t, w) for t, w in zip(texts, words, strict=True)]
+    return words, [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
+
+
+def score_mapped(docs: DataFrame, path: str) -> DataFrame:
+    """prepared() rows -> doc_id, lang, base counts, log_ppl with the model at `path` held by the workers."""
 
     def run(batches):
         for big in batches:
-            for batch in slices(big, "text", CHUNK):
-                known, counts, blobs, n = Numbers(), [], [], np.zeros(0, np.int64)
-                for text in batch.column("text").to_pylist():
-                    words = text.encode().split()
-                    counts.append(base_counts(text, words))
-                    numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                    if len(known) > len(n):
-                        n = np.concatenate([n, np.zeros(len(known), np.int64)])
-                    np.add.at(n, numbers, 1)
-                    blobs.append(packed(numbers))
-                chunk, size = uuid.uuid4().int >> 65, batch.num_rows
-                ids = batch.column("doc_id")
-                columns = [pa.array([chunk] * size, pa.int64()), ids, batch.column("lang"), *[pa.array(c, pa.int64()) for c in zip(*counts, strict=True)], pa.array(blobs, pa.binary())]
-                names = ["chunk", "doc_id", "lang", *COUNTS, "numbers"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())], names=[*names, "words", "times"])
-                if known:
-                    empty = [pa.nulls(1, c.type) for c in columns[1:]]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *empty, pa.array([b" ".join(known)], pa.binary()), pa.array([n[: len(known)].tobytes()], pa.binary())], names=[*names, "words", "times"])
-
-    return rows.mapInArrow(run, f"chunk bigint, doc_id {kind}, lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, numbers binary, words binary, times binary")
-
-
-def chunk_grams(chunks: DataFrame) -> DataFrame:
-    """chunked() -> chunk, gram, n: the different n-grams of each chunk."""
+            for batch in slices(big, "text"):
+                words, counts = counted(batch)
+                keys, sizes = grams(words)
+                ppl = perplexities(looked_up(keys, *arrays(path)), sizes)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *counts, ppl], names=["doc_id", "lang", *COUNTS, "log_ppl"])
 
-    def run(batches):
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+
+
+def score_joined(docs: DataFrame, probabilities: DataFrame) -> DataFrame:
+    """The same with a model that no task could hold, joined to the n-grams of each chunk of texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def chunked(batches):
+        for big in batches:
+            for batch in slices(big, "text"):
+                chunk = pa.array(np.full(batch.num_rows, uuid.uuid4().int >> 65))
+                yield pa.RecordBatch.from_arrays([chunk, *batch.columns, *counted(batch)[1]], names=["chunk", "doc_id", "lang", "text", *COUNTS])
+
+    def different(batches):
         for batch in batches:
-            for chunk, words, times in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                keys, sizes = grams(words.split(b" "), ORDER)
-                found, at = np.unique(keys, return_inverse=True)
-                n = np.bincount(at, np.repeat(np.frombuffer(times, np.int64), sizes), len(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found), pa.array(n.astype(np.int64))], names=["chunk", "gram", "n"])
+            chunks = batch.column("chunk").to_numpy()
+            keys, sizes = grams([t.split() for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            of = np.repeat(chunks, sizes)
+            for c in np.unique(chunks):
+                found = np.unique(keys[of == c])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), c)), pa.array(found)], names=["chunk", "gram"])
 
-    return chunks.where("words is not null").select("chunk", "words", "times").mapInArrow(run, "chunk bigint, gram bigint, n bigint")
+    def joined(rows: pa.Table, known: pa.Table) -> pa.Table:
+        have, logp = known.column("gram").to_numpy(), known.column("logp").to_numpy()
+        order = np.argsort(have)
+        keys, sizes = grams([t.split() for t in rows.column("text").cast(pa.binary()).to_pylist()])
+        ppl = perplexities(looked_up(keys, have[order], logp[order]), sizes)
+        return rows.select(["doc_id", "lang", *COUNTS]).append_column("log_ppl", ppl)
 
+    chunks = stored(docs.mapInArrow(chunked, f"chunk bigint, doc_id {kind}, lang string, text string, {', '.join(f'{c} bigint' for c in COUNTS)}"), "chunks")
+    asked = chunks.select("chunk", "text").mapInArrow(different, "chunk bigint, gram bigint").distinct()
+    known = asked.join(probabilities, "gram").select("chunk", "gram", "logp")
+    return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, {RESULT}")
 
-def scored(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang) -> doc_id, lang, the base counts and log_ppl (null without words)."""
-    chunks = stored(chunked(docs), "chunks")
-    found = stored(chunk_grams(chunks), "chunk-grams")
-    logs = found.select("chunk", "gram").join(joined_model(found.groupBy("gram").agg(F.sum("n").alias("n"))), "gram").select("chunk", "gram", "logp")
-
-    def run(rows: pa.Table, model: pa.Table) -> pa.Table:
-        of_word = np.zeros(0)
-        words = rows.column("words").drop_null().to_pylist()
-        if words:
-            have, logp = model.column("gram").to_numpy(), model.column("logp").to_numpy()
-            order = np.argsort(have)
-            words = words[0].split(b" ")
-            keys, sizes = grams(words, ORDER)
-            found = order[np.searchsorted(have, keys, sorter=order)]
-            if not np.array_equal(have[found], keys):
-                raise ValueError("an n-gram has no probability")
-            of_word = np.add.reduceat(logp[found], np.cumsum(sizes) - sizes)
-            bytes_of = sizes
-        own = rows.filter(rows.column("numbers").is_valid())
-        ppl = []
-        for blob in own.column("numbers").to_pylist():
-            numbers = unpacked(blob)
-            ppl.append(-float(of_word[numbers].sum()) / int(bytes_of[numbers].sum()) if len(numbers) else None)
-        return own.select(["doc_id", "lang", *COUNTS]).append_column("log_ppl", pa.array(ppl, pa.float64()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = chunks.select("chunk", "doc_id", "lang", *COUNTS, "numbers", "words")
-    return rows.groupBy("chunk").cogroup(logs.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, log_ppl double")
+RESULT = f"lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, log_ppl double"
+
+
+def scored(docs: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """docs (doc_id, text, lang) -> doc_id, lang, the base counts and log_ppl (null without words)."""
+    rows, path = prepared(docs), fresh_path(docs.sparkSession, "model")
+    model(gram_counts(docs)).sort("gram").write.parquet(path)
+    kept = docs.sparkSession.read.schema("gram bigint, logp double").parquet(path)
+    return score_mapped(rows, path) if kept.count() <= in_task else score_joined(rows, kept)
 
 
-def rules(docs: DataFrame) -> DataFrame:
+def rules(docs: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """docs (doc_id, text, lang) -> doc_id, counts, base_failed, kept, log_ppl, low_band, high_band."""
-    rows = stored(scored(docs), "scored")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    judged = rows.where("not base_failed")
-    marks = F.percentile_approx("log_ppl", [TAIL, 0.5, 1 - TAIL], 10_000)
-    overall = judged.agg(marks.alias("m")).select((F.col("m")[1] - F.col("m")[0]).alias("low_all"), (F.col("m")[2] - F.col("m")[1]).alias("high_all"))
-    bands = judged.groupBy("lang").agg(marks.alias("m"), F.count("*").alias("docs")).join(F.broadcast(overall))
-    wide = F.col("docs") < LEAST_DOCS
-    low = F.when(wide, F.greatest("low_all", F.col("m")[1] - F.col("m")[0])).otherwise(F.col("m")[1] - F.col("m")[0])
-    high = F.when(wide, F.greatest("high_all", F.col("m")[2] - F.col("m")[1])).otherwise(F.col("m")[2] - F.col("m")[1])
-    bands = bands.select("lang", (F.col("m")[1] - LOW_BAND * low).alias("low_band"), (F.col("m")[1] + HIGH_BAND * high).alias("high_band"))
+    rows = stored(scored(docs, in_task).withColumn("base_failed", failed), "scored")
+    judged = rows.where("not base_failed").select("lang", "log_ppl").distinct()
+    m = F.percentile_approx("log_ppl", [TAIL, 0.5, 1 - TAIL], 10_000)
+    low, high = F.col("m")[1] - LOW_BAND * (F.col("m")[1] - F.col("m")[0]), F.col("m")[1] + HIGH_BAND * (F.col("m")[2] - F.col("m")[1])
+    bands = judged.groupBy("lang").agg(m.alias("m")).select("lang", low.alias("low_band"), high.alias("high_band"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low_band"), F.col("high_band")), F.lit(True))
-    return rows.join(bands, "lang", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low_band", "high_band")
+    return rows.join(bands, "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low_band", "high_band")

@@ -17,12 +17,88 @@ def slow_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
 
 
-def test_model_is_a_distribution_and_sums_to_one(spark):
-    words = spark.createDataFrame([(bytearray(w), n) for w, n in [(b"abab", 5), (b"abc", 2), (b"ba", 9), (b"caab", 1), ("é".encode(), 3)]], "word binary, n long")
-    model = quality_lm.fit(quality_lm.gram_counts(words))
-    for context in [b"    ", b"  ab", b" zzz", b"abab", b"caba"]:
-        keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
-        assert np.exp(model.log_probability(keys)).sum() == pytest.approx(1, abs=1e-6)
+class Plain:
+    """Modified Kneser-Ney over the bytes of texts, with dictionaries and one recursion."""
+
+    def __init__(self, texts, order):
+        self.order, self.count = order, [Counter() for _ in range(order + 1)]
+        self.marked = [["^", *t] for t in texts]
+        for t in self.marked:
+            for end in range(1, len(t)):
+                k = min(order, end + 1)
+                self.count[k][tuple(t[end + 1 - k : end + 1])] += 1
+        for k in range(order - 1, 0, -1):
+            left = Counter(g[1:] for g in self.count[k + 1])
+            self.count[k] = Counter({g: n for g, n in self.count[k].items() if g[0] == "^"}) + left
+        self.total, self.kinds, self.cuts = [], [], []
+        for c in self.count:
+            total, kinds, of = Counter(), {}, [max(1, sum(1 for n in c.values() if n == i)) for i in range(1, 5)]
+            for g, n in c.items():
+                total[g[:-1]] += n
+                kinds.setdefault(g[:-1], Counter())[min(n, 3)] += 1
+            y = of[0] / (of[0] + 2 * of[1])
+            raw = [i - (i + 1) * y * of[i] / of[i - 1] for i in (1, 2, 3)]
+            self.total.append(total)
+            self.kinds.append(kinds)
+            self.cuts.append([0.0] + [min(max(d, 0.05), top) for d, top in zip(raw, (0.95, 1.9, 2.8))])
+
+    def p(self, gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / 256
+        below = self.p(gram[1:])
+        total = self.total[k][gram[:-1]]
+        if not total:
+            return below
+        n, d = self.count[k][gram], self.cuts[k]
+        return max(n - d[min(n, 3)], 0) / total + sum(d[i] * c for i, c in self.kinds[k][gram[:-1]].items()) / total * below
+
+    def log_ppl(self, text):
+        t = ["^", *text]
+        logs = [np.log(self.p(tuple(t[max(0, e + 1 - self.order) : e + 1]))) for e in range(1, len(t))]
+        return -sum(logs) / len(logs) if logs else None
+
+
+def running(text):
+    return b" ".join((text or "").encode().split())
+
+
+def mixed_texts(n):
+    rng = np.random.default_rng(3)
+    vocab = ["".join(rng.choice(list("abcdeé\x00"), int(rng.integers(1, 7)))) for _ in range(60)]
+    return [" ".join(rng.choice(vocab, int(rng.integers(1, 60)))) for _ in range(n)] + [None, " ", "a", "\x00\x00b", "ab cd ef", "ef cd ab"]
+
+
+def test_plain_model_sums_to_one():
+    m = Plain([running(t) for t in mixed_texts(20)], quality_lm.ORDER)
+    for context in [("^",), ("^", 97), tuple(b"ab ab"), tuple(b"zzzzz"), tuple("é a".encode())]:
+        assert sum(m.p((*context, b)) for b in range(256)) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("in_task", [1 << 24, 0])
+def test_perplexity_against_plain_model(spark, monkeypatch, in_task):
+    texts = mixed_texts(80)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    want = Plain([running(t) for t in texts], quality_lm.ORDER)
+    got = {r.doc_id: r.log_ppl for r in quality_lm.scored(docs, in_task).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == (pytest.approx(want.log_ppl(running(t)), abs=1e-8) if running(t) else None)
+    assert got[len(texts) - 2] != pytest.approx(got[len(texts) - 1], abs=1e-3)  # the order of words matters
+
+
+def test_same_verdicts_by_both_ways(spark):
+    docs = spark.createDataFrame([(i, (t or "") + " " + " ".join(str(k * i % 97) for k in range(60)), ["en", "de", None][i % 3], "x") for i, t in enumerate(mixed_texts(90))], "doc_id long, text string, lang string, chunk string")
+    mapped, joined = quality_lm.rules(docs).collect(), quality_lm.rules(docs, in_task=5).collect()
+    assert sorted(map(tuple, mapped)) == sorted(map(tuple, joined)) and len(mapped) == 96
+
+
+def test_bands_follow_one_rule(spark, monkeypatch):
+    """Copies count once, few documents are all inside, an outlier of a large language is not."""
+    rows = [("a", 2.0 + i / 1000, i) for i in range(100)] + [("a", 2.05, 200 + i) for i in range(900)] + [("a", 9.0, 5000), ("a", 0.5, 5001), ("b", 1.0, 5002), ("b", 8.0, 5003), ("c", 3.0, 5004)]
+    scored = spark.createDataFrame([(i, lang, 60, 0, 0, 0, 0, p) for lang, p, i in rows], f"doc_id long, {quality_lm.RESULT}")
+    monkeypatch.setattr(quality_lm, "scored", lambda docs, in_task: scored)
+    assert {r.doc_id for r in quality_lm.rules(scored).where("not kept").collect()} == {5000, 5001}
 
 
 def test_query_against_brute_force(spark, tmp_path):
@@ -43,26 +119,7 @@ def test_query_against_brute_force(spark, tmp_path):
     assert not kept[1006] and np.mean([kept[i] for i in range(300) if slow_counts(texts[i])[0] >= 50]) > 0.97
 
 
-def test_order_is_lowered_beyond_the_bound_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(quality_lm, "MODEL_ROWS", 12)
-    words = spark.createDataFrame([(bytearray(b"abcdefgh"), 1), (bytearray(b"hgfedcba"), 2)], "word binary, n long")
-    model = quality_lm.fit(quality_lm.gram_counts(words))
-    assert model.order < 5 and all(len(k) <= 12 for k, *_ in model.levels)
+def test_empty(spark):
     assert quality_lm.rules(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
-
-
-def test_scores_do_not_depend_on_the_bound_or_the_chunks(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    vocab = ["".join(rng.choice(list("abcdeé"), int(rng.integers(1, 9)))) for _ in range(400)]
-    rows = [(i, " ".join(rng.choice(vocab, int(rng.integers(1, 120)))), "en") for i in range(120)] + [(200, None, "en"), (201, " ", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = quality_lm.fit(quality_lm.gram_counts(quality_lm.word_counts(docs)))
-    want = {}
-    for i, text, _ in rows:
-        keys, _ = quality_lm.grams((text or "").encode().split(), quality_lm.ORDER)
-        want[i] = -model.log_probability(keys).mean() if len(keys) else None
-    monkeypatch.setattr(quality_lm, "MODEL_ROWS", 12)  # the former bound: no part in the scores any more
-    monkeypatch.setattr(quality_lm, "CHUNK", 2_000)
-    got = {r.doc_id: r.log_ppl for r in quality_lm.rules(docs).collect()}
-    assert got.keys() == want.keys() and len(got) == 122
-    assert all(got[i] == (None if w is None else pytest.approx(w, abs=1e-9)) for i, w in want.items())
+    only = spark.createDataFrame([(1, None, None), (2, " ", "en")], "doc_id long, text string, lang string")
+    assert [(r.kept, r.log_ppl) for r in quality_lm.rules(only).collect()] == [(False, None)] * 2
