@@ -13,5 +13,5 @@ HINT = r"[0-9][0-9.]{5}|@|[0-9a-f]{24}"
 
 def op4_token_counts(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    trees = stored(tokencount.build(table(spark, sf_dir, "documents"), path, pattern), "trees")
+    trees = stored(tokencount.build(table(spark, sf_dir, "documents"), path, pattern), "trees", "zstd")
     return tokencount.apply_edits(tokencount.redactions(trees, PRIVATE, "[redacted]", HINT), path, pattern)
