@@ -6,8 +6,9 @@ slide over each chunk, ReLU and a maximum over the chunk give one feature for ea
 has the mean and the maximum of its chunks' features, and a logistic unit makes one probability of
 them. Everything (embedding, filters, output) is fitted together by Adam on the log loss.
 
-The fit takes at most TRAIN_ROWS labelled rows, and of a training text at most TRAIN_CHUNKS chunks,
-evenly spread; scoring takes all chunks of all texts. The weights (some 10 KB) go to the tasks.
+Fit and scoring take all chunks of a text. The fit takes at most TRAIN_ROWS labelled rows and
+TRAIN_BYTES of whole texts, the first by a hash of the id that fit. The weights (some 10 KB) go to the
+tasks.
 
 Defined cases: null and empty texts are one chunk of padding and get a score like any other; without
 labelled rows of both classes the score is the share of label 1 (1.0 with no rows at all); other
@@ -20,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
+from .common import stored
 
 CHUNK, KERNEL, STRIDE, FILTERS, WIDTH, PAD = 512, 8, 4, 24, 6, 256
-TRAIN_ROWS, TRAIN_CHUNKS, STEPS, BATCH, RATE = 6000, 6, 700, 48, 4e-3
+TRAIN_ROWS, TRAIN_BYTES, STEPS, BATCH, RATE = 6000, 1 << 27, 700, 48, 4e-3
 AT_ONCE = 1024  # chunks that are scored at a time
 
 
@@ -35,15 +37,12 @@ def chunk_count(n: int) -> int:
     return 1 if n <= CHUNK else 1 + -(-(n - CHUNK) // (CHUNK - KERNEL))
 
 
-def chunks(data: bytes, pick: np.ndarray | None = None) -> np.ndarray:
-    """The chunks of a text (or those at `pick`) as rows of byte values, padded with PAD."""
-    n = chunk_count(len(data))
-    out = np.full((n, CHUNK), PAD, np.int16)
-    raw = np.frombuffer(data, np.uint8)
-    for i in range(n) if pick is None else pick:
-        part = raw[i * (CHUNK - KERNEL) : i * (CHUNK - KERNEL) + CHUNK]
-        out[i, : len(part)] = part
-    return out if pick is None else out[pick]
+def chunks(data: bytes) -> np.ndarray:
+    """The chunks of a text as rows of byte values, padded with PAD."""
+    step = CHUNK - KERNEL
+    padded = np.full((chunk_count(len(data)) - 1) * step + CHUNK, PAD, np.int16)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
 
 
 @dataclass
@@ -67,6 +66,15 @@ class Net:
         z = (self.windows(x) @ self.filters).reshape(len(x), -1, FILTERS)
         return np.maximum(z.max(axis=1) + self.bias, 0)
 
+    def peaks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk and filter the place of the highest response, and that response."""
+        where, raw = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+        for at in range(0, len(x), AT_ONCE):
+            z = (self.windows(x[at : at + AT_ONCE]) @ self.filters).reshape(len(x[at : at + AT_ONCE]), -1, FILTERS)
+            where[at : at + AT_ONCE] = z.argmax(axis=1)
+            raw[at : at + AT_ONCE] = z.max(axis=1) + self.bias
+        return where, raw
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         counts = np.array([chunk_count(len(t)) for t in texts])
         total, high = np.zeros((len(texts), FILTERS), np.float32), np.zeros((len(texts), FILTERS), np.float32)
@@ -91,27 +99,24 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(float)))
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Net | float:
-    """Fits a network on texts given as chunk arrays; -> the share of ones if there's one class only."""
+def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Net | float:
+    """Fits a network on whole texts; -> the share of ones if there's one class only."""
     if len(set(labels.tolist())) < 2:
         return float(labels.mean()) if len(labels) else 1.0
     rng = np.random.default_rng(seed)
     f32 = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     net = Net(f32(257, WIDTH, scale=0.5), f32(KERNEL * WIDTH, FILTERS, scale=0.15), np.zeros(FILTERS, np.float32), f32(2 * FILTERS, scale=0.1), np.zeros(1, np.float32))
     first, second = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()]
-    places, step = (CHUNK - KERNEL) // STRIDE + 1, 0
-    for _ in range(-(-STEPS * BATCH // len(samples))):
-        order = rng.permutation(len(samples))
+    step = 0
+    for _ in range(-(-STEPS * BATCH // len(texts))):
+        order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            x, y = np.concatenate([samples[i] for i in pick]), labels[pick].astype(np.float32)
-            counts = np.array([len(samples[i]) for i in pick])
+            samples, y = [chunks(texts[i]) for i in pick], labels[pick].astype(np.float32)
+            x, counts = np.concatenate(samples), np.array(list(map(len, samples)))
             starts = np.cumsum(counts) - counts
             of = np.repeat(np.arange(len(pick)), counts)
-            win = net.windows(x)
-            z = (win @ net.filters).reshape(len(x), places, FILTERS)
-            where = z.argmax(axis=1)  # (chunks, FILTERS)
-            raw = np.take_along_axis(z, where[:, None, :], 1)[:, 0] + net.bias
+            where, raw = net.peaks(x)
             feat = np.maximum(raw, 0)
             mean, high = np.add.reduceat(feat, starts) / counts[:, None], np.maximum.reduceat(feat, starts)
             p = 1 / (1 + np.exp(-np.clip(np.concatenate([mean, high], 1) @ net.out + net.out_bias, -30, 30)))
@@ -120,13 +125,13 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Net | f
             d_feat = (dz[:, None] * net.out[:FILTERS] / counts[:, None])[of]
             d_feat += np.where(feat == high[of], (dz[:, None] * net.out[FILTERS:])[of], 0)
             d_feat = np.where(raw > 0, d_feat, 0).astype(np.float32)
-            chosen = (np.arange(len(x))[:, None] * places + where).ravel()
-            g_filters = np.zeros_like(net.filters)
-            rows = win[chosen].reshape(len(x), FILTERS, -1)
-            g_filters = np.einsum("cfk,cf->kf", rows, d_feat, optimize=True)
-            d_rows = (d_feat[:, :, None] * net.filters.T[None]).reshape(-1, KERNEL, WIDTH)
-            offset = where.ravel() * STRIDE
-            ids = x[np.repeat(np.arange(len(x)), FILTERS)[:, None], offset[:, None] + np.arange(KERNEL)]
+            # Only windows that pass something back: where a filter's response is positive.
+            chunk, filt = np.nonzero(d_feat)
+            passed = d_feat[chunk, filt]
+            ids = x[chunk[:, None], where[chunk, filt][:, None] * STRIDE + np.arange(KERNEL)]
+            rows = net.table[ids].reshape(len(ids), -1)
+            g_filters = np.stack([passed[filt == f] @ rows[filt == f] for f in range(FILTERS)], 1)
+            d_rows = (passed[:, None] * net.filters.T[filt]).reshape(-1, KERNEL, WIDTH)
             g_table = np.stack([np.bincount(ids.ravel(), d_rows[:, :, k].ravel(), 257) for k in range(WIDTH)], 1)
             step += 1
             rate = RATE * max(0.2, 1 - step / STEPS)
@@ -138,22 +143,14 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Net | f
     return net
 
 
-def train(sample: DataFrame) -> Net | float:
-    """sample (text, label), bounded by its maker -> a fitted network."""
-
-    def run(batches):
-        for big in batches:
-            for batch in slices(big, "text"):
-                out = []
-                for t in batch.column("text").cast(pa.binary()).to_pylist():
-                    n = chunk_count(len(t))
-                    pick = np.unique(np.linspace(0, n - 1, min(n, TRAIN_CHUNKS)).round().astype(int))
-                    out.append(chunks(t, pick).astype("<i2").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), batch.column("label")], names=["doc_id", "chunks", "label"])
-
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, chunks binary, label int").toArrow().sort_by([("doc_id", "ascending")])
-    return fit([np.frombuffer(c, "<i2").reshape(-1, CHUNK) for c in rows.column("chunks").to_pylist()], np.array(rows.column("label").to_pylist(), int))
+def train(sample: DataFrame, most: int = TRAIN_BYTES) -> Net | float:
+    """sample (doc_id, text, label), whose rows its maker bounds -> a network fitted on those of its texts
+    that together have at most `most` bytes."""
+    sample = stored(sample.select("doc_id", "text", "label"), "sample")
+    by_hash = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    rows = sample.withColumn("upto", F.sum(F.octet_length("text")).over(by_hash)).where(F.col("upto") <= most)
+    rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return fit([t or b"" for t in rows.column("text").to_pylist()], np.array(rows.column("label").to_pylist(), int))
 
 
 def with_score(docs: DataFrame, net: Net | float, column: str = "score", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ def test_gradient_step_lowers_loss_and_score_matches_a_plain_convolution():
     rng = np.random.default_rng(0)
     texts = [bytes(rng.integers(97, 122, 700)) if i % 2 else b"## junk $$ " * 60 for i in range(200)]
     labels = np.array([i % 2 for i in range(200)])
-    net = quality_cnn.fit([quality_cnn.chunks(t) for t in texts], labels)
+    net = quality_cnn.fit(texts, labels)
     s = net.score(texts)
     assert ((s > 0.5) == labels).mean() > 0.98
     x = quality_cnn.chunks(texts[1])
@@ -42,8 +42,28 @@ def test_query_on_a_fixture(spark, tmp_path):
     assert held and np.mean([r.predicted == (r.doc_id % 3 > 0) for r in held]) > 0.95
 
 
+def test_a_passage_anywhere_in_a_long_training_text_counts(spark):
+    """Texts of twenty chunks differ in one of them; whichever that is, the fit has to see it."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(120):
+        words = ["".join(w) for w in rng.choice(list("abcdefghijk"), (2000, 4))]
+        if i % 2 == 0:
+            at = int(rng.integers(0, 1940))
+            words[at : at + 40] = ["#$%&"] * 40
+        rows.append((i, " ".join(words), i % 2))
+    net = quality_cnn.train(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert ((net.score([t.encode() for _, t, _ in rows]) > 0.5) == [y for _, _, y in rows]).mean() > 0.95
+
+
+def test_training_bytes_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_cnn, "fit", lambda texts, labels: seen.append(sum(map(len, texts))) or 0.5)
+    quality_cnn.train(spark.createDataFrame([(i, "x" * 100, i % 2) for i in range(50)], "doc_id long, text string, label int"), most=1050)
+    assert seen == [1000]
+
+
 def test_one_class_and_empty(spark):
-    assert quality_cnn.fit([], np.array([])) == 1.0 and quality_cnn.fit([quality_cnn.chunks(b"a")], np.array([1])) == 1.0
+    assert quality_cnn.fit([], np.array([])) == 1.0 and quality_cnn.fit([b"a"], np.array([1])) == 1.0
     d = spark.createDataFrame([(1, None, 2)], "doc_id long, text string, z int")
     assert [tuple(r) for r in quality_cnn.with_score(d, 0.5).collect()] == [(1, None, 2, 0.5)]
     assert quality_cnn.with_score(d.limit(0), 0.5).collect() == []
