@@ -3,8 +3,9 @@
 Voters look at whole texts. Lexicon voters fire on a word, pattern voters on words that begin with a
 given stem or on a shape of the text (exclamation runs, shouting, ...); a last voter speaks for "clean"
 where no lexicon or stem voter fires. Words and stems are mined from labelled training rows: Spark
-counts in how many toxic and clean texts each stands, and those with enough support and precision
-become voters, besides the fixed words in SEEDS.
+counts in how many toxic and clean texts each stands, and all that stand in at least SUPPORT toxic texts
+and SUPPORT_SHARE of them, PRECISION of their texts being toxic, become voters, besides the fixed words in
+SEEDS; a word or stem that begins with a stronger stem says nothing new and is left out.
 
 A generative label model takes the votes as drawn from one Gaussian for each hidden class with a
 shared covariance: class means are the voters' accuracies, the covariance their correlations, so
@@ -12,8 +13,9 @@ voters that always fire together count once. EM estimates means, covariance and
 votes alone, starting from the majority vote. Its posteriors are the labels of a linear (logistic)
 classifier over the same voters, fitted by Newton steps with a ridge. Labels take part in mining only.
 
-Bounds: at most TRAIN_ROWS labelled rows for the fit, MINED candidates and VOTERS voters; the model (some 50 KB) goes to
-the tasks. Scoring reads all words of all texts.
+Bounds: at most TRAIN_ROWS labelled rows for the fit, of whole texts. A voter stands in a share of the toxic
+ones, so voters don't grow in number with the rows. The model (some 50 KB) goes to the tasks. Scoring
+reads all words of all texts.
 
 Defined cases: null and empty texts fire no voter but the last; without labelled rows only SEEDS and
 shapes vote; if no training text exists at all every score is 0.0; other input columns pass through;
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
+from .common import stored
 
-TRAIN_ROWS, VOTERS, MINED, SUPPORT, PRECISION = 10_000, 240, 3000, 5, 0.9
+TRAIN_ROWS, SUPPORT, SUPPORT_SHARE, PRECISION = 10_000, 5, 0.005, 0.9
 STEMS = range(3, 9)  # lengths of the stems that are mined
 SEEDS = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -102,14 +105,17 @@ def mine(sample: DataFrame) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([counts[0][k] for k in rest], pa.int64())], names=["trait", "toxic", "clean"])
 
     found = sample.select("text", "label").mapInArrow(run, "trait string, toxic bigint, clean bigint").groupBy("trait").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = found.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + 0.5)))
+    least = max(SUPPORT, SUPPORT_SHARE * sample.where("label = 1").count())
+    found = found.where((F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + 0.5)))
     strength = F.col("toxic") * F.log((F.col("toxic") + 1) / (F.col("clean") + 1))
-    top = found.orderBy(strength.desc(), F.length("trait"), "trait").limit(MINED).select("trait").collect()
     chosen: list[str] = []
-    for (trait,) in top:  # a word or stem says nothing new beside a stronger stem that it begins with
-        if not any(trait[1:].startswith(c[1:]) for c in chosen if c[0] == "^"):
+    stems: set[str] = set()
+    for (trait,) in found.orderBy(F.round(strength, 9).desc(), F.length("trait"), "trait").select("trait").collect():
+        if not any(trait[1 : 1 + k] in stems for k in STEMS):
             chosen.append(trait)
-    return list(dict.fromkeys(chosen[: VOTERS - len(SEEDS)] + ["=" + s for s in SEEDS]))
+            if trait[0] == "^":
+                stems.add(trait[1:])
+    return list(dict.fromkeys(chosen + ["=" + s for s in SEEDS]))
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12, ridge: float = 0.02) -> np.ndarray:
@@ -141,6 +147,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12)
 
 def train(sample: DataFrame) -> Model:
     """sample (doc_id, text, label), bounded by its maker -> a fitted model."""
+    sample = stored(sample.select("doc_id", "text", "label"), "sample")
     voters = mine(sample)
     model = Model(voters, np.zeros(len(voters) + len(SHAPES) + 1), 0.0)
     kind = sample.schema["doc_id"].dataType.simpleString()
