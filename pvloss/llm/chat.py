@@ -13,13 +13,14 @@ gives the text back exactly. Roles also rewrite \\n, which ends the role in the
 Defined cases: a null text, role, part or part array counts as empty; a null turn sorts first;
 equal turns are ordered by role, then by the rendered text; repeated rows are kept; a null
 conversation id is a conversation of its own; further input columns are ignored; empty tables give
-empty results. One conversation becomes one string, so its rows meet in one task at the end; each
-message is rendered before that, row by row.
+empty results. Messages are rendered row by row, and placed by a window that streams over a conversation;
+format_chats() makes one string of each conversation, so its messages meet in one row at the end, in time
+linear in their size. Where conversations are too large for one row, messages() is the result to keep.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ESC = "␛"
@@ -71,38 +72,30 @@ def visit_parts(parts: Column) -> Column:
     )
 
 
-def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """messages (conv_id, turn, role, parts) -> conv_id, formatted, loss_spans, attachments,
-    attachment_tokens, n_turns. loss_spans are (start, length) in characters of `formatted`, one for
-    each message of a role in loss_roles, over its body alone."""
-    rendered = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), visit_parts(F.col("parts")).alias("v"))
-    rendered = rendered.select(
+def messages(rows: DataFrame) -> DataFrame:
+    """rows (conv_id, turn, role, parts) -> conv_id, message (its number from 0), role, head, body,
+    attachments, attachment_tokens, start: where each message stands in its conversation's string."""
+    found = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), visit_parts(F.col("parts")).alias("v"))
+    found = found.select("conv_id", "turn", "role", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), "v.body", "v.attachments", "v.attachment_tokens")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body", F.to_json("attachments"))
+    size = F.length("head") + F.length("body") + len(END)
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    return found.select("conv_id", (F.row_number().over(order) - 1).alias("message"), "role", "head", "body", "attachments", "attachment_tokens", before.alias("start"))
+
+
+def format_chats(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """rows (conv_id, turn, role, parts) -> conv_id, formatted, loss_spans, attachments, attachment_tokens,
+    n_turns. loss_spans are (start, length) in characters of `formatted`, one for each message of a role in
+    loss_roles, over its body alone."""
+    span = F.struct((F.col("start") + F.length("head")).alias("start"), F.length("body").cast("bigint").alias("length"))
+    one = F.struct("message", F.concat("head", "body", F.lit(END)).alias("text"), F.when(F.col("role").isin(*loss_roles), span).alias("span"), "attachments", "attachment_tokens")
+    chats = messages(rows).select("conv_id", one.alias("m")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    return chats.select(
         "conv_id",
-        F.struct(
-            "turn",
-            "role",
-            F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"),
-            F.col("v.body").alias("body"),
-            F.col("v.attachments").alias("attachments"),
-            F.col("v.attachment_tokens").alias("tokens"),
-        ).alias("m"),
-    )
-    chats = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    size = lambda m: F.length(m["head"]) + F.length(m["body"]) + len(END)
-    # Starts of the messages: a running sum over the lengths.
-    starts = F.aggregate(
-        F.col("ms"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, m: F.struct((acc["at"] + size(m)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-    )["all"]
-    spans = F.transform(F.arrays_zip(F.col("ms").alias("m"), F.col("starts").alias("s")), lambda x: F.struct((x["s"] + F.length(x["m"]["head"])).alias("start"), F.length(x["m"]["body"]).alias("length"), x["m"]["role"].alias("role")))
-    spans = F.transform(F.filter(spans, lambda x: x["role"].isin(*loss_roles)), lambda x: F.struct(x["start"], x["length"]))
-    return chats.withColumn("starts", starts).select(
-        "conv_id",
-        F.array_join(F.transform("ms", lambda m: F.concat(m["head"], m["body"], F.lit(END))), "").alias("formatted"),
-        spans.alias("loss_spans"),
-        F.flatten(F.transform("ms", lambda m, i: F.transform(m["attachments"], lambda a: F.struct(i.cast("int").alias("message"), a["part"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens"))))).alias("attachments"),
-        F.aggregate("ms", F.lit(0).cast("bigint"), lambda acc, m: acc + m["tokens"]).alias("attachment_tokens"),
+        F.array_join("ms.text", "").alias("formatted"),
+        F.filter("ms.span", lambda s: s.isNotNull()).alias("loss_spans"),
+        F.flatten(F.transform("ms", lambda m: F.transform(m["attachments"], lambda a: F.struct(m["message"].alias("message"), a["part"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens"))))).alias("attachments"),
+        F.aggregate("ms.attachment_tokens", F.lit(0).cast("bigint"), lambda acc, n: acc + n).alias("attachment_tokens"),
         F.size("ms").cast("bigint").alias("n_turns"),
     )
 
@@ -122,7 +115,7 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between the spans."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
 def digest(chats: DataFrame) -> DataFrame:

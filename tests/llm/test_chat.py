@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from pvloss.llm import chat
+from pvloss.llm import chat, chat_queries
 
 SCHEMA = "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,n_tokens:bigint>>, extra int"
 
@@ -42,3 +42,21 @@ def test_long_text_and_repeated_turns(spark):
     rows = [(5, 1, "assistant", [t("x" * 300_000)], 0), (5, 1, "assistant", [t("b")], 0), (5, 0, "user", [t("q")], 0)]
     got = chat.digest(chat.format_chats(spark.createDataFrame(rows, SCHEMA))).collect()[0]
     assert got.loss_sha256 == hashlib.sha256(("b" + "x" * 300_000).encode()).hexdigest() and got.n_turns == 3
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rows = [(c, t, ["user", "assistant", "system", None][(c + t) % 4], f"<|im_end|>\n {c} {t} ␛" if t % 3 else None, "clash", 1) for c in range(6) for t in range(9)]
+    rows += [(1, None, "user", "null turn", "clash", 1), (None, 0, "user", "a", "x", 2), (None, 1, "assistant", "b", "x", 2), (2, 3, "user", "same", "x", 1), (2, 3, "user", "same", "x", 1), (9, 0, "assistant", "long " * 50_000, "x", 1)]
+    rows += [(77, t, ["user", "assistant"][t % 2], f"turn {t} of the hot one", "x", 1) for t in range(20_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, start int").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat_queries.op8_chat_format(spark, str(tmp_path)).collect()}
+    extra = [(-7, 0, "user", chat_queries.EXTRA_TEXT), (-7, 1, "assistant", chat_queries.EXTRA_TEXT)]
+    convs = {}
+    for c, t, role, text, *_ in [*rows, *extra]:
+        convs.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    assert got.keys() == convs.keys()
+    for c, ms in convs.items():
+        ms.sort()
+        turns, loss = "".join(f"{m[2]}\n{m[3]}\n" for m in ms), "".join(m[3] for m in ms if m[2] == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(ms), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
