@@ -39,16 +39,17 @@ def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
 BROADCAST_IDS, SLOTS = 1_000_000, 1 << 22
 
 
-def without_ids(docs: DataFrame, away: DataFrame, most: int = BROADCAST_IDS, slots: int = SLOTS) -> DataFrame:
-    """The rows of docs whose doc_id is not in away (doc_id, null like any other value). Up to `most` ids are
-    broadcast. More are hashed into `slots` places, whose list is broadcast: rows at a free place stay
-    without a shuffle, only the others are shuffled by id to be compared exactly."""
-    ids = stored(away.select(F.col("doc_id").alias("away")).distinct(), "away")
-    same = docs["doc_id"].eqNullSafe(ids["away"])
-    if ids.count() <= most:
-        return docs.join(F.broadcast(ids), same, "left_anti")
+def split_by_ids(docs: DataFrame, some: DataFrame, key: str = "doc_id", most: int = BROADCAST_IDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """docs whose key is not in `some` (a column named key; null is a value like any other), and those whose
+    key is. Up to `most` keys are broadcast. More are hashed into `slots` places, whose list is broadcast:
+    rows at a free place stay without a shuffle, only the others are shuffled to be compared exactly."""
+    keys = stored(some.select(F.col(key).alias("_some")).distinct(), "keys")
+    same = docs[key].eqNullSafe(keys["_some"])
+    if keys.count() <= most:
+        return docs.join(F.broadcast(keys), same, "left_anti"), docs.join(F.broadcast(keys), same, "left_semi")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
-    taken = ids.select(place("away").alias("taken")).distinct()
-    free = docs.join(F.broadcast(taken), place(docs["doc_id"]) == taken["taken"], "left_anti")
-    near = docs.join(F.broadcast(taken), place(docs["doc_id"]) == taken["taken"], "left_semi")
-    return free.unionByName(near.join(ids, near["doc_id"].eqNullSafe(ids["away"]), "left_anti"))
+    taken = F.broadcast(keys.select(place("_some").alias("_taken")).distinct())
+    at = place(docs[key]) == taken["_taken"]
+    near = docs.join(taken, at, "left_semi")
+    exact = near[key].eqNullSafe(keys["_some"])
+    return docs.join(taken, at, "left_anti").unionByName(near.join(keys, exact, "left_anti")), near.join(keys, exact, "left_semi")

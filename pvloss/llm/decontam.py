@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without_ids
+from .common import split_by_ids
 
 MASKS = ("110100000111", "1110111")
 WINDOW, SLACK, SHORT = 16, 3, 13
@@ -118,5 +118,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose id has no leak; rows of a null id are judged together."""
-    return without_ids(docs, leaks(docs, benchmark))
+    """The rows of docs whose text has no leak. Texts are told apart by their digest, so rows of a repeated
+    or null id are judged one by one."""
+    keyed = docs.withColumn("_text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    found = leaks(keyed.select(F.col("_text").alias("doc_id"), "text"), benchmark)
+    return split_by_ids(keyed, found.select(F.col("doc_id").alias("_text")), "_text")[0].drop("_text")

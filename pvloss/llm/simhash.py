@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import stored
+from .common import split_by_ids, stored
 from .components import connected_components
 
 SEED = 42
@@ -55,17 +56,19 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> doc_id, fp (the 64 bits as a signed bigint)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """docs (text and more) -> its columns but for text, and fp (the 64 bits as a signed bigint)."""
+    names = [c for c in docs.columns if c not in ("text", "fp")]
+    rows = docs.select(*names, F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches):
         for big in batches:
             for batch in slices(big, "text"):
                 fps = np.array([fingerprint(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(fps.view(np.int64))], names=[*names, "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, schema)
 
 
 def near_lanes(queries: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,18 +195,35 @@ COMMON, SHARE = 100_000, 1000
 
 
 def components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """docs (doc_id bigint, text) -> doc_id, fp, component_id."""
-    prints = stored(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), shingle), "fingerprints")
+    """docs (doc_id bigint, text) -> doc_id, fp, component_id, root (a fingerprint that names the component)."""
+    prints = stored(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), shingle), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
     roots = connected_components(links(distinct, radius))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = stored(placed.join(names, "root").select("fp", "n", "component_id"), "known")
+    known = stored(placed.join(names, "root").select("fp", "n", "component_id", "root"), "known")
     # A fingerprint of very many rows would send them all to one task. Those of over a SHARE-th of all rows
     # are under SHARE in number, so they are broadcast.
     least = F.greatest(F.lit(COMMON), F.col("total") / SHARE)
-    common = known.join(F.broadcast(known.agg(F.sum("n").alias("total")))).where(F.col("n") > least).select(F.col("fp").alias("common"), F.col("component_id").alias("of_common"))
+    common = known.join(F.broadcast(known.agg(F.sum("n").alias("total")))).where(F.col("n") > least).select(F.col("fp").alias("common"), F.col("component_id").alias("of_common"), F.col("root").alias("root"))
     common = stored(common, "common")
     rows = prints.join(F.broadcast(common), F.col("fp") == F.col("common"), "left")
-    rare = rows.where("common is null").select("doc_id", "fp").join(known.select("fp", "component_id"), "fp")
-    return rows.where("common is not null").select("doc_id", "fp", F.col("of_common").alias("component_id")).unionByName(rare.select("doc_id", "fp", "component_id"))
+    rare = rows.where("common is null").select("doc_id", "fp").join(known.select("fp", "component_id", "root"), "fp")
+    return rows.where("common is not null").select("doc_id", "fp", F.col("of_common").alias("component_id"), "root").unionByName(rare.select("doc_id", "fp", "component_id", "root"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One row of docs (doc_id bigint, text and more) for each component: that of the smallest id. Ids that are
+    neither null nor repeated, as a rule all, are told by their id alone, and their texts are not shuffled.
+    Of rows with the same id one of each component that it names stays, of components of null ids one row."""
+    found = stored(components(docs, shingle, radius), "components")
+    several = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "several")
+    away = found.where("doc_id <> component_id").select("doc_id").union(several)
+    alone = split_by_ids(docs, away)[0]
+    if several.isEmpty():
+        return alone
+    rows = split_by_ids(docs, several)[1]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    known = found.select("fp", "component_id", "root").distinct()
+    kept = fingerprints(rows.select("doc_id", "text", whole), shingle).join(known, "fp").where("component_id is null or component_id = doc_id").dropDuplicates(["root"])
+    return alone.unionByName(kept.select("row.*"))

@@ -56,3 +56,23 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
     assert toxicity.TRAIN_ROWS and quality_cnn.TRAIN_ROWS
+
+
+def test_stages_on_null_ids_repeated_rows_and_more_columns(spark, tmp_path):
+    """Nulls in every column, an empty text, a very long one, repeated rows and a column that a stage uses."""
+    item = " ".join(f"item{i}" for i in range(20))
+    plain = " ".join(f"plain{i}" for i in range(80))
+    rows = [(None, plain, None, None, None, 1), (None, plain, "en", "s", 1, 2), (1, None, "en", "s", 1, 3), (2, "", None, "s", None, 4), (3, "lone " * 70_000, "en", "s", 5, 5)]
+    rows += [(4, "four " + plain[::-1], "en", "s", 1, 6)] * 2 + [(None, f"null id with {item}", "en", "s", 1, 7), (6, item, "en", "s", 1, 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, item), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+        kept.append(docs.count())
+    # One class of labels: nobody is rejected. Copies and repeated rows go, then the two texts with the item.
+    assert kept == [9, 9, 6, 4]
+    got = sorted((str(r.doc_id), r.n_tokens > 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == [("1", False), ("3", True), ("4", True), ("None", True)]

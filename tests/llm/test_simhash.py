@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pvloss.llm import simhash, simhash_queries
+from pvloss.llm.common import split_by_ids
 from pvloss.llm.components import connected_components
 
 
@@ -107,6 +108,25 @@ def test_null_ids_take_part_and_common_fingerprints(spark, monkeypatch):
         assert [r.doc_id for r in got if r.component_id is None] == [None]
 
 
+def test_one_of_each_keeps_one_row_of_every_component(spark):
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(60)) for x in "abcd")
+    # 5 is repeated: it names the component of text a, and in that of b it gives way to 2.
+    rows = [(5, a, "x"), (5, a, "x"), (5, b, "y"), (9, a, "x"), (2, b, "z"), (None, b, "n"), (None, c, "n"), (None, c, "m"), (7, d, None), (8, None, "e"), (3, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    got = simhash.one_of_each(docs).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("5", a), ("2", b), ("None", c), ("7", d), ("3", "")])
+    assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_split_by_ids_beyond_the_broadcast(spark):
+    docs = spark.createDataFrame([(i if i % 50 else None, f"t{i}") for i in range(500)], "doc_id long, text string")
+    some = spark.createDataFrame([(i,) for i in range(3, 400, 7)] + [(None,), (3,)], "doc_id long")
+    want = sorted((r.doc_id or -1, r.text) for r in docs.collect() if r.doc_id is not None and not (r.doc_id < 400 and r.doc_id % 7 == 3))
+    for most, slots in [(1000, 8), (5, 64), (5, 1)]:
+        without, of = split_by_ids(docs, some, most=most, slots=slots)
+        assert sorted((r.doc_id or -1, r.text) for r in without.collect()) == want and of.count() == 500 - len(want)
+
+
 def test_empty(spark):
     assert simhash.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
