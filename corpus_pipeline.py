@@ -4,6 +4,11 @@ stays, documents with benchmark passages go, the rest is encoded.
 Each stage takes the documents that the stage before kept and returns the columns of documents; the
 last returns the digests of the encoded ids. Classifiers are fitted on labelled rows of the stage's own
 input. run() writes every stage to the shared folder and reads it back for the next.
+
+Defined cases: null and empty texts are documents like any other (one near-duplicate group of their own);
+rows of a null or repeated id are judged one by one, and the near-duplicate stage keeps one row of each
+group; columns other than COLUMNS are dropped; without labels of both classes no document is rejected for
+quality, and without labels of toxic ones only fixed words tell; empty tables give no rows.
 """
 
 from pyspark.sql import functions as F
@@ -28,10 +33,8 @@ def good_quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Keeps of each SimHash component the document that names it: the smallest id."""
-    found = simhash.components(docs.select("doc_id", "text"))
-    away = found.where("doc_id <> component_id").select(F.col("doc_id").alias("away")).distinct()
-    return docs.select(*COLUMNS).join(away, F.col("doc_id") == F.col("away"), "left_anti")
+    """Keeps of each SimHash component one row: that of the smallest id, or any where all ids are null."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def decontaminated(spark, docs, sf_dir):
