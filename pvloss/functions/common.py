@@ -48,7 +48,7 @@ def middle(values: Column) -> Column:
 
 def rolling_median(value: Column, window, min_n: int) -> Column:
     """Median of the known values of a frame, null under min_n of them."""
-    values = F.array_sort(F.collect_list(value).over(window))
+    values = F.sort_array(F.collect_list(value).over(window))
     return F.when(F.size(values) >= min_n, middle(values))
 
 
@@ -85,8 +85,14 @@ def draw(*parts: Column) -> Column:
 
 
 def fresh(spark, label: str) -> str:
-    """A new path in the shared folder of the session; in a local temporary folder where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pvloss-")
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a
+    session on one machine (as in tests) gets a new local one; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pvloss-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

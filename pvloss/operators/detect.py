@@ -7,29 +7,41 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import KEYS, by, calendar_window, day_number, islands, odd, robust_sigma, rolling_median, spine, stored, true, z
+from ..functions.common import KEYS, by, calendar_window, day_number, islands, odd, robust_sigma, rolling_median, stored, true, z
 from ..functions.settings import DEFAULT, Settings
-from .reference import calibrate, find_outages, relative_residuals
+from .reference import calibrate, find_outages, with_residuals
+
+
+def trend_widths(s: Settings = DEFAULT) -> dict[int, int]:
+    """The days of the trend that each window's noise is measured around."""
+    return {w: max(s.trend_window_days, odd(s.trend_window_multiple * w)) for w in s.windows_days}
 
 
 def noise_profile(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """keys, window_days, se, threshold, detection_limit, rounded to five decimals as they are used."""
-    parts = []
-    for w in s.windows_days:
-        resid = relative_residuals(f, "pi_clear", max(s.trend_window_days, odd(s.trend_window_multiple * w)), s.trend_min_clear_days, keys)
-        full = spine(resid, keys).join(resid, [*keys, "date"], "left")
-        medians = full.select(*keys, "date", rolling_median(F.col("resid"), calendar_window(keys, odd(w)), s.smoothing_min_clear_days).alias("m"))
-        se = f.select(*keys).distinct().join(robust_sigma(medians, "m", keys, "se"), [*keys], "left")
-        threshold = F.when(F.col("se").isNotNull(), F.greatest(F.lit(s.min_shortfall_fraction), z(1 - s.false_alarm_rate) * F.col("se")))
-        parts.append(se.select(*keys, F.lit(w).alias("window_days"), F.round("se", 5).alias("se"), F.round(threshold, 5).alias("threshold"), F.round(threshold + z(s.power) * F.col("se"), 5).alias("detection_limit")))
-    return reduce(DataFrame.unionByName, parts)
+    """keys, window_days, se, threshold, detection_limit, rounded to five decimals as they are used. f has
+    every calendar day; residuals that it holds already are taken as they are."""
+    trend = trend_widths(s)
+    missing = [t for t in trend.values() if f"resid{t}" not in f.columns]
+    d = with_residuals(f.select(*keys, "date", "pi_clear", *[f"resid{t}" for t in set(trend.values()) if t not in missing]), missing, s, keys)
+    medians = []
+    for w, t in trend.items():
+        resid, own = F.col(f"resid{t}"), by(keys, None)
+        first, last = (end(F.when(resid.isNotNull(), F.col("date"))).over(own) for end in (F.min, F.max))
+        median = F.when(F.col("date").between(first, last), rolling_median(resid, calendar_window(keys, odd(w)), s.smoothing_min_clear_days))
+        medians.append(F.struct(F.lit(w).alias("window_days"), median.alias("m")))
+    long = d.select(*keys, F.array(*medians).alias("ms")).select(*keys, F.explode("ms").alias("m")).select(*keys, "m.*")
+    all_keys = f.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, s.windows_days))).alias("window_days"))
+    se = all_keys.join(robust_sigma(long, "m", [*keys, "window_days"], "se"), [*keys, "window_days"], "left")
+    threshold = F.when(F.col("se").isNotNull(), F.greatest(F.lit(s.min_shortfall_fraction), z(1 - s.false_alarm_rate) * F.col("se")))
+    return se.select(*keys, "window_days", F.round("se", 5).alias("se"), F.round(threshold, 5).alias("threshold"), F.round(threshold + z(s.power) * F.col("se"), 5).alias("detection_limit"))
 
 
 def day_noise(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """keys, day_sigma, clear_share."""
-    resid = relative_residuals(f, "pi_clear", s.trend_window_days, s.trend_min_clear_days, keys)
+    name = f"resid{s.trend_window_days}"
+    known = f if name in f.columns else with_residuals(f, [s.trend_window_days], s, keys)
     share = f.groupBy(*keys).agg(F.round(F.count_if("clear") / F.greatest(F.count_if("valid"), F.lit(1)), 3).alias("clear_share"))
-    return share.join(robust_sigma(resid, "resid", keys, "day_sigma"), [*keys], "left").withColumn("day_sigma", F.round("day_sigma", 5))
+    return share.join(robust_sigma(known, name, keys, "day_sigma"), [*keys], "left").withColumn("day_sigma", F.round("day_sigma", 5))
 
 
 def smooth(f: DataFrame, value: str, days: int, name: str, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
@@ -114,8 +126,10 @@ def estimate_loss(f: DataFrame, s: Settings = DEFAULT, keys=KEYS, period: tuple[
 def analyse_frame(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """A frame with pi and clear -> the analysed frame: outages, reference, noise and shortfalls.
 
-    Each step reads the frame many times. The calibrated frame and the noise profile are written to the
-    shared folder, so that the plan stays as long as one step and doesn't grow with every analysis of an
-    analysed frame."""
-    c = stored(calibrate(find_outages(f.repartition(*keys), s, keys), s, keys), "calibrated")
-    return find_shortfalls(c.repartition(*keys), stored(noise_profile(c.repartition(*keys), s, keys), "noise"), s, keys).persist()
+    Each step reads the frame several times. The calibrated frame (with the residuals that both the reference
+    and the noise need) and the noise profile are written to the shared folder, so that the plan stays as
+    long as one step and doesn't grow with every analysis of an analysed frame."""
+    known = with_residuals(find_outages(f.repartition(*keys), s, keys), {s.trend_window_days, *trend_widths(s).values()}, s, keys)
+    c = stored(calibrate(stored(known, "outages"), s, keys), "calibrated")
+    noise = stored(noise_profile(c, s, keys), "noise")
+    return find_shortfalls(c.drop(*[x for x in c.columns if x.startswith("resid")]), noise, s, keys)

@@ -11,6 +11,10 @@ from ..functions.common import KEYS, spine, true
 from ..functions.settings import DEFAULT, Settings
 
 
+ENERGY, WEATHER = ("energy_kwh", "valid"), ("ghi", "clear_ghi", "clearness", "t2m_c", "precip_mm")
+FRAME = ("date", *ENERGY, *WEATHER, "model_kwh")  # of build_frame(), beside keys, pi and clear
+
+
 def clearness(weather: DataFrame) -> DataFrame:
     """Adds clearness = ghi / clear_ghi where clear_ghi is above zero."""
     return weather.withColumn("clearness", F.when(F.col("clear_ghi") > 0, F.try_divide("ghi", "clear_ghi")))
@@ -38,7 +42,7 @@ def on_calendar(daily: DataFrame, keys=KEYS) -> DataFrame:
 def build_frame(daily: DataFrame, weather: DataFrame, systems: DataFrame, s: Settings = DEFAULT, model: DataFrame | None = None, keys=KEYS) -> DataFrame:
     """daily (keys, date, energy_kwh, valid) left-joined with weather (keys, date, ...) and the model:
     the daily one, or `model` (keys, date, model_kwh) where hourly weather was used."""
-    f = daily.select(*keys, "date", "energy_kwh", "valid").join(clearness(weather).select(*keys, "date", "ghi", "clear_ghi", "clearness", "t2m_c", "precip_mm"), [*keys, "date"], "left")
+    f = daily.select(*keys, "date", *ENERGY).join(clearness(weather).select(*keys, "date", *WEATHER), [*keys, "date"], "left")
     if model is not None:
         return performance_index(f.join(model, [*keys, "date"], "left"), s)
     sites = systems.select("system_id", "latitude", "capacity_kwp")

@@ -32,10 +32,18 @@ def relative_residuals(df: DataFrame, value: str, window_days: int, min_n: int,
     return df.where(F.col(value).isNotNull()).select(*keys, "date", (F.try_divide(F.col(value), trend) - 1.0).alias("resid")).where("resid is not null")
 
 
+def with_residuals(f: DataFrame, widths, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """f (with pi_clear) and resid<width> of each width: relative_residuals() as columns, all of them in one
+    pass over the window; null where unknown."""
+    columns = {f"resid{w}": F.try_divide(F.col("pi_clear"), rolling_median(F.col("pi_clear"), calendar_window(keys, w), s.trend_min_clear_days)) - 1.0 for w in sorted(set(widths))}
+    return f.withColumns({name: F.when(F.col("pi_clear").isNotNull(), c) for name, c in columns.items()})
+
+
 def luck_allowance(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """keys, se_sustained, luck: what a high quantile of noise sits above the truth by chance."""
-    resid = relative_residuals(f, "pi_clear", s.trend_window_days, s.trend_min_clear_days, keys)
-    se = robust_sigma(sustained(resid, "resid", s, keys), "sustained", keys, "se_sustained")
+    name = f"resid{s.trend_window_days}"
+    known = f if name in f.columns else with_residuals(f, [s.trend_window_days], s, keys)
+    se = robust_sigma(sustained(known, name, s, keys), "sustained", keys, "se_sustained")
     all_keys = f.select(*keys).distinct()
     return all_keys.join(se, [*keys], "left").withColumn("luck", F.coalesce(z(s.reference_quantile) * F.col("se_sustained"), F.lit(0.0)))
 

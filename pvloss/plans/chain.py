@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import wraps
 
 from ..functions.common import odd, stored, z
 from ..functions.settings import DEFAULT as S
 from ..operators import detect, frame, reference
 from . import feeds
 
+_kept: dict[tuple, object] = {}
 
-#: Queries of one session share these frames; persisted blocks that are lost or dropped are computed again.
-shared = lru_cache(maxsize=8)
+
+def state(spark, sf_dir) -> tuple:
+    """Names, sizes and times of the files that the feeds read."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in feeds.TABLES])
+    return tuple(sorted(map(tuple, files.select("path", "length", "modificationTime").collect())))
+
+
+def shared(build):
+    """build(spark, sf_dir) written to the shared folder once for each session and state of the files below
+    sf_dir; queries of the session read the table. Nothing is held in memory."""
+
+    @wraps(build)
+    def get(spark, sf_dir):
+        key = (build, spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir))
+        if key not in _kept:
+            _kept[key] = stored(build(spark, sf_dir), build.__name__)
+        return _kept[key]
+
+    return get
+
+
+def forget() -> None:
+    """Later queries write their tables anew."""
+    _kept.clear()
 
 
 @shared
@@ -20,22 +43,21 @@ def base(spark, sf_dir):
     feed = feeds.daily(spark, sf_dir)
     daily = frame.on_calendar(feed.select("system_id", "date", "energy_kwh", "valid"))
     weather = feed.select("system_id", "date", "ghi", "clear_ghi", "t2m_c", "precip_mm")
-    return frame.build_frame(daily, weather, feeds.systems(spark, sf_dir)).persist()
+    return frame.build_frame(daily, weather, feeds.systems(spark, sf_dir))
 
 
-@shared
 def outages(spark, sf_dir):
-    return reference.find_outages(base(spark, sf_dir)).persist()
+    return reference.find_outages(base(spark, sf_dir))
 
 
 @shared
 def calibrated(spark, sf_dir):
-    return reference.calibrate(outages(spark, sf_dir)).persist()
+    return reference.calibrate(outages(spark, sf_dir))
 
 
 @shared
 def analysed(spark, sf_dir):
-    return stored(detect.analyse_frame(base(spark, sf_dir)), "analysed")
+    return detect.analyse_frame(base(spark, sf_dir))
 
 
 def _resid(name, source, value, days, least):

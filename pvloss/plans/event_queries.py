@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import stored
 from ..functions.settings import DEFAULT as S
 from ..operators import detect, events, loss_bootstrap, money
 from . import chain, feeds, range_queries
@@ -62,7 +61,7 @@ def loss_rows(spark, d):
 def intervals(spark, d):
     """V5's intervals of all chosen events."""
     f = faulty(spark, d)
-    return stored(events.event_intervals(f, chosen(spark, d, f)), "event-intervals")
+    return events.event_intervals(f, chosen(spark, d, f))
 
 
 def observed(spark, d):
