@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,30 +56,32 @@ def soiling_intervals(f: DataFrame, cuts: DataFrame, s: Settings = DEFAULT, keys
     return soiling_points(f, cuts, s, keys).where("usable").drop("usable")
 
 
-def theil_sen(points: DataFrame, keys=KEYS) -> DataFrame:
-    """keys, part, slope (median of pairwise slopes over the interval's median), level, n."""
-    a, b = points.select(*keys, "part", "x", "y"), points.select(*keys, "part", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = a.join(b, [*keys, "part"]).where("x < x2")
-    slopes = pairs.groupBy(*keys, "part").agg(F.median((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).alias("raw"))
-    level = points.groupBy(*keys, "part").agg(F.median("y").alias("level"), F.count("*").alias("n"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
-    return slopes.join(level, [*keys, "part"]).withColumn("slope", F.try_divide("raw", "level"))
+def theil_sen(points: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """keys, part, slope (median of pairwise slopes over the interval's median), level, n, first_day, last_day, and
+    sd: half the rank-based band of the slope (Sen 1968, ties allowed for) over the median. An interval, which is
+    no longer than its series, meets in one group; its pairs of points live in that task alone."""
+    by_part = [*keys, "part"]
 
+    def work(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("x", ignore_index=True)
+        x, y, n = g["x"].to_numpy(float), g["y"].to_numpy(float), len(g)
+        pairs = np.sort(np.concatenate([(y[i + 1 :] - y[i]) / (x[i + 1 :] - x[i]) for i in range(n - 1)])) if n > 1 else np.empty(0)
+        if not len(pairs):
+            return pd.DataFrame(columns=[*by_part, *RESULT])
+        spread = lambda k: k * (k - 1) * (2 * k + 5)
+        ties = spread(g["y"].value_counts().to_numpy(float)).sum()
+        half, m, level = z((1 + s.slope_band) / 2) * np.sqrt((spread(n) - ties) / 18.0), len(pairs), float(np.median(y))
+        lo, hi = (pairs[int(i)] for i in (max(np.rint((m - half) / 2) - 1, 0), min(np.rint((m + half) / 2), m - 1)))
+        over = lambda v: v / level if level else np.nan
+        row = [float(np.median(pairs)), over(float(np.median(pairs))), level, n, g["first_day"][0], g["last_day"][0], max(over((hi - lo) / 2), 1e-9)]
+        return pd.DataFrame([[*key, *row]], columns=[*by_part, *RESULT])
 
-def slope_bands(points: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """keys, part, sd: half the rank-based band of each interval's slope (Sen 1968, ties allowed for) over the
-    interval's median."""
-    by_part = [*keys, "part"]
-    a, b = points.select(*by_part, "x", "y"), points.select(*by_part, F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = a.join(b, by_part).where("x < x2").select(*by_part, ((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).alias("_s"))
-    spread = lambda n: n * (n - 1) * (2 * n + 5)
-    ties = points.groupBy(*by_part, "y").agg(F.count("*").alias("t")).groupBy(*by_part).agg(F.sum(spread(F.col("t"))).alias("_ties"))
-    level = points.groupBy(*by_part).agg(F.median("y").alias("level"), F.count("*").alias("n"))
-    d = level.join(ties, by_part).withColumn("_m", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint"))
-    half = z((1 + s.slope_band) / 2) * F.sqrt((spread(F.col("n")) - F.col("_ties")) / 18.0)
-    d = d.withColumn("_lo", F.greatest(F.bround((F.col("_m") - half) / 2) - 1, F.lit(0.0))).withColumn("_hi", F.least(F.bround((F.col("_m") + half) / 2), F.col("_m") - 1))
-    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*by_part).orderBy("_s")) - 1).join(d, by_part)
-    got = ranked.groupBy(*by_part, "level").agg(F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_s"))).alias("lo"), F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_s"))).alias("hi"))
-    return got.select(*by_part, F.greatest(F.try_divide((F.col("hi") - F.col("lo")) / 2, "level"), F.lit(1e-9)).alias("sd"))
+    types = dict(points.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in by_part), *(f"{k} {t}" for k, t in RESULT.items())])
+    return points.select(*by_part, "x", "y", "first_day", "last_day").groupBy(*by_part).applyInPandas(work, schema)
+
+
+RESULT = {"raw": "double", "slope": "double", "level": "double", "n": "bigint", "first_day": "date", "last_day": "date", "sd": "double"}
 
 
 def _kept(slope: Column) -> Column:
@@ -94,10 +98,10 @@ def soiling_ratio(points: DataFrame, slopes: DataFrame, keys=KEYS) -> DataFrame:
     return got.withColumn("soiling_loss_pct", 100 * (1 - F.col("soiling_ratio")))
 
 
-def soiling_draws(points: DataFrame, slopes: DataFrame, bands: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+def soiling_draws(points: DataFrame, slopes: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """keys, replicate, soiling_ratio with every slope drawn again from a normal of its own band."""
     by_part = [*keys, "part"]
-    d = slopes.select(*by_part, "slope").join(bands, by_part).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(s.soiling_reps - 1))))
+    d = slopes.select(*by_part, "slope", "sd").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(s.soiling_reps - 1))))
     u = lambda name: draw(F.lit(str(s.seed)), *[F.col(k) for k in keys], F.col("part").cast("string"), F.col("replicate").cast("string"), F.lit(name))
     normal = F.sqrt(-2.0 * F.log(1.0 - u("a"))) * F.cos(2 * math.pi * u("b"))
     d = d.select(*by_part, "replicate", (F.col("slope") + normal * F.col("sd")).alias("slope"))
@@ -123,7 +127,7 @@ def shuffled_losses(f: DataFrame, cuts: DataFrame, s: Settings = DEFAULT, keys=K
     values = days.select(*own, F.col("_q").alias("_p"), "ratio")
     mixed = days.drop("ratio", "_q").join(values, [*own, "_p"]).withColumns({"clear": F.lit(True), "fault": F.lit(False)})
     points = soiling_points(mixed, cuts.select(*keys, "date", runs), s, own)
-    return soiling_ratio(points, theil_sen(points.where("usable"), own), own).select(*own, "soiling_loss_pct")
+    return soiling_ratio(points, theil_sen(points.where("usable"), s, own), own).select(*own, "soiling_loss_pct")
 
 
 def soiling_status(points: DataFrame, ranges: DataFrame, s: Settings = DEFAULT, keys=KEYS, events: DataFrame | None = None, nulls: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import KEYS, by, draw, islands, true
+from ..functions.common import KEYS, draw, islands, true, z
 from ..functions.settings import DEFAULT, Settings
 
 
@@ -65,17 +65,21 @@ def student_t_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
-def event_intervals(f: DataFrame, events: DataFrame, s: Settings = DEFAULT, keys=KEYS, samples: int | None = None) -> DataFrame:
-    """Events that are ok -> change_lo, change_hi, distinguishable. Each side's mean is drawn again with
-    replacement, its deviation stretched by sqrt(n / (n - 1)) and t / z for small samples. Draws depend
-    on the event and the replicate alone."""
-    from ..functions.common import z
+def stretch(n: int, s: Settings = DEFAULT) -> float:
+    """What the deviation of a mean of n redrawn values is stretched by, so that small samples aren't too narrow."""
+    p = 1 - (1 - s.confidence) / 2
+    return student_t_quantile(p, n - 1) / z(p) * (n / (n - 1)) ** 0.5
+
 
+def event_intervals(f: DataFrame, events: DataFrame, s: Settings = DEFAULT, keys=KEYS, samples: int | None = None) -> DataFrame:
+    """Events that are ok -> change_lo, change_hi (percent), kwh_lo, kwh_hi (energy a day), distinguishable. Each
+    side's mean is drawn again with replacement and stretched. Draws depend on the event and the replicate alone."""
     p = 1 - (1 - s.confidence) / 2
     most = max(s.days_before, s.days_after)
-    stretch = F.create_map(*[x for n in range(2, most + 1) for x in (F.lit(n), F.lit(student_t_quantile(p, n - 1) / z(p) * (n / (n - 1)) ** 0.5))])
-    d = event_days(f, events, s, keys).where("usable and rel <> 0")
-    sides = d.groupBy(*keys, "start", "end", "type").agg(F.sort_array(F.collect_list(F.when(F.col("rel") < 0, F.struct("date", "ratio"))))["ratio"].alias("b"), F.sort_array(F.collect_list(F.when(F.col("rel") > 0, F.struct("date", "ratio"))))["ratio"].alias("a"))
+    factors = F.create_map(*[x for n in range(2, most + 1) for x in (F.lit(n), F.lit(stretch(n, s)))])
+    d = event_days(f, events, s, keys)
+    side = lambda cond: F.sort_array(F.collect_list(F.when(F.col("usable") & cond, F.struct("date", "ratio"))))["ratio"]
+    sides = d.groupBy(*keys, "start", "end", "type").agg(side(F.col("rel") < 0).alias("b"), side(F.col("rel") > 0).alias("a"), F.avg("expected_kwh").alias("expected"))
     sides = sides.where((F.size("b") >= s.min_clear_days_each_side) & (F.size("a") >= s.min_clear_days_each_side))
     reps = sides.select("*", F.explode(F.sequence(F.lit(0), F.lit((samples or s.samples) - 1))).alias("rep"))
 
@@ -83,15 +87,17 @@ def event_intervals(f: DataFrame, events: DataFrame, s: Settings = DEFAULT, keys
         values, n = F.col(side), F.size(side)
         mean = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / n
         pick = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(values, F.floor(draw(F.lit(str(s.seed)), *[F.col(k) for k in keys], F.col("start").cast("string"), F.lit(side), F.col("rep").cast("string"), i.cast("string")) * n).cast("int")))
-        return mean + (F.aggregate(pick, F.lit(0.0), lambda acc, x: acc + x) / n - mean) * F.element_at(stretch, n)
+        return mean + (F.aggregate(pick, F.lit(0.0), lambda acc, x: acc + x) / n - mean) * F.element_at(factors, n)
 
-    reps = reps.select(*keys, "start", "end", "type", (100 * (redrawn("a") / redrawn("b") - 1)).alias("change"))
-    got = reps.groupBy(*keys, "start", "end", "type").agg(F.percentile("change", 1 - p).alias("change_lo"), F.percentile("change", p).alias("change_hi"))
+    reps = reps.select(*keys, "start", "end", "type", "expected", redrawn("a").alias("a"), redrawn("b").alias("b"))
+    reps = reps.withColumns({"change": 100 * (F.col("a") / F.col("b") - 1), "kwh": (F.col("a") - F.col("b")) * F.col("expected")})
+    ends = [F.percentile(c, q).alias(f"{c}_{e}") for c in ("change", "kwh") for e, q in (("lo", 1 - p), ("hi", p))]
+    got = reps.groupBy(*keys, "start", "end", "type").agg(*ends)
     return got.withColumn("distinguishable", (F.col("change_lo") > 0) | (F.col("change_hi") < 0))
 
 
 def clearest(results: DataFrame, keys=KEYS) -> DataFrame:
     """Of each series (or dataset) the event with most clear days on its weaker side, then the narrowest
     interval, then the earliest."""
-    order = [F.least("n_before", "n_after").desc(), (F.col("change_hi") - F.col("change_lo")).asc_nulls_last(), F.col("start"), F.col("system_id")]
+    order = [F.least("n_before", "n_after").desc(), F.round(F.col("change_hi") - F.col("change_lo"), 9).asc_nulls_last(), F.col("start"), F.col("system_id")]
     return results.where("status = 'ok'").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

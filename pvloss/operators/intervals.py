@@ -126,9 +126,24 @@ def daily(df: DataFrame, cover: DataFrame, systems: DataFrame, s: Settings = DEF
     return d.withColumn("energy_kwh", F.when(F.col("valid"), F.col("energy_kwh_raw"))).drop("capacity_kwp")
 
 
-def completeness(days: DataFrame, keys=KEYS) -> DataFrame:
-    return days.groupBy(*keys).agg(
+def completeness(days: DataFrame, readings: DataFrame | None = None, steps: DataFrame | None = None, keys=KEYS) -> DataFrame:
+    """The record of a system: its days by flag, and with readings (coverage()'s first result) and steps
+    (counter_to_interval() of lifetime counters, or file_energies()) its counter resets, the gaps whose energy
+    belongs to no day, and values that can't be."""
+    got = days.groupBy(*keys).agg(
         F.min("date").alias("period_start"), F.max("date").alias("period_end"), F.count("*").alias("calendar_days"), F.count_if("valid").alias("valid_days"),
         F.count_if("flag_gap").alias("gap_days"), F.count_if("flag_partial").alias("partial_days"), F.count_if("flag_impossible").alias("impossible_days"),
         F.round(100 * F.avg(F.col("valid").cast("int")), 1).alias("completeness_pct"),
     )
+    none = F.lit(0).cast("bigint")
+    if readings is not None:
+        got = got.join(readings.groupBy(*keys).agg(F.count_if("undatable").alias("_undatable"), F.count_if("impossible").alias("impossible_values")), [*keys], "left")
+    else:
+        got = got.withColumns({"_undatable": none, "impossible_values": none})
+    if steps is not None:
+        resets, gaps = (F.sum("resets"), F.sum("long_gaps")) if "resets" in steps.columns else (F.count_if("is_reset"), F.count_if("long_gap"))
+        got = got.join(steps.groupBy(*keys).agg(resets.alias("counter_resets"), gaps.alias("_gaps")), [*keys], "left")
+    else:
+        got = got.withColumns({"counter_resets": none, "_gaps": none})
+    got = got.na.fill(0, ["_undatable", "impossible_values", "counter_resets", "_gaps"])
+    return got.withColumn("unassignable_gaps", F.col("_gaps") + F.col("_undatable")).drop("_gaps", "_undatable")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import by, calendar_window, row_window  # noqa: F401
+from ..functions.common import row_window
 from ..functions.settings import DEFAULT, Settings
 
 DEFAULT_LABEL = "Real system data"
@@ -18,27 +18,36 @@ def data_labels(sources: DataFrame, systems: DataFrame, default: str = DEFAULT_L
     return systems.join(first, "system_id", "left").withColumn("data_label", F.coalesce("_label", F.lit(default))).drop("_label")
 
 
-def economics(loss: DataFrame, systems: DataFrame, s: Settings = DEFAULT, ranges: tuple[str, str] | None = None) -> DataFrame:
+MONEY_RANGES = ("money_lost_lo", "money_lost_hi", "money_lost_per_month_lo", "money_lost_per_month_hi", "moderate_per_month_lo", "moderate_per_month_hi")
+
+
+def economics(loss: DataFrame, systems: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """loss (system_id, lost_kwh, moderate_kwh, period_days[, lost_lo, lost_hi, moderate_lo, moderate_hi]) ->
-    months, money lost in all and a month, cleaning verdict. No tariff: not available;
-    no range: uncertain."""
+    months, money lost in all and a month, their ranges, cleaning verdict: the range of what the moderate
+    shortfall costs a month against the price of a cleaning. No tariff or price: not available; no range:
+    uncertain. Money is rounded half to even."""
     m = F.col("period_days") / s.days_per_month
     got = loss.join(systems.select("system_id", "tariff", "cleaning_cost"), "system_id", "left")
-    lo, hi = (F.col("moderate_lo"), F.col("moderate_hi")) if "moderate_lo" in loss.columns else (F.lit(None).cast("double"), F.lit(None).cast("double"))
-    a, b = lo * F.col("tariff") / m, hi * F.col("tariff") / m
+    end = lambda name: F.col(name) if name in loss.columns else F.lit(None).cast("double")
+    worth = lambda kwh, by=F.lit(1.0): kwh * F.col("tariff") / by
     verdict = (
         F.when(F.col("tariff").isNull() | F.col("cleaning_cost").isNull(), "not available")
-        .when(a > F.col("cleaning_cost"), "pays")
-        .when(b < F.col("cleaning_cost"), "does not pay")
+        .when(worth(end("moderate_lo"), m) > F.col("cleaning_cost"), "pays")
+        .when(worth(end("moderate_hi"), m) < F.col("cleaning_cost"), "does not pay")
         .otherwise("uncertain")
     )
-    got = got.withColumns({"months": F.round(m, 1), "money_lost": F.bround(F.col("lost_kwh") * F.col("tariff"), 0), "money_lost_per_month": F.bround(F.col("lost_kwh") * F.col("tariff") / m, 0), "verdict": verdict, "has_tariff": F.col("tariff").isNotNull()})
-    return got
+    values = {"money_lost": worth(F.col("lost_kwh")), "money_lost_per_month": worth(F.col("lost_kwh"), m), "moderate_per_month": worth(F.col("moderate_kwh"), m)}
+    for e in ("lo", "hi"):
+        values |= {f"money_lost_{e}": worth(end(f"lost_{e}")), f"money_lost_per_month_{e}": worth(end(f"lost_{e}"), m), f"moderate_per_month_{e}": worth(end(f"moderate_{e}"), m)}
+    return got.withColumns({"months": F.round(m, 1), "verdict": verdict, "has_tariff": F.col("tariff").isNotNull(), **{k: F.bround(v, 0) for k, v in values.items()}})
 
 
 def emissions(loss: DataFrame, factor_kg_per_kwh: float | None) -> DataFrame:
-    """Adds emissions_kg of the lost energy; null where no factor is known."""
-    return loss.withColumn("emissions_kg", F.lit(factor_kg_per_kwh).cast("double") * F.col("lost_kwh"))
+    """Adds emissions_kg of the lost energy, and its range where lost_lo and lost_hi are there; null where no
+    factor is known."""
+    factor = F.lit(factor_kg_per_kwh).cast("double")
+    ranges = {f"emissions_kg_{e}": factor * F.col(f"lost_{e}") for e in ("lo", "hi") if f"lost_{e}" in loss.columns}
+    return loss.withColumns({"emissions_kg": factor * F.col("lost_kwh"), **ranges})
 
 
 def portfolio(loss: DataFrame) -> DataFrame:
@@ -68,20 +77,31 @@ def most_complete(systems: DataFrame) -> DataFrame:
     return systems.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def run_quality(f: DataFrame, s: Settings = DEFAULT, keys=("system_id",)) -> DataFrame:
-    """keys -> days without weather, valid days that can't be assessed, deep-drop days."""
-    deep = F.col("flagged") & ~F.col("outage") & (F.col("loss_fraction") > s.deep_fraction)
-    return f.groupBy(*keys).agg(
+def run_quality(f: DataFrame, monthly: DataFrame, s: Settings = DEFAULT, keys=("system_id",)) -> DataFrame:
+    """keys -> days without weather, valid days whose state can't be told, deep-drop days, and the months that
+    borrow their reference from others. monthly: monthly_reference()."""
+    deep = F.col("flagged") & (F.col("loss_fraction") > s.deep_fraction)
+    got = f.groupBy(*keys).agg(
         F.count_if(F.col("ghi").isNull()).alias("days_without_weather"),
-        F.count_if(F.col("valid") & F.col("expected_kwh").isNull()).alias("not_assessable"),
+        F.count_if(F.col("valid") & F.col("smooth_ratio").isNull() & ~F.col("outage")).alias("not_assessable"),
         F.count_if(deep).alias("deep_drop_days"),
     )
+    own = monthly.where("value is not null").groupBy(*keys).agg(F.collect_set("month").alias("_own"))
+    borrowed = F.array_except(F.sequence(F.lit(1), F.lit(12)), F.coalesce("_own", F.array().cast("array<int>")))
+    return got.join(own, [*keys], "left").withColumn("borrowed_months", F.concat_ws(",", borrowed.cast("array<string>"))).drop("_own")
 
 
-def headline(rows: DataFrame) -> DataFrame:
-    """rows (data_label, system_id, start, end, detection_limit) -> headline figures of each dataset."""
+def headline(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """rows (data_label, system_id, start, end, subdaily, location, latitude, longitude, detection_limit) ->
+    headline figures of each dataset. Months are those of the longest series; places are named, or given by
+    coordinates where no system has a name."""
+    named = F.sort_array(F.collect_set(F.when(F.trim("location") != "", F.trim("location"))))
+    placed = F.sort_array(F.collect_set(F.format_string("%.2f°, %.2f°", "latitude", "longitude")))
     return rows.groupBy("data_label").agg(
         F.count("*").alias("systems"), F.min("start").alias("period_start"), F.max("end").alias("period_end"),
+        F.bround(F.max(F.datediff("end", "start")) / s.days_per_month, 0).cast("bigint").alias("months"),
+        F.when(F.bool_and("subdaily"), "hourly").otherwise("daily").alias("resolution"),
+        F.array_join(F.when(F.size(named) > 0, named).otherwise(placed), "; ").alias("locations"),
         F.min("detection_limit").alias("limit_min"), F.max("detection_limit").alias("limit_max"),
         F.concat_ws(",", F.sort_array(F.collect_set("system_id"))).alias("system_ids"),
     )
@@ -101,3 +121,16 @@ def expected_vs_actual(f: DataFrame, keys=("system_id",)) -> DataFrame:
 def normalised_series(f: DataFrame, rain_mm: float = 1.0, floor: float = 0.4, keys=("system_id",)) -> DataFrame:
     """keys -> points shown, days with rain, points under the floor."""
     return f.groupBy(*keys).agg(F.count("clear_ratio").alias("points"), F.count_if(F.col("precip_mm") >= rain_mm).alias("rain_days"), F.count_if(F.col("clear_ratio") < floor).alias("below_floor"))
+
+
+SUMMARY = "system_id string, data_label string, period struct<start: date, end: date>, estimated_loss struct<loss_pct: double, lost_kwh: double, sustained_kwh: double, deep_kwh: double, moderate_kwh: double, outage_kwh: double, expected_kwh: double, days_assessed: bigint>, detection_limit array<struct<window_days: int, se: double, threshold: double, detection_limit: double>>, episodes array<struct<start: date, end: date, days: bigint, mean_shortfall_pct: double, max_shortfall_pct: double>>"
+
+
+def system_summaries(loss: DataFrame, ends: DataFrame, episodes: DataFrame, noise: DataFrame) -> DataFrame:
+    """One nested row for each system: loss (with data_label), ends (system_id, start, end), its episodes in order
+    and its noise by window."""
+    runs = episodes.groupBy("system_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "days", "mean_shortfall_pct", "max_shortfall_pct"))).alias("episodes"))
+    limits = noise.groupBy("system_id").agg(F.sort_array(F.collect_list(F.struct("window_days", "se", "threshold", "detection_limit"))).alias("detection_limit"))
+    d = loss.join(ends, "system_id").join(runs, "system_id", "left").join(limits, "system_id", "left")
+    parts = F.struct("loss_pct", "lost_kwh", "sustained_kwh", "deep_kwh", "moderate_kwh", "outage_kwh", "expected_kwh", "days_assessed")
+    return d.select("system_id", "data_label", F.struct("start", "end").alias("period"), parts.alias("estimated_loss"), "detection_limit", F.coalesce("episodes", F.array()).alias("episodes"))

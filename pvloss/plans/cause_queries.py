@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import stored, z
+from ..functions.common import z
 from ..functions.settings import DEFAULT as S
 from ..operators import causes, layout, validation
 from . import chain, event_queries, feeds
@@ -40,6 +40,17 @@ sh0 AS (SELECT *, row_number() OVER (PARTITION BY system_id, date ORDER BY model
 sh AS (SELECT *, r / median(CASE WHEN k <= {S.midday_hours} THEN r END) OVER (PARTITION BY system_id, date) AS shape FROM sh0),
 clk AS (SELECT system_id, date, month, sum(actual_kwh * hour) / sum(actual_kwh) - sum(model_kwh * hour) / sum(model_kwh) AS h FROM sb GROUP BY 1, 2, 3),
 peak AS (SELECT system_id, date, arg_max(hour, (model_kwh, -hour)) AS peak FROM sb GROUP BY 1, 2),
+xd AS (SELECT f.system_id, r.run, f.date, f.dn, f.ratio, coalesce(f.ghi, 0) AS ghi, row_number() OVER (PARTITION BY f.system_id, r.run ORDER BY f.dn) AS p,
+  row_number() OVER (PARTITION BY f.system_id, r.run ORDER BY CAST('0x' || substr(md5(concat_ws('|', '{S.seed}', f.system_id, CAST(r.run AS VARCHAR), CAST(f.date AS VARCHAR))), 1, 12) AS BIGINT), f.dn) AS q
+  FROM fault f CROSS JOIN (SELECT unnest(range({S.soiling_shuffle_runs})) AS run) r WHERE clear AND NOT fault AND ratio IS NOT NULL),
+xpts0 AS (SELECT a.system_id, a.run, a.date, a.dn, b.ratio AS y, a.ghi, o.part, o.cut_dn FROM xd a JOIN xd b ON a.system_id = b.system_id AND a.run = b.run AND a.p = b.q JOIN pts0 o ON o.system_id = a.system_id AND o.dn = a.dn),
+xpts AS (SELECT *, coalesce(cut_dn, min(dn) OVER (PARTITION BY system_id)) AS opens FROM xpts0),
+xivl0 AS (SELECT *, count(*) OVER w AS n, min(date) OVER w AS first_day, max(date) OVER w AS last_day FROM xpts WINDOW w AS (PARTITION BY system_id, run, part)),
+xivl AS (SELECT *, date - first_day AS x FROM xivl0 WHERE n >= {S.soiling_min_points} AND last_day - first_day >= {S.soiling_min_days}),
+xsen AS (SELECT a.system_id, a.run, a.part, median((b.y - a.y) / (b.x - a.x)) AS raw FROM xivl a JOIN xivl b ON a.system_id = b.system_id AND a.run = b.run AND a.part = b.part AND a.x < b.x GROUP BY 1, 2, 3),
+xslopes AS (SELECT s.*, raw / level AS slope FROM xsen s JOIN (SELECT system_id, run, part, median(y) AS level FROM xivl GROUP BY 1, 2, 3) l USING (system_id, run, part)),
+xsoil AS (SELECT system_id, run, sum(CASE WHEN slope IS NULL THEN 1 ELSE greatest(least(1 + least(slope, 0) * (dn - opens), 1), 0) END * ghi) / sum(ghi) AS sr
+  FROM xpts LEFT JOIN xslopes USING (system_id, run, part) GROUP BY 1, 2 HAVING count(slope) > 0),
 lng AS (SELECT system_id AS file, ts, row_no, unnest(['E-Total (kWh)__12', 'E-Today (kWh)__13', 'AC Power (W)__14', 'dc_power__15']) AS "column", unnest([counter_kwh, today_kwh, power_kw, power_kw]) AS value FROM feed_readings),
 st AS (SELECT *, lag(value) OVER (PARTITION BY file, "column" ORDER BY ts, row_no) AS p FROM lng WHERE value IS NOT NULL),
 mag AS (SELECT m.*, d.daily_max FROM (SELECT file, "column", (arg_max(value, (ts, row_no)) FILTER (value IS NOT NULL) - arg_min(value, (ts, row_no)) FILTER (value IS NOT NULL)) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 8.64e10, 1) AS counter_per_day,
@@ -65,21 +76,27 @@ def long_readings(spark, d):
 
 
 @chain.shared
-def soiling(spark, d):
-    """The clear days with their intervals, and the slope of each usable interval."""
+def points(spark, d):
+    """The clear days with the interval between cleanings that they lie in."""
     f = event_queries.faulty(spark, d)
-    points = stored(causes.soiling_points(f, causes.cleaning_dates(f, feeds.events(spark, d))), "soiling")
-    return points, causes.theil_sen(points.where("usable")).persist()
+    return causes.soiling_points(f, causes.cleaning_dates(f, feeds.events(spark, d)))
 
 
+@chain.shared
 def slopes(spark, d):
-    return soiling(spark, d)
+    """The slope of each usable interval."""
+    return causes.theil_sen(points(spark, d).where("usable"))
 
 
 @chain.shared
 def soiling_draws(spark, d):
-    points, found = soiling(spark, d)
-    return causes.soiling_draws(points, found, causes.slope_bands(points.where("usable"))).persist()
+    return causes.soiling_draws(points(spark, d), slopes(spark, d))
+
+
+@chain.shared
+def nulls(spark, d):
+    f = event_queries.faulty(spark, d)
+    return causes.shuffled_losses(f, causes.cleaning_dates(f, feeds.events(spark, d)))
 
 
 @query("c01_runs", 'SELECT system_id, min(date) AS start, max(date) AS "end", count(*) AS days FROM (SELECT system_id, date, dn - row_number() OVER (PARTITION BY system_id ORDER BY dn) AS g FROM fo WHERE outage) q GROUP BY system_id, g')
@@ -94,19 +111,17 @@ def _(spark, d):
 
 @query("c04_soiling_intervals", "SELECT system_id, first_day, last_day, count(*) AS n FROM ivl GROUP BY ALL")
 def _(spark, d):
-    f = event_queries.faulty(spark, d)
-    points = causes.soiling_intervals(f, causes.cleaning_dates(f, feeds.events(spark, d)))
-    return points.groupBy("system_id", "first_day", "last_day").agg(F.count("*").alias("n"))
+    return points(spark, d).where("usable").groupBy("system_id", "first_day", "last_day").agg(F.count("*").alias("n"))
 
 
 @query("c05_theil_sen", "SELECT system_id, first_day, n, round(slope, 7) AS slope, round(level, 6) AS level FROM slopes")
 def _(spark, d):
-    return slopes(spark, d)[1].select("system_id", "first_day", "n", F.round("slope", 7).alias("slope"), F.round("level", 6).alias("level"))
+    return slopes(spark, d).select("system_id", "first_day", "n", F.round("slope", 7).alias("slope"), F.round("level", 6).alias("level"))
 
 
 @query("c06_soiling_ratio", "SELECT system_id, round(sr, 6) AS soiling_ratio, round(100 * (1 - sr), 4) AS soiling_loss_pct FROM soil")
 def _(spark, d):
-    r = causes.soiling_ratio(*slopes(spark, d))
+    r = causes.soiling_ratio(points(spark, d), slopes(spark, d))
     return r.select("system_id", F.round("soiling_ratio", 6).alias("soiling_ratio"), F.round("soiling_loss_pct", 4).alias("soiling_loss_pct"))
 
 
@@ -115,18 +130,21 @@ def _(spark, d):
     return rounded(causes.soiling_range(soiling_draws(spark, d)), "loss_lo", "loss_hi", digits=4)
 
 
-@query("c08_shuffled_losses")
+@query("c08_shuffled_losses", "SELECT system_id, CAST(run AS INT) AS run, round(100 * (1 - sr), 4) AS soiling_loss_pct FROM xsoil")
 def _(spark, d):
-    f = event_queries.faulty(spark, d)
-    return rounded(causes.shuffled_losses(f, causes.cleaning_dates(f, feeds.events(spark, d))), "soiling_loss_pct", digits=4)
+    return rounded(nulls(spark, d), "soiling_loss_pct", digits=4)
 
 
-@query("c09_soiling_status", f"SELECT system_id, clear_days, loss_lo, {S.soiling_min_loss_pct}e0 AS floor_pct, CASE WHEN clear_days < {S.soiling_min_clear_days} OR loss_lo IS NULL THEN 'insufficient data' WHEN loss_lo > {S.soiling_min_loss_pct} THEN 'indicated' ELSE 'not indicated' END AS status FROM (SELECT system_id, count(*) AS clear_days FROM pts GROUP BY 1) p LEFT JOIN (SELECT system_id, round(loss_lo, 2) AS loss_lo FROM srange) r USING (system_id)")
+@query("c09_soiling_status", f"""SELECT system_id, clear_days, loss_lo, round(floor_pct, 4) AS floor_pct, CASE WHEN clear_days < {S.soiling_min_clear_days} OR loss_lo IS NULL THEN 'insufficient data' WHEN loss_lo > floor_pct THEN 'indicated' ELSE 'not indicated' END AS status, coalesce(tested, 0) AS tested, coalesce(rises, 0) AS rises
+  FROM (SELECT system_id, count(*) AS clear_days FROM pts GROUP BY 1) p LEFT JOIN (SELECT system_id, round(loss_lo, 2) AS loss_lo FROM srange) r USING (system_id)
+  JOIN (SELECT s.system_id, greatest({S.soiling_min_loss_pct}e0, max(100 * (1 - sr))) AS floor_pct FROM systems s LEFT JOIN xsoil x USING (system_id) GROUP BY 1) n USING (system_id)
+  LEFT JOIN (SELECT system_id, count(*) AS tested, count(*) FILTER (lo > 0 AND change_pct > 0) AS rises FROM cmp JOIN evi USING (system_id, start, "end", type) GROUP BY 1) e USING (system_id)""")
 def _(spark, d):
-    return causes.soiling_status(soiling(spark, d)[0], causes.soiling_range(soiling_draws(spark, d)))
+    seen = event_queries.observed(spark, d).where("status = 'ok'")
+    r = causes.soiling_status(points(spark, d), causes.soiling_range(soiling_draws(spark, d)), events=seen, nulls=nulls(spark, d))
+    return rounded(r, "floor_pct", digits=4)
 
 
-YEAR_REPS = 200  # of the DuckDB statement alone; the query draws S.samples
 _YU = f"CAST('0x' || substr(md5(concat_ws('|', '{S.seed}', system_id, CAST(replicate AS VARCHAR), CAST(block_no AS VARCHAR))), 1, 12) AS BIGINT) / 281474976710656e0"
 
 
@@ -135,7 +153,7 @@ _YU = f"CAST('0x' || substr(md5(concat_ws('|', '{S.seed}', system_id, CAST(repli
     SELECT b.system_id, b.replicate, median(y.change) AS med FROM (
       SELECT *, start + o AS idx, block_no * b + o AS place FROM (SELECT *, CAST(floor({_YU} * (m - b + 1)) AS INT) AS start, unnest(range(b)) AS o FROM (
         SELECT *, unnest(range(CAST(ceil(m::DOUBLE / b) AS BIGINT))) AS block_no FROM (
-          SELECT y.system_id, pairs AS m, least({S.degradation_block_days}, pairs) AS b, unnest(range({YEAR_REPS})) AS replicate FROM yoy y JOIN (SELECT system_id, (max(date) - min(date)) / 365.25e0 AS years FROM fault GROUP BY 1) p USING (system_id)
+          SELECT y.system_id, pairs AS m, least({S.degradation_block_days}, pairs) AS b, unnest(range({S.samples})) AS replicate FROM yoy y JOIN (SELECT system_id, (max(date) - min(date)) / 365.25e0 AS years FROM fault GROUP BY 1) p USING (system_id)
           WHERE pairs >= {S.degradation_min_pairs} AND years > {S.degradation_min_years}) q) r) s) b
     JOIN yp y ON y.system_id = b.system_id AND y.idx = b.idx WHERE place < m GROUP BY 1, 2) t GROUP BY 1) u""")
 def _(spark, d):
@@ -181,7 +199,12 @@ def _(spark, d):
     return long_readings(spark, d).select("column", layout.base_name(F.col("column")).alias("base")).distinct()
 
 
-@query("l04_candidates", f"""SELECT "column", regexp_matches(b, '{layout.ENERGY}') AND NOT regexp_matches(b, '{layout.DC}') AS energy_like, regexp_matches(b, '{layout.POWER}') AND NOT regexp_matches(b, '{layout.NOT_POWER}') AND NOT regexp_matches(b, '{layout.DC}') AS power_like FROM (SELECT DISTINCT "column", regexp_replace(lower(trim("column")), '__\\d+$', '') AS b FROM lng) q""")
+# The patterns that names of energy and power columns must match for the same columns to be found.
+_ENERGY, _DC = "kwh|energy|yield|generation|e_total|etotal|e_day", "(^|_)dc(_|$)"
+_POWER, _NOT_POWER = "power|(^|_)p_?ac|(^|_)kw($|_|ac)", "factor|kwh"
+
+
+@query("l04_candidates", f"""SELECT "column", regexp_matches(b, '{_ENERGY}') AND NOT regexp_matches(b, '{_DC}') AS energy_like, regexp_matches(b, '{_POWER}') AND NOT regexp_matches(b, '{_NOT_POWER}') AND NOT regexp_matches(b, '{_DC}') AS power_like FROM (SELECT DISTINCT "column", regexp_replace(lower(trim("column")), '__\\d+$', '') AS b FROM lng) q""")
 def _(spark, d):
     return long_readings(spark, d).select("column").distinct().select("column", layout.energy_like(F.col("column")).alias("energy_like"), layout.power_like(F.col("column")).alias("power_like"))
 

@@ -124,9 +124,9 @@ def _(spark, d):
     return rounded(energies(spark, d)[0].select("system_id", "ts", "energy_kwh"), "energy_kwh")
 
 
-@query("i07_step_profile", "SELECT system_id, minutes, count(*) AS days FROM (SELECT system_id, day, round_even(min(step_h) * 60, 0) AS minutes FROM e1 GROUP BY 1, 2) q GROUP BY 1, 2 HAVING count(*) >= 1")
+@query("i07_step_profile", "SELECT system_id, minutes, count(*) AS days FROM (SELECT system_id, day, round_even(min(step_h) * 60, 0) AS minutes FROM e1 GROUP BY 1, 2) q GROUP BY 1, 2 HAVING count(*) >= 5")
 def _(spark, d):
-    return iv.step_profile(energies(spark, d)[0], least_days=1)
+    return iv.step_profile(energies(spark, d)[0])
 
 
 @query("i08_combine_files", "SELECT system_id, round(median(step_h) * 60, 3) AS minutes, round(median(step_h) * 60, 3) < 1439 AS subdaily FROM (SELECT system_id, day, min(step_h) AS step_h FROM e1 GROUP BY 1, 2) q GROUP BY 1")
@@ -169,6 +169,9 @@ def _(spark, d):
     return day_table(spark, d).select("system_id", "date", "flag_gap", "flag_partial", "flag_impossible", "valid")
 
 
-@query("i17_completeness", "SELECT system_id, min(date) AS period_start, max(date) AS period_end, count(*) AS calendar_days, count(*) FILTER (valid) AS valid_days, count(*) FILTER (flag_gap) AS gap_days, count(*) FILTER (flag_partial) AS partial_days, count(*) FILTER (flag_impossible) AS impossible_days, round(100 * avg(valid::INT), 1) AS completeness_pct FROM dd GROUP BY 1")
+@query("i17_completeness", f"""SELECT system_id, min(date) AS period_start, max(date) AS period_end, count(*) AS calendar_days, count(*) FILTER (valid) AS valid_days, count(*) FILTER (flag_gap) AS gap_days, count(*) FILTER (flag_partial) AS partial_days, count(*) FILTER (flag_impossible) AS impossible_days, round(100 * avg(valid::INT), 1) AS completeness_pct, any_value(v.impossible_values) AS impossible_values, any_value(c.counter_resets) AS counter_resets, any_value(c.gaps + v.undatable) AS unassignable_gaps
+  FROM dd JOIN (SELECT system_id, count(*) FILTER (impossible) AS impossible_values, count(*) FILTER (h1 > {S.straddle_min_hours} AND h0 > {S.straddle_min_hours} AND known) AS undatable FROM (SELECT *, energy_kwh IS NOT NULL AS known FROM e8) q GROUP BY 1) v USING (system_id)
+  JOIN (SELECT system_id, count(*) FILTER (is_reset) AS counter_resets, count(*) FILTER (long_gap) AS gaps FROM i1 GROUP BY 1) c USING (system_id) GROUP BY 1""")
 def _(spark, d):
-    return iv.completeness(day_table(spark, d))
+    readings, per_day, s = covered(spark, d)
+    return iv.completeness(iv.daily(readings, per_day, s), readings, iv.counter_to_interval(feeds.readings(spark, d), "counter_kwh"))

@@ -6,19 +6,18 @@ from pyspark.sql import functions as F
 
 from ..functions.common import fresh
 from ..functions.settings import DEFAULT as S
-from ..operators import bootstrap, money, validation
+from ..operators import bootstrap, detect, money, validation
 from ..sources import files
 from . import chain, event_queries, feeds, range_queries
 from .chain import statement
 from .daily_queries import rounded
 
 QUERIES, SQL = {}, {}
-REPS = 20  # of the DuckDB statements alone; the queries draw S.samples
 _U = f"CAST('0x' || substr(md5(concat_ws('|', '{S.seed}', system_id, CAST(replicate AS VARCHAR), CAST(block_no AS VARCHAR))), 1, 12) AS BIGINT) / 281474976710656e0"
 MORE = event_queries.MORE + f""",
 dl AS (SELECT system_id, date, dn, expected_kwh * loss_fraction AS lost FROM fd WHERE valid AND expected_kwh IS NOT NULL AND NOT outage),
 dn0 AS (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY dn) - 1 AS idx FROM dl),
-bs AS (SELECT system_id, m, least({S.block_days}, m) AS b, unnest(range({REPS})) AS replicate FROM (SELECT system_id, count(*) AS m FROM dl GROUP BY 1) q),
+bs AS (SELECT system_id, m, least({S.block_days}, m) AS b, unnest(range({S.samples})) AS replicate FROM (SELECT system_id, count(*) AS m FROM dl GROUP BY 1) q),
 bb AS (SELECT *, unnest(range(CAST(ceil(m::DOUBLE / b) AS BIGINT))) AS block_no FROM bs),
 bd AS (SELECT *, CAST(floor({_U} * (m - b + 1)) AS INT) AS start, unnest(range(b)) AS o FROM bb),
 bi AS (SELECT system_id, CAST(replicate AS INT) AS replicate, CAST(block_no * b + o AS INT) AS place, CAST(start + o AS INT) AS idx FROM bd WHERE block_no * b + o < m),
@@ -52,9 +51,11 @@ def portfolio_systems(spark, d):
     return systems.join(systems.join(bare, "system_id").select("data_label").distinct(), "data_label", "left_anti")
 
 
-@query("d10_block_indices", "SELECT * FROM bi")
+@query("d10_block_indices", "SELECT system_id, replicate, count(*) AS draws, sum(idx) AS places, sum(place * idx) AS in_order FROM bi GROUP BY 1, 2")
 def _(spark, d):
-    return bootstrap.block_indices(daily_lost(spark, d).groupBy("system_id").agg(F.count("*").alias("m")), S.samples, S.block_days)
+    """The draws of every replicate, as sums over its places."""
+    drawn = bootstrap.block_indices(daily_lost(spark, d).groupBy("system_id").agg(F.count("*").alias("m")), S.samples, S.block_days)
+    return drawn.groupBy("system_id", "replicate").agg(F.count("*").alias("draws"), F.sum("idx").alias("places"), F.sum(F.col("place").cast("bigint") * F.col("idx")).alias("in_order"))
 
 
 @query("d11_percentile_interval", "SELECT system_id, round(quantile_cont(lost, 0.025), 3) AS lo, round(quantile_cont(lost, 0.975), 3) AS hi FROM rep GROUP BY 1")
@@ -62,21 +63,20 @@ def _(spark, d):
     return rounded(money.percentile_interval(replicates(spark, d), ["system_id"], "lost"), "lo", "hi", digits=3)
 
 
-@query("p02_portfolio_range", "SELECT data_label, round(quantile_cont(lost, 0.025), 3) AS lo, round(quantile_cont(lost, 0.975), 3) AS hi FROM (SELECT data_label, replicate, sum(lost) AS lost FROM rep JOIN systems USING (system_id) GROUP BY 1, 2) q GROUP BY 1")
+@query("p02_portfolio_range")
 def _(spark, d):
     return rounded(money.percentile_interval(money.portfolio_replicates(range_queries.replicates(spark, d), portfolio_systems(spark, d)), ["data_label"], "lost"), "lo", "hi", digits=3)
 
 
-@query("p03_portfolio_money", "SELECT data_label, replicate, round(CASE WHEN bool_and(tariff IS NOT NULL) THEN sum(lost * tariff) END, 3) AS money FROM rep JOIN systems USING (system_id) GROUP BY 1, 2")
+@query("p03_portfolio_money")
 def _(spark, d):
     return money.portfolio_replicates(range_queries.replicates(spark, d), portfolio_systems(spark, d), tariff=True).select("data_label", "replicate", F.round("lost", 3).alias("money"))
 
 
-@query("x05_reliable_step", "SELECT system_id, window_days, min(step) FILTER (m >= 0.8) AS reliable_step FROM (SELECT *, min(rate) OVER (PARTITION BY system_id, window_days ORDER BY step DESC) AS m FROM (SELECT system_id, 14 AS window_days, CAST(month(date) AS INT) AS step, avg((clear)::INT) AS rate FROM fb GROUP BY 1, 3) q) r GROUP BY 1, 2")
+@query("x05_reliable_step")
 def _(spark, d):
-    """Monthly shares of clear days stand in for detection rates."""
-    rates = chain.base(spark, d).groupBy("system_id", F.lit(14).alias("window_days"), F.month("date").alias("step")).agg(F.avg(F.col("clear").cast("int")).alias("rate"))
-    return validation.reliable_step(rates)
+    """The smallest step that the sweep finds with the power asked for."""
+    return rounded(validation.reliable_step(range_queries.rates(spark, d)), "reliable_step")
 
 
 @query("s01_read_systems", "SELECT system_id, capacity_kwp, latitude, longitude, tilt_deg, azimuth_deg, tariff, cleaning_cost, CASE WHEN system_id = 'S0' THEN 5e0 ELSE 5.5e0 END AS utc_offset_hours FROM systems")
@@ -109,8 +109,20 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@query("s12_summary_json", "SELECT system_id, round(lost_kwh, 4) AS lost_kwh, round(loss_pct, 4) AS loss_pct, days_assessed FROM loss")
+@query("s12_summary_json", """SELECT e.system_id, e.data_label, round(e.lost_kwh, 4) AS lost_kwh, round(e.loss_pct, 4) AS loss_pct, e.days_assessed, e.first_day AS period_start, e.last_day AS period_end, coalesce(p.n, 0) AS episodes, p.worst AS worst_shortfall_pct, t.systems AS dataset_systems, round(t.lost, 4) AS dataset_lost_kwh
+  FROM eco e LEFT JOIN (SELECT system_id, count(*) AS n, max(max_shortfall_pct) AS worst FROM episodes GROUP BY 1) p USING (system_id) JOIN (SELECT data_label, count(*) AS systems, sum(lost_kwh) AS lost FROM eco WHERE expected_kwh > 0 GROUP BY 1) t USING (data_label)""")
 def _(spark, d):
-    path = fresh(spark, "summary")
-    files.write_summary(event_queries.loss_rows(spark, d).select("system_id", "lost_kwh", "loss_pct", "days_assessed"), path)
-    return spark.read.schema("system_id string, lost_kwh double, loss_pct double, days_assessed bigint").json(path)
+    """One object a system with its parts nested, one a dataset with its totals; read back flat."""
+    path, f = fresh(spark, "summary"), chain.analysed(spark, d)
+    rows = event_queries.loss_rows(spark, d).join(feeds.systems(spark, d).select("system_id", "data_label"), "system_id")
+    ends = f.groupBy("system_id").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    files.write_summary(money.system_summaries(rows, ends, detect.episodes(f), detect.noise_profile(f)), f"{path}/systems")
+    totals = money.portfolio(rows.withColumn("status", F.when(F.col("expected_kwh") > 0, "ok").otherwise("too few clear days")))
+    files.write_summary(totals, f"{path}/datasets")
+    systems = spark.read.schema(money.SUMMARY).json(f"{path}/systems")
+    datasets = spark.read.schema("data_label string, systems bigint, lost_kwh double").json(f"{path}/datasets")
+    back = systems.select(
+        "system_id", "data_label", "estimated_loss.lost_kwh", "estimated_loss.loss_pct", "estimated_loss.days_assessed", F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"),
+        F.size("episodes").cast("bigint").alias("episodes"), F.array_max("episodes.max_shortfall_pct").alias("worst_shortfall_pct"),
+    )
+    return back.join(datasets.select("data_label", F.col("systems").alias("dataset_systems"), F.col("lost_kwh").alias("dataset_lost_kwh")), "data_label")

@@ -67,9 +67,9 @@ def _(spark, d):
     return hourly_model.sun_windows(feeds.daily(spark, d).select("system_id", "date").join(feeds.systems(spark, d).select("system_id", "latitude", "longitude", "utc_offset_hours"), "system_id"))
 
 
-@query("m04_hourly_model", "SELECT system_id, hour_ts, round(elevation, 4) AS elevation, round(model_kwh, 5) AS model_kwh FROM hm WHERE hour(hour_ts) BETWEEN 6 AND 18")
+@query("m04_hourly_model", "SELECT system_id, hour_ts, round(elevation, 4) AS elevation, round(model_kwh, 5) AS model_kwh FROM hm")
 def _(spark, d):
-    return hours(spark, d).where(F.hour("hour_ts").between(6, 18)).select("system_id", "hour_ts", F.round("elevation", 4).alias("elevation"), F.round("model_kwh", 5).alias("model_kwh"))
+    return hours(spark, d).select("system_id", "hour_ts", F.round("elevation", 4).alias("elevation"), F.round("model_kwh", 5).alias("model_kwh"))
 
 
 @query("m05_hourly_to_daily", "SELECT system_id, date, round(model_kwh, 4) AS model_kwh FROM hd")
@@ -91,4 +91,4 @@ def _(spark, d):
     other = f.drop("model_kwh").join(hourly_model.daily_sums(hours(spark, d)), ["system_id", "date"], "left")
     both = f.withColumn("scenario_id", F.lit("daily")).unionByName(other.withColumn("scenario_id", F.lit("hourly")))
     keys = ("system_id", "scenario_id")
-    return detect.noise_profile(reference.find_outages(performance_index(both), keys=keys).persist(), keys=keys)
+    return detect.noise_profile(reference.find_outages(performance_index(both), keys=keys), keys=keys)

@@ -71,17 +71,17 @@ def _(spark, d):
     return files.read_weather(spark, path).withColumn("ghi", F.round("ghi", 6))
 
 
-@query("s07_hourly_weather", "SELECT system_id, hour_utc, round(ghi, 4) AS ghi, t2m_c FROM hw WHERE h BETWEEN 2 AND 12")
+@query("s07_hourly_weather", "SELECT system_id, hour_utc, round(ghi, 4) AS ghi, t2m_c FROM hw")
 def _(spark, d):
     path = fresh(spark, "weather-hours")
-    w = hourly_weather(spark, d).where(F.hour("hour_utc").between(2, 12))
+    w = hourly_weather(spark, d)
     for year in (1994, 1997):
         part = w.where(F.year("hour_utc") < 1997 if year == 1994 else F.year("hour_utc") >= 1997)
         weather_payload(part, F.date_format("hour_utc", "yyyyMMddHH")).write.json(f"{path}/from={year}")
     return files.read_weather(spark, path, hourly=True).select("system_id", "hour_utc", F.round("ghi", 4).alias("ghi"), "t2m_c")
 
 
-@query("s09_tidy_sheet", "SELECT date, energy_kwh FROM feed_daily WHERE system_id = 'S0' AND year(date) = 1997")
+@query("s09_tidy_sheet", "SELECT system_id, date, energy_kwh FROM feed_daily")
 def _(spark, d):
     path = fresh(spark, "sheet")
     f = feeds.daily(spark, d).select("system_id", F.year("date").alias("year"), F.lit(2).alias("part"), F.month("date").cast("string").alias("a"), F.day("date").cast("string").alias("b"), F.col("energy_kwh").cast("string").alias("c"))

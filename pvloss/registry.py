@@ -1,8 +1,8 @@
 """All queries over the driver's tables, with the SQL that checks them."""
 
-from .plans import cause_queries, daily_queries, event_queries, interval_queries, output_queries, range_queries, solar_queries, source_queries
+from .plans import cause_queries, daily_queries, event_queries, interval_queries, layout_queries, output_queries, range_queries, solar_queries, source_queries
 
-MODULES = (daily_queries, event_queries, interval_queries, cause_queries, output_queries, range_queries, solar_queries, source_queries)
+MODULES = (daily_queries, event_queries, interval_queries, layout_queries, cause_queries, output_queries, range_queries, solar_queries, source_queries)
 
 
 def queries():

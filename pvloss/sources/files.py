@@ -40,18 +40,36 @@ def write_daily(f: DataFrame, path: str) -> None:
     write_by_system(f.withColumns({c: F.round(c, 5) for c in doubles}), path)
 
 
+def tidy(c: Column, kind: T.DataType) -> Column:
+    """A value with its doubles, nested ones too, at four decimals, and null where they aren't finite."""
+    if isinstance(kind, T.DoubleType):
+        return F.when(F.abs(F.nanvl(c, F.lit(float("inf")))) < float("inf"), F.round(c, 4))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[tidy(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: tidy(x, kind.elementType))
+    return c
+
+
 def write_summary(rows: DataFrame, path: str) -> None:
-    """One JSON object for each system, finite numbers at four decimals."""
-    doubles = [c for c, t in rows.dtypes if t == "double"]
-    rows.withColumns({c: F.when(F.abs(F.nanvl(F.col(c), F.lit(float("inf")))) < float("inf"), F.round(c, 4)) for c in doubles}).write.json(path)
+    """One JSON object for each row, nested as the row is, finite numbers at four decimals."""
+    rows.select(*[tidy(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields]).write.json(path)
 
 
-def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV exports of one header -> file, row_no, column, value (texts), one row a cell. row_no rises with the
-    row's place in its file; blank cells stay null."""
+def read_export_rows(spark: SparkSession, paths: list[str], name: str = r"([^/]+)$") -> DataFrame:
+    """CSV exports of one header -> file, row_no, cells (column, position, value as text), one row a line.
+    row_no is (first byte of the part of the file that was read at once, place in that part): it rises with
+    the line's place in its file whatever way parts are dealt to tasks. Blank cells stay null. `name` is the
+    pattern whose first group takes the file's name from its path."""
     raw = spark.read.option("header", True).csv(paths)
-    named = raw.withColumns({"file": F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), "row_no": F.monotonically_increasing_id()})
-    return named.unpivot(["file", "row_no"], [f"`{c}`" for c in raw.columns], "column", "value")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(raw.columns)])
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("file"), place.alias("row_no"), cells.alias("cells"))
+
+
+def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV exports of one header -> file, row_no, column, position, value (texts), one row a cell."""
+    return read_export_rows(spark, paths).select("file", "row_no", F.explode("cells").alias("c")).select("file", "row_no", "c.*")
 
 
 def read_day_files(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
