@@ -55,7 +55,7 @@ class Settings:
     samples: int = 2000
     confidence: float = 0.95
     block_days: int = 7
-    seed: int = 20261003
+    seed: int = 90_417
     # causes
     degradation_min_years: float = 2.0
     dip_fraction: float = 0.15

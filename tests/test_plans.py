@@ -7,16 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from pvloss.functions.settings import DEFAULT as S
-from pvloss.operators import causes, detect, events, loss_bootstrap, money, validation
+from pvloss.operators import bootstrap, causes, detect, events, loss_bootstrap, money, validation
 from pvloss.operators.frame import performance_index
 from pvloss.plans import cause_queries, chain, event_queries, feeds, output_queries, range_queries, source_queries
 
-from test_analysis import SCHEMA, healthy
+from test_analysis import SCHEMA, plant
 
 
 @pytest.fixture(scope="module")
 def analysed(spark):
-    rows = healthy(years=3, systems=("A", "B"))
+    rows = plant(years=3, systems=("A", "B"))
     for r in rows:
         day = (r[1] - rows[0][1]).days
         if r[0] == "B" and 0 <= day - 800 < 60:
@@ -31,7 +31,9 @@ def plans(spark, analysed, monkeypatch):
     """The feeds and the chain of the name "fixture"; shared frames are kept by that name."""
     systems = spark.createDataFrame([("A", "x", 2.0, 150.0), ("B", "x", 3.0, 150.0)], "system_id string, data_label string, tariff double, cleaning_cost double")
     monkeypatch.setattr(chain, "analysed", lambda *_: analysed)
+    monkeypatch.setattr(chain, "state", lambda *_: ())
     monkeypatch.setattr(feeds, "systems", lambda *_: systems)
+    chain.forget()
     return analysed
 
 
@@ -51,8 +53,12 @@ def test_portfolio_adds_up_all_replicates_with_outages(spark, plans):
 
 
 def test_block_draws_and_their_interval_have_all_replicates(spark, plans):
-    draws = output_queries.QUERIES["d10_block_indices"](spark, "fixture").where("system_id = 'B'").toPandas()
-    assert draws["replicate"].nunique() == S.samples
+    sums = output_queries.QUERIES["d10_block_indices"](spark, "fixture").where("system_id = 'B'").toPandas().set_index("replicate").sort_index()
+    sizes = output_queries.daily_lost(spark, "fixture").groupBy("system_id").agg(F.count("*").alias("m"))
+    draws = bootstrap.block_indices(sizes, S.samples, S.block_days).where("system_id = 'B'").toPandas()
+    assert len(sums) == draws["replicate"].nunique() == S.samples
+    by = draws.assign(w=draws["place"].astype("int64") * draws["idx"]).groupby("replicate")
+    assert sums["places"].tolist() == by["idx"].sum().tolist() and sums["in_order"].tolist() == by["w"].sum().tolist() and (sums["draws"] == by.size()).all()
     days = plans.where("system_id = 'B' and valid and expected_kwh is not null and not outage").orderBy("date").toPandas()
     lost = (days["expected_kwh"] * days["loss_fraction"]).to_numpy(float)
     totals = np.bincount(draws["replicate"], lost[draws["idx"]])
@@ -65,6 +71,7 @@ def test_best_event_of_equals_has_the_narrowest_interval(spark, monkeypatch):
     days = [(s, first + timedelta(at + k), True, False, 1 + e * (-1) ** k * (1 + k % 3), 5.0, 0.0) for (s, at), e in noise.items() for k in range(-14, 15)]
     f = spark.createDataFrame(days, "system_id string, date date, clear boolean, fault boolean, ratio double, expected_kwh double, precip_mm double")
     chosen = spark.createDataFrame([(s, first + timedelta(at), first + timedelta(at), "rain") for s, at in noise], "system_id string, start date, end date, type string")
+    monkeypatch.setattr(chain, "state", lambda *_: ())
     monkeypatch.setattr(event_queries, "faulty", lambda *_: f)
     monkeypatch.setattr(event_queries, "chosen", lambda *_: chosen)
     monkeypatch.setattr(feeds, "systems", lambda *_: spark.createDataFrame([("P", "x"), ("Q", "x"), ("R", "y")], "system_id string, data_label string"))
