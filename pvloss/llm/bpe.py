@@ -29,7 +29,7 @@ from .units import UnitStore, ragged
 
 FIRST = 0x100  # the character of byte 0
 _TO_CHAR = {i: FIRST + i for i in range(256)}
-SLICE = 1 << 22  # bytes of text that are encoded at a time
+SLICE = 1 << 21  # bytes of text that are encoded at a time
 
 
 def _varint(n: int) -> bytes:
@@ -89,7 +89,7 @@ class Codec:
         of_id = [bytes(back[ord(c)] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
         self.bytes, self.sizes = np.frombuffer(b"".join(of_id), np.uint8), np.fromiter(map(len, of_id), np.int64, len(of_id))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.units = UnitStore(self._encode_units, np.uint32)
+        self.units = UnitStore(self._encode_units, np.uint32, 200_000)
 
     def pre_tokens(self, pieces: list[str]) -> list[list[int]]:
         return self.model.encode([as_chars(p.encode()) for p in pieces], num_threads=1) if pieces else []

@@ -71,7 +71,7 @@ def _units(path: str) -> UnitStore:
         ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum(bytes_of)) + 1
         return ids, np.diff(ends, prepend=0)
 
-    return UnitStore(encode, np.uint32)
+    return UnitStore(encode, np.uint32, 500_000)
 
 
 @cache

@@ -186,7 +186,7 @@ class Counter:
         import regex
 
         self.codec, self.match = codec(path, pattern), regex.compile(pattern).match
-        self.units = UnitStore(self._units, np.uint64, 400_000)
+        self.units = UnitStore(self._units, np.uint64, 250_000)
 
     def counts(self, pieces: list[str]) -> list[int]:
         return [len(x) for x in self.codec.pre_tokens(pieces)]
