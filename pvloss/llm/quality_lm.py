@@ -44,7 +44,7 @@ START = 0xFF  # no byte of UTF-8; stands before a text
 PREFIX = bytes(ORDER - 2) + bytes([START])
 HELD = 1 << 21  # n-grams that a counting task holds before it sends them on
 IN_TASK = 1 << 24  # n-grams of a model that a Python worker holds (12 bytes each)
-LOW_BAND, HIGH_BAND = 2.5, 2.5  # distances of the bands, in spreads between the median and a tail percentile
+LOW_BAND, HIGH_BAND = 4.0, 2.5  # distances of the bands, in spreads between the median and a tail percentile
 TAIL = 0.1
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
