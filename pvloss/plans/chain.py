@@ -79,16 +79,17 @@ def _sigma(value):
     return f"CASE WHEN count({value}) >= 5 THEN 1.4826e0 * mad({value}) END"
 
 
-def _noise(w):
+def noise_steps(w, source="fo", p=""):
+    """Residuals, medians and threshold of one window; names begin with p."""
     trend = max(S.trend_window_days, odd(S.trend_window_multiple * w))
-    return f"""{_resid(f"nres{w}", "fo", "pi_clear", trend, S.trend_min_clear_days)},
-    nmed{w} AS (SELECT system_id, CASE WHEN count(resid) OVER w >= {S.smoothing_min_clear_days} THEN median(resid) OVER w END AS m
-      FROM (SELECT f.system_id, f.dn, r.resid FROM fo f JOIN (SELECT system_id, min(dn) AS a, max(dn) AS b FROM nres{w} GROUP BY 1) e
+    return f"""{_resid(f"{p}nres{w}", source, "pi_clear", trend, S.trend_min_clear_days)},
+    {p}nmed{w} AS (SELECT system_id, CASE WHEN count(resid) OVER w >= {S.smoothing_min_clear_days} THEN median(resid) OVER w END AS m
+      FROM (SELECT f.system_id, f.dn, r.resid FROM {source} f JOIN (SELECT system_id, min(dn) AS a, max(dn) AS b FROM {p}nres{w} GROUP BY 1) e
               ON f.system_id = e.system_id AND f.dn BETWEEN e.a AND e.b
-            LEFT JOIN nres{w} r ON r.system_id = f.system_id AND r.dn = f.dn) q
+            LEFT JOIN {p}nres{w} r ON r.system_id = f.system_id AND r.dn = f.dn) q
       WINDOW w AS (PARTITION BY system_id ORDER BY dn RANGE BETWEEN {odd(w) // 2} PRECEDING AND {odd(w) // 2} FOLLOWING)),
-    nse{w} AS (SELECT s.system_id, n.se, CASE WHEN n.se IS NOT NULL THEN greatest({S.min_shortfall_fraction!r}, {z(1 - S.false_alarm_rate)!r} * n.se) END AS th
-      FROM (SELECT DISTINCT system_id FROM fo) s LEFT JOIN (SELECT system_id, {_sigma("m")} AS se FROM nmed{w} GROUP BY 1) n USING (system_id))"""
+    {p}nse{w} AS (SELECT s.system_id, n.se, CASE WHEN n.se IS NOT NULL THEN greatest({S.min_shortfall_fraction!r}, {z(1 - S.false_alarm_rate)!r} * n.se) END AS th
+      FROM (SELECT DISTINCT system_id FROM {source}) s LEFT JOIN (SELECT system_id, {_sigma("m")} AS se FROM {p}nmed{w} GROUP BY 1) n USING (system_id))"""
 
 
 def _smooth(w):
@@ -130,7 +131,7 @@ curve0 AS (SELECT d.system_id, d.doy, max(a.doy) FILTER (a.doy <= d.doy) AS pd,
 curve AS (SELECT system_id, CAST(doy AS INT) AS doy, CASE WHEN qd = pd THEN pv ELSE pv + (qv - pv) * ((doy - pd)::DOUBLE / (qd - pd)) END AS reference FROM curve0),
 fc0 AS (SELECT f.*, c.reference, f.model_kwh * c.reference AS expected_kwh, f.pi / c.reference AS ratio FROM fo f LEFT JOIN curve c ON c.system_id = f.system_id AND c.doy = least(dayofyear(f.date), 365)),
 fc AS (SELECT *, CASE WHEN clear AND NOT outage THEN ratio END AS clear_ratio FROM fc0),
-{_noise(W0)}, {_noise(W1)},
+{noise_steps(W0)}, {noise_steps(W1)},
 noise AS (SELECT system_id, {W0} AS window_days, round(se, 5) AS se, round(th, 5) AS threshold, round(th + {z(S.power)!r} * se, 5) AS detection_limit FROM nse{W0}
           UNION ALL SELECT system_id, {W1}, round(se, 5), round(th, 5), round(th + {z(S.power)!r} * se, 5) FROM nse{W1}),
 {_smooth(W0)}, {_smooth(W1)},

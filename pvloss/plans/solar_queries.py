@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import z
 from ..functions.settings import DEFAULT as S
 from ..operators import detect, hourly_model, reference
 from ..operators.frame import performance_index
@@ -84,7 +85,18 @@ def _(spark, d):
     return both.groupBy("system_id").agg(F.count("model_kwh").alias("days"), F.round(F.sum("model_kwh"), 2).alias("model_kwh")).join(m, "system_id")
 
 
-@query("p06_daily_mode_noise")
+_W0, _W1 = S.windows_days
+_HOURLY = f"""WITH hf AS (SELECT f.* EXCLUDE (usable, model_kwh), h.model_kwh, coalesce(valid AND energy_kwh IS NOT NULL AND ghi >= {S.min_daily_irradiation} AND h.model_kwh > 0, false) AS usable FROM f3 f LEFT JOIN hd h USING (system_id, date)),
+hfb AS (SELECT *, CASE WHEN usable THEN energy_kwh / model_kwh END AS pi, usable AND coalesce(clearness >= {S.clear_day_min_clearness}, false) AS clear FROM hf),
+hfo0 AS (SELECT *, median(CASE WHEN clear THEN pi END) OVER (PARTITION BY system_id) AS typical FROM hfb),
+hfo AS (SELECT *, CASE WHEN clear AND NOT coalesce(valid AND clearness >= {S.outage_min_clearness} AND pi < {S.outage_max_fraction} * typical, false) THEN pi END AS pi_clear FROM hfo0),
+{chain.noise_steps(_W0, "hfo", "h")}, {chain.noise_steps(_W1, "hfo", "h")}
+SELECT system_id, 'daily' AS scenario_id, window_days, se, threshold, detection_limit FROM noise
+UNION ALL SELECT system_id, 'hourly', {_W0}, round(se, 5), round(th, 5), round(th + {z(S.power)!r} * se, 5) FROM hnse{_W0}
+UNION ALL SELECT system_id, 'hourly', {_W1}, round(se, 5), round(th, 5), round(th + {z(S.power)!r} * se, 5) FROM hnse{_W1}"""
+
+
+@query("p06_daily_mode_noise", f"SELECT * FROM ({_HOURLY}) q")
 def _(spark, d):
     """The noise floor with the hourly model beside that with the daily one, as scenarios of one analysis."""
     f = chain.base(spark, d).drop("pi", "clear")
