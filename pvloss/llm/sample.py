@@ -1,4 +1,9 @@
-"""Bounded samples of labelled rows, on which classifiers are fitted."""
+"""Bounded samples of labelled rows, on which classifiers are fitted.
+
+Defined cases: null ids are never picked; an id that is labelled more than once counts once, with its larger label;
+labels other than 0 and 1 are no labels; all rows of a picked id come along, null texts as empty ones; further
+columns are dropped; without labels or documents there are no rows.
+"""
 
 from __future__ import annotations
 
