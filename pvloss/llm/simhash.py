@@ -204,8 +204,8 @@ def components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     known = stored(placed.join(names, "root").select("fp", "n", "component_id", "root"), "known")
     # A fingerprint of very many rows would send them all to one task. Those of over a SHARE-th of all rows
     # are under SHARE in number, so they are broadcast.
-    least = F.greatest(F.lit(COMMON), F.col("total") / SHARE)
-    common = known.join(F.broadcast(known.agg(F.sum("n").alias("total")))).where(F.col("n") > least).select(F.col("fp").alias("common"), F.col("component_id").alias("of_common"), F.col("root").alias("root"))
+    least = max(COMMON, prints.count() // SHARE)
+    common = known.where(F.col("n") > least).select(F.col("fp").alias("common"), F.col("component_id").alias("of_common"), F.col("root").alias("root"))
     common = stored(common, "common")
     rows = prints.join(F.broadcast(common), F.col("fp") == F.col("common"), "left")
     rare = rows.where("common is null").select("doc_id", "fp").join(known.select("fp", "component_id", "root"), "fp")
