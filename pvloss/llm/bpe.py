@@ -142,28 +142,43 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens."""
+def _texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows, rows.schema["doc_id"].dataType.simpleString()
+
+
+def _encoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for batch in slices(big, "text"):
+            ids = own.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pc.divide(pc.binary_length(ids), 4).cast(pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
-    def run(batches):
-        own = codec(path, pattern)
-        for big in batches:
-            for batch in slices(big, "text"):
-                ids = own.encode(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pc.divide(pc.binary_length(ids), 4).cast(pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint")
+def _decoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for batch in slices(big, "ids"):
+            yield pa.RecordBatch.from_arrays([*batch.columns, own.decode(batch.column("ids"))], names=[*batch.schema.names, "decoded"])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs -> doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens."""
+    rows, kind = _texts(docs, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _encoded(codec(path, pattern), batches), f"doc_id {kind}, ids binary, n_tokens bigint")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """encoded (doc_id, ids, n_tokens) -> the same with decoded (binary) added."""
     rows = encoded.select("doc_id", "ids", "n_tokens")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint, decoded binary"
+    return rows.mapInArrow(lambda batches: _decoded(codec(path, pattern), batches), schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass, so that a task has one Python worker and one vocabulary."""
+    rows, kind = _texts(docs, id_col, text_col)
 
     def run(batches):
         own = codec(path, pattern)
-        for big in batches:
-            for batch in slices(big, "ids"):
-                yield pa.RecordBatch.from_arrays([*batch.columns, own.decode(batch.column("ids"))], names=[*batch.schema.names, "decoded"])
+        return _decoded(own, _encoded(own, batches))
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint, decoded binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens bigint, decoded binary")

@@ -72,3 +72,11 @@ def test_store_stays_bounded():
 
 def test_empty_table(spark):
     assert bpe_queries.digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_two_passes_equal_one(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(None, None)], "doc_id long, text string")
+    two = bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id)
+    one = bpe.round_trip(docs, PATH, P.PATTERN).collect()
+    assert [tuple(r) for r in sorted(two, key=key)] == [tuple(r) for r in sorted(one, key=key)]
