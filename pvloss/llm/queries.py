@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, importance_queries, quality_lm_queries, quality_queries, simhash_queries, tokencount_queries, toxicity_queries, urlfilter_queries
+from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, importance_queries, quality_lm_queries, quality_queries, simhash_queries, tokencount_queries, toxicity_queries, turnrepair_queries, urlfilter_queries
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_url_filter": urlfilter_queries.op9_url_filter,
         "op10_toxicity": toxicity_queries.op10_toxicity,
         "op11_importance": importance_queries.op11_importance,
+        "op12_turn_repair": turnrepair_queries.op12_turn_repair,
         "pipeline": corpus_pipeline.run,
     }
 
