@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, importance_queries, quality_lm_queries, quality_queries, simhash_queries, tokencount_queries, toxicity_queries, turnrepair_queries, urlfilter_queries
+from . import bpe_queries, chat_queries, decontam_queries, idstore_queries, importance_queries, pivots_queries, quality_lm_queries, quality_queries, simhash_queries, tokencount_queries, toxicity_queries, turnrepair_queries, urlfilter_queries
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op10_toxicity": toxicity_queries.op10_toxicity,
         "op11_importance": importance_queries.op11_importance,
         "op12_turn_repair": turnrepair_queries.op12_turn_repair,
+        "op13_pivot_index": pivots_queries.op13_pivot_index,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql():
         "op1_decontaminate": decontam_queries.ORACLE,
         "op8_chat_format": chat_queries.ORACLE,
         "op9_url_filter": urlfilter_queries.ORACLE,
+        "op13_pivot_index": pivots_queries.ORACLE,
     }
