@@ -15,7 +15,7 @@ joined to the different n-grams of each chunk of texts instead, and no task hold
 values. The order is the same at every size.
 
 A document's log perplexity is the mean negative log probability of its bytes. For each language,
-percentiles of the different values of its documents (so copies count once) set a lower and an upper
+exact percentiles of the different values of its documents (so copies count once) set a lower and an upper
 band; documents outside are rejected. The rule is the same for all languages and any number of documents:
 up to about 1 / TAIL different values, none lies outside.
 
@@ -43,7 +43,7 @@ ORDER = 6
 START = 0xFF  # no byte of UTF-8; stands before a text
 PREFIX = bytes(ORDER - 2) + bytes([START])
 HELD = 1 << 21  # n-grams that a counting task holds before it sends them on
-IN_TASK = 1 << 24  # n-grams of a model that a Python worker holds (12 bytes each)
+IN_TASK = 1 << 24  # n-grams of a model that a Python worker holds (16 bytes each)
 LOW_BAND, HIGH_BAND = 4.0, 2.5  # distances of the bands, in spreads between the median and a tail percentile
 TAIL = 0.1
 SYMBOLS = "#*$%&|<>"
@@ -140,8 +140,10 @@ def arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
     where, name = fs.FileSystem.from_uri(path)
     t = ds.dataset(name, filesystem=where, format="parquet").to_table(columns=["gram", "logp"])
     keys, logp = t.column("gram").to_numpy(), t.column("logp").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], logp[order]
+    if (keys[1:] < keys[:-1]).any():  # files were written sorted, so as a rule nothing is sorted or copied here
+        order = np.argsort(keys)
+        keys, logp = keys[order], logp[order]
+    return keys, logp
 
 
 def looked_up(keys: np.ndarray, have: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -254,13 +256,28 @@ def scored(docs: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     return score_mapped(rows, path) if kept.count() <= in_task else score_joined(rows, kept)
 
 
+def percentiles(rows: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """key, v0, v1, ...: for each key the values of which that share of its rows are no larger, exactly. Rows are sorted
+    over all partitions; one count for each key in each partition gives every row its rank, so no task
+    and no sketch holds a key's values."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # Spark counts a partition's rows in these bits
+    placed = rows.select(key, value).repartitionByRange(key, value).sortWithinPartitions(key, value)
+    placed = stored(placed.select(key, value, F.spark_partition_id().alias("part"), inside.alias("at")), "ranks")
+    counts = placed.groupBy(key, "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    all_of, before = Window.partitionBy(key), Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(key).alias("_key"), F.col("part").alias("_part"), F.sum("n").over(all_of).alias("total"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    ranked = placed.join(starts, (F.col("part") == F.col("_part")) & F.col(key).eqNullSafe(F.col("_key")))
+    wanted = [F.greatest(F.ceil(F.col("total") * q), F.lit(1)) for q in shares]
+    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("at") + F.col("shift") == w, F.col(value))).alias(f"v{i}") for i, w in enumerate(wanted)])
+
+
 def rules(docs: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """docs (doc_id, text, lang) -> doc_id, counts, base_failed, kept, log_ppl, low_band, high_band."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = stored(scored(docs, in_task).withColumn("base_failed", failed), "scored")
     judged = rows.where("not base_failed").select("lang", "log_ppl").distinct()
-    m = F.percentile_approx("log_ppl", [TAIL, 0.5, 1 - TAIL], 10_000)
-    low, high = F.col("m")[1] - LOW_BAND * (F.col("m")[1] - F.col("m")[0]), F.col("m")[1] + HIGH_BAND * (F.col("m")[2] - F.col("m")[1])
-    bands = judged.groupBy("lang").agg(m.alias("m")).select("lang", low.alias("low_band"), high.alias("high_band"))
+    m = [F.col(f"v{i}") for i in range(3)]
+    low, high = m[1] - LOW_BAND * (m[1] - m[0]), m[1] + HIGH_BAND * (m[2] - m[1])
+    bands = percentiles(judged, "lang", "log_ppl", (TAIL, 0.5, 1 - TAIL)).select("lang", low.alias("low_band"), high.alias("high_band"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low_band"), F.col("high_band")), F.lit(True))
     return rows.join(bands, "lang", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low_band", "high_band")

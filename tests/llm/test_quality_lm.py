@@ -101,6 +101,15 @@ def test_bands_follow_one_rule(spark, monkeypatch):
     assert {r.doc_id for r in quality_lm.rules(scored).where("not kept").collect()} == {5000, 5001}
 
 
+def test_percentiles_are_exact_beyond_any_sketch(spark):
+    rng = np.random.default_rng(6)
+    rows = [(lang, float(x)) for lang, n in (("en", 20_000), ("de", 7), ("", 1)) for x in rng.permutation(n) / 3]
+    got = {r.lang: (r.v0, r.v1, r.v2) for r in quality_lm.percentiles(spark.createDataFrame(rows, "lang string, log_ppl double"), "lang", "log_ppl", (0.1, 0.5, 0.9)).collect()}
+    for lang in ("en", "de", ""):
+        values = sorted(x for k, x in rows if k == lang)
+        assert got[lang] == tuple(values[max(1, int(np.ceil(len(values) * q))) - 1] for q in (0.1, 0.5, 0.9))
+
+
 def test_query_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(0)
     vocab = ["".join(rng.choice(list("abcde"), int(rng.integers(2, 7)))) for _ in range(300)]
