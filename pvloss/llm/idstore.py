@@ -19,8 +19,9 @@ under a temporary name and moved into place, so a repeated task leaves the same
 
 Defined cases: a null text counts as empty; every document ends with the end id, so none is empty;
 repeated ids and null ids (sorted first) are kept, each row is a document, the index numbers equal ids
-by their order (text order) and lookups ask for (doc_id, number); further columns are ignored; an
-empty table gives no shards and no rows. Rows of one id stay with one task.
+by their order (that of the first ORDER_CHARS characters of their texts, then any) and lookups ask for (doc_id, number);
+further columns are ignored; an empty table gives no shards and no rows. Rows of one id may lie in several tasks; their
+numbers go on from task to task.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ SHARD_IDS = 1 << 26  # ids after which a task begins its next shard
 PART_KEYS = 1 << 20  # keys of an index part
 PER_TASK = 20  # bits of a shard's number that count the shards of one task
 BLOCK = 512  # bits between two stored ranks
+ORDER_CHARS = 256  # first characters of a text by which rows of one id are ordered
 JOINED = 256  # units that are encoded as one text
 
 
@@ -206,7 +208,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, tasks:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one id may be a third of all: they are dealt to several tasks too, by how their texts begin and by their place.
+    order = [F.asc_nulls_first("doc_id"), F.asc("_head"), F.asc("_row")]
+    rows = rows.withColumns({"_head": F.substring("text", 1, ORDER_CHARS), "_row": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_head", "_row")
 
     def run(batches):
         from pyspark import TaskContext
@@ -223,7 +227,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, tasks:
                     number = number + 1 if (key,) == last else 0
                     last = (key,)
                     numbers.append(number)
-                columns = [pa.array(numbers, pa.int64()), pa.array(np.full(len(counts), shard)), pa.array(place + np.cumsum(counts) - counts), pa.array(counts)]
+                columns = [pa.array(numbers, pa.int64()), pa.array(np.full(len(counts), shard, np.int64)), pa.array(place + np.cumsum(counts) - counts), pa.array(counts)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "number", "shard", "first", "n_tokens"])
         writer.close()
 
@@ -232,6 +236,26 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, tasks:
     entries = rows.mapInArrow(run, "doc_id bigint, number bigint, shard bigint, first bigint, n_tokens bigint")
     kept = f"{path}/entries"
     entries.write.parquet(kept)
+    return numbered(spark.read.schema(entries.schema).parquet(kept), f"{path}/numbered")
+
+
+def numbered(entries: DataFrame, kept: str) -> DataFrame:
+    """entries with numbers that go on where the rows of one id lie in several tasks. Only the last id of a task can go
+    on in the next one, so these ids are at most as many as tasks."""
+    spark, task = entries.sparkSession, F.shiftright("shard", PER_TASK)
+    rows = entries.withColumn("_task", task)
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    ends = rows.groupBy("_task").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("e"))
+    last = ends.select(F.col("e.doc_id").alias("_id")).distinct()
+    parts = rows.join(F.broadcast(last), same("doc_id", "_id"), "left_semi").groupBy("_task", "doc_id").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = parts.select(F.col("_task").alias("_t"), F.col("doc_id").alias("_id"), before.alias("_shift")).where("_shift > 0")
+    shifts = spark.createDataFrame(shifts.collect(), shifts.schema)  # at most one row for each task
+    if shifts.isEmpty():
+        return entries
+    joined = rows.join(F.broadcast(shifts), (F.col("_task") == F.col("_t")) & same("doc_id", "_id"), "left")
+    out = joined.select("doc_id", (F.col("number") + F.coalesce("_shift", F.lit(0))).alias("number"), "shard", "first", "n_tokens")
+    out.write.parquet(kept)
     return spark.read.schema(entries.schema).parquet(kept)
 
 

@@ -78,3 +78,14 @@ def test_one_key_takes_few_bytes_and_shards_roll_over(spark, monkeypatch):
         assert sum(read) < 1500
     assert idstore.read_one(path, parts, 5, 1) is None and idstore.read_one(path, parts, -9) is None
     assert entries.where("doc_id is not null").select("shard").distinct().count() > 2
+
+
+def test_one_id_with_a_third_of_all_rows_is_dealt_to_several_tasks(spark):
+    rows = [(7, f"same id {i % 500}") for i in range(2000)] + [(None, "no id")] * 900 + [(i, f"own {i}") for i in range(8, 3008)]
+    path = idstore.new_store(spark)
+    entries = idstore.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path, PATH, 2, tasks=8)
+    found = entries.collect()
+    assert len({r.shard >> idstore.PER_TASK for r in found if r.doc_id == 7}) > 1
+    assert sorted(r.number for r in found if r.doc_id == 7) == list(range(2000)) and sorted(r.number for r in found if r.doc_id is None) == list(range(900))
+    assert all(r.number == 0 for r in found if (r.doc_id or 0) > 7) and len(found) == len(rows)
+    assert idstore.write_index(entries, path, 3) == len(rows) and idstore.lookup(entries, path, 3).count() == len(rows)
