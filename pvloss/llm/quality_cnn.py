@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,8 +147,15 @@ def train(sample: DataFrame, most: int = TRAIN_BYTES) -> Net | float:
     """sample (doc_id, text, label), whose rows its maker bounds -> a network fitted on those of its texts
     that together have at most `most` bytes."""
     sample = stored(sample.select("doc_id", "text", "label"), "sample")
-    by_hash = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = sample.withColumn("upto", F.sum(F.octet_length("text")).over(by_hash)).where(F.col("upto") <= most)
+    sizes = sample.select("doc_id", F.xxhash64("doc_id").alias("hash"), F.octet_length("text").alias("size")).collect()
+    upto, picked = 0, []
+    for r in sorted(sizes, key=lambda r: (r["hash"], r["doc_id"])):
+        upto += r["size"]
+        if upto > most:
+            break
+        picked.append((r["doc_id"],))
+    ids = sample.sparkSession.createDataFrame(picked, sample.select("doc_id").schema)
+    rows = sample.join(F.broadcast(ids), "doc_id")
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return fit([t or b"" for t in rows.column("text").to_pylist()], np.array(rows.column("label").to_pylist(), int))
 
