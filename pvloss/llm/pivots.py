@@ -40,6 +40,7 @@ SAMPLE = 4  # vectors of the sample for each pivot
 SAMPLE_VALUES = 1 << 24  # components of all vectors of the sample at most
 CHUNK = 1024  # rows of a list that one group compares at most with as many others
 RUN = 4096  # small lists are held together up to about so many rows
+BROADCAST_LISTS = 500_000  # lists over CHUNK rows that are broadcast at most
 COMMON, SHARE = 100_000, 1000
 
 
@@ -155,6 +156,8 @@ def links(rows: DataFrame, least: float) -> DataFrame:
     listed = with_lists(rows)
     key = ["dim", "p", "q"]
     hot = listed.groupBy(*key).count().where(F.col("count") > CHUNK).select(*key, F.ceil(2 * F.col("count") / CHUNK).cast("int").alias("chunks"))
+    hot = stored(hot, "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_LISTS else hot  # else the vectors are shuffled once more
     own = F.pmod(F.xxhash64("node", "p"), F.coalesce("chunks", F.lit(1))).cast("int")
     dealt = listed.join(hot, key, "left").select(*listed.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("other"))
     dealt = dealt.select(*listed.columns, "own", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"))
