@@ -19,12 +19,15 @@ def runs(f: DataFrame, flag: str, keys=KEYS) -> DataFrame:
     return islands(f, flag, keys).groupBy(*keys, "island").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days")).drop("island")
 
 
-def outage_evidence(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+def outage_evidence(f: DataFrame, days: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """The analysed frame and its days (keys, flag_gap: nothing usable was recorded) -> days of outage, of deep drops and
+    of gaps, the level of the deep days, cold outage days, status. Days that are partial or impossible are no gaps."""
     deep = F.col("flagged") & ~F.col("outage") & (F.col("loss_fraction") > s.deep_fraction)
     got = f.groupBy(*keys).agg(
-        F.count_if("outage").alias("outage_days"), F.count_if(deep).alias("deep_days"), F.count_if(F.col("energy_kwh").isNull()).alias("gap_days"),
+        F.count_if("outage").alias("outage_days"), F.count_if(deep).alias("deep_days"),
         F.median(F.when(deep, F.col("smooth_ratio"))).alias("deep_level"), F.count_if(F.col("outage") & (F.col("t2m_c") < s.cold_below_c)).alias("cold_outage_days"),
     )
+    got = got.join(days.groupBy(*keys).agg(F.count_if("flag_gap").alias("gap_days")), [*keys], "left").na.fill(0, ["gap_days"])
     return got.withColumn("status", F.when((F.col("outage_days") > 0) | (F.col("deep_days") > 0), "indicated").otherwise("not indicated"))
 
 

@@ -1,5 +1,9 @@
 """Readings to interval energy, hours and days with quality flags. The stamp of a reading marks the end
-of its interval; the session time zone is UTC, stamps are local standard time."""
+of its interval; the session time zone is UTC, stamps are local standard time.
+
+A fleet may mix systems with several readings a day and systems with one. From dated() on, a column `subdaily`
+tells them apart, as combined() and nominal_minutes() give it; a table without it holds sub-daily systems only. One reading a day
+stands for the day of its stamp: it has no midpoint, no daylight to cover, no hours, and its ends aren't trimmed."""
 
 from __future__ import annotations
 
@@ -72,17 +76,23 @@ def flag_impossible(df: DataFrame, systems: DataFrame, s: Settings = DEFAULT) ->
     return d.withColumn("energy_kwh", F.when(~F.col("impossible"), F.col("energy_kwh"))).drop("_limit", "capacity_kwp")
 
 
+def subdaily(df: DataFrame) -> Column:
+    """Whether a row's system has several readings a day; unknown counts as one a day."""
+    return true(F.col("subdaily")) if "subdaily" in df.columns else F.lit(True)
+
+
 def dated(df: DataFrame) -> DataFrame:
-    """Adds t0 and t1 (microseconds), mid and date: a reading belongs to the day of its midpoint."""
+    """Adds t0 and t1 (microseconds), mid and date: a reading belongs to the day of its midpoint, one that stands for
+    a day to that of its stamp."""
     d = df.withColumn("t1", us(F.col("ts"))).withColumn("t0", F.col("t1") - F.round(F.col("hours") * HOUR_US).cast("bigint"))
-    d = d.withColumn("mid", at(F.col("t0") + F.shiftright(F.col("t1") - F.col("t0"), 1)))
+    d = d.withColumn("mid", at(F.when(subdaily(df), F.col("t0") + F.shiftright(F.col("t1") - F.col("t0"), 1)).otherwise(F.col("t1"))))
     return d.withColumn("date", F.to_date("mid"))
 
 
 def coverage(df: DataFrame, daylight: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> tuple[DataFrame, DataFrame]:
     """df (dated) and daylight (keys, date, rise, set in microseconds) -> readings whose energy lies in two
-    days' daylight made unknown, and keys, date, coverage. A reading touches its end day and its start
-    day, so two equi-joins do the work of an overlap join."""
+    days' daylight made unknown, and keys, date, coverage of sub-daily systems. A reading touches its end day and its
+    start day, so two equi-joins do the work of an overlap join."""
     light = daylight.select(*keys, F.col("date").alias("_d"), "rise", "set")
     d = df.withColumns({"_d1": F.to_date(at(F.col("t1"))), "_d0": F.to_date(at(F.col("t0")))})
     for end in ("_d1", "_d0"):
@@ -91,9 +101,9 @@ def coverage(df: DataFrame, daylight: DataFrame, s: Settings = DEFAULT, keys=KEY
         lit = F.greatest(F.least(F.col("t1"), F.col(f"{end}s")) - F.greatest(F.col("t0"), F.col(f"{end}r")), F.lit(0)) / HOUR_US
         d = d.withColumn(f"{end}h", F.when(F.col(f"{end}s").isNotNull(), lit).otherwise(0.0))
     d = d.withColumn("_d0h", F.when(F.col("_d0") != F.col("_d1"), F.col("_d0h")).otherwise(0.0))
-    d = d.withColumn("straddles", (F.col("_d1h") > s.straddle_min_hours) & (F.col("_d0h") > s.straddle_min_hours))
+    d = d.withColumn("straddles", subdaily(df) & (F.col("_d1h") > s.straddle_min_hours) & (F.col("_d0h") > s.straddle_min_hours))
     d = d.withColumn("undatable", F.col("straddles") & F.col("energy_kwh").isNotNull()).withColumn("energy_kwh", F.when(~F.col("straddles"), F.col("energy_kwh")))
-    known = d.where("energy_kwh is not null")
+    known = d.where(F.col("energy_kwh").isNotNull() & subdaily(df))
     parts = known.select(*keys, F.explode(F.array(F.struct(F.col("_d1").alias("date"), F.col("_d1h").alias("h")), F.struct(F.col("_d0").alias("date"), F.col("_d0h").alias("h")))).alias("p")).select(*keys, "p.*")
     per_day = parts.groupBy(*keys, "date").agg(F.sum("h").alias("h")).join(daylight.select(*keys, "date", "rise", "set"), [*keys, "date"])
     per_day = per_day.select(*keys, "date", F.least(F.try_divide("h", (F.col("set") - F.col("rise")) / HOUR_US), F.lit(1.0)).alias("coverage"))
@@ -101,7 +111,9 @@ def coverage(df: DataFrame, daylight: DataFrame, s: Settings = DEFAULT, keys=KEY
 
 
 def hourly(df: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """keys, hour_ts, energy_kwh on a full grid of hours; only hours that readings cover are known."""
+    """keys, hour_ts, energy_kwh on a full grid of hours; only hours that readings cover are known. Systems with one
+    reading a day have none."""
+    df = df.where(subdaily(df))
     d = df.withColumn("hour_ts", F.date_trunc("hour", "mid").cast("timestamp_ntz"))
     lo, hi = s.hourly_coverage
     got = d.groupBy(*keys, "hour_ts").agg(F.sum(F.when(F.col("energy_kwh").isNotNull(), F.col("hours")).otherwise(0.0)).alias("lit"), F.max("hours").alias("longest"), F.sum("energy_kwh").alias("e"))
@@ -111,19 +123,31 @@ def hourly(df: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     return grid.join(got, [*keys, "hour_ts"], "left")
 
 
+def trimmed(d: DataFrame, least: int = 2, keys=KEYS) -> DataFrame:
+    """A full calendar without the days of `least` samples or fewer at its ends: first those at the start go, then those
+    at the end, as long as more than two days are left. Series with one reading a day (subdaily false) stay whole."""
+    w = Window.partitionBy(*keys)
+    rn = F.datediff("date", F.min("date").over(w)) + 1
+    d = d.withColumn("_i", rn).withColumns({"_n": F.max("_i").over(w), "_a": F.min(F.when(F.col("n_samples") > least, F.col("_i"))).over(w), "_b": F.max(F.when(F.col("n_samples") > least, F.col("_i"))).over(w)})
+    first = F.greatest(F.lit(1), F.least(F.coalesce("_a", F.col("_n") - 1), F.col("_n") - 1))
+    last = F.least(F.col("_n"), F.greatest(F.coalesce("_b", F.lit(0)), first + 1))
+    return d.where(~subdaily(d) | F.col("_i").between(first, last)).drop("_i", "_n", "_a", "_b")
+
+
 def daily(df: DataFrame, cover: DataFrame, systems: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """Days on a full calendar with quality flags; days at the ends with two samples or fewer go."""
+    """Days on a full calendar with quality flags; days at the ends of sub-daily series with two samples or fewer go. A day
+    of a system with one reading a day is covered if it has a sample, and its coverage is unknown if not."""
     got = df.groupBy(*keys, "date").agg(F.sum("energy_kwh").alias("energy_kwh_raw"), F.count("energy_kwh").alias("n_samples"), F.count_if("impossible").alias("n_impossible"))
-    d = spine(df, keys).join(got, [*keys, "date"], "left").join(cover, [*keys, "date"], "left").na.fill(0, ["n_samples", "n_impossible"]).na.fill(0.0, ["coverage"])
-    w = Window.partitionBy(*keys)
-    full = F.when(F.col("n_samples") > 2, F.col("date"))
-    d = d.withColumn("_a", F.min(full).over(w)).withColumn("_b", F.max(full).over(w)).where("date between _a and _b").drop("_a", "_b")
+    modes = df.groupBy(*keys).agg(F.max(subdaily(df)).alias("subdaily"))
+    d = spine(df, keys).join(got, [*keys, "date"], "left").join(cover, [*keys, "date"], "left").na.fill(0, ["n_samples", "n_impossible"]).join(modes, [*keys])
+    d = d.withColumn("coverage", F.when(F.col("subdaily"), F.coalesce("coverage", F.lit(0.0))).when(F.col("n_samples") > 0, 1.0))
+    d = trimmed(d, keys=keys)
     d = d.join(systems.select("system_id", "capacity_kwp"), "system_id")
-    d = d.withColumn("flag_gap", (F.col("n_samples") == 0) | (F.col("coverage") == 0))
-    d = d.withColumn("flag_partial", ~F.col("flag_gap") & (F.col("coverage") < s.min_daylight_coverage))
+    d = d.withColumn("flag_gap", (F.col("n_samples") == 0) | (F.col("subdaily") & (F.col("coverage") == 0)))
+    d = d.withColumn("flag_partial", ~F.col("flag_gap") & true(F.col("coverage") < s.min_daylight_coverage))
     d = d.withColumn("flag_impossible", (F.col("n_impossible") > 0) | true(F.col("energy_kwh_raw") / F.col("capacity_kwp") > s.max_daily_specific_yield))
     d = d.withColumn("valid", ~(F.col("flag_gap") | F.col("flag_partial") | F.col("flag_impossible")))
-    return d.withColumn("energy_kwh", F.when(F.col("valid"), F.col("energy_kwh_raw"))).drop("capacity_kwp")
+    return d.withColumn("energy_kwh", F.when(F.col("valid"), F.col("energy_kwh_raw"))).drop("capacity_kwp", "subdaily")
 
 
 def completeness(days: DataFrame, readings: DataFrame | None = None, steps: DataFrame | None = None, keys=KEYS) -> DataFrame:

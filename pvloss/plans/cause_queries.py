@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import z
 from ..functions.settings import DEFAULT as S
-from ..operators import causes, layout, validation
+from ..operators import causes, frame, layout, validation
 from . import chain, event_queries, feeds
 from .chain import statement
 from .daily_queries import rounded
@@ -104,9 +104,10 @@ def _(spark, d):
     return causes.runs(chain.outages(spark, d), "outage")
 
 
-@query("c02_outage_evidence", f"SELECT system_id, count(*) FILTER (outage) AS outage_days, count(*) FILTER (fault AND NOT outage) AS deep_days, count(*) FILTER (energy_kwh IS NULL) AS gap_days, round(median(smooth_ratio) FILTER (fault AND NOT outage), 5) AS deep_level, count(*) FILTER (outage AND t2m_c < {S.cold_below_c}) AS cold_outage_days, CASE WHEN bool_or(fault) THEN 'indicated' ELSE 'not indicated' END AS status FROM fault GROUP BY 1")
+@query("c02_outage_evidence", f"SELECT system_id, count(*) FILTER (outage) AS outage_days, count(*) FILTER (fault AND NOT outage) AS deep_days, any_value(g.gaps) AS gap_days, round(median(smooth_ratio) FILTER (fault AND NOT outage), 5) AS deep_level, count(*) FILTER (outage AND t2m_c < {S.cold_below_c}) AS cold_outage_days, CASE WHEN bool_or(fault) THEN 'indicated' ELSE 'not indicated' END AS status FROM fault JOIN (SELECT s.system_id, count(*) - count(f.date) AS gaps FROM spine s LEFT JOIN feed_daily f USING (system_id, date) GROUP BY 1) g USING (system_id) GROUP BY 1")
 def _(spark, d):
-    return rounded(causes.outage_evidence(event_queries.faulty(spark, d)), "deep_level")
+    days = frame.on_calendar(feeds.daily(spark, d).select("system_id", "date", "n_samples", "valid")).withColumn("flag_gap", F.col("n_samples").isNull())
+    return rounded(causes.outage_evidence(event_queries.faulty(spark, d), days), "deep_level")
 
 
 @query("c04_soiling_intervals", "SELECT system_id, first_day, last_day, count(*) AS n FROM ivl GROUP BY ALL")

@@ -12,7 +12,7 @@ li AS (
   SELECT l_suppkey % n_sys AS s, CAST(l_shipdate AS DATE) AS date, count(*) AS n,
          sum(CAST(round(l_discount * 100) AS BIGINT)) AS d100, sum(CAST(round(l_tax * 100) AS BIGINT)) AS t100,
          sum(CAST(round(l_quantity) AS BIGINT)) AS q1
-  FROM lineitem CROSS JOIN p WHERE l_shipdate < TIMESTAMP '1999-01-01 00:00:00' GROUP BY 1, 2),
+  FROM lineitem CROSS JOIN p GROUP BY 1, 2),
 w AS (
   SELECT concat('S', CAST(s AS STRING)) AS system_id, date, n,
          CAST(7500 - floor(4000e0 * abs(dayofyear(date) - 172) / 194e0) AS BIGINT) AS clear_m,
@@ -28,10 +28,11 @@ SELECT system_id, date, n AS n_samples, n >= 2 AS valid, clear_m * k_m / 1e6 AS
 FROM w"""
 
 READINGS = """
-WITH e AS (
-  SELECT concat('S', CAST(user_id % 5 AS STRING)) AS system_id, event_id AS row_no, ts, CAST(ts AS DATE) AS date,
+WITH p AS (SELECT CAST(greatest(5, floor(count(*) / 2000.0)) AS INT) AS n_sys FROM events),
+e AS (
+  SELECT concat('S', CAST(user_id % n_sys AS STRING)) AS system_id, event_id AS row_no, ts, CAST(ts AS DATE) AS date,
          CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v
-  FROM events)
+  FROM events CROSS JOIN p)
 SELECT system_id, row_no, ts, v / 5e1 AS power_kw,
        CASE WHEN v IS NULL THEN NULL ELSE round(sum(v) OVER (PARTITION BY system_id, date >= DATE '2024-01-16'
          ORDER BY ts, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) END AS counter_kwh,
@@ -40,14 +41,15 @@ SELECT system_id, row_no, ts, v / 5e1 AS power_kw,
 FROM e"""
 
 HOURLY = """
-WITH h AS (
-  SELECT concat('S', CAST(user_id % 5 AS STRING)) AS system_id, CAST(date_trunc('hour', ts) AS {ntz}) AS hour_ts, hour(ts) AS hr,
+WITH p AS (SELECT CAST(greatest(5, floor(count(*) / 2000.0)) AS INT) AS n_sys FROM events),
+h AS (
+  SELECT concat('S', CAST(user_id % n_sys AS STRING)) AS system_id, CAST(date_trunc('hour', ts) AS {ntz}) AS hour_ts, hour(ts) AS hr,
          CAST(floor(1e0 * sum(CAST(round(value * 100) AS BIGINT)) / count(*)) AS BIGINT) AS v100
-  FROM events GROUP BY 1, 2, 3)
-SELECT system_id, hour_ts, CAST(90 - 15 * abs(hr - 12) AS DOUBLE) AS elevation, (40 - (hr - 12) * (hr - 12)) / 4e0 AS model_kwh,
-       (40 - (hr - 12) * (hr - 12)) * (78000 + least(v100, 20000) * 2 / 5e0)
+  FROM events CROSS JOIN p GROUP BY 1, 2, 3)
+SELECT system_id, hour_ts, CAST(90 - 15 * abs(hr - 12) AS DOUBLE) AS elevation, greatest(0, 40 - (hr - 12) * (hr - 12)) / 4e0 AS model_kwh,
+       greatest(0, 40 - (hr - 12) * (hr - 12)) * (78000 + least(v100, 20000) * 2 / 5e0)
          * CASE WHEN hr = 16 AND user_dip = 1 THEN 7 ELSE 10 END / 4e6 AS actual_kwh
-FROM (SELECT *, CASE WHEN system_id = 'S1' THEN 1 ELSE 0 END AS user_dip FROM h) WHERE hr BETWEEN 6 AND 18"""
+FROM (SELECT *, CASE WHEN system_id = 'S1' THEN 1 ELSE 0 END AS user_dip FROM h) q"""
 
 SYSTEMS = """
 SELECT system_id, concat('plant ', system_id) AS name, 10e0 AS capacity_kwp, 26.77e0 AS latitude, 75.85e0 AS longitude,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.settings import DEFAULT as S
 from ..operators import intervals as iv
+from ..operators import layout
 from . import feeds
 from .daily_queries import rounded
 
@@ -20,7 +21,7 @@ def _counter(value, part, reset):
       FROM (SELECT system_id, ts, arg_max({value}, row_no) AS v FROM feed_readings WHERE {value} IS NOT NULL GROUP BY 1, 2) q WINDOW w AS (PARTITION BY system_id ORDER BY ts)) r"""
 
 
-CTES = f"""WITH feed_readings AS ({feeds.READINGS}),
+CTES = f"""WITH feed_daily AS ({feeds.DAILY}), feed_readings AS ({feeds.READINGS}),
 i1 AS ({_counter("counter_kwh", "", "NULL")}), i2 AS ({_counter("today_kwh", "", "v")}),
 k AS (SELECT system_id, ts, arg_max(power_kw, row_no) AS power_kw FROM feed_readings WHERE power_kw IS NOT NULL GROUP BY 1, 2),
 e0 AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY system_id ORDER BY ts))) / 3.6e9 AS el, CAST(ts AS DATE) AS day FROM k),
@@ -40,8 +41,10 @@ hr AS (SELECT system_id, date_trunc('hour', mid) AS hour_ts, CASE WHEN sum(CASE
 days AS (SELECT system_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM e9 GROUP BY 1),
 dd0 AS (SELECT s.system_id, s.date, g.raw AS energy_kwh_raw, coalesce(g.n, 0) AS n_samples, coalesce(g.bad, 0) AS n_impossible, coalesce(c.coverage, 0) AS coverage FROM days s
   LEFT JOIN (SELECT system_id, date, sum(energy_kwh) AS raw, count(energy_kwh) AS n, count(*) FILTER (impossible) AS bad FROM e9 GROUP BY 1, 2) g USING (system_id, date) LEFT JOIN cov c USING (system_id, date)),
-dd1 AS (SELECT *, min(CASE WHEN n_samples > 2 THEN date END) OVER w AS a, max(CASE WHEN n_samples > 2 THEN date END) OVER w AS b FROM dd0 WINDOW w AS (PARTITION BY system_id)),
-dd2 AS (SELECT *, n_samples = 0 OR coverage = 0 AS flag_gap, n_impossible > 0 OR coalesce(energy_kwh_raw / {CAPACITY}e0 > {S.max_daily_specific_yield}, false) AS flag_impossible FROM dd1 WHERE date BETWEEN a AND b),
+dd1 AS (SELECT *, max(i) OVER w AS n, min(CASE WHEN n_samples > 2 THEN i END) OVER w AS a, max(CASE WHEN n_samples > 2 THEN i END) OVER w AS b
+  FROM (SELECT *, date - min(date) OVER (PARTITION BY system_id) + 1 AS i FROM dd0) q WINDOW w AS (PARTITION BY system_id)),
+dd2 AS (SELECT *, n_samples = 0 OR coverage = 0 AS flag_gap, n_impossible > 0 OR coalesce(energy_kwh_raw / {CAPACITY}e0 > {S.max_daily_specific_yield}, false) AS flag_impossible
+  FROM (SELECT *, greatest(1, least(coalesce(a, n - 1), n - 1)) AS first_i FROM dd1) q WHERE i BETWEEN first_i AND least(n, greatest(coalesce(b, 0), first_i + 1))),
 dd AS (SELECT *, NOT flag_gap AND coverage < {S.min_daylight_coverage} AS flag_partial, NOT (flag_gap OR flag_impossible OR (NOT flag_gap AND coverage < {S.min_daylight_coverage})) AS valid FROM dd2)
 """
 
@@ -175,3 +178,28 @@ def _(spark, d):
 def _(spark, d):
     readings, per_day, s = covered(spark, d)
     return iv.completeness(iv.daily(readings, per_day, s), readings, iv.counter_to_interval(feeds.readings(spark, d), "counter_kwh"))
+
+
+def fleet(spark, d):
+    """Systems with readings of every kind beside systems with one reading a day, stamped at midnight, in one frame."""
+    fine, sites = energies(spark, d)
+    parts = fine.select(F.concat("system_id", F.lit(".csv")).alias("file"), "system_id", "ts", "energy_kwh", "hours", "step_h")
+    days = feeds.daily(spark, d).select(F.concat(F.lit("D"), "system_id").alias("system_id"), F.col("date").cast("timestamp_ntz").alias("ts"), "energy_kwh")
+    coarse = iv.sample_hours(days).select(F.concat("system_id", F.lit("_daily.csv")).alias("file"), "system_id", "ts", "energy_kwh", "hours", "step_h")
+    small = coarse.select("system_id").distinct().withColumn("capacity_kwp", F.lit(5.0))  # bites on some of the feed's days
+    return layout.combined(parts.unionByName(coarse)), sites.unionByName(small)
+
+
+@query("i18_mixed_fleet", f"""SELECT system_id, date, round(energy_kwh_raw, 4) AS energy_kwh_raw, n_samples, round(coverage, 5) AS coverage, flag_gap, flag_partial, flag_impossible, valid, round(CASE WHEN valid THEN energy_kwh_raw END, 4) AS energy_kwh FROM dd
+UNION ALL SELECT system_id, date, e, n, CASE WHEN n > 0 THEN 1e0 END, n = 0, false, bad, n > 0 AND NOT bad, CASE WHEN n > 0 AND NOT bad THEN e END
+FROM (SELECT *, CASE WHEN NOT over THEN energy_kwh END AS e, CASE WHEN NOT over AND energy_kwh IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS n, over OR coalesce(energy_kwh / 5e0 > {S.max_daily_specific_yield} AND NOT over, false) AS bad
+  FROM (SELECT 'D' || s.system_id AS system_id, s.date, f.energy_kwh, coalesce(f.energy_kwh < 0 OR f.energy_kwh > 5e0 * 24 * {S.max_capacity_factor}, false) AS over
+    FROM (SELECT system_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM feed_daily GROUP BY 1) s LEFT JOIN feed_daily f USING (system_id, date)) q) r""")
+def _(spark, d):
+    readings, sites = fleet(spark, d)
+    marked = iv.dated(iv.flag_impossible(readings, sites))
+    found, per_day = iv.coverage(marked, daylight(marked))
+    out = iv.daily(found, per_day, sites).select("system_id", "date", "energy_kwh_raw", "n_samples", "coverage", "flag_gap", "flag_partial", "flag_impossible", "valid", "energy_kwh")
+    # Sums over readings are rounded; one reading a day is exact.
+    several = ~F.startswith("system_id", F.lit("D"))
+    return rounded(out.withColumns({c: F.when(several, F.round(c, 4)).otherwise(F.col(c)) for c in ("energy_kwh_raw", "energy_kwh")}), "coverage")

@@ -54,10 +54,7 @@ def export_rows(spark, d):
     pair = r.where("system_id = 'S4'").select(F.lit("Plant_S4_power").alias("file"), stamp.alias("Time"), (F.col("power_kw") / 2).alias("inv1_pac"), (F.col("power_kw") / 2).alias("inv2_pac"))
     for k, group in enumerate((total, today, power, pair)):
         group.repartition("file").write.partitionBy("file").option("header", True).csv(f"{path}/{k}")
-    parts = [files.read_export_rows(spark, [f"{path}/{k}"], r"file=([^/]+)/") for k in range(4)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = files.read_export_rows(spark, [f"{path}/{k}" for k in range(4)], r"file=([^/]+)/")
     # Folders of a written table escape blanks.
     return rows.withColumn("file", F.url_decode("file"))
 
@@ -107,4 +104,4 @@ def _(spark, d):
 
 @query("i08_file_intervals")
 def _(spark, d):
-    return rounded(layout.combined(energies(spark, d)), "energy_kwh", "hours")
+    return rounded(layout.combined(energies(spark, d), layouts(spark, d)), "energy_kwh", "hours")

@@ -44,6 +44,26 @@ def _(spark, d):
     return values.groupBy("system_id", "column").agg(F.count("*").alias("cells"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
 
 
+@query("s03_mixed_exports", """SELECT system_id, name AS "column", position, count(*) AS lines, count(value) AS known, round(sum(value), 2) AS total FROM (
+  SELECT system_id, kind, unnest(CASE kind WHEN 0 THEN ['stamp', 'energy_kwh'] WHEN 1 THEN ['energy_kwh', 'stamp', 'energy_kwh.1'] ELSE ['note', 'stamp', 'Power, AC (kW)', 'Unnamed: 3', 'x'] END) AS name,
+         unnest(CASE kind WHEN 0 THEN [0, 1] WHEN 1 THEN [0, 1, 2] ELSE [0, 1, 2, 3, 4] END) AS position, unnest(CASE kind WHEN 0 THEN [NULL, power_kw] WHEN 1 THEN [power_kw, NULL, today_kwh] ELSE [NULL, NULL, power_kw, NULL, counter_kwh] END) AS value
+  FROM (SELECT *, CAST(substr(system_id, 2) AS INT) % 3 AS kind FROM feed_readings) q) r GROUP BY 1, 2, 3""")
+def _(spark, d):
+    """Exports of three layouts, with values in other places, a quoted comma, a repeated and a missing name, read at once."""
+    path = fresh(spark, "mixed")
+    r = feeds.readings(spark, d).withColumns({"kind": F.substring("system_id", 2, 9).cast("int") % 3, "stamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")})
+    for k, columns in enumerate([["stamp", "power_kw"], ["power_kw", "stamp", "today_kwh"], ["note", "stamp", "power_kw", "none", "counter_kwh"]]):
+        lines = r.where(F.col("kind") == k).withColumns({"note": F.concat(F.lit('"a ""quoted"" note, '), "system_id", F.lit('"')), "none": F.lit("")})
+        head = ["stamp,energy_kwh", "energy_kwh,stamp,energy_kwh", 'note,stamp,"Power, AC (kW)",,x'][k]
+        body = lines.select("system_id", F.lit(1).alias("part"), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+        first = lines.select("system_id").distinct().select("system_id", F.lit(0).alias("part"), F.lit(head).alias("value"))
+        # One file a system, its header before its lines, and a blank line.
+        body.unionByName(first).unionByName(first.withColumn("value", F.lit(""))).repartition("system_id").sortWithinPartitions("system_id", "part", F.desc("value")).drop("part").write.partitionBy("system_id").text(f"{path}/{k}")
+    cells = files.read_export_rows(spark, [f"{path}/{k}" for k in range(3)], r"system_id=([^/]+)/").select(F.col("file").alias("system_id"), F.explode("cells").alias("c")).select("system_id", "c.*")
+    number = F.col("value").try_cast("double")
+    return cells.groupBy("system_id", "column", "position").agg(F.count("*").alias("lines"), F.count(number).alias("known"), F.round(F.sum(number), 2).alias("total"))
+
+
 @query("s04_read_day_files", "SELECT system_id, date, energy_kwh FROM feed_daily WHERE date BETWEEN DATE '1996-12-20' AND DATE '1997-02-10'")
 def _(spark, d):
     path = fresh(spark, "days")

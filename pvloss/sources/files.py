@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import stored
+
 SYSTEM_NUMBERS = ("capacity_kwp", "latitude", "longitude", "tilt_deg", "azimuth_deg", "tariff", "cleaning_cost", "utc_offset_hours")
 REQUIRED = ("system_id", "capacity_kwp", "latitude", "longitude")
 EVENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("system_id", "date", "type", "note")])
@@ -56,19 +58,49 @@ def write_summary(rows: DataFrame, path: str) -> None:
     rows.select(*[tidy(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields]).write.json(path)
 
 
+def _cells(value: Column, width: int) -> Column:
+    """A line's values, quoted ones too, as an array of `width` texts; null where they are blank or missing."""
+    names = [f"c{i}" for i in range(width)]
+    parsed = F.from_csv(value, ", ".join(f"{n} string" for n in names), {"escape": '"'})  # quotes inside values are doubled
+    return F.transform(F.array(parsed), lambda p: F.array(*[p[n] for n in names]))[0]  # so that a line is parsed once
+
+
+def _header_names(values: Column) -> Column:
+    """Column names of a header line: those without a name get one by position, repeated ones a number."""
+    trailing = F.array_position(F.transform(F.reverse(values), lambda x: x.isNotNull()), True) - 1  # -1 if all are null
+    known = F.slice(values, 1, (F.size(values) - trailing).cast("int"))
+    filled = F.transform(known, lambda x, i: F.coalesce(x, F.concat(F.lit("Unnamed: "), i.cast("string"))))
+    before = lambda x, i: F.size(F.filter(F.slice(filled, 1, i), lambda y: y == x))
+    return F.transform(filled, lambda x, i: F.when(before(x, i) > 0, F.concat(x, F.lit("."), before(x, i).cast("string"))).otherwise(x))
+
+
+BROADCAST_FILES = 100_000  # headers that are broadcast to the lines of their files at most
+
+
 def read_export_rows(spark: SparkSession, paths: list[str], name: str = r"([^/]+)$") -> DataFrame:
-    """CSV exports of one header -> file, row_no, cells (column, position, value as text), one row a line.
+    """CSV exports, files or folders of them, each file with a header of its own -> file, row_no, cells (column, position, value as text), one row
+    a line. The first line of each file that isn't blank is found in one pass; every line is then read under the header
+    of its file, so files of any number of layouts go through one plan. Lines equal to their file's header and blank
+    lines are no rows; values beyond the header are dropped, missing and blank ones are null; empty files give no rows.
     row_no is (first byte of the part of the file that was read at once, place in that part): it rises with
-    the line's place in its file whatever way parts are dealt to tasks. Blank cells stay null. `name` is the
-    pattern whose first group takes the file's name from its path."""
-    raw = spark.read.option("header", True).csv(paths)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(raw.columns)])
+    the line's place in its file whatever way parts are dealt to tasks. `name` is the pattern whose first group
+    takes the file's name from its path."""
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("file"), place.alias("row_no"), cells.alias("cells"))
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(F.col("_metadata.file_path").alias("path"), place.alias("row_no"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    lines = lines.where(F.trim("value") != "")
+    heads = stored(lines.where("row_no.block = 0").groupBy("path").agg(F.min_by("value", "row_no").alias("header")), "headers")
+    commas = heads.agg(F.max(F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))).alias("n"), F.count("*").alias("files")).first()
+    width = (commas["n"] or 0) + 1
+    heads = heads.select("path", "header", _header_names(_cells(F.col("header"), width)).alias("names"))
+    if commas["files"] <= BROADCAST_FILES:
+        heads = F.broadcast(heads)
+    d = lines.join(heads, "path").where("value <> header").select("path", "row_no", "names", _cells(F.col("value"), width).alias("values"))
+    cells = F.transform("names", lambda n, i: F.struct(n.alias("column"), i.alias("position"), F.get("values", i).alias("value")))
+    return d.select(F.regexp_extract("path", name, 1).alias("file"), "row_no", cells.alias("cells"))
 
 
 def read_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV exports of one header -> file, row_no, column, position, value (texts), one row a cell."""
+    """CSV exports, each with its own header -> file, row_no, column, position, value (texts), one row a cell."""
     return read_export_rows(spark, paths).select("file", "row_no", F.explode("cells").alias("c")).select("file", "row_no", "c.*")
 
 
