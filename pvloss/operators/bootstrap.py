@@ -1,14 +1,72 @@
 """Moving-block bootstrap whose draws depend on (seed, key, replicate, block) alone, so results are the
-same on any partitioning."""
+same on any partitioning. Replicates are never rows beside days: a series is sent to one task once, as it is, and its
+blocks are drawn inside an Arrow pass there, CHUNK replicates at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.common import KEYS, day_number, draw
+from ..functions.common import KEYS, draw
 from ..functions.settings import DEFAULT, Settings
 
+CHUNK = 128  # replicates whose days are held at a time
+
+
+def uniforms(parts, ends) -> np.ndarray:
+    """draw() of (*parts, end) for every end: numbers in [0, 1) from the first 48 bits of a digest. Null parts are left out."""
+    first = md5("".join(f"{p}|" for p in parts if p is not None).encode())
+    out = bytearray()
+    for end in ends:
+        h = first.copy()
+        h.update(end)
+        out += h.digest()[:6]
+    return np.frombuffer(bytes(out), np.uint8).reshape(-1, 6) @ 256.0 ** np.arange(5, -1, -1) / 256.0**6
+
+
+def block_starts(key, m: int, block: int, replicates: range, seed: int) -> np.ndarray:
+    """Where the blocks of each replicate of range(m) start: replicates x blocks; the last block may be cut."""
+    b = min(block, m)
+    blocks = -(-m // b)
+    ends = [f"{r}|{k}".encode() for r in replicates for k in range(blocks)]
+    return np.floor(uniforms((seed, *key), ends) * (m - b + 1)).astype(np.int64).reshape(len(replicates), blocks)
+
+
+def block_sums(x: np.ndarray, starts: np.ndarray, block: int) -> np.ndarray:
+    """Sums of x over the days of each replicate, from running sums."""
+    b, m = min(block, len(x)), len(x)
+    sizes = np.full(starts.shape[1], b)
+    sizes[-1] = m - b * (len(sizes) - 1)
+    upto = np.concatenate([[0.0], np.cumsum(x)])
+    return (upto[starts + sizes] - upto[starts]).sum(axis=1)
+
+
+def block_medians(x: np.ndarray, starts: np.ndarray, block: int) -> np.ndarray:
+    """Medians of x over the days of each replicate."""
+    b, m = min(block, len(x)), len(x)
+    days = (starts[:, :, None] + np.arange(b)).reshape(len(starts), -1)[:, :m]
+    return np.median(x[days], axis=1)
+
+
+def resampled(values: DataFrame, value: str, name: str, of, replicates: int, block: int, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """values (keys, date, value) -> keys, replicate, name: `of` (block_sums or block_medians) over the known values of
+    a series in the order of their dates, drawn again in blocks. Series without values give no rows."""
+    rows = values.where(F.col(value).isNotNull()).select(*keys, "date", F.col(value).cast("double").alias("_x"))
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("replicate", T.IntegerType()), T.StructField(name, T.DoubleType())])
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        x, own = t.sort_by("date").column("_x").to_numpy(), [k.as_py() for k in key]
+        got = [of(x, block_starts(own, len(x), block, range(a, min(a + CHUNK, replicates)), s.seed), block) for a in range(0, replicates, CHUNK)]
+        same = [pa.repeat(k, replicates) for k in key]
+        return pa.table([*same, pa.array(np.arange(replicates, dtype=np.int32)), pa.array(np.concatenate(got))], names=[*keys, "replicate", name])
+
+    return rows.groupBy(*keys).applyInArrow(work, schema)
+
 
 def block_indices(sizes: DataFrame, replicates: int, block: int, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """sizes (keys, m) -> keys, replicate, place, idx: a resample of range(m) in whole blocks."""
@@ -22,7 +80,4 @@ def block_indices(sizes: DataFrame, replicates: int, block: int, s: Settings = D
 
 def resampled_totals(values: DataFrame, value: str, replicates: int, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """values (keys, date, value) -> keys, replicate, lost: totals over block-resampled days."""
-    numbered = values.where(F.col(value).isNotNull()).withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy(day_number())) - 1)
-    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("m"))
-    drawn = block_indices(sizes, replicates, s.block_days, s, keys).join(numbered.select(*keys, "idx", value), [*keys, "idx"])
-    return drawn.groupBy(*keys, "replicate").agg(F.sum(value).alias("lost"))
+    return resampled(values, value, "lost", block_sums, replicates, s.block_days, s, keys)

@@ -6,12 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.common import KEYS, draw, islands, true, z
 from ..functions.settings import DEFAULT, Settings
-from .bootstrap import block_indices
+from .bootstrap import block_medians, resampled, uniforms
 
 
 def runs(f: DataFrame, flag: str, keys=KEYS) -> DataFrame:
@@ -102,16 +104,28 @@ def soiling_ratio(points: DataFrame, slopes: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def soiling_draws(points: DataFrame, slopes: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """keys, replicate, soiling_ratio with every slope drawn again from a normal of its own band."""
-    by_part = [*keys, "part"]
-    d = slopes.select(*by_part, "slope", "sd").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(s.soiling_reps - 1))))
-    u = lambda name: draw(F.lit(str(s.seed)), *[F.col(k) for k in keys], F.col("part").cast("string"), F.col("replicate").cast("string"), F.lit(name))
-    normal = F.sqrt(-2.0 * F.log(1.0 - u("a"))) * F.cos(2 * math.pi * u("b"))
-    d = d.select(*by_part, "replicate", (F.col("slope") + normal * F.col("sd")).alias("slope"))
-    # Days of usable intervals meet their draws; the weight of all other days is the same in every replicate.
-    total = points.groupBy(*keys).agg(F.sum("ghi").alias("_all"))
-    lost = points.join(d, by_part).groupBy(*keys, "replicate").agg(F.sum((1.0 - _kept(F.col("slope"))) * F.col("ghi")).alias("_lost"))
-    return lost.join(total, [*keys]).select(*keys, "replicate", (1.0 - F.try_divide("_lost", "_all")).alias("soiling_ratio"))
+    """keys, replicate, soiling_ratio with every slope drawn again from a normal of its own band. The points of a series
+    meet its slopes once, and the draws are made beside them."""
+    both = points.join(slopes.select(*keys, "part", "slope", "sd"), [*keys, "part"], "left")
+    rows = both.select(*keys, "part", F.datediff("date", "opens").alias("_x"), "ghi", "slope", "sd")
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("replicate", T.IntegerType()), T.StructField("soiling_ratio", T.DoubleType())])
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        own, reps = [k.as_py() for k in key], np.arange(s.soiling_reps)
+        ghi, known = t.column("ghi").to_numpy(), np.asarray(t.column("slope").is_valid())
+        part, x = t.column("part").to_numpy()[known], t.column("_x").to_numpy()[known]
+        parts, first, of = np.unique(part, return_index=True, return_inverse=True)
+        slope, sd = (t.column(c).to_numpy()[known][first] for c in ("slope", "sd"))
+        ratio = np.full(len(reps), np.nan)
+        if len(parts) and ghi.sum():
+            u = [uniforms((s.seed, *own), [f"{p}|{r}|{name}".encode() for r in reps for p in parts.tolist()]).reshape(len(reps), -1) for name in "ab"]
+            drawn = slope + np.sqrt(-2.0 * np.log(1.0 - u[0])) * np.cos(2 * math.pi * u[1]) * sd
+            kept = ((1.0 - np.clip(1.0 + np.minimum(d, 0.0)[of] * x, 0.0, 1.0)) @ ghi[known] for d in drawn)
+            ratio = 1.0 - np.fromiter(kept, float, len(reps)) / ghi.sum()
+        some = np.flatnonzero(np.isfinite(ratio))
+        return pa.table([*[pa.repeat(k, len(some)) for k in key], pa.array(reps[some].astype(np.int32)), pa.array(ratio[some])], names=schema.names)
+
+    return rows.groupBy(*keys).applyInArrow(work, schema)
 
 
 def soiling_range(draws: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
@@ -159,11 +173,10 @@ def year_pairs(f: DataFrame, keys=KEYS) -> DataFrame:
 def year_on_year_range(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """keys, change_lo, change_hi, status of series that year_on_year can measure: medians of pairs drawn again
     in blocks; ageing is indicated where the whole range is below zero."""
-    ok = year_on_year(f, s, keys).where("status = 'ok'").select(*keys, F.col("pairs").alias("m"))
-    numbered = year_pairs(f, keys).withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("date")) - 1)
-    drawn = block_indices(ok, s.samples, s.degradation_block_days, s, keys).join(numbered, [*keys, "idx"])
+    ok = year_on_year(f, s, keys).where("status = 'ok'").select(*keys)
+    drawn = resampled(year_pairs(f, keys).join(ok, [*keys], "left_semi"), "change", "_m", block_medians, s.samples, s.degradation_block_days, s, keys)
     tail = (1 - s.confidence) / 2
-    got = drawn.groupBy(*keys, "replicate").agg(F.median("change").alias("_m")).groupBy(*keys).agg(F.percentile("_m", tail).alias("change_lo"), F.percentile("_m", 1 - tail).alias("change_hi"))
+    got = drawn.groupBy(*keys).agg(F.percentile("_m", tail).alias("change_lo"), F.percentile("_m", 1 - tail).alias("change_hi"))
     return got.withColumn("status", F.when(F.col("change_hi") < 0, "indicated").otherwise("not indicated"))
 
 

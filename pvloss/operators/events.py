@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.common import KEYS, draw, islands, true, z
+from ..functions.common import KEYS, islands, true, z
 from ..functions.settings import DEFAULT, Settings
+from .bootstrap import uniforms
 
 
 def rain_events(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
@@ -73,26 +77,37 @@ def stretch(n: int, s: Settings = DEFAULT) -> float:
 
 def event_intervals(f: DataFrame, events: DataFrame, s: Settings = DEFAULT, keys=KEYS, samples: int | None = None) -> DataFrame:
     """Events that are ok -> change_lo, change_hi (percent), kwh_lo, kwh_hi (energy a day), distinguishable. Each
-    side's mean is drawn again with replacement and stretched. Draws depend on the event and the replicate alone."""
-    p = 1 - (1 - s.confidence) / 2
-    most = max(s.days_before, s.days_after)
-    factors = F.create_map(*[x for n in range(2, most + 1) for x in (F.lit(n), F.lit(stretch(n, s)))])
+    side's mean is drawn again with replacement and stretched, inside the row of its event. Draws depend on the event and
+    the replicate alone."""
+    p, reps = 1 - (1 - s.confidence) / 2, samples or s.samples
+    factor = {n: stretch(n, s) for n in range(2, max(s.days_before, s.days_after) + 1)}
     d = event_days(f, events, s, keys)
     side = lambda cond: F.sort_array(F.collect_list(F.when(F.col("usable") & cond, F.struct("date", "ratio"))))["ratio"]
-    sides = d.groupBy(*keys, "start", "end", "type").agg(side(F.col("rel") < 0).alias("b"), side(F.col("rel") > 0).alias("a"), F.avg("expected_kwh").alias("expected"))
+    own = [*keys, "start", "end", "type"]
+    sides = d.groupBy(*own).agg(side(F.col("rel") < 0).alias("b"), side(F.col("rel") > 0).alias("a"), F.avg("expected_kwh").alias("expected"))
     sides = sides.where((F.size("b") >= s.min_clear_days_each_side) & (F.size("a") >= s.min_clear_days_each_side))
-    reps = sides.select("*", F.explode(F.sequence(F.lit(0), F.lit((samples or s.samples) - 1))).alias("rep"))
-
-    def redrawn(side):
-        values, n = F.col(side), F.size(side)
-        mean = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / n
-        pick = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(values, F.floor(draw(F.lit(str(s.seed)), *[F.col(k) for k in keys], F.col("start").cast("string"), F.lit(side), F.col("rep").cast("string"), i.cast("string")) * n).cast("int")))
-        return mean + (F.aggregate(pick, F.lit(0.0), lambda acc, x: acc + x) / n - mean) * F.element_at(factors, n)
-
-    reps = reps.select(*keys, "start", "end", "type", "expected", redrawn("a").alias("a"), redrawn("b").alias("b"))
-    reps = reps.withColumns({"change": 100 * (F.col("a") / F.col("b") - 1), "kwh": (F.col("a") - F.col("b")) * F.col("expected")})
-    ends = [F.percentile(c, q).alias(f"{c}_{e}") for c in ("change", "kwh") for e, q in (("lo", 1 - p), ("hi", p))]
-    got = reps.groupBy(*keys, "start", "end", "type").agg(*ends)
+    ends = ("change_lo", "change_hi", "kwh_lo", "kwh_hi")
+    schema = T.StructType([*sides.select(*own).schema.fields, *[T.StructField(c, T.DoubleType()) for c in ends]])
+
+    def redrawn(row: dict, side: str) -> np.ndarray:
+        x = np.array(row[side])
+        u = uniforms((s.seed, *[row[k] for k in keys], row["start"], side), [f"{r}|{i}".encode() for r in range(reps) for i in range(len(x))])
+        mean = x.sum() / len(x)
+        return mean + (x[np.floor(u * len(x)).astype(int)].reshape(reps, -1).sum(axis=1) / len(x) - mean) * factor[len(x)]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                a, b = redrawn(row, "a"), redrawn(row, "b")
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    change = 100 * (a / b - 1)
+                kwh = (a - b) * (np.nan if row["expected"] is None else row["expected"])
+                out.append(np.concatenate([np.percentile(x, [100 * (1 - p), 100 * p]) for x in (change, kwh)]))
+            numbers = np.array(out).reshape(-1, len(ends))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *[pa.array(numbers[:, k], pa.float64(), mask=np.isnan(numbers[:, k])) for k in range(len(ends))]], names=schema.names)
+
+    got = sides.mapInArrow(run, schema)
     return got.withColumn("distinguishable", (F.col("change_lo") > 0) | (F.col("change_hi") < 0))
 
 
