@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.common import KEYS, draw, islands, true, z
 from ..functions.settings import DEFAULT, Settings
+from ..functions.slopes import ranked_slopes
 from .bootstrap import block_medians, resampled, uniforms
 
 
@@ -64,21 +65,23 @@ def soiling_intervals(f: DataFrame, cuts: DataFrame, s: Settings = DEFAULT, keys
 def theil_sen(points: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """keys, part, slope (median of pairwise slopes over the interval's median), level, n, first_day, last_day, and
     sd: half the rank-based band of the slope (Sen 1968, ties allowed for) over the median. An interval, which is
-    no longer than its series, meets in one group; its pairs of points live in that task alone."""
+    no longer than its series, meets in one group; its slopes are selected by rank, in memory linear in its points."""
     by_part = [*keys, "part"]
 
     def work(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("x", ignore_index=True)
         x, y, n = g["x"].to_numpy(float), g["y"].to_numpy(float), len(g)
-        pairs = np.sort(np.concatenate([(y[i + 1 :] - y[i]) / (x[i + 1 :] - x[i]) for i in range(n - 1)])) if n > 1 else np.empty(0)
-        if not len(pairs):
+        m = n * (n - 1) // 2
+        if not m:
             return pd.DataFrame(columns=[*by_part, *RESULT])
         spread = lambda k: k * (k - 1) * (2 * k + 5)
         ties = spread(g["y"].value_counts().to_numpy(float)).sum()
-        half, m, level = z((1 + s.slope_band) / 2) * np.sqrt((spread(n) - ties) / 18.0), len(pairs), float(np.median(y))
-        lo, hi = (pairs[int(i)] for i in (max(np.rint((m - half) / 2) - 1, 0), min(np.rint((m + half) / 2), m - 1)))
+        half, level = z((1 + s.slope_band) / 2) * np.sqrt((spread(float(n)) - ties) / 18.0), float(np.median(y))
+        ranks = [(m - 1) // 2, m // 2, int(max(np.rint((m - half) / 2) - 1, 0)), int(min(np.rint((m + half) / 2), m - 1))]
+        below, above, lo, hi = ranked_slopes(x, y, ranks)
+        middle = (below + above) / 2
         over = lambda v: v / level if level else np.nan
-        row = [float(np.median(pairs)), over(float(np.median(pairs))), level, n, g["first_day"][0], g["last_day"][0], max(over((hi - lo) / 2), 1e-9)]
+        row = [middle, over(middle), level, n, g["first_day"][0], g["last_day"][0], max(over((hi - lo) / 2), 1e-9)]
         return pd.DataFrame([[*key, *row]], columns=[*by_part, *RESULT])
 
     types = dict(points.dtypes)
@@ -188,10 +191,15 @@ def year_on_year(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     return span.join(pairs, [*keys], "left").select(*keys, F.coalesce("pairs", F.lit(0)).alias("pairs"), F.when(true(enough), F.col("m")).alias("change_pct_per_year"), F.when(true(enough), "ok").otherwise("insufficient data").alias("status"))
 
 
-def shading_base(hours: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Hours with the sun high enough and a model: ratio of measured to modelled energy."""
-    d = hours.where((F.col("elevation") >= s.shading_min_elevation_deg) & (F.col("model_kwh") > 0) & F.col("actual_kwh").isNotNull())
-    return d.withColumns({"date": F.to_date("hour_ts"), "hour": F.hour("hour_ts"), "month": F.month("hour_ts"), "r": F.col("actual_kwh") / F.col("model_kwh")})
+def shading_base(measured: DataFrame, model: DataFrame, days: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """measured (keys, hour_ts, actual_kwh), model (keys, hour_ts, elevation, model_kwh) and days (keys, date, clear, fault) ->
+    hours known in both, on clear days without fault, with the sun high enough and a model: ratio r of measured to
+    modelled energy. Cloudy days would show the weather and not the site."""
+    both = measured.select(*keys, "hour_ts", "actual_kwh").join(model.select(*keys, "hour_ts", "elevation", "model_kwh"), [*keys, "hour_ts"])
+    d = both.where((F.col("elevation") >= s.shading_min_elevation_deg) & (F.col("model_kwh") > 0) & F.col("actual_kwh").isNotNull())
+    d = d.withColumns({"date": F.to_date("hour_ts"), "hour": F.hour("hour_ts"), "month": F.month("hour_ts"), "r": F.col("actual_kwh") / F.col("model_kwh")})
+    good = days.where(true(F.col("clear")) & ~true(F.col("fault"))).select(*keys, "date")
+    return d.join(good, [*keys, "date"], "left_semi")
 
 
 def daily_shape(base: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
@@ -203,12 +211,13 @@ def daily_shape(base: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
 
 
 def clock_check(base: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """keys, offset, summer and winter offsets in minutes, clock_ok: where the day's energy is centred."""
+    """keys, offset, summer and winter offsets in minutes, clock_ok: where the day's energy is centred. Without days of
+    both seasons the clock can't be trusted."""
     day = base.groupBy(*keys, "date", "month").agg((F.try_divide(F.sum(F.col("actual_kwh") * F.col("hour")), F.sum("actual_kwh")) - F.try_divide(F.sum(F.col("model_kwh") * F.col("hour")), F.sum("model_kwh"))).alias("h"))
     m = lambda months: 60 * F.median(F.when(F.col("month").isin(*months), F.col("h")))
     got = day.groupBy(*keys).agg((60 * F.median("h")).alias("offset_min"), m(s.summer_months).alias("summer_min"), m(s.winter_months).alias("winter_min"))
-    seasonal = F.coalesce(F.abs(F.col("summer_min") - F.col("winter_min")) <= s.clock_max_seasonal_minutes, F.lit(True))
-    return got.withColumn("clock_ok", true(F.abs("offset_min") <= s.clock_max_offset_minutes) & seasonal)
+    seasonal = F.abs(F.col("summer_min") - F.col("winter_min")) <= s.clock_max_seasonal_minutes
+    return got.withColumn("clock_ok", true(F.abs("offset_min") <= s.clock_max_offset_minutes) & true(seasonal))
 
 
 def recurring_dips(shaped: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
@@ -217,9 +226,33 @@ def recurring_dips(shaped: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataF
     return got.withColumn("is_dip", (F.col("days") >= s.shading_min_clear_days) & (F.col("dip_share") >= s.dip_min_share_of_days))
 
 
-def symmetry(base: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """keys, morning, afternoon, difference, indicated: low-sun ratios before and after the day's peak."""
-    peak = base.groupBy(*keys, "date").agg(F.max_by("hour", F.struct("model_kwh", -F.col("hour"))).alias("peak"))
-    low = base.where(F.col("elevation") <= s.shading_min_elevation_deg + s.symmetry_band_deg).join(peak, [*keys, "date"])
-    got = low.groupBy(*keys).agg(F.median(F.when(F.col("hour") < F.col("peak"), F.col("r"))).alias("morning"), F.median(F.when(F.col("hour") > F.col("peak"), F.col("r"))).alias("afternoon"))
+def dip_hours(dips: DataFrame, keys=KEYS) -> DataFrame:
+    """recurring_dips() -> keys, hour, months (in order), dip_pct: what the hours with dips lose, as the median over months."""
+    return dips.where("is_dip").groupBy(*keys, "hour").agg(F.sort_array(F.collect_set("month")).alias("months"), (100 * (1 - F.median("median_shape"))).alias("dip_pct"))
+
+
+def symmetry(shaped: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """keys, morning, afternoon, difference, indicated: the shape at low sun before and after the day's peak of the model.
+    A model's errors at low sun lower both alike, an obstruction one of them."""
+    peak = shaped.groupBy(*keys, "date").agg(F.max_by("hour", F.struct("model_kwh", -F.col("hour"))).alias("peak"))
+    low = shaped.where(F.col("elevation") < s.shading_min_elevation_deg + s.symmetry_band_deg).join(peak, [*keys, "date"])
+    got = low.groupBy(*keys).agg(F.median(F.when(F.col("hour") < F.col("peak"), F.col("shape"))).alias("morning"), F.median(F.when(F.col("hour") > F.col("peak"), F.col("shape"))).alias("afternoon"))
     return got.withColumn("difference", F.col("morning") - F.col("afternoon")).withColumn("indicated", true(F.abs("difference") >= s.symmetry_min_difference))
+
+
+def shading_status(systems: DataFrame, shaped: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """systems (keys, subdaily) and daily_shape() -> one verdict for each: daily input can't be assessed, nor can a clock that
+    is off; without hours there are too few data; recurring dips that lie on one side of the day are indicated. dips
+    counts months and hours with dips, side tells where they lie."""
+    dips = recurring_dips(shaped, s, keys)
+    hours = dip_hours(dips, keys).groupBy(*keys).agg(F.min("hour").alias("_a"), F.max("hour").alias("_b"))
+    count = dips.groupBy(*keys).agg(F.count_if("is_dip").alias("dips"))
+    d = systems.select(*keys, "subdaily").join(clock_check(shaped, s, keys), [*keys], "left").join(count, [*keys], "left").join(hours, [*keys], "left").join(symmetry(shaped, s, keys), [*keys], "left")
+    side = F.when(F.col("_b") < 12, "morning").when(F.col("_a") >= 12, "afternoon").when(F.col("_a").isNotNull(), "both ends of the day")
+    status = (
+        F.when(~true(F.col("subdaily")), "cannot be assessed").when(F.col("dips").isNull(), "insufficient data").when(~F.col("clock_ok"), "cannot be assessed")
+        .when((F.col("dips") > 0) & true(F.col("indicated")), "indicated").otherwise("not indicated")
+    )
+    tested = status.isin("indicated", "not indicated")
+    dipped = tested & (F.col("dips") > 0)
+    return d.select(*keys, status.alias("status"), "offset_min", "summer_min", "winter_min", F.when(tested, F.col("dips")).alias("dips"), F.when(dipped, side).alias("side"), F.when(dipped, F.col("morning")).alias("morning"), F.when(dipped, F.col("afternoon")).alias("afternoon"))

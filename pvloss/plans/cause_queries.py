@@ -35,11 +35,15 @@ srange AS (SELECT system_id, 100 * (1 - quantile_cont(sr, 0.975)) AS loss_lo, 10
 yp AS (SELECT a.system_id, a.dn, 100 * (b.pi / a.pi - 1) AS change, row_number() OVER (PARTITION BY a.system_id ORDER BY a.dn) - 1 AS idx FROM fault a JOIN fault b ON a.system_id = b.system_id AND b.dn = a.dn + 365
   WHERE a.clear AND NOT a.fault AND b.clear AND NOT b.fault),
 yoy AS (SELECT system_id, count(*) AS pairs, median(change) AS m FROM yp GROUP BY 1),
-sb AS (SELECT *, CAST(hour_ts AS DATE) AS date, CAST(hour(hour_ts) AS INT) AS hour, CAST(month(hour_ts) AS INT) AS month, actual_kwh / model_kwh AS r FROM feed_hourly WHERE elevation >= {S.shading_min_elevation_deg} AND model_kwh > 0 AND actual_kwh IS NOT NULL),
+sb AS (SELECT *, CAST(hour_ts AS DATE) AS date, CAST(hour(hour_ts) AS INT) AS hour, CAST(month(hour_ts) AS INT) AS month, actual_kwh / model_kwh AS r FROM feed_hourly h WHERE EXISTS (SELECT 1 FROM feed_clear c WHERE c.system_id = h.system_id AND c.date = CAST(h.hour_ts AS DATE) AND c.clear AND NOT c.fault) AND elevation >= {S.shading_min_elevation_deg} AND model_kwh > 0 AND actual_kwh IS NOT NULL),
 sh0 AS (SELECT *, row_number() OVER (PARTITION BY system_id, date ORDER BY model_kwh DESC, hour) AS k FROM sb),
 sh AS (SELECT *, r / median(CASE WHEN k <= {S.midday_hours} THEN r END) OVER (PARTITION BY system_id, date) AS shape FROM sh0),
-clk AS (SELECT system_id, date, month, sum(actual_kwh * hour) / sum(actual_kwh) - sum(model_kwh * hour) / sum(model_kwh) AS h FROM sb GROUP BY 1, 2, 3),
-peak AS (SELECT system_id, date, arg_max(hour, (model_kwh, -hour)) AS peak FROM sb GROUP BY 1, 2),
+clk0 AS (SELECT system_id, date, month, sum(actual_kwh * (hour + 0.5)) / sum(actual_kwh) - sum(model_kwh * (hour + 0.5)) / sum(model_kwh) AS h FROM sb GROUP BY 1, 2, 3),
+clk AS (SELECT system_id, 60 * median(h) AS o, 60 * median(h) FILTER (month BETWEEN 5 AND 8) AS su, 60 * median(h) FILTER (month >= 11 OR month <= 2) AS wi FROM clk0 GROUP BY 1),
+clk1 AS (SELECT *, coalesce(abs(o) <= {S.clock_max_offset_minutes} AND abs(su - wi) <= {S.clock_max_seasonal_minutes}, false) AS ok FROM clk),
+dip AS (SELECT system_id, month, hour, count(*) AS days, median(shape) AS ms, avg((shape < {1 - S.dip_fraction})::INT) AS share FROM sh WHERE shape IS NOT NULL GROUP BY 1, 2, 3),
+dip1 AS (SELECT *, days >= {S.shading_min_clear_days} AND share >= {S.dip_min_share_of_days} AS is_dip FROM dip),
+sym AS (SELECT system_id, median(shape) FILTER (hour < peak) AS am, median(shape) FILTER (hour > peak) AS pm FROM sh JOIN (SELECT system_id, date, arg_min(hour, (-model_kwh, hour)) AS peak FROM sb GROUP BY 1, 2) p USING (system_id, date) WHERE elevation < {S.shading_min_elevation_deg + S.symmetry_band_deg} GROUP BY 1),
 xd AS (SELECT f.system_id, r.run, f.date, f.dn, f.ratio, coalesce(f.ghi, 0) AS ghi, row_number() OVER (PARTITION BY f.system_id, r.run ORDER BY f.dn) AS p,
   row_number() OVER (PARTITION BY f.system_id, r.run ORDER BY CAST('0x' || substr(md5(concat_ws('|', '{S.seed}', f.system_id, CAST(r.run AS VARCHAR), CAST(f.date AS VARCHAR))), 1, 12) AS BIGINT), f.dn) AS q
   FROM fault f CROSS JOIN (SELECT unnest(range({S.soiling_shuffle_runs})) AS run) r WHERE clear AND NOT fault AND ratio IS NOT NULL),
@@ -167,7 +171,12 @@ def _(spark, d):
 
 
 def shading(spark, d):
-    return causes.shading_base(feeds.hourly(spark, d))
+    h = feeds.hourly(spark, d)
+    return causes.shading_base(h.select("system_id", "hour_ts", "actual_kwh"), h.select("system_id", "hour_ts", "elevation", "model_kwh"), feeds.clear_days(spark, d))
+
+
+def shaped(spark, d):
+    return causes.daily_shape(shading(spark, d))
 
 
 @query("c12_shading_base", "SELECT system_id, date, hour, round(r, 5) AS r FROM sb")
@@ -177,22 +186,39 @@ def _(spark, d):
 
 @query("c13_daily_shape", "SELECT system_id, date, hour, round(shape, 5) AS shape FROM sh")
 def _(spark, d):
-    return rounded(causes.daily_shape(shading(spark, d)).select("system_id", "date", "hour", "shape"), "shape")
+    return rounded(shaped(spark, d).select("system_id", "date", "hour", "shape"), "shape")
 
 
-@query("c14_clock_check", f"SELECT system_id, round(60 * median(h), 4) AS offset_min, round(60 * median(h) FILTER (month IN (5, 6, 7, 8)), 4) AS summer_min, round(60 * median(h) FILTER (month IN (11, 12, 1, 2)), 4) AS winter_min, coalesce(abs(60 * median(h)) <= {S.clock_max_offset_minutes}, false) AND coalesce(abs(60 * median(h) FILTER (month IN (5, 6, 7, 8)) - 60 * median(h) FILTER (month IN (11, 12, 1, 2))) <= {S.clock_max_seasonal_minutes}, true) AS clock_ok FROM clk GROUP BY 1")
+@query("c14_clock_check", "SELECT system_id, round(o, 4) AS offset_min, round(su, 4) AS summer_min, round(wi, 4) AS winter_min, ok AS clock_ok FROM clk1")
 def _(spark, d):
     return rounded(causes.clock_check(shading(spark, d)), "offset_min", "summer_min", "winter_min", digits=4)
 
 
-@query("c15_recurring_dips", f"SELECT system_id, month, hour, count(*) AS days, round(median(shape), 5) AS median_shape, round(avg((shape < {1 - S.dip_fraction})::INT), 5) AS dip_share, count(*) >= {S.shading_min_clear_days} AND avg((shape < {1 - S.dip_fraction})::INT) >= {S.dip_min_share_of_days} AS is_dip FROM sh WHERE shape IS NOT NULL GROUP BY 1, 2, 3")
+@query("c15_recurring_dips", "SELECT system_id, month, hour, days, round(ms, 5) AS median_shape, round(share, 5) AS dip_share, is_dip FROM dip1")
+def _(spark, d):
+    return rounded(causes.recurring_dips(shaped(spark, d)), "median_shape", "dip_share")
+
+
+@query("c15_dip_hours", "SELECT system_id, hour, array_to_string(list(month ORDER BY month), ',') AS months, round(100 * (1 - median(ms)), 4) AS dip_pct FROM dip1 WHERE is_dip GROUP BY 1, 2")
+def _(spark, d):
+    return rounded(causes.dip_hours(causes.recurring_dips(shaped(spark, d))).withColumn("months", F.array_join("months", ",")), "dip_pct", digits=4)
+
+
+@query("c16_symmetry", f"SELECT system_id, round(am, 5) AS morning, round(pm, 5) AS afternoon, round(am - pm, 5) AS difference, coalesce(abs(am - pm) >= {S.symmetry_min_difference}, false) AS indicated FROM sym")
 def _(spark, d):
-    return rounded(causes.recurring_dips(causes.daily_shape(shading(spark, d))), "median_shape", "dip_share")
+    return rounded(causes.symmetry(shaped(spark, d)), "morning", "afternoon", "difference")
 
 
-@query("c16_symmetry", f"SELECT system_id, round(a, 5) AS morning, round(b, 5) AS afternoon, round(a - b, 5) AS difference, coalesce(abs(a - b) >= {S.symmetry_min_difference}, false) AS indicated FROM (SELECT system_id, median(r) FILTER (hour < peak) AS a, median(r) FILTER (hour > peak) AS b FROM sb JOIN peak USING (system_id, date) WHERE elevation <= {S.shading_min_elevation_deg + S.symmetry_band_deg} GROUP BY 1) q")
+@query("c16_shading_status", f"""SELECT system_id, status, round(o, 4) AS offset_min, round(su, 4) AS summer_min, round(wi, 4) AS winter_min, CASE WHEN status LIKE '%indicated' THEN dips END AS dips,
+  CASE WHEN status LIKE '%indicated' AND dips > 0 THEN side END AS side, CASE WHEN status LIKE '%indicated' AND dips > 0 THEN round(am, 5) END AS morning, CASE WHEN status LIKE '%indicated' AND dips > 0 THEN round(pm, 5) END AS afternoon FROM (
+  SELECT s.system_id, c.o, c.su, c.wi, k.dips, m.am, m.pm, CASE WHEN last_hour < 12 THEN 'morning' WHEN first_hour >= 12 THEN 'afternoon' ELSE 'both ends of the day' END AS side,
+    CASE WHEN s.system_id = 'S3' THEN 'cannot be assessed' WHEN k.dips IS NULL THEN 'insufficient data' WHEN NOT c.ok THEN 'cannot be assessed' WHEN k.dips > 0 AND abs(am - pm) >= {S.symmetry_min_difference} THEN 'indicated' ELSE 'not indicated' END AS status
+  FROM (SELECT DISTINCT system_id FROM feed_clear UNION SELECT 'none') s LEFT JOIN clk1 c USING (system_id) LEFT JOIN sym m USING (system_id)
+  LEFT JOIN (SELECT system_id, count(*) FILTER (is_dip) AS dips, min(hour) FILTER (is_dip) AS first_hour, max(hour) FILTER (is_dip) AS last_hour FROM dip1 GROUP BY 1) k USING (system_id)) q""")
 def _(spark, d):
-    return rounded(causes.symmetry(shading(spark, d)), "morning", "afternoon", "difference")
+    """S3 counts as a system with daily input; one system has no hours at all."""
+    systems = feeds.clear_days(spark, d).select("system_id").distinct().unionByName(spark.range(1).select(F.lit("none").alias("system_id"))).withColumn("subdaily", F.col("system_id") != "S3")
+    return rounded(rounded(causes.shading_status(systems, shaped(spark, d)), "morning", "afternoon"), "offset_min", "summer_min", "winter_min", digits=4)
 
 
 @query("l01_base_name", """SELECT DISTINCT "column", regexp_replace(lower(trim("column")), '__\\d+$', '') AS base FROM lng""")

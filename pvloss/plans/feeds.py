@@ -40,16 +40,24 @@ SELECT system_id, row_no, ts, v / 5e1 AS power_kw,
          ORDER BY ts, row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) END AS today_kwh
 FROM e"""
 
-HOURLY = """
+#: Hours of January; every other day is moved to June, but for every fifth system, which has one season only.
+HOURS = """
 WITH p AS (SELECT CAST(greatest(5, floor(count(*) / 2000.0)) AS INT) AS n_sys FROM events),
 h AS (
-  SELECT concat('S', CAST(user_id % n_sys AS STRING)) AS system_id, CAST(date_trunc('hour', ts) AS {ntz}) AS hour_ts, hour(ts) AS hr,
-         CAST(floor(1e0 * sum(CAST(round(value * 100) AS BIGINT)) / count(*)) AS BIGINT) AS v100
-  FROM events CROSS JOIN p GROUP BY 1, 2, 3)
+  SELECT s, CAST(date_trunc('hour', ts) AS {ntz}) AS t, hour(ts) AS hr, day(ts) AS dom, CAST(floor(1e0 * sum(CAST(round(value * 100) AS BIGINT)) / count(*)) AS BIGINT) AS v100
+  FROM (SELECT *, user_id % n_sys AS s FROM events CROSS JOIN p) q GROUP BY 1, 2, 3, 4)
+SELECT concat('S', CAST(s AS STRING)) AS system_id, s, CASE WHEN dom % 2 = 1 AND s % 5 <> 4 THEN t + INTERVAL 150 DAY ELSE t END AS hour_ts, hr, dom, v100 FROM h"""
+
+#: Measured and modelled energy. Every fifth system's 16:00 is low on all days, every fifth's 9:00 on cloudy days only.
+HOURLY = """
 SELECT system_id, hour_ts, CAST(90 - 15 * abs(hr - 12) AS DOUBLE) AS elevation, greatest(0, 40 - (hr - 12) * (hr - 12)) / 4e0 AS model_kwh,
        greatest(0, 40 - (hr - 12) * (hr - 12)) * (78000 + least(v100, 20000) * 2 / 5e0)
-         * CASE WHEN hr = 16 AND user_dip = 1 THEN 7 ELSE 10 END / 4e6 AS actual_kwh
-FROM (SELECT *, CASE WHEN system_id = 'S1' THEN 1 ELSE 0 END AS user_dip FROM h) q"""
+         * CASE WHEN hr IN (16, 17) AND s % 5 = 1 THEN 7 WHEN hr = 9 AND s % 5 = 2 AND (dom + s) % 6 = 0 THEN 2 ELSE 10 END / 4e6 AS actual_kwh
+FROM ({hours}) q"""
+
+#: Which of these days are clear, and which a fault spoils.
+CLEAR = """
+SELECT DISTINCT system_id, CAST(hour_ts AS DATE) AS date, (dom + s) % 6 <> 0 AS clear, dom % 14 = 0 AS fault FROM ({hours}) q"""
 
 SYSTEMS = """
 SELECT system_id, concat('plant ', system_id) AS name, 10e0 AS capacity_kwp, 26.77e0 AS latitude, 75.85e0 AS longitude,
@@ -82,7 +90,11 @@ def readings(spark, sf_dir):
 
 
 def hourly(spark, sf_dir):
-    return _view(spark, sf_dir, "feed_hourly", HOURLY.format(ntz="TIMESTAMP_NTZ"))
+    return _view(spark, sf_dir, "feed_hourly", HOURLY.format(hours=HOURS.format(ntz="TIMESTAMP_NTZ")))
+
+
+def clear_days(spark, sf_dir):
+    return _view(spark, sf_dir, "feed_clear", CLEAR.format(hours=HOURS.format(ntz="TIMESTAMP_NTZ")))
 
 
 def systems(spark, sf_dir):
@@ -96,4 +108,4 @@ def events(spark, sf_dir):
 
 
 #: The feeds as leading parts of a DuckDB statement.
-CTES = f"feed_daily AS ({DAILY}), feed_readings AS ({READINGS}), feed_hourly AS ({HOURLY.format(ntz='TIMESTAMP')}), systems AS ({SYSTEMS}), dated AS ({EVENTS})"
+CTES = f"feed_daily AS ({DAILY}), feed_readings AS ({READINGS}), feed_hourly AS ({HOURLY.format(hours=HOURS.format(ntz='TIMESTAMP'))}), feed_clear AS ({CLEAR.format(hours=HOURS.format(ntz='TIMESTAMP'))}), systems AS ({SYSTEMS}), dated AS ({EVENTS})"
