@@ -53,17 +53,24 @@ def block_medians(x: np.ndarray, starts: np.ndarray, block: int) -> np.ndarray:
     return np.median(x[days], axis=1)
 
 
-def resampled(values: DataFrame, value: str, name: str, of, replicates: int, block: int, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """values (keys, date, value) -> keys, replicate, name: `of` (block_sums or block_medians) over the known values of
-    a series in the order of their dates, drawn again in blocks. Series without values give no rows."""
-    rows = values.where(F.col(value).isNotNull()).select(*keys, "date", F.col(value).cast("double").alias("_x"))
-    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("replicate", T.IntegerType()), T.StructField(name, T.DoubleType())])
+def resampled(values: DataFrame, columns: dict[str, str], of, replicates: int, block: int, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """values (keys, date, ...) -> keys, replicate and for each column its name in the result: `of` (block_sums or
+    block_medians) over a series in the order of its dates, drawn again in blocks; all columns are drawn alike. Days where a column
+    is unknown are left out. Series without days give no rows."""
+    known = [F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]
+    rows = values.select(*keys, "date", *known).dropna(subset=[f"_{i}" for i in range(len(columns))])
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("replicate", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in columns.values()]])
 
     def work(key: tuple, t: pa.Table) -> pa.Table:
-        x, own = t.sort_by("date").column("_x").to_numpy(), [k.as_py() for k in key]
-        got = [of(x, block_starts(own, len(x), block, range(a, min(a + CHUNK, replicates)), s.seed), block) for a in range(0, replicates, CHUNK)]
+        t, own = t.sort_by("date"), [k.as_py() for k in key]
+        x = [t.column(f"_{i}").to_numpy() for i in range(len(columns))]
+        got = [[] for _ in columns]
+        for a in range(0, replicates, CHUNK):
+            starts = block_starts(own, len(t), block, range(a, min(a + CHUNK, replicates)), s.seed)
+            for out, values in zip(got, x, strict=True):
+                out.append(of(values, starts, block))
         same = [pa.repeat(k, replicates) for k in key]
-        return pa.table([*same, pa.array(np.arange(replicates, dtype=np.int32)), pa.array(np.concatenate(got))], names=[*keys, "replicate", name])
+        return pa.table([*same, pa.array(np.arange(replicates, dtype=np.int32)), *[pa.array(np.concatenate(g)) for g in got]], names=schema.names)
 
     return rows.groupBy(*keys).applyInArrow(work, schema)
 
@@ -80,4 +87,22 @@ def block_indices(sizes: DataFrame, replicates: int, block: int, s: Settings = D
 
 def resampled_totals(values: DataFrame, value: str, replicates: int, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """values (keys, date, value) -> keys, replicate, lost: totals over block-resampled days."""
-    return resampled(values, value, "lost", block_sums, replicates, s.block_days, s, keys)
+    return resampled(values, {value: "lost"}, block_sums, replicates, s.block_days, s, keys)
+
+
+PARTS = ("lost", "sustained", "outage", "deep", "moderate", "expected")
+
+
+def daily_parts(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """keys, date and what each day that counts (valid, something expected) adds to the totals of the loss."""
+    d = f.where(F.col("valid") & F.col("expected_kwh").isNotNull())
+    held = F.when(F.col("outage"), 0.0).otherwise(F.col("expected_kwh") * F.col("loss_fraction"))
+    gone = F.when(F.col("outage"), F.coalesce(F.greatest(F.col("expected_kwh") - F.col("energy_kwh"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    deep = F.when(F.col("loss_fraction") > s.deep_fraction, held).otherwise(0.0)
+    return d.select(*keys, "date", (held + gone).alias("lost"), held.alias("sustained"), gone.alias("outage"), deep.alias("deep"), (held - deep).alias("moderate"), F.col("expected_kwh").alias("expected"))
+
+
+def block_replicates(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """The totals of an analysed frame with its days drawn again in blocks: a range for what the days happened to be,
+    beside loss_replicates(), which also draws the reference and the noise again."""
+    return resampled(daily_parts(f, s, keys), {c: c for c in PARTS}, block_sums, s.samples, s.block_days, s, keys)

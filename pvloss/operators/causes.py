@@ -177,7 +177,7 @@ def year_on_year_range(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFr
     """keys, change_lo, change_hi, status of series that year_on_year can measure: medians of pairs drawn again
     in blocks; ageing is indicated where the whole range is below zero."""
     ok = year_on_year(f, s, keys).where("status = 'ok'").select(*keys)
-    drawn = resampled(year_pairs(f, keys).join(ok, [*keys], "left_semi"), "change", "_m", block_medians, s.samples, s.degradation_block_days, s, keys)
+    drawn = resampled(year_pairs(f, keys).join(ok, [*keys], "left_semi"), {"change": "_m"}, block_medians, s.samples, s.degradation_block_days, s, keys)
     tail = (1 - s.confidence) / 2
     got = drawn.groupBy(*keys).agg(F.percentile("_m", tail).alias("change_lo"), F.percentile("_m", 1 - tail).alias("change_hi"))
     return got.withColumn("status", F.when(F.col("change_hi") < 0, "indicated").otherwise("not indicated"))

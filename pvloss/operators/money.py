@@ -56,6 +56,27 @@ def portfolio(loss: DataFrame) -> DataFrame:
     return got.withColumn("loss_pct", F.when(F.col("expected_kwh") > 0, 100 * F.col("lost_kwh") / F.col("expected_kwh")))
 
 
+def portfolio_ranges(replicates: DataFrame, loss: DataFrame, systems: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """replicates (system_id, replicate, lost, expected), loss (system_id, status, lost_kwh, expected_kwh) and systems
+    (system_id, data_label, tariff) -> portfolio() of each label with lost_lo, lost_hi, loss_pct_lo, loss_pct_hi, money_lost, money_lo,
+    money_hi. Replicates are added index by index over the systems that are ok, lost and expected of one draw together, and ranges
+    are widened to hold their points. A label has ranges only if each such system has replicates, and money only if
+    each has a tariff: its point adds the systems' rounded sums, its replicates are worth each system's own tariff."""
+    ok = loss.where("status = 'ok'").select("system_id", "status", "lost_kwh", "expected_kwh").join(systems.select("system_id", "data_label", "tariff"), "system_id")
+    money = ok.groupBy("data_label").agg(F.when(F.bool_and(F.col("tariff").isNotNull()), F.sum(F.bround(F.col("lost_kwh") * F.col("tariff"), 0))).alias("money_lost"))
+    points = portfolio(ok).join(money, "data_label")
+    r = replicates.join(ok.select("system_id", "data_label", "tariff"), "system_id")
+    summed = r.groupBy("data_label", "replicate").agg(F.count("*").alias("n"), F.sum("lost").alias("lost"), F.sum("expected").alias("expected"), F.sum(F.col("lost") * F.col("tariff")).alias("money"))
+    summed = summed.withColumn("loss_pct", F.try_divide(100 * F.col("lost"), F.col("expected")))
+    tail = (1 - s.confidence) / 2
+    ends = [F.percentile(c, q).alias(f"_{c}_{e}") for c in ("lost", "loss_pct", "money") for e, q in (("lo", tail), ("hi", 1 - tail))]
+    d = points.join(summed.groupBy("data_label").agg(F.min("n").alias("_n"), *ends), "data_label", "left")
+    whole = F.col("_n") == F.col("systems")
+    known = {"lost": ("lost_kwh", whole), "loss_pct": ("loss_pct", whole), "money": ("money_lost", whole & F.col("money_lost").isNotNull())}
+    widened = [F.when(have, f(f"_{c}_{e}", point)).alias(f"{c}_{e}") for c, (point, have) in known.items() for e, f in (("lo", F.least), ("hi", F.greatest))]
+    return d.select("data_label", "systems", "lost_kwh", "expected_kwh", "loss_pct", "money_lost", *widened)
+
+
 def portfolio_replicates(replicates: DataFrame, systems: DataFrame, tariff: bool = False) -> DataFrame:
     """replicates (system_id, replicate, lost) -> data_label, replicate, lost: added index by index; with
     tariff each system's money, null for labels with a system that has none."""
@@ -123,14 +144,40 @@ def normalised_series(f: DataFrame, rain_mm: float = 1.0, floor: float = 0.4, ke
     return f.groupBy(*keys).agg(F.count("clear_ratio").alias("points"), F.count_if(F.col("precip_mm") >= rain_mm).alias("rain_days"), F.count_if(F.col("clear_ratio") < floor).alias("below_floor"))
 
 
-SUMMARY = "system_id string, data_label string, period struct<start: date, end: date>, estimated_loss struct<loss_pct: double, lost_kwh: double, sustained_kwh: double, deep_kwh: double, moderate_kwh: double, outage_kwh: double, expected_kwh: double, days_assessed: bigint>, detection_limit array<struct<window_days: int, se: double, threshold: double, detection_limit: double>>, episodes array<struct<start: date, end: date, days: bigint, mean_shortfall_pct: double, max_shortfall_pct: double>>"
-
-
-def system_summaries(loss: DataFrame, ends: DataFrame, episodes: DataFrame, noise: DataFrame) -> DataFrame:
-    """One nested row for each system: loss (with data_label), ends (system_id, start, end), its episodes in order
-    and its noise by window."""
-    runs = episodes.groupBy("system_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "days", "mean_shortfall_pct", "max_shortfall_pct"))).alias("episodes"))
-    limits = noise.groupBy("system_id").agg(F.sort_array(F.collect_list(F.struct("window_days", "se", "threshold", "detection_limit"))).alias("detection_limit"))
-    d = loss.join(ends, "system_id").join(runs, "system_id", "left").join(limits, "system_id", "left")
-    parts = F.struct("loss_pct", "lost_kwh", "sustained_kwh", "deep_kwh", "moderate_kwh", "outage_kwh", "expected_kwh", "days_assessed")
-    return d.select("system_id", "data_label", F.struct("start", "end").alias("period"), parts.alias("estimated_loss"), "detection_limit", F.coalesce("episodes", F.array()).alias("episodes"))
+def nested(base: DataFrame, structs: dict[str, DataFrame], arrays: dict[str, DataFrame], key: str) -> DataFrame:
+    """base with each part of `structs` (one row a key) as a struct column, null where the key has none, and each part of
+    `arrays` (some rows a key, few) as an array of structs in the order of their columns, empty where there is none."""
+    whole = lambda part: F.struct(*[c for c in part.columns if c != key])
+    for name, part in structs.items():
+        base = base.join(part.select(key, whole(part).alias(name)), key, "left")
+    for name, part in arrays.items():
+        rows = part.groupBy(key).agg(F.sort_array(F.collect_list(whole(part))).alias(name))
+        base = base.join(rows, key, "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+    return base
+
+
+LOSS = ("loss_pct", "lost_kwh", "sustained_kwh", "deep_kwh", "moderate_kwh", "outage_kwh", "expected_kwh", "days_assessed")
+RANGES = tuple(f"{k}_{e}" for k in ("loss_pct", "lost", "sustained", "deep", "moderate", "outage") for e in ("lo", "hi"))
+MONEY = ("months", "money_lost", "money_lost_per_month", "moderate_per_month", *MONEY_RANGES)
+
+
+def system_records(systems: DataFrame, completeness: DataFrame, loss: DataFrame, noise: DataFrame, episodes: DataFrame, causes: DataFrame, recovery: DataFrame, factor: float | None, s: Settings = DEFAULT) -> DataFrame:
+    """The whole result of each system as one nested row. systems (system_id, name, data_label, tariff, cleaning_cost, subdaily),
+    loss (estimate_loss() with the columns of loss_ranges() and period_days), causes (system_id, cause, status), recovery (the clearest
+    event of a system). Systems without an estimate have their period and completeness, and nulls beside."""
+    priced = emissions(economics(loss, systems, s), factor)
+    have = lambda names: [c for c in names if c in priced.columns]
+    ok = F.when(F.col("estimated_loss.expected_kwh") > 0, "ok").otherwise("no estimate")
+    period = completeness.select("system_id", F.col("period_start").alias("start"), F.col("period_end").alias("end"), F.round(F.datediff("period_end", "period_start") / s.days_per_month, 1).alias("months"))
+    base = systems.select("system_id", "name", "data_label", F.when(F.col("subdaily"), "hourly").otherwise("daily").alias("input_resolution"))
+    structs = {"period": period, "completeness": completeness, "estimated_loss": priced.select("system_id", *have((*LOSS, *RANGES))).withColumn("confidence", F.lit(s.confidence)), "recovery": recovery, "money": priced.select("system_id", *have(MONEY)), "emissions": priced.select("system_id", *have(("emissions_kg", "emissions_kg_lo", "emissions_kg_hi")))}
+    d = nested(base, structs, {"detection_limit": noise, "episodes": episodes, "causes": causes}, "system_id")
+    return d.join(priced.select("system_id", "verdict"), "system_id", "left").withColumn("status", ok)
+
+
+def dataset_records(systems: DataFrame, totals: DataFrame, validation: DataFrame, rates: DataFrame, steps: DataFrame) -> DataFrame:
+    """One nested row for each dataset: its systems, its totals (portfolio_ranges()) and the validation of each of its systems:
+    validate(), the detection rates and the reliable steps."""
+    labelled = lambda part: part.join(systems.select("system_id", "data_label"), "system_id").select("data_label", *part.columns)
+    base = systems.groupBy("data_label").agg(F.sort_array(F.collect_list("system_id")).alias("system_ids"))
+    return nested(base, {"totals": totals}, {"validation": labelled(validation), "detection_rates": labelled(rates), "reliable_steps": labelled(steps)}, "data_label")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.common import fresh
-from ..operators import validation
 from ..sources import files
-from . import chain, feeds
+from . import feeds
 from .chain import statement
 from .solar_queries import MORE, hourly_weather
 
@@ -113,10 +112,3 @@ def _(spark, d):
     read = spark.read.schema("a string, b string, c string, system_id string, year int").csv(path)
     return files.tidy_month_sheet(read, F.col("year"), "a", "b", "c", ["system_id"])
 
-
-@query("s13_validation_json")
-def _(spark, d):
-    path = fresh(spark, "validation")
-    rows = validation.validate(chain.analysed(spark, d), with_interval=False)
-    files.write_summary(rows, path)
-    return spark.read.schema(rows.schema).json(path)

@@ -14,17 +14,24 @@ EVENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("system_
 
 
 def read_systems(spark: SparkSession, path: str) -> DataFrame:
-    """Systems from CSV: numbers where they can be read, the offset from the longitude if blank. Rows
-    without a physical field stop the job."""
+    """Systems from CSV: numbers where they can be read, the offset from the longitude if blank, places '' if blank. Rows
+    without a physical field stop the job; economic_warnings() tells which prices are missing."""
     raw = spark.read.option("header", True).csv(path)
     d = raw.select(F.trim("system_id").alias("system_id"), *[c for c in raw.columns if c not in SYSTEM_NUMBERS and c != "system_id"], *[F.col(c).try_cast("double").alias(c) for c in SYSTEM_NUMBERS if c in raw.columns])
     bad = d.where(F.greatest(*[F.col(c).isNull().cast("int") for c in REQUIRED]) == 1)
     if names := [r[0] for r in bad.select("system_id").limit(5).collect()]:
         raise ValueError(f"systems without capacity or coordinates, such as {names}")
     offset = F.rint(F.col("longitude") / 15)
+    d = d.withColumn("location", F.coalesce("location", F.lit("")) if "location" in d.columns else F.lit(""))
     return d.withColumn("utc_offset_hours", F.coalesce("utc_offset_hours", offset) if "utc_offset_hours" in d.columns else offset)
 
 
+def economic_warnings(systems: DataFrame) -> DataFrame:
+    """system_id, missing: the prices that a system lacks, so that its money can't be told; systems with all of them have no row."""
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("tariff", "cleaning_cost")]))
+    return systems.select("system_id", missing.alias("missing")).where(F.size("missing") > 0)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Events from CSV: dates, types in lower case (other if blank), notes ('' if blank)."""
     raw = spark.read.option("header", True).schema(EVENT_SCHEMA).csv(path)

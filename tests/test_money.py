@@ -64,3 +64,42 @@ def test_portfolio_money_needs_all_tariffs(spark):
     got = {(r.data_label, r.replicate): r.lost for r in money.portfolio_replicates(replicates, systems, tariff=True).collect()}
     assert got == {**{("x", k): 5.0 * (k + 1) for k in range(3)}, **{("y", k): None for k in range(3)}}
     assert money.portfolio_replicates(replicates, systems).where("data_label = 'x'").agg(F.sum("lost")).first()[0] == pytest.approx(12.0)
+
+
+def test_portfolio_ranges_are_all_or_nothing_and_hold_their_points(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    loss = [("a", "ok", 100.0, 1000.0), ("b", "ok", 50.5, 700.0), ("c", "ok", 9.0, 90.0), ("d", "too few clear days", 0.0, 0.0), ("e", "ok", 30.0, 300.0), ("f", "ok", 1.0, 10.0)]
+    systems = [("a", "x", 2.0), ("b", "x", 3.0), ("c", "y", None), ("d", "x", None), ("e", "z", 1.0), ("f", "z", 1.0), ("g", "empty", 1.0)]
+    draws = {k: (rng.uniform(0.8, 0.9, 50) * lost, rng.uniform(0.9, 1.1, 50) * exp) for k, _, lost, exp in loss if k in "abce"}
+    rows = [(k, i, float(x[i]), float(y[i])) for k, (x, y) in draws.items() for i in range(50)]
+    got = money.portfolio_ranges(
+        spark.createDataFrame(rows, "system_id string, replicate int, lost double, expected double"),
+        spark.createDataFrame(loss, "system_id string, status string, lost_kwh double, expected_kwh double"),
+        spark.createDataFrame(systems, "system_id string, data_label string, tariff double"),
+    ).collect()
+    got = {r.data_label: r for r in got}
+    assert set(got) == {"x", "y", "z"}
+    x, lost, exp = got["x"], draws["a"][0] + draws["b"][0], draws["a"][1] + draws["b"][1]
+    assert (x.systems, x.lost_kwh, x.money_lost) == (2, 150.5, 200.0 + 152.0)
+    assert x.lost_lo == pytest.approx(np.percentile(lost, 2.5)) and x.lost_hi == 150.5  # widened to the point
+    assert x.loss_pct_lo == pytest.approx(np.percentile(100 * lost / exp, 2.5)) and x.loss_pct_hi == pytest.approx(max(np.percentile(100 * lost / exp, 97.5), 100 * 150.5 / 1700))
+    assert x.money_lo == pytest.approx(np.percentile(2 * draws["a"][0] + 3 * draws["b"][0], 2.5)) and x.money_hi == 352.0
+    assert got["y"].money_lost is None and got["y"].money_lo is None and got["y"].lost_lo is not None  # no tariff
+    assert got["z"].lost_lo is None and got["z"].loss_pct_hi is None and got["z"].money_lost == 31.0 and got["z"].money_lo is None  # f has no replicates
+
+
+def test_nested_parts_of_records(spark):
+    base = spark.createDataFrame([("a",), ("b",)], "system_id string")
+    one = spark.createDataFrame([("a", 1.5, None)], "system_id string, x double, y string")
+    many = spark.createDataFrame([("a", 2, "q"), ("a", 1, "r")], "system_id string, n int, m string")
+    got = {r.system_id: r for r in money.nested(base, {"one": one}, {"many": many}, "system_id").collect()}
+    assert tuple(got["a"].one) == (1.5, None) and [tuple(x) for x in got["a"].many] == [(1, "r"), (2, "q")] and got["b"].one is None and got["b"].many == []
+
+
+def test_prices_that_are_missing(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("system_id,capacity_kwp,latitude,longitude,tilt_deg,azimuth_deg,tariff,cleaning_cost\n a,5,10,73,,,,3\nb,5,10,73,1,2,7,8\nc,5,10,73,1,2,x, \n")
+    systems = files.read_systems(spark, str(tmp_path / "s.csv"))
+    assert {r.system_id: (r.location, r.utc_offset_hours) for r in systems.collect()} == {k: ("", 5.0) for k in "abc"}
+    assert {r.system_id: r.missing for r in files.economic_warnings(systems).collect()} == {"a": ["tariff"], "c": ["tariff", "cleaning_cost"]}
