@@ -76,10 +76,21 @@ def _(spark, d):
 
 @query("p02_portfolio_range")
 def _(spark, d):
-    return portfolio_ranges(spark, d, range_queries.replicates(spark, d)).select("data_label", "systems", "lost_kwh", "lost_lo", "lost_hi", "loss_pct", "loss_pct_lo", "loss_pct_hi")
+    r = portfolio_ranges(spark, d, range_queries.replicates(spark, d))
+    return r.select("data_label", "systems", "lost_kwh", F.col("lost_lo").alias("lo"), F.col("lost_hi").alias("hi"), "loss_pct", "loss_pct_lo", "loss_pct_hi")
 
 
 @query("p03_portfolio_money")
+def _(spark, d):
+    """The money of every replicate, of datasets whose systems that are ok all have replicates."""
+    systems = feeds.systems(spark, d)
+    ok = event_queries.loss_rows(spark, d).where("expected_kwh > 0").select("system_id")
+    bare = ok.join(range_queries.replicates(spark, d).select("system_id").distinct(), "system_id", "left_anti")
+    whole = systems.join(systems.join(bare, "system_id").select("data_label").distinct(), "data_label", "left_anti")
+    return money.portfolio_replicates(range_queries.replicates(spark, d), whole, tariff=True).select("data_label", "replicate", F.round("lost", 3).alias("money"))
+
+
+@query("p03_money_range")
 def _(spark, d):
     return portfolio_ranges(spark, d, range_queries.replicates(spark, d)).select("data_label", "money_lost", "money_lo", "money_hi")
 

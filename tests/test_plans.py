@@ -50,6 +50,9 @@ def test_portfolio_adds_up_all_replicates_with_outages(spark, plans):
     assert (row.lo, row.hi) == pytest.approx(tuple(np.quantile(lost, [0.025, 0.975])), abs=2e-3)
     rows = output_queries.QUERIES["p03_portfolio_money"](spark, "fixture").collect()
     assert len(rows) == S.samples and all(r.money == pytest.approx(money[r.replicate], abs=2e-3) for r in rows)
+    (row,) = output_queries.QUERIES["p03_money_range"](spark, "fixture").collect()
+    lo, hi = np.quantile(money, [0.025, 0.975])
+    assert (row.money_lo, row.money_hi) == pytest.approx((min(lo, row.money_lost), max(hi, row.money_lost)), abs=2e-3)
 
 
 def test_block_draws_and_their_interval_have_all_replicates(spark, plans):
