@@ -47,7 +47,7 @@ SHARD_IDS = 1 << 26  # ids after which a task begins its next shard
 PART_KEYS = 1 << 20  # keys of an index part
 PER_TASK = 20  # bits of a shard's number that count the shards of one task
 BLOCK = 512  # bits between two stored ranks
-ORDER_CHARS = 256  # first characters of a text by which rows of one id are ordered
+ORDER_CHARS = 24  # first characters of a text by which rows of one id are ordered
 JOINED = 256  # units that are encoded as one text
 
 
