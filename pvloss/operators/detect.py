@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import KEYS, by, calendar_window, day_number, islands, odd, robust_sigma, rolling_median, stored, true, z
+from ..functions.common import KEYS, by, day_number, islands, odd, robust_sigma, stored, true, z
+from ..functions.rolling import Running, with_running_medians
 from ..functions.settings import DEFAULT, Settings
 from .reference import calibrate, find_outages, with_residuals
 
@@ -23,11 +24,12 @@ def noise_profile(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     trend = trend_widths(s)
     missing = [t for t in trend.values() if f"resid{t}" not in f.columns]
     d = with_residuals(f.select(*keys, "date", "pi_clear", *[f"resid{t}" for t in set(trend.values()) if t not in missing]), missing, s, keys)
+    d = with_running_medians(d, [Running(f"_m{w}", f"resid{t}", odd(w), s.smoothing_min_clear_days) for w, t in trend.items()], keys)
     medians = []
     for w, t in trend.items():
         resid, own = F.col(f"resid{t}"), by(keys, None)
         first, last = (end(F.when(resid.isNotNull(), F.col("date"))).over(own) for end in (F.min, F.max))
-        median = F.when(F.col("date").between(first, last), rolling_median(resid, calendar_window(keys, odd(w)), s.smoothing_min_clear_days))
+        median = F.when(F.col("date").between(first, last), F.col(f"_m{w}"))
         medians.append(F.struct(F.lit(w).alias("window_days"), median.alias("m")))
     long = d.select(*keys, F.array(*medians).alias("ms")).select(*keys, F.explode("ms").alias("m")).select(*keys, "m.*")
     all_keys = f.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, s.windows_days))).alias("window_days"))
@@ -44,27 +46,28 @@ def day_noise(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     return share.join(robust_sigma(known, name, keys, "day_sigma"), [*keys], "left").withColumn("day_sigma", F.round("day_sigma", 5))
 
 
-def smooth(f: DataFrame, value: str, days: int, name: str, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
-    """Adds the centred running median of `value`; inner gaps are bridged for the first days by the
-    line to the other side, the rest stays unknown. f has every calendar day."""
-    raw = f"_{name}"
-    f = f.withColumn(raw, rolling_median(F.col(value), calendar_window(keys, odd(days)), s.smoothing_min_clear_days))
-    known = F.when(F.col(raw).isNotNull(), F.struct(day_number().alias("d"), F.col(raw).alias("v")))
-    p = F.last(known, True).over(by(keys).rowsBetween(Window.unboundedPreceding, 0))
-    # Backwards in time, so that the frame grows row by row; a frame to the end would start anew on each row.
-    q = F.last(known, True).over(by(keys, F.desc("date")).rowsBetween(Window.unboundedPreceding, 0))
-    f = f.withColumn("_p", p).withColumn("_q", q)
-    line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * F.try_divide(day_number() - F.col("_p.d"), F.col("_q.d") - F.col("_p.d"))
-    bridged = F.when(F.col("_q").isNotNull() & (day_number() - F.col("_p.d") <= s.max_bridge_days), line)
-    return f.withColumn(name, F.coalesce(F.col(raw), bridged)).drop("_p", "_q", raw)
+def smooth(f: DataFrame, value: str, windows: dict[str, int], s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
+    """Adds for each name of `windows` the centred running median of `value` over so many days; inner gaps are bridged for
+    the first days by the line to the other side, the rest stays unknown. f has every calendar day."""
+    f = with_running_medians(f, [Running(f"_{name}", value, odd(days), s.smoothing_min_clear_days) for name, days in windows.items()], keys)
+    for name in windows:
+        raw = f"_{name}"
+        known = F.when(F.col(raw).isNotNull(), F.struct(day_number().alias("d"), F.col(raw).alias("v")))
+        p = F.last(known, True).over(by(keys).rowsBetween(Window.unboundedPreceding, 0))
+        # Backwards in time, so that the frame grows row by row; a frame to the end would start anew on each row.
+        q = F.last(known, True).over(by(keys, F.desc("date")).rowsBetween(Window.unboundedPreceding, 0))
+        f = f.withColumn("_p", p).withColumn("_q", q)
+        line = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * F.try_divide(day_number() - F.col("_p.d"), F.col("_q.d") - F.col("_p.d"))
+        bridged = F.when(F.col("_q").isNotNull() & (day_number() - F.col("_p.d") <= s.max_bridge_days), line)
+        f = f.withColumn(name, F.coalesce(F.col(raw), bridged)).drop("_p", "_q", raw)
+    return f
 
 
 def triggers(f: DataFrame, noise: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """Adds below (under 1 - threshold at any window), smooth_ratio (shortest window first) and release."""
     wide = noise.groupBy(*keys).agg(*[F.max(F.when(F.col("window_days") == w, F.col("threshold"))).alias(f"t{w}") for w in s.windows_days])
-    f = f.join(wide, [*keys], "left")
+    f = smooth(f, "clear_ratio", {f"sm{w}": w for w in s.windows_days}, s, keys).join(wide, [*keys], "left")
     for w in s.windows_days:
-        f = smooth(f, "clear_ratio", w, f"sm{w}", s, keys)
         f = f.withColumn(f"sm{w}", F.when(F.col(f"t{w}").isNotNull(), F.col(f"sm{w}")))
     below = reduce(lambda a, b: a | b, [true(F.col(f"sm{w}") < 1.0 - F.col(f"t{w}")) for w in s.windows_days])
     least = F.least(*[f"t{w}" for w in s.windows_days])
@@ -129,7 +132,9 @@ def analyse_frame(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     Each step reads the frame several times. The calibrated frame (with the residuals that both the reference
     and the noise need) and the noise profile are written to the shared folder, so that the plan stays as
     long as one step and doesn't grow with every analysis of an analysed frame."""
-    known = with_residuals(find_outages(f.repartition(*keys), s, keys), {s.trend_window_days, *trend_widths(s).values()}, s, keys)
+    # A fixed number of partitions, as a series is few bytes but much work.
+    dealt = f.repartition(int(f.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    known = with_residuals(find_outages(dealt, s, keys), {s.trend_window_days, *trend_widths(s).values()}, s, keys)
     c = stored(calibrate(stored(known, "outages"), s, keys), "calibrated")
     noise = stored(noise_profile(c, s, keys), "noise")
     return find_shortfalls(c.drop(*[x for x in c.columns if x.startswith("resid")]), noise, s, keys)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import KEYS, by, calendar_window, day_number, percentile, robust_sigma, rolling_median, row_window, true, z
+from ..functions.common import KEYS, by, percentile, robust_sigma, true, z
+from ..functions.rolling import Running, with_running_medians
 from ..functions.settings import DEFAULT, Settings
 
 MID_MONTH = (15, 46, 74, 105, 135, 166, 196, 227, 258, 288, 319, 349)
@@ -20,23 +21,26 @@ def find_outages(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
 
 def sustained(df: DataFrame, value: str, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """keys, date, sustained: median over consecutive known days, null if they span too long."""
-    w = row_window(keys, s.sustained_days)
     known = df.where(F.col(value).isNotNull()).select(*keys, "date", value)
-    span = F.max(day_number()).over(w) - F.min(day_number()).over(w)
-    return known.select(*keys, "date", F.when(span <= s.sustained_max_span_days, rolling_median(F.col(value), w, s.sustained_min_days)).alias("sustained"))
+    running = Running("sustained", value, s.sustained_days, s.sustained_min_days, rows=True, span=s.sustained_max_span_days)
+    return with_running_medians(known, [running], keys).select(*keys, "date", "sustained")
 
 
 def relative_residuals(df: DataFrame, value: str, window_days: int, min_n: int, keys=KEYS) -> DataFrame:
     """keys, date, resid: value over its centred running median minus one, on days that have both."""
-    trend = rolling_median(F.col(value), calendar_window(keys, window_days), min_n)
-    return df.where(F.col(value).isNotNull()).select(*keys, "date", (F.try_divide(F.col(value), trend) - 1.0).alias("resid")).where("resid is not null")
+    known = df.where(F.col(value).isNotNull()).select(*keys, "date", value)
+    d = with_running_medians(known, [Running("_trend", value, window_days, min_n)], keys)
+    return d.select(*keys, "date", (F.try_divide(F.col(value), F.col("_trend")) - 1.0).alias("resid")).where("resid is not null")
 
 
 def with_residuals(f: DataFrame, widths, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """f (with pi_clear) and resid<width> of each width: relative_residuals() as columns, all of them in one
-    pass over the window; null where unknown."""
-    columns = {f"resid{w}": F.try_divide(F.col("pi_clear"), rolling_median(F.col("pi_clear"), calendar_window(keys, w), s.trend_min_clear_days)) - 1.0 for w in sorted(set(widths))}
-    return f.withColumns({name: F.when(F.col("pi_clear").isNotNull(), c) for name, c in columns.items()})
+    pass over the series; null where unknown."""
+    widths = sorted(set(widths))
+    if not widths:
+        return f
+    d = with_running_medians(f, [Running(f"_t{w}", "pi_clear", w, s.trend_min_clear_days) for w in widths], keys)
+    return d.withColumns({f"resid{w}": F.try_divide(F.col("pi_clear"), F.col(f"_t{w}")) - 1.0 for w in widths}).drop(*[f"_t{w}" for w in widths])
 
 
 def luck_allowance(f: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:

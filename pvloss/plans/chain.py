@@ -39,13 +39,19 @@ def forget() -> None:
     _kept.clear()
 
 
+@shared
+def daily(spark, sf_dir):
+    """The daily feed, written once, so that its calendar, weather and systems don't scan lineitem each."""
+    return feeds.daily(spark, sf_dir)
+
+
 @shared
 def base(spark, sf_dir):
     """The frame with the performance index."""
-    feed = feeds.daily(spark, sf_dir)
-    daily = frame.on_calendar(feed.select("system_id", "date", "energy_kwh", "valid"))
+    feed = daily(spark, sf_dir)
+    days = frame.on_calendar(feed.select("system_id", "date", "energy_kwh", "valid"))
     weather = feed.select("system_id", "date", "ghi", "clear_ghi", "t2m_c", "precip_mm")
-    return frame.build_frame(daily, weather, feeds.systems(spark, sf_dir))
+    return frame.build_frame(days, weather, feeds.systems(spark, sf_dir, feed))
 
 
 def outages(spark, sf_dir):

@@ -111,7 +111,7 @@ def _(spark, d):
 
 @query("d03_smooth_ratio", f"SELECT system_id, date, round(v, 6) AS smooth FROM sm{chain.W0}")
 def _(spark, d):
-    return detect.smooth(chain.calibrated(spark, d), "clear_ratio", chain.W0, "smooth").select("system_id", "date", F.round("smooth", 6).alias("smooth"))
+    return detect.smooth(chain.calibrated(spark, d), "clear_ratio", {"smooth": chain.W0}).select("system_id", "date", F.round("smooth", 6).alias("smooth"))
 
 
 @query("d04_trigger", "SELECT system_id, date, below, round(smooth_ratio, 6) AS smooth_ratio FROM tr")
