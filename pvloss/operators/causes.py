@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.common import KEYS, draw, islands, true, z
+from ..functions.common import KEYS, dealt, draw, islands, true, z
 from ..functions.settings import DEFAULT, Settings
 from ..functions.slopes import ranked_slopes
 from .bootstrap import block_medians, resampled, uniforms
@@ -86,7 +86,7 @@ def theil_sen(points: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
 
     types = dict(points.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in by_part), *(f"{k} {t}" for k, t in RESULT.items())])
-    return points.select(*by_part, "x", "y", "first_day", "last_day").groupBy(*by_part).applyInPandas(work, schema)
+    return dealt(points.select(*by_part, "x", "y", "first_day", "last_day"), by_part).groupBy(*by_part).applyInPandas(work, schema)
 
 
 RESULT = {"raw": "double", "slope": "double", "level": "double", "n": "bigint", "first_day": "date", "last_day": "date", "sd": "double"}
@@ -121,14 +121,15 @@ def soiling_draws(points: DataFrame, slopes: DataFrame, s: Settings = DEFAULT, k
         slope, sd = (t.column(c).to_numpy()[known][first] for c in ("slope", "sd"))
         ratio = np.full(len(reps), np.nan)
         if len(parts) and ghi.sum():
-            u = [uniforms((s.seed, *own), [f"{p}|{r}|{name}".encode() for r in reps for p in parts.tolist()]).reshape(len(reps), -1) for name in "ab"]
+            texts = np.array([f"{p}|{r}|".encode() for r in reps for p in parts.tolist()])
+            u = [uniforms((s.seed, *own), np.strings.add(texts, name)).reshape(len(reps), -1) for name in (b"a", b"b")]
             drawn = slope + np.sqrt(-2.0 * np.log(1.0 - u[0])) * np.cos(2 * math.pi * u[1]) * sd
             kept = ((1.0 - np.clip(1.0 + np.minimum(d, 0.0)[of] * x, 0.0, 1.0)) @ ghi[known] for d in drawn)
             ratio = 1.0 - np.fromiter(kept, float, len(reps)) / ghi.sum()
         some = np.flatnonzero(np.isfinite(ratio))
         return pa.table([*[pa.repeat(k, len(some)) for k in key], pa.array(reps[some].astype(np.int32)), pa.array(ratio[some])], names=schema.names)
 
-    return rows.groupBy(*keys).applyInArrow(work, schema)
+    return dealt(rows, keys).groupBy(*keys).applyInArrow(work, schema)
 
 
 def soiling_range(draws: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
