@@ -58,3 +58,23 @@ def test_small_rows_of_much_work_are_dealt_out(spark):
     slopes = causes.theil_sen(f.selectExpr("system_id", "0 as part", "ratio as y", "datediff(date, date'2023-01-01') as x", "date'2023-01-01' as first_day", "date'2023-01-30' as last_day"))
     for got in (found, drawn, indices, slopes):
         assert busy(got) > many_parts(got) // 3
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_running_medians_of_columns_that_differ_in_a_part(monkeypatch, share):
+    """Rows in which all columns are alike are worked through for one column; before, for all of them."""
+    import pandas as pd
+
+    from pvloss.operators import variants
+
+    rng = np.random.default_rng(3)
+    base = np.where(rng.random(400) < 0.7, rng.random(400), np.nan)
+    x = np.repeat(base[:, None], variants.FEW + 3, axis=1)
+    part = slice(150, 150 + int(400 * share)) if share < 1 else slice(0, 400)
+    x[part] *= rng.random((1, x.shape[1]))
+    x[300, 1] = np.nan if share else x[300, 1]
+    worked, whole = [], variants._sorted_windows
+    monkeypatch.setattr(variants, "_sorted_windows", lambda v, *a: worked.append(len(v)) or whole(v, *a))
+    got = variants.rolling_median(x, 15, 4)
+    assert np.array_equal(got, pd.DataFrame(x).rolling(15, center=True, min_periods=4).median().to_numpy(), equal_nan=True)
+    assert sum(worked) <= {0.0: 0, 0.1: 120, 1.0: 400}[share]
