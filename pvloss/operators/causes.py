@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,29 +63,40 @@ def soiling_intervals(f: DataFrame, cuts: DataFrame, s: Settings = DEFAULT, keys
 
 def theil_sen(points: DataFrame, s: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """keys, part, slope (median of pairwise slopes over the interval's median), level, n, first_day, last_day, and
-    sd: half the rank-based band of the slope (Sen 1968, ties allowed for) over the median. An interval, which is
-    no longer than its series, meets in one group; its slopes are selected by rank, in memory linear in its points."""
-    by_part = [*keys, "part"]
-
-    def work(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("x", ignore_index=True)
-        x, y, n = g["x"].to_numpy(float), g["y"].to_numpy(float), len(g)
-        m = n * (n - 1) // 2
-        if not m:
-            return pd.DataFrame(columns=[*by_part, *RESULT])
-        spread = lambda k: k * (k - 1) * (2 * k + 5)
-        ties = spread(g["y"].value_counts().to_numpy(float)).sum()
-        half, level = z((1 + s.slope_band) / 2) * np.sqrt((spread(float(n)) - ties) / 18.0), float(np.median(y))
-        ranks = [(m - 1) // 2, m // 2, int(max(np.rint((m - half) / 2) - 1, 0)), int(min(np.rint((m + half) / 2), m - 1))]
-        below, above, lo, hi = ranked_slopes(x, y, ranks)
-        middle = (below + above) / 2
-        over = lambda v: v / level if level else np.nan
-        row = [middle, over(middle), level, n, g["first_day"][0], g["last_day"][0], max(over((hi - lo) / 2), 1e-9)]
-        return pd.DataFrame([[*key, *row]], columns=[*by_part, *RESULT])
-
+    sd: half the rank-based band of the slope (Sen 1968, ties allowed for) over the median. A series meets in one group, which
+    works through its intervals; slopes are selected by rank, in memory linear in the points."""
+    rows = points.select(*keys, "part", "x", "y", "first_day", "last_day")
     types = dict(points.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in by_part), *(f"{k} {t}" for k, t in RESULT.items())])
-    return dealt(points.select(*by_part, "x", "y", "first_day", "last_day"), by_part).groupBy(*by_part).applyInPandas(work, schema)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in (*keys, "part")), *(f"{k} {t}" for k, t in RESULT.items())])
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("part", "ascending"), ("x", "ascending")])
+        part, x, y = t.column("part").to_numpy(), t.column("x").to_numpy().astype(float), t.column("y").to_numpy().astype(float)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = np.append(first[1:], len(part))
+        some = ends - first > 1
+        first, ends = first[some], ends[some]
+        numbers = np.array([_slope(x[a:b], y[a:b], s) for a, b in zip(first, ends, strict=True)]).reshape(-1, 4)
+        raw, over, level, sd = (pa.array(numbers[:, k], pa.float64(), from_pandas=True) for k in range(4))
+        of = t.take(pa.array(first))
+        n = pa.array(ends - first, pa.int64())
+        return pa.table([*[pa.repeat(k, len(first)) for k in key], of.column("part"), raw, over, level, n, of.column("first_day"), of.column("last_day"), sd], names=[*keys, "part", *RESULT])
+
+    return dealt(rows, keys).groupBy(*keys).applyInArrow(work, schema)
+
+
+def _slope(x: np.ndarray, y: np.ndarray, s: Settings) -> tuple[float, float, float, float]:
+    """raw, slope, level and sd of the points of one interval in order of x."""
+    n = len(x)
+    m = n * (n - 1) // 2
+    spread = lambda k: k * (k - 1) * (2 * k + 5)
+    ties = spread(np.unique(y, return_counts=True)[1].astype(float)).sum()
+    half, level = z((1 + s.slope_band) / 2) * np.sqrt((spread(float(n)) - ties) / 18.0), float(np.median(y))
+    ranks = [(m - 1) // 2, m // 2, int(max(np.rint((m - half) / 2) - 1, 0)), int(min(np.rint((m + half) / 2), m - 1))]
+    below, above, lo, hi = ranked_slopes(x, y, ranks)
+    middle = (below + above) / 2
+    over = lambda v: v / level if level else np.nan
+    return middle, over(middle), level, max(over((hi - lo) / 2), 1e-9)
 
 
 RESULT = {"raw": "double", "slope": "double", "level": "double", "n": "bigint", "first_day": "date", "last_day": "date", "sd": "double"}
