@@ -78,3 +78,21 @@ def test_running_medians_of_columns_that_differ_in_a_part(monkeypatch, share):
     got = variants.rolling_median(x, 15, 4)
     assert np.array_equal(got, pd.DataFrame(x).rolling(15, center=True, min_periods=4).median().to_numpy(), equal_nan=True)
     assert sum(worked) <= {0.0: 0, 0.1: 120, 1.0: 400}[share]
+
+
+def test_parts_of_the_analysis_grow_with_its_rows(spark, monkeypatch):
+    """Before, their number was that of the session's shuffles, so a task's memory grew with the input."""
+    from pvloss.functions import common
+    from pvloss.operators import detect, frame, validation
+
+    monkeypatch.setattr(common, "ROWS", 20)
+    rows = [(f"S{k}", DAY + dt.timedelta(i), 5.0 + i % 7 / 50, True, 1.5 + i % 2 * 2, 5.0, 25.0, 0.0) for k in range(6) for i in range(100)]
+    feed = common.stored(spark.createDataFrame(rows, "system_id string, date date, energy_kwh double, valid boolean, ghi double, clear_ghi double, t2m_c double, precip_mm double"), "feed")
+    days = frame.on_calendar(feed.select("system_id", "date", "energy_kwh", "valid"), rows=feed.count())
+    site = spark.sql("select concat('S', id) as system_id, 26e0 as latitude, 1e0 as capacity_kwp from range(6)")
+    base = common.stored(frame.build_frame(days, feed.drop("energy_kwh", "valid"), site), "base")
+    found = detect.analyse_frame(base)
+    assert found.count() == 600 and many_parts(found) < 30
+    for df in (days, found, common.dealt(found, ["system_id"], 600)):
+        assert df.rdd.getNumPartitions() == 30, df.columns
+    assert validation.clean_stretch(common.stored(found, "found")).count() == 0
