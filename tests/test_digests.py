@@ -5,6 +5,7 @@ from hashlib import md5
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pvloss.functions import digests
 from pvloss.functions.common import many_parts
@@ -96,3 +97,12 @@ def test_parts_of_the_analysis_grow_with_its_rows(spark, monkeypatch):
     for df in (days, found, common.dealt(found, ["system_id"], 600)):
         assert df.rdd.getNumPartitions() == 30, df.columns
     assert validation.clean_stretch(common.stored(found, "found")).count() == 0
+
+
+def test_sums_over_places_come_without_a_row_for_each_place(spark):
+    """Before, the query made a row for each place of each replicate to add them up."""
+    sizes = spark.createDataFrame([("S0", 30), ("S1", 7), ("S2", 3), ("S3", 1), ("S4", 0), ("S5", 64)], "system_id string, m bigint")
+    got = bootstrap.block_index_sums(sizes, 150, 7)
+    rows = bootstrap.block_indices(sizes, 150, 7).groupBy("system_id", "replicate").agg(F.count("*").alias("draws"), F.sum("idx").alias("places"), F.sum(F.col("place").cast("bigint") * F.col("idx")).alias("in_order"))
+    assert got.schema.names == rows.schema.names and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    assert got.count() == 5 * 150 and "Generate" not in got._jdf.queryExecution().toString()
