@@ -45,9 +45,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def hourly_weather(spark, d):
-    """The feed's days spread over UTC hours 2 to 12 by a parabola, dark elsewhere."""
-    h = feeds.daily(spark, d).select("system_id", "date", "ghi", "t2m_c", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
+def hourly_weather(spark, d, days=None):
+    """The feed's days (or `days`, where the caller has dealt them out) spread over UTC hours 2 to 12 by a parabola, dark elsewhere."""
+    h = (feeds.daily(spark, d) if days is None else days).select("system_id", "date", "ghi", "t2m_c", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
     ghi = F.when(F.col("h").between(2, 12), F.col("ghi") * 1000.0 * (36 - (F.col("h") - 7) * (F.col("h") - 7)) / 286.0).otherwise(0.0)
     return h.select("system_id", (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("h"))).alias("hour_utc"), ghi.alias("ghi"), "t2m_c")
 

@@ -62,3 +62,21 @@ def test_day_files_of_one_and_of_many_systems(spark, tmp_path, monkeypatch):
     got = reader(spark, str(tmp_path / "own"), "1996-12-20", "1997-02-10").collect()
     assert sorted((r.system_id, r.date, float(r.energy_kwh)) for r in got) == sorted(r for r in wanted if r[0] in ("S1", "S2"))
     assert reader(spark, str(tmp_path / "own"), "2001-01-01", "2001-02-01").count() == 0
+
+
+def test_hours_of_days_that_are_dealt_by_system_are_not_shuffled(spark):
+    """Before, every hour went to its system's payload through shuffles of its own, and each part of the years made all hours again."""
+    from pvloss.functions.common import dealt
+    from pvloss.plans.solar_queries import hourly_weather
+    from pvloss.plans.source_queries import weather_payload
+
+    rows = [(s, date(y, 7, 1), 5.0 + k, 25.0 if k else None) for k, s in enumerate("ab") for y in (1996, 1997)]
+    days = spark.createDataFrame(rows, "system_id string, date date, ghi double, t2m_c double")
+    w = hourly_weather(spark, None, dealt(days, ["system_id"])).withColumn("from", F.year("hour_utc"))
+    got = weather_payload(w, F.date_format("hour_utc", "yyyyMMddHH"), ["from"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for r in got.collect():
+        values = r.properties["parameter"]
+        keys = [f"{r['from']}0701{h:02d}" for h in range(24)]
+        assert sorted(values) == ["ALLSKY_SFC_SW_DWN", "T2M"] and all(sorted(v) == keys for v in values.values())
+        assert set(values["T2M"].values()) == {25.0 if r.system_id == "b" else -99.0}
