@@ -86,6 +86,21 @@ def test_best_event_of_equals_has_the_narrowest_interval(spark, monkeypatch):
     assert got == {k: at for k, (_, at) in want.items()}
 
 
+def test_clearest_event_draws_for_events_with_most_clear_days_alone(spark, monkeypatch):
+    first, at = date(2020, 1, 1), {20: 14, 60: 9, 100: 14, 140: 8}  # clear days before the event
+    days = [("P", first + timedelta(x + k), k >= -n, False, 1 + 0.01 * (k % 3) + (x == 20) * 0.02 * (k % 2), 5.0, 0.0) for x, n in at.items() for k in range(-14, 15)]
+    f = spark.createDataFrame(days, "system_id string, date date, clear boolean, fault boolean, ratio double, expected_kwh double, precip_mm double")
+    chosen = spark.createDataFrame([("P", first + timedelta(x), first + timedelta(x), "rain") for x in at], "system_id string, start date, end date, type string")
+    drawn, intervals = [], events.event_intervals
+    monkeypatch.setattr(chain, "state", lambda *_: ())
+    monkeypatch.setattr(event_queries, "faulty", lambda *_: f)
+    monkeypatch.setattr(event_queries, "chosen", lambda *_: chosen)
+    monkeypatch.setattr(events, "event_intervals", lambda f, e, *a: drawn.extend((r.start - first).days for r in e.collect()) or intervals(f, e, *a))
+    chain.forget()
+    (row,) = event_queries.QUERIES["v07_clearest_event"](spark, "rivals").collect()
+    assert (row.start - first).days == 100 and sorted(drawn) == [20, 100]
+
+
 def test_verdict_is_uncertain_where_the_range_straddles_the_cost(spark, plans, monkeypatch):
     rows = {r.system_id: r for r in event_queries.loss_rows(spark, "fixture").collect()}
     draws = loss_bootstrap.loss_replicates(plans, detect.noise_profile(plans)).where("system_id = 'B'").toPandas()["moderate"]
