@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pvloss.functions.rolling import Running, with_running_medians
+from pvloss.operators import detect
 from pvloss.sources import files
 
 SERIES = st.lists(st.tuples(st.integers(0, 60), st.one_of(st.none(), st.integers(-5, 5).map(float))), max_size=50)
@@ -25,6 +26,39 @@ def test_windows_of_days(rows, width, least):
         assert got[i] == statistics.median(inside) if len(inside) >= least else np.isnan(got[i])
 
 
+@settings(max_examples=200, deadline=None)
+@given(SERIES, st.integers(1, 6))
+def test_gaps_between_medians_are_bridged_on_their_first_days(rows, bridge):
+    rows = sorted({d: v for d, v in rows}.items())
+    day, values = np.array([r[0] for r in rows], np.int64), np.array([np.nan if r[1] is None else r[1] for r in rows], float)
+    raw, got = Running("m", "v", 3, 2).of(day, values), Running("m", "v", 3, 2, bridge=bridge).of(day, values)
+    for i, d in enumerate(day):
+        before, after = [k for k in range(i) if not np.isnan(raw[k])], [k for k in range(i + 1, len(day)) if not np.isnan(raw[k])]
+        if not np.isnan(raw[i]):
+            assert got[i] == raw[i]
+        elif before and after and d - day[before[-1]] <= bridge:
+            p, q = before[-1], after[0]
+            assert got[i] == raw[p] + (raw[q] - raw[p]) * ((d - day[p]) / (day[q] - day[p]))
+        else:
+            assert np.isnan(got[i])
+
+
+def test_long_runs_in_one_order(spark):
+    """Runs of days, also where days are missing, told from the series in its order: one sort."""
+    first, flags = dt.date(2024, 1, 1), "1110111101111111011100" + "1111" * 3
+    rows = [("S", first + dt.timedelta(k + (k > 30)), c == "1") for k, c in enumerate(flags)]
+    d = detect.long_runs(spark.createDataFrame(rows, "system_id string, date date, flag boolean"), "flag", "long", 4)
+    assert d._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    want, run = {}, []
+    for _, day, flag in [*rows, ("S", dt.date(2030, 1, 1), False)]:
+        if run and (not flag or (day - run[-1]).days > 1):
+            want |= {x: len(run) >= 4 for x in run}
+            run = []
+        run += [day] if flag else []
+        want.setdefault(day, False)
+    assert {r.date: r.long for r in d.collect()} == {x: want[x] for _, x, _ in rows} and any(want.values())
+
+
 @settings(max_examples=200, deadline=None)
 @given(SERIES, st.sampled_from([1, 5, 7]), st.integers(1, 4), st.sampled_from([None, 6]))
 def test_windows_of_rows(rows, width, least, span):
