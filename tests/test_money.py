@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pvloss.functions.settings import DEFAULT as S
-from pvloss.operators import money
+from pvloss.operators import loss_bootstrap, money
 from pvloss.sources import files
 
 MONTH = S.days_per_month
@@ -103,3 +103,14 @@ def test_prices_that_are_missing(spark, tmp_path):
     systems = files.read_systems(spark, str(tmp_path / "s.csv"))
     assert {r.system_id: (r.location, r.utc_offset_hours) for r in systems.collect()} == {k: ("", 5.0) for k in "abc"}
     assert {r.system_id: r.missing for r in files.economic_warnings(systems).collect()} == {"a": ["tariff"], "c": ["tariff", "cleaning_cost"]}
+
+
+def test_ends_of_a_range_share_one_aggregate(spark):
+    """An aggregate of exact percentiles holds all values of its group, so a kind has one for both its ends."""
+    draws = spark.createDataFrame([("S", k, float(k), float(k % 7), 0.0, 0.0, float(k), 100.0) for k in range(41)], "system_id string, replicate int, lost double, sustained double, outage double, deep double, moderate double, expected double")
+    loss = spark.createDataFrame([("S", 20.0, 3.0, 0.0, 0.0, 20.0, 20.0)], "system_id string, lost_kwh double, sustained_kwh double, outage_kwh double, deep_kwh double, moderate_kwh double, loss_pct double")
+    ranges, interval = loss_bootstrap.loss_ranges(draws, loss), money.percentile_interval(draws, ["system_id"], "lost")
+    for d, kinds in ((ranges, 6), (interval, 1)):
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == kinds
+        row = d.first()
+        assert [row[k] for k in (("lost_lo", "lost_hi") if kinds > 1 else ("lo", "hi"))] == pytest.approx([1.0, 39.0])
